@@ -1,0 +1,204 @@
+"""Exact and bounded-error percentiles per group over very large columns, in a form that combines across days.
+
+Form: a summary is a set of rows ``metric, dim, grp, day, value, n``: how often a value (or value bucket) occurs. Summaries of
+other days or partitions are combined by putting their rows together. With ``bits=None`` the values are exact; with ``bits=b``
+a value keeps its b leading binary digits, so a group has at most 2^b buckets per power of two whatever the number of rows,
+and the bucket's midpoint is off by at most 2^-b of the value; values below 2^b in size stay exact.
+
+Method: distributed multi-select. The counted values lie in chunks; in each round every chunk proposes its local weighted
+median within the still possible range of each wanted rank, the weighted median of the proposals becomes the pivot, the
+chunks count three ways (below, equal, above), and the ranges ruled out are discarded, per group until the rank is found.
+Once a range holds at most ``GATHER`` distinct values, these few are looked at directly, which saves the last rounds.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from loomtrace.session import cut, written
+
+GROUP = ["metric", "dim", "grp"]
+#: Distinct values in a chunk: the bound of what one row of a chunk table holds.
+CHUNK = 16_384
+#: A range of at most so many distinct values is resolved directly.
+GATHER = 2_048
+#: A state of at most so many rows is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def bucketed(value: Column, bits: int | None) -> Column:
+    """The lower end of the bucket of an integer value: its ``bits`` leading binary digits, sign kept."""
+    if bits is None:
+        return value
+    size = F.abs(value)
+    drop = F.greatest(F.lit(0), F.length(F.bin(size)) - bits).cast("int")
+    low = F.call_function("shiftleft", F.call_function("shiftright", size, drop), drop)
+    return F.when(value < 0, -low).otherwise(low)
+
+
+def bucket_width(low: Column, bits: int | None) -> Column:
+    """How many integers share the bucket that starts (toward zero) at ``low``."""
+    if bits is None:
+        return F.lit(1).cast("bigint")
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.lit(0), F.length(F.bin(F.abs(low))) - bits).cast("int"))
+
+
+def summaries(values: DataFrame, bits: int | None = None) -> DataFrame:
+    """Rows ``metric, dim, grp, day, value`` counted as ``n``; null values are left out, null groups are a group of their own."""
+    kept = values.filter("value is not null").withColumn("value", bucketed(F.col("value").cast("bigint"), bits))
+    return kept.groupBy(*GROUP, "day", "value").agg(F.count("*").alias("n"))
+
+
+def combine(summary: DataFrame, *others: DataFrame) -> DataFrame:
+    """Summaries of separate days or partitions as one, over all days: ``metric, dim, grp, value, n``."""
+    for other in others:
+        summary = summary.unionByName(other)
+    return summary.groupBy(*GROUP, "value").agg(F.sum("n").alias("n"))
+
+
+def chunked(combined: DataFrame) -> DataFrame:
+    """``metric, dim, grp, chunk, values, counts``: the counted values in sorted chunks of about ``CHUNK`` or fewer.
+
+    A chunk is chosen by hash, so that a group of any size is spread over as many chunks as its distinct values need.
+    """
+    size = combined.groupBy(*GROUP).agg(F.count("*").alias("d"))
+    with_size = combined.join(F.broadcast(size), GROUP) if size.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else combined.join(size, GROUP)
+    chunk = F.pmod(F.xxhash64("value"), F.ceil(F.col("d") / CHUNK)).alias("chunk")
+    packed = F.sort_array(F.collect_list(F.struct("value", "n"))).alias("p")
+    return with_size.groupBy(*GROUP, chunk).agg(packed).select(*GROUP, "chunk", F.col("p.value").alias("values"), F.col("p.n").alias("counts"))
+
+
+def _window(row_values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.searchsorted(row_values, lo, "left"), np.searchsorted(row_values, hi, "right")
+
+
+def _propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The local weighted median of each wanted range in each chunk, its weight, and the distinct values in the range."""
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            values, ends = np.asarray(row.values, np.int64), np.cumsum(np.asarray(row.counts, np.int64))
+            a, b = _window(values, np.asarray(row.los), np.asarray(row.his))
+            before = np.where(a > 0, ends[np.maximum(a - 1, 0)], 0)
+            weight = np.where(b > a, ends[np.maximum(b - 1, 0)] - before, 0)
+            at = np.minimum(np.searchsorted(ends, before + (weight + 1) // 2, "left"), len(values) - 1)
+            some = np.flatnonzero(b > a)
+            out.append(pd.DataFrame({"metric": row.metric, "dim": row.dim, "grp": row.grp, "q": np.asarray(row.qs)[some], "median": values[at[some]], "weight": weight[some], "distinct": (b - a)[some]}))
+        yield pd.concat(out) if out else pd.DataFrame(columns=["metric", "dim", "grp", "q", "median", "weight", "distinct"])
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows below and equal to the pivot, of the whole chunk, for each wanted rank."""
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            values, ends = np.asarray(row.values, np.int64), np.concatenate([[0], np.cumsum(np.asarray(row.counts, np.int64))])
+            a, b = _window(values, np.asarray(row.pivots), np.asarray(row.pivots))
+            out.append(pd.DataFrame({"metric": row.metric, "dim": row.dim, "grp": row.grp, "q": np.asarray(row.qs), "below": ends[a], "equal": ends[b] - ends[a]}))
+        yield pd.concat(out) if out else pd.DataFrame(columns=["metric", "dim", "grp", "q", "below", "equal"])
+
+
+def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The values of the small ranges with their counts."""
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            values, counts = np.asarray(row.values, np.int64), np.asarray(row.counts, np.int64)
+            a, b = _window(values, np.asarray(row.los), np.asarray(row.his))
+            for q, i, j in zip(row.qs, a, b):
+                out.append(pd.DataFrame({"metric": row.metric, "dim": row.dim, "grp": row.grp, "q": q, "value": values[i:j], "n": counts[i:j]}))
+        yield pd.concat(out) if out else pd.DataFrame(columns=["metric", "dim", "grp", "q", "value", "n"])
+
+
+_KEYS = "metric string, dim string, grp string, q double"
+
+
+def _meet(chunks: DataFrame, state: DataFrame, n_state: int, columns: Sequence[str]) -> DataFrame:
+    """Chunks with their group's wanted ranks, one row a chunk; the state is broadcast only while it is small."""
+    wanted = state.groupBy(*GROUP).agg(*[F.collect_list(c).alias(f"{c}s") for c in columns])
+    return chunks.join(F.broadcast(wanted) if n_state <= BROADCAST_ROWS else wanted, GROUP)
+
+
+def multi_select(combined: DataFrame, fractions: Sequence[float]) -> DataFrame:
+    """``metric, dim, grp, q, n, value``: for each q the smallest value with at least ceil(q * n) of the group's n rows at or
+    below it (at least rank 1). Exact over ``combined`` (``metric, dim, grp, value, n``). A group without values has no row.
+    Ties need no rule: equal values are one. A null group key is shown as ``(none)`` by :func:`log_values`; keys are not null here.
+    """
+    chunks = written(chunked(combined))
+    group = chunks.select(*GROUP, F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"), F.element_at("values", 1).alias("lo"), F.element_at("values", -1).alias("hi"))
+    group = group.groupBy(*GROUP).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    asked = F.explode(F.array(*[F.lit(float(q)) for q in fractions])).alias("q")
+    # Rank by integers, so that no rounding of q * n moves it.
+    rank = F.greatest(F.lit(1), F.ceil(F.round(F.col("q") * F.col("n"), 6))).cast("bigint")
+    state = cut(group.select(*GROUP, asked, "n", "lo", "hi").withColumn("rank", rank))
+    found: list[DataFrame] = []
+    while n_state := state.count():
+        proposed = _meet(chunks, state, n_state, ["q", "lo", "hi"]).mapInPandas(_propose, f"{_KEYS}, median bigint, weight bigint, distinct bigint")
+        order = Window.partitionBy(*GROUP, "q").orderBy("median")
+        whole = Window.partitionBy(*GROUP, "q")
+        half = proposed.withColumn("upto", F.sum("weight").over(order)).withColumn("all", F.sum("weight").over(whole)).withColumn("d", F.sum("distinct").over(whole))
+        pivots = half.filter("2 * upto >= `all`").groupBy(*GROUP, "q").agg(F.min("median").alias("pivot"), F.first("d").alias("d"))
+        state = cut(state.join(pivots, [*GROUP, "q"]))
+        small, state = state.filter(F.col("d") <= GATHER), state.filter(F.col("d") > GATHER)
+        found.append(small.select(*GROUP, "q", "n", "rank", "lo", "hi", F.lit(None).cast("bigint").alias("value")))
+        n_state = state.count()
+        if not n_state:
+            break
+        counted = _meet(chunks, state, n_state, ["q", "pivot"]).mapInPandas(_count, f"{_KEYS}, below bigint, equal bigint")
+        ways = counted.groupBy(*GROUP, "q").agg(F.sum("below").alias("below"), F.sum("equal").alias("equal"))
+        judged = cut(state.join(ways, [*GROUP, "q"]))
+        here = (F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("equal"))
+        found.append(judged.filter(here).select(*GROUP, "q", "n", "rank", "lo", "hi", F.col("pivot").alias("value")))
+        left = F.col("rank") <= F.col("below")
+        state = cut(judged.filter(~here).select(*GROUP, "q", "n", F.when(left, F.col("lo")).otherwise(F.col("pivot") + 1).alias("lo"), F.when(left, F.col("pivot") - 1).otherwise(F.col("hi")).alias("hi"), "rank"))
+    if not found:
+        return state.select(*GROUP, "q", "n", F.col("lo").alias("value"))
+    every = cut(_union(found))
+    open_ranges = every.filter("value is null")
+    done = every.filter("value is not null").select(*GROUP, "q", "n", "value")
+    n_open = open_ranges.count()
+    if not n_open:
+        return done
+    # Rows of the chunks below the range, and the at most GATHER values within it.
+    below = _meet(chunks, open_ranges.withColumn("pivot", F.col("lo")), n_open, ["q", "pivot"]).mapInPandas(_count, f"{_KEYS}, below bigint, equal bigint")
+    below = below.groupBy(*GROUP, "q").agg(F.sum("below").alias("below"))
+    few = _meet(chunks, open_ranges, n_open, ["q", "lo", "hi"]).mapInPandas(_gather, f"{_KEYS}, value bigint, n bigint").withColumnRenamed("n", "m")
+    upto = F.sum("m").over(Window.partitionBy(*GROUP, "q").orderBy("value"))
+    ranked = few.withColumn("upto", upto).join(open_ranges.drop("value").join(below, [*GROUP, "q"]), [*GROUP, "q"])
+    last = ranked.filter("below + upto >= rank").groupBy(*GROUP, "q").agg(F.min("value").alias("value"), F.first("n").alias("n"))
+    return done.unionByName(last.select(*GROUP, "q", "n", "value"))
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def with_bounds(result: DataFrame, bits: int | None) -> DataFrame:
+    """Percentiles of bucketed values with ``low, high`` (the true percentile lies between them) and the midpoint ``estimate``."""
+    far = F.col("value") + F.when(F.col("value") < 0, -1).otherwise(1) * (bucket_width(F.col("value"), bits) - 1)
+    return result.withColumn("low", F.least("value", far)).withColumn("high", F.greatest("value", far)).withColumn("estimate", (F.col("low") + F.col("high")) / 2).drop("value")
+
+
+def log_values(audit_events: DataFrame) -> DataFrame:
+    """elapsed_ms and total_tokens of every event per model and per tool: ``metric, dim, grp, day, value``.
+
+    Repeated deliveries count once. Model and tool names are compared trimmed and in lower case; a missing name is the group
+    ``(none)``. Zero, negative and very large values count as they are; null values don't count. day is the UTC date.
+    """
+    name = lambda c: F.coalesce(F.nullif(F.lower(F.trim(F.col(c))), F.lit("")), F.lit("(none)"))
+    rows = audit_events.filter("elapsed_ms is not null or total_tokens is not null")
+    once = rows.select("event_id", name("model").alias("model"), name("tool_name").alias("tool_name"), F.to_date("occurred_at").alias("day"), "elapsed_ms", "total_tokens").distinct()
+    pairs = [
+        F.struct(F.lit(m).alias("metric"), F.lit(d).alias("dim"), F.col(d).alias("grp"), F.col(m).alias("value"))
+        for m in ("elapsed_ms", "total_tokens")
+        for d in ("model", "tool_name")
+    ]
+    return once.select("day", F.inline(F.array(*pairs))).filter("value is not null")

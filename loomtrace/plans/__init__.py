@@ -1 +1,17 @@
+"""Named queries over the project's tables, each with its SQL where SQL can express it."""
 
+from __future__ import annotations
+
+from importlib import import_module
+
+_MODULES = ("trace_data",)
+
+
+def all_queries() -> dict:
+    """Query name to ``(spark, sf_dir) -> DataFrame``."""
+    return {k: v for m in _MODULES for k, v in import_module(f"{__name__}.{m}").QUERIES.items()}
+
+
+def all_sql() -> dict[str, str]:
+    """Query name to DuckDB SQL."""
+    return {k: v for m in _MODULES for k, v in import_module(f"{__name__}.{m}").SQL.items()}
