@@ -17,12 +17,14 @@ def reference(value: Column) -> Column:
     A lone brace, a UUID without dashes and any other text are no references. Null stays null.
     """
     bare = F.lower(F.regexp_replace(value, DRESSED, "$1$2"))
-    return F.when((F.length(bare) == 36) & bare.rlike(f"^{UUID}$"), bare)
+    dressed = F.when((F.length(bare) == 36) & bare.rlike(f"^{UUID}$"), bare)
+    # Most values are in that form already; only the others go through the slower pattern.
+    return F.when(value.rlike(rf"\A{UUID}\z"), value).otherwise(dressed)
 
 
 def canonical(value: Column) -> Column:
     """An id column's own value in comparable form: as :func:`reference`, other texts trimmed; null stays null."""
-    return F.coalesce(reference(value), F.trim(value))
+    return F.when(value.rlike(rf"\A{UUID}\z"), value).otherwise(F.coalesce(reference(value), F.trim(value)))
 
 
 def _half(ref: Column, first: bool) -> Column:

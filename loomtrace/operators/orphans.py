@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions.ids import canonical, halves, reference
 from loomtrace.operators.skew import hot_keys, salted_join
-from loomtrace.session import cut
+from loomtrace.session import cut, written
 
 KEY = ["space", "hi", "lo"]
 #: Low bits of a plain integer key that are its offset in a block.
@@ -51,8 +51,9 @@ def orphan_references(references: DataFrame, parents: DataFrame, deleted: DataFr
     if deleted is not None:
         spaces = spaces.unionByName(deleted.filter(F.col("hi").isNotNull() & F.col("lo").isNotNull()).select(*KEY, F.lit(None).cast("bigint").alias("at"), F.lit(True).alias("gone"), F.lit(False).alias("there")))
     known = spaces.groupBy(*KEY).agg(F.min("at").alias("at"), F.max("gone").alias("gone"), F.max("there").alias("there"))
+    known = written(known)
     runs = key_runs(known.filter(F.col("there") & ~F.col("gone")).select(*KEY, "at"))
-    rows = references.filter(F.col("hi").isNotNull() & F.col("lo").isNotNull())
+    rows = written(references.filter(F.col("hi").isNotNull() & F.col("lo").isNotNull()))
     asked = rows.groupBy(*KEY).agg(F.count("*").alias("n_refs"), F.min("at").alias("ref_first"))
 
     nothing = F.lit(None).cast("bigint")
