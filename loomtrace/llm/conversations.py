@@ -174,14 +174,12 @@ def resolve(linked: DataFrame) -> DataFrame:
         (role == "assistant").alias("replied"),
         F.lit(False).alias("broken_pointer"),
     )
-    state = written(state)
-    done, active, last = [state.filter("ptr is null")], state.filter("ptr is not null"), -1
+    table = written(state)
+    done, active, last = [table.filter("ptr is null")], table.filter("ptr is not null"), -1
+    kept = [c for c in state.columns if c not in ("ptr", "broken_pointer", *_STRETCH)]
     n = active.count()
     while n not in (0, last):
-        live = active.select("session_key").distinct()
-        table = reduce(DataFrame.unionByName, done, active).join(live, "session_key", "left_semi")
         far = table.select(F.col("payload_id").alias("ptr"), F.col("ptr").alias("beyond"), *_STRETCH, F.lit(True).alias("exists"))
-        kept = [c for c in state.columns if c not in ("ptr", "broken_pointer", *_STRETCH)]
         hop = active.alias("a").join(far.alias("b"), F.col("a.ptr") == F.col("b.ptr"), "left")
         orphan = F.col("b.exists").isNull()
         hop = hop.select(
@@ -194,6 +192,12 @@ def resolve(linked: DataFrame) -> DataFrame:
         done.append(hop.filter("ptr is null"))
         active, last = hop.filter("ptr is not null"), n
         n = active.count()
+        if n not in (0, last):
+            # Only sessions that are still open are looked up again.
+            live = active.select("session_key").distinct()
+            rooted = table.filter("ptr is null").unionByName(hop.filter("ptr is null")).join(live, "session_key", "left_semi")
+            table = written(rooted.unionByName(active))
+            active = table.filter("ptr is not null")
     if n:  # only cycles never reach a root
         done.append(active.withColumn("broken_pointer", F.lit(True)))
     return reduce(lambda a, b: a.unionByName(b), done)

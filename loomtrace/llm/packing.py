@@ -24,7 +24,9 @@ CAPACITY = 2_048
 #: Pieces packed together.
 BLOCK = 20_000
 #: Improving steps of the local search in a block, at most.
-STEPS = 20_000
+STEPS = 2_000
+#: Bins that can't be emptied further, after which a block is left.
+STUCK = 16
 
 
 def pack(sizes: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> np.ndarray:
@@ -50,66 +52,72 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> np.
         left = capacity - fill[b]
         by_free[left].append(b)
         some |= 1 << left
-    _improve(bins, fill, sizes, capacity, steps)
-    out = np.empty(len(sizes), np.int64)
-    for b, items in enumerate(x for x in bins if x):
-        out[items] = b
-    return out
+    bin_of = np.empty(len(sizes), np.int64)
+    for b, items in enumerate(bins):
+        bin_of[items] = b
+    _improve(bin_of, np.array(fill, np.int64), np.asarray(sizes, np.int64), capacity, steps)
+    return np.unique(bin_of, return_inverse=True)[1]
 
 
-def _improve(bins: list[list[int]], fill: list[int], sizes: np.ndarray, capacity: int, steps: int) -> None:
-    """Local search in place: every step makes the sum of squared fills larger, so it ends."""
+def _improve(bin_of: np.ndarray, fill: np.ndarray, sizes: np.ndarray, capacity: int, steps: int) -> None:
+    """Local search in place. Every step moves room into the emptiest bin, so the sum of squared fills grows and it ends."""
     least = -(-int(sizes.sum()) // capacity)
-    while steps > 0 and sum(map(bool, bins)) > least:
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: fill[b])
-        if len(under) < 2 or not any(_relieve(b, under, bins, fill, sizes, capacity) for b in under[:-1]):
+    order = np.argsort(bin_of, kind="stable")
+    pairs = [(order[:-d], order[d:]) for d in (1, 2)]
+    first, second = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    stuck: set[int] = set()
+    used = int((fill > 0).sum())
+    while steps > 0 and used > least and len(stuck) < STUCK:
+        open_bins = np.flatnonzero(fill > 0)
+        b = next((int(x) for x in open_bins[np.argsort(fill[open_bins], kind="stable")][: STUCK + 1] if int(x) not in stuck), None)
+        if b is None or fill[b] >= capacity:
             return
-        steps -= 1
+        while steps > 0 and fill[b] > 0:
+            if not _relieve(b, bin_of, fill, sizes, capacity, first, second):
+                stuck.add(b)
+                break
+            steps -= 1
+        used -= int(fill[b] == 0)
 
 
-def _relieve(b: int, under: list[int], bins: list[list[int]], fill: list[int], sizes: np.ndarray, capacity: int) -> bool:
-    """One step that makes bin ``b`` emptier in favour of a fuller one; False if there is none."""
+def _relieve(b: int, bin_of: np.ndarray, fill: np.ndarray, sizes: np.ndarray, capacity: int, first: np.ndarray, second: np.ndarray) -> bool:
+    """One step that makes bin ``b`` emptier in favour of a bin at least as full; False if there is none."""
+    own = np.flatnonzero(bin_of == b)
+    own = own[np.argsort(-sizes[own], kind="stable")]
+    room = np.where((fill >= fill[b]) & (fill < capacity), capacity - fill, -1)
+    room[b] = -1
 
     def shift(out: list[int], back: list[int], c: int) -> bool:
-        gain = int(sizes[out].sum()) - int(sizes[back].sum()) if back else int(sizes[out].sum())
-        for i in out:
-            bins[b].remove(i)
-        for i in back:
-            bins[c].remove(i)
-        bins[b] += back
-        bins[c] += out
-        fill[b] -= gain
+        gain = int(sizes[out].sum() - sizes[back].sum())
+        bin_of[out], bin_of[back] = c, b
         fill[c] += gain
+        fill[b] -= gain
         return True
 
-    targets = [c for c in under if c != b and fill[c] >= fill[b]]
-    for i in sorted(bins[b], key=lambda i: -sizes[i]):
-        room = [c for c in targets if capacity - fill[c] >= sizes[i]]
-        if room:  # move
-            return shift([i], [], max(room, key=lambda c: fill[c]))
-    for i in sorted(bins[b], key=lambda i: -sizes[i]):
-        for c in reversed(targets):
-            free, size = capacity - fill[c], int(sizes[i])
-            ones = [j for j in bins[c] if size - free <= sizes[j] < size]
-            if ones:  # one for one
-                return shift([i], [min(ones, key=lambda j: sizes[j])], c)
-            small = sorted(bins[c], key=lambda j: sizes[j])
-            lo, hi = 0, len(small) - 1
-            while lo < hi:  # one for two
-                two = int(sizes[small[lo]] + sizes[small[hi]])
-                if size - free <= two < size:
-                    return shift([i], [small[lo], small[hi]], c)
-                lo, hi = (lo + 1, hi) if two < size - free else (lo, hi - 1)
-    for c in reversed(targets):
-        free, own = capacity - fill[c], sorted(bins[b], key=lambda i: sizes[i])
-        for j in bins[c]:
-            lo, hi = 0, len(own) - 1
-            while lo < hi:  # two for one
-                two = int(sizes[own[lo]] + sizes[own[hi]])
-                if sizes[j] < two <= sizes[j] + free:
-                    return shift([own[lo], own[hi]], [j], c)
-                lo, hi = (lo + 1, hi) if two <= sizes[j] else (lo, hi - 1)
-    return False
+    for i in own:  # move into the tightest bin that takes it
+        fits = np.flatnonzero(room >= sizes[i])
+        if len(fits):
+            return shift([i], [], int(fits[np.argmin(room[fits])]))
+    at_item, at_pair = room[bin_of], np.where(bin_of[first] == bin_of[second], room[bin_of[first]], -1)
+    pair_sizes = sizes[first] + sizes[second]
+    best: tuple[int, list[int], list[int], int] = (0, [], [], -1)
+
+    def consider(out: list[int], size: int, there: np.ndarray, free: np.ndarray, items: tuple[np.ndarray, ...]) -> None:
+        nonlocal best
+        gain = np.where((free > 0) & (size - there <= free), size - there, 0)
+        k = int(np.argmax(gain))
+        if gain[k] > best[0]:
+            back = [int(x[k]) for x in items]
+            best = (int(gain[k]), out, back, int(bin_of[back[0]]))
+
+    everything = np.arange(len(sizes))
+    for i in own:
+        consider([int(i)], int(sizes[i]), sizes, at_item, (everything,))  # one for one
+        consider([int(i)], int(sizes[i]), pair_sizes, at_pair, (first, second))  # one for two
+    for x in range(min(len(own), 6)):
+        for y in range(x + 1, min(len(own), 6)):  # two for one
+            consider([int(own[x]), int(own[y])], int(sizes[own[x]] + sizes[own[y]]), sizes, at_item, (everything,))
+    return shift(*best[1:]) if best[0] > 0 else False
 
 
 def fill_windows(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
