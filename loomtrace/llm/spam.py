@@ -66,7 +66,7 @@ _CUT = re.compile(
     r"|[;|,~•·<>()\[\]{}:/\\»«=*#\"“”—–，；：、?!]+| [-+] )",  # separators
     re.S,
 )
-_WORD = re.compile(r"[^\W\d_]+")
+_DISGUISED = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
 _LATIN = re.compile(r"[a-z]")
 _OTHER_SCRIPT = re.compile(r"[\u0370-\u2fff\uac00-\ud7ff]")
 _NOT_WORD = re.compile(r"\W+")
@@ -125,41 +125,59 @@ def _stuffed(sentences: list[list[list[str] | str]], function: frozenset[str]) -
     return out
 
 
+#: Separators met so far with their kind: at most the strings of three characters that the pattern can match and texts hold.
+_separators: dict[str, tuple[int, int]] = {}
+_NO_WORDS: list[str] = []
+SHARES = ("n_chars", "list_share", "link_share", "stuffed_share", "duplicate_share", "spam_share")
+
+
 def features(text: str | None) -> dict[str, float]:
     """``n_chars`` (visible characters), ``list_share``, ``link_share``, ``stuffed_share``, ``duplicate_share``, ``spam_share``.
 
     Shares are of the visible characters; markup counts with what stands before it. Null, empty and blank texts: all 0.
     """
-    zero = dict.fromkeys(("n_chars", "list_share", "link_share", "stuffed_share", "duplicate_share", "spam_share"), 0.0)
-    if not text:
-        return zero
-    plain = text.lower() if text.isascii() else text.translate(_PLAIN).lower()
+    if not text or text.isspace():
+        return dict.fromkeys(SHARES, 0.0)
+    plain = text if text.isascii() or not _DISGUISED.search(text) else text.translate(_PLAIN)
+    plain = plain.lower().replace("'", " ").replace("’", " ")
     pieces = _CUT.split(plain)
-    words_of = [_WORD.findall(p) for p in pieces[::2]]
-    function = function_words({w for ws in words_of for w in ws})
-
-    kinds, sizes, words = [], [], []
-    for k, piece in enumerate(pieces):
-        if k % 2:
-            kind, ws, size = _kind(piece), [], len(piece.strip())
-        else:
-            ws, size = words_of[k // 2], len(piece) - piece.count(" ")
-            if not ws:
-                if not size:
-                    continue
-                kind = BLANK
-            elif not piece.isascii() and "ぁ" <= max(piece) <= "鿿":
+    words_of = [piece.split() for piece in pieces[::2]]
+    function = function_words(set().union(*words_of))
+    apart, known = function.isdisjoint, _separators
+
+    kinds: list[int] = []
+    sizes: list[int] = []
+    words: list[list[str] | str] = []
+    for k, ws in enumerate(words_of):
+        if ws:
+            piece = pieces[2 * k]
+            size = len(piece) - piece.count(" ")
+            if piece.isascii():
+                kind = (PHRASE if apart(ws) else SENTENCE) if piece.islower() else BLANK
+            elif "ぁ" <= max(piece) <= "鿿":
                 kind, ws = SENTENCE if GRAMMAR.search(piece) else PHRASE, _NOT_WORD.sub("", piece)
-            elif not piece.isascii() and _OTHER_SCRIPT.search(piece) and not _LATIN.search(piece):
+            elif _OTHER_SCRIPT.search(piece) and not _LATIN.search(piece):
                 kind = SENTENCE  # no list of function words for this script: taken as ordinary
             else:
-                kind = SENTENCE if not function.isdisjoint(ws) else PHRASE
-        kinds.append(kind)
-        sizes.append(size)
-        words.append(ws)
+                kind = (PHRASE if apart(ws) else SENTENCE) if piece.islower() else BLANK
+            kinds.append(kind)
+            sizes.append(size)
+            words.append(ws)
+        if 2 * k + 1 < len(pieces):
+            piece = pieces[2 * k + 1]
+            if len(piece) < 4:
+                found = known.get(piece)
+                if found is None:
+                    found = known[piece] = (_kind(piece), len(piece.strip()))
+                kind, size = found
+            else:
+                kind, size = _kind(piece), len(piece.strip())
+            kinds.append(kind)
+            sizes.append(size)
+            words.append(_NO_WORDS)
     total = sum(sizes)
     if not total:
-        return zero
+        return dict.fromkeys(SHARES, 0.0)
 
     # Links are described if a sentence stands between them and the link before or after.
     described: set[int] = set()
@@ -210,19 +228,18 @@ def features(text: str | None) -> dict[str, float]:
             if line not in fenced:
                 duplicate += (lines[line] - 1) * (len(line) - line.count(" "))
 
-    share = Counter()
+    share = [0] * 8
     last = BLANK
-    for i, (k, size) in enumerate(zip(marks, sizes)):
+    for i, k in enumerate(marks):
         if k == LINK and i in described:
             k = SENTENCE
-        if k in (END, BREAK):
+        elif k == END or k == BREAK:
             k = last
-        share[k] += size
+        share[k] += sizes[i]
         last = k
-    listed, linked, stuffed = share[PHRASE] / total, share[LINK] / total, share[STUFFED] / total
-    twice = duplicate / total
+    listed, linked, stuffed, twice = share[PHRASE] / total, share[LINK] / total, share[STUFFED] / total, duplicate / total
     # Duplicate lines may be lists or stuffed too: the larger of both counts.
-    return {"n_chars": float(total), "list_share": listed, "link_share": linked, "stuffed_share": stuffed, "duplicate_share": twice, "spam_share": max(listed + linked + stuffed, twice)}
+    return dict(zip(SHARES, (float(total), listed, linked, stuffed, twice, max(listed + linked + stuffed, twice))))
 
 
 def is_spam(f: dict[str, float]) -> bool:
@@ -235,13 +252,12 @@ def page_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     Rows come out one for one, repeated ones too; other columns are not read; null and blank texts are no cases.
     """
-    names = ["n_chars", "list_share", "link_share", "stuffed_share", "duplicate_share", "spam_share"]
-    fields = [docs.schema[key], *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("is_spam", T.BooleanType())]
+    fields = [docs.schema[key], *[T.StructField(n, T.DoubleType()) for n in SHARES], T.StructField("is_spam", T.BooleanType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(v) for v in batch.column(1).to_pylist()]
-            columns = [pa.array([r[n] for r in rows], pa.float64()) for n in names]
+            columns = [pa.array([r[n] for r in rows], pa.float64()) for n in SHARES]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([is_spam(r) for r in rows], pa.bool_())], [f.name for f in fields])
 
     return docs.select(key, text).mapInArrow(run, T.StructType(fields))
