@@ -186,9 +186,7 @@ class Encoder:
         same = (size == size[example[number]]).all() and (codes[np.repeat(shift, size) + np.arange(n)] == codes).all()
         if not same:
             texts = [codes[s : s + k].tobytes() for s, k in zip(start, size)]
-            number, _ = pd.factorize(np.array(texts, object))
-            example[: number.max() + 1][number[::-1]] = np.arange(len(number))[::-1]
-            example = np.array([np.flatnonzero(number == i)[0] for i in range(number.max() + 1)])
+            _, example, number = np.unique(np.array(texts, object), return_index=True, return_inverse=True)
         return number, example
 
     def _ids(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -134,7 +134,12 @@ def plain(content: str) -> Plain:
         edits.append((*m.span(1), "@"))
         edits += [(d.start(), d.end(), ".") for d in _SPELLED_DOT.finditer(p.text, m.end(1) - 1, m.end())]
     p.rewrite(edits)
-    edits = [(d.start(), d.end(), DIGIT_WORDS[d.group().lower()]) for m in _SPELLED_DIGITS.finditer(p.text) for d in _ONE_DIGIT.finditer(p.text, *m.span())]
+    edits = []
+    for m in _SPELLED_DIGITS.finditer(p.text):
+        upto = m.start()
+        for d in _ONE_DIGIT.finditer(p.text, *m.span()):
+            edits.append((upto, d.end(), DIGIT_WORDS[d.group().lower()]))  # the gap before it goes with it
+            upto = d.end()
     p.rewrite(edits)
     return p
 

@@ -67,6 +67,8 @@ _CUT = re.compile(
     re.S,
 )
 _DISGUISED = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
+#: Letters without a Latin look-alike: where these are common, the text is in that script and disguises nothing.
+_CYRILLIC = re.compile("[бгджзийлптфцчшщъыьэюя]")
 _LATIN = re.compile(r"[a-z]")
 _OTHER_SCRIPT = re.compile(r"[\u0370-\u2fff\uac00-\ud7ff]")
 _NOT_WORD = re.compile(r"\W+")
@@ -138,7 +140,8 @@ def features(text: str | None) -> dict[str, float]:
     """
     if not text or text.isspace():
         return dict.fromkeys(SHARES, 0.0)
-    plain = text if text.isascii() or not _DISGUISED.search(text) else text.translate(_PLAIN)
+    disguised = not text.isascii() and _DISGUISED.search(text) and len(_CYRILLIC.findall(text)) * 50 < len(text)
+    plain = text.translate(_PLAIN) if disguised else text
     plain = plain.lower().replace("'", " ").replace("’", " ")
     pieces = _CUT.split(plain)
     words_of = [piece.split() for piece in pieces[::2]]
