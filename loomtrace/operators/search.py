@@ -60,6 +60,10 @@ def fit_budget(hits: DataFrame, budget: int, text: str, *order: Column) -> DataF
     return hits.withColumn("tokens_upto", upto).filter(F.col("tokens_upto") <= budget)
 
 
+def _equals(term: str):
+    return lambda x: x == F.lit(term)
+
+
 def bm25(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """``id, score`` of the best documents by Okapi BM25 over ``id, text`` (words: runs of letters and digits, lower case).
 
@@ -67,7 +71,7 @@ def bm25(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """
     terms = sorted(set(terms_of(query)))
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    counted = docs.select("id", words.alias("w")).select("id", F.size("w").alias("len"), *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = docs.select("id", words.alias("w")).select("id", F.size("w").alias("len"), *[F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
     corpus = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     both = counted.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").join(F.broadcast(corpus))  # one row
     score = F.lit(0.0)

@@ -63,7 +63,7 @@ _OWNED = f"""{_MORE}, owned AS (SELECT *, CASE {' '.join(f"WHEN {r} THEN '{n}'"
 _NODES = f"""{_OWNED}, nodes AS (SELECT run_id, node_type, node_key, count(*) AS n_events, min(occurred_at) AS first_at,
   CASE WHEN bool_or(coalesce(status IN ({_list(G.ABNORMAL)}), false)) OR bool_or(event_type = 'model_request_failed') THEN 'failed'
     WHEN bool_or(ends_with(event_type, '_started')) AND NOT bool_or(ends_with(event_type, '_finished') OR event_type IN ('model_response_received', 'model_request_failed')) THEN 'incomplete' ELSE 'succeeded' END AS status,
-  greatest(coalesce(max(elapsed_ms), epoch_ms(max(occurred_at)) - epoch_ms(min(occurred_at))), 0) AS elapsed_ms FROM owned WHERE node_type IS NOT NULL GROUP BY 1, 2, 3)"""
+  greatest(coalesce(max(elapsed_ms), date_diff('millisecond', min(occurred_at), max(occurred_at))), 0) AS elapsed_ms FROM owned WHERE node_type IS NOT NULL GROUP BY 1, 2, 3)"""
 _SPANS = (("run", "run_started", "run_finished", "run_id"), ("model_call", "model_request_started", "model_response_received", "model_call_id"), ("tool_call", "tool_started", "tool_finished", "tool_call_id"))
 
 SQL = {

@@ -253,8 +253,8 @@ SQL = {
     "trace_outcomes": f"""WITH {EVENTS} SELECT trace_id, count(*) AS event_count, count(*) FILTER (WHERE event_type = 'tool_finished') AS tool_count,
     coalesce(array_to_string(list_sort(list(DISTINCT tool_name) FILTER (WHERE tool_name IS NOT NULL)), ','), '') AS tools, CAST(count(DISTINCT event_type) AS INTEGER) AS type_count, count(*) FILTER (WHERE {_BAD}) AS failure_count,
     coalesce(last(status ORDER BY occurred_at, event_id) FILTER (WHERE event_type = 'run_finished' AND status IS NOT NULL), last(status ORDER BY occurred_at, event_id) FILTER (WHERE event_type = 'turn_finished' AND status IS NOT NULL), 'running') AS outcome,
-    greatest(coalesce(max(elapsed_ms), epoch_ms(max(occurred_at)) - epoch_ms(min(occurred_at))), 0) AS elapsed_ms FROM e WHERE trace_id IS NOT NULL GROUP BY 1""",
-    "sequence_edges": f"""WITH {EVENTS} SELECT * FROM (SELECT run_id, event_id AS source, lead(event_id) OVER w AS target, epoch_ms(lead(occurred_at) OVER w) - epoch_ms(occurred_at) AS gap_ms
+    greatest(coalesce(max(elapsed_ms), date_diff('millisecond', min(occurred_at), max(occurred_at))), 0) AS elapsed_ms FROM e WHERE trace_id IS NOT NULL GROUP BY 1""",
+    "sequence_edges": f"""WITH {EVENTS} SELECT * FROM (SELECT run_id, event_id AS source, lead(event_id) OVER w AS target, date_diff('millisecond', occurred_at, lead(occurred_at) OVER w) AS gap_ms
   FROM e WHERE run_id IS NOT NULL WINDOW w AS ({_ISLAND_ORDER})) WHERE target IS NOT NULL""",
     "collapse_groups": f"""WITH {EVENTS}, n AS (SELECT *, row_number() OVER ({_ISLAND_ORDER}) AS pos FROM e WHERE run_id IS NOT NULL AND event_type = 'tool_finished'),
   i AS (SELECT *, pos - row_number() OVER ({_ISLAND_ORDER}) AS island FROM n WHERE status = 'ok')
@@ -278,5 +278,5 @@ SQL = {
     "catalog_left_join": f"""WITH {EVENTS} SELECT coalesce(k.family, 'unlisted') AS family, coalesce(m.provider, 'none') AS provider, count(*) AS n, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS tokens
   FROM e LEFT JOIN event_type_catalog k USING (event_type) LEFT JOIN model_catalog m ON m.model = e.model GROUP BY 1, 2""",
     "parent_child_runs": f"""WITH {EVENTS}, s AS (SELECT event_id, run_id, parent_run_id, occurred_at FROM e WHERE event_type = 'run_started')
-  SELECT c.run_id, p.run_id AS parent_run_id, epoch_ms(c.occurred_at) - epoch_ms(p.occurred_at) AS lag_ms FROM s c JOIN s p ON c.parent_run_id = p.run_id""",
+  SELECT c.run_id, p.run_id AS parent_run_id, date_diff('millisecond', p.occurred_at, c.occurred_at) AS lag_ms FROM s c JOIN s p ON c.parent_run_id = p.run_id""",
 }

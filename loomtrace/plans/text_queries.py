@@ -250,7 +250,7 @@ SQL = {
     "asof_recovery": f"""WITH {EVENTS}, r AS (SELECT run_id AS id, min(session_key) AS session_key, min(occurred_at) AS t, min(status) AS status, min(source_type) AS family FROM e WHERE event_type = 'run_finished' AND run_id IS NOT NULL GROUP BY 1),
   l AS (SELECT g.id, g.t, g.family, b.id AS bad, b.t AS bt, b.family AS bf, row_number() OVER (PARTITION BY g.id ORDER BY b.t DESC, b.id DESC) AS nr FROM r g JOIN r b ON b.session_key = g.session_key AND b.t <= g.t AND b.t >= g.t - INTERVAL 120 MINUTE
     WHERE g.status = 'succeeded' AND b.status IN ('failed', 'interrupted', 'exhausted'))
-  SELECT id AS run_id, bad AS failed_run_id, epoch_ms(t) - epoch_ms(bt) AS lag_ms FROM l WHERE nr = 1 AND family IS NOT DISTINCT FROM bf""",
+  SELECT id AS run_id, bad AS failed_run_id, date_diff('millisecond', bt, t) AS lag_ms FROM l WHERE nr = 1 AND family IS NOT DISTINCT FROM bf""",
     "interval_spawn": f"""WITH {EVENTS}, g AS (SELECT *, lead(occurred_at) OVER (PARTITION BY run_id ORDER BY occurred_at, segment_sequence, event_id) AS to_at FROM e WHERE run_id IS NOT NULL),
   i AS (SELECT c.run_id, c.parent_run_id, g.event_id FROM e c JOIN g ON g.run_id = c.parent_run_id AND c.occurred_at > g.occurred_at AND (g.to_at IS NULL OR c.occurred_at < g.to_at)
     WHERE c.event_type = 'run_started' AND g.event_type = 'tool_finished' AND g.tool_name = 'spawn')
@@ -269,3 +269,28 @@ SQL = {
     "session_debounce": f"""WITH {EVENTS}, o AS (SELECT session_key, occurred_at AS t, CASE WHEN occurred_at - lag(occurred_at) OVER w < INTERVAL 45 MINUTE THEN 0 ELSE 1 END AS new FROM e WHERE session_key IS NOT NULL WINDOW w AS (PARTITION BY session_key ORDER BY occurred_at)),
   i AS (SELECT *, sum(new) OVER (PARTITION BY session_key ORDER BY t ROWS UNBOUNDED PRECEDING) AS nr FROM o) SELECT session_key, min(t) AS first_at, max(t) + INTERVAL 45 MINUTE AS due_at, count(*) AS n FROM i GROUP BY session_key, nr""",
 }
+
+_CHUNK_END = "CASE WHEN length(rest) <= 2000 THEN length(rest) " + " ".join(
+    f"WHEN instr(reverse(substr(rest, 1, 2000)), {c}) BETWEEN 1 AND 1999 THEN 2000 - instr(reverse(substr(rest, 1, 2000)), {c})" for c in ("chr(10)", "' '")
+) + " ELSE 2000 END"
+_DECODED = "t"
+for _entity, _char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&#x27;", "chr(39)"), ("&nbsp;", "' '"), ("&amp;", "'&'")):
+    _DECODED = f"replace({_DECODED}, '{_entity}', {_char})"
+SQL |= {
+    "html_strip": rf"""WITH h AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '<[^>]+>', '', 'g') AS t
+    FROM documents WHERE text LIKE '%<html>%'),
+  q AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_DECODED}, '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM h)
+  SELECT doc_id, sha256(t) AS digest, length(t) AS n_chars FROM q""",
+    "chunk_text": f"""WITH RECURSIVE c AS (SELECT doc_id, 0 AS pos, text AS rest FROM documents WHERE text IS NOT NULL AND text <> ''
+    UNION ALL SELECT doc_id, pos + 1, regexp_replace(substr(rest, {_CHUNK_END} + 1), '^[\\s]+', '') FROM c WHERE length(rest) > 2000)
+  SELECT doc_id, pos, {_CHUNK_END} AS n_chars FROM c WHERE rest <> ''""",
+    "goal_masks": r"""SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(title, ''), '[\w./-]+\.[A-Za-z0-9]{1,8}\b', '<file>', 'g'), '\d{4}-\d{2}-\d{2}|\d{4,}', '<id>', 'g'), '\s+', ' ', 'g'))) AS goal,
+  CASE WHEN source IS NULL THEN NULL ELSE greatest(len(string_split(source, '/')) - 1, 1) END AS n_near FROM documents""",
+    "failure_families": f"""WITH {EVENTS.replace("process_instance_id, segment_id", "stop_reason, process_instance_id, segment_id")},
+  f AS (SELECT lower(concat_ws(' ', event_type, status)) AS t, lower(trim(stop_reason)) AS s FROM e WHERE status IN ('error', 'timeout', 'blocked', 'failed'))
+  SELECT CASE {' '.join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{n}'" for n, words in X.FAILURES)}
+    WHEN s = 'tool_error' THEN 'tool_exception' WHEN s = 'error' THEN 'agent_exception' ELSE 'unknown_failure' END AS family, count(*) AS n FROM f GROUP BY 1""",
+    "answer_scores": r"""WITH a AS (SELECT doc_id, lower(trim(coalesce(text, ''))) AS x, lower(trim(coalesce(title, ''))) AS y FROM documents),
+  w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(y, '\s+'), lambda z: z <> '')) AS yw, list_distinct(list_filter(regexp_split_to_array(x, '\s+'), lambda z: z <> '')) AS xw FROM a)
+  SELECT doc_id, CAST(CASE WHEN y = '' THEN 0.0 WHEN x = y THEN 1.0 WHEN contains(x, y) THEN 0.8 WHEN len(list_intersect(yw, xw)) / CAST(len(yw) AS DOUBLE) >= 0.5 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score FROM w""",
+}
