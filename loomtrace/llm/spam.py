@@ -215,7 +215,7 @@ def features(text: str | None) -> dict[str, float]:
             sentences[-1].append(i)
         elif k == END and sentences[-1]:
             sentences.append([])
-    sentences = [x for x in sentences if any(kinds[j] == SENTENCE for j in x)]
+    sentences = [x for x in sentences if x]
     for x, stuffed in zip(sentences, _stuffed([[words[j] for j in x] for x in sentences], function)):
         if stuffed:
             for j in x:
