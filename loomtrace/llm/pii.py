@@ -56,7 +56,7 @@ NOT_SURNAMES = frozenset(
     "October November December The This That These Those There Then They And Or But If In On At To For From With When Where What Which Who Why How "
     "You We It Its Is Are Was Please Set Read Each Here Nobody Yesterday Compare Der Die Das Den Dem Ein Eine Einen Wenn Warum Wir Ich Er Sie Es Und "
     "Oder Aber Zur Zum Im Am Auf Niemand Gestern Lies Le La Les Un Une Des Du Et Ou Mais Si Pour Pourquoi Nous Vous Il Elle Hier Personne El Los Las "
-    "Una Y O Pero Por Para Hemos Ayer Nadie Antes Se Hello Hi Dear Thanks Hallo Danke Bonjour Merci Hola Gracias Yes No Ok Draft Ask Move Since".split()
+    "Una Y O Pero Por Para Hemos Ayer Nadie Antes Se Hello Hi Dear Thanks Hallo Danke Bonjour Merci Hola Gracias Yes No Ok Draft Ask Move Since Fill Write Ship Pickup Call Send Can Could Did Done Reach Missed Bounce Build Route Window".split()
 )
 
 Span = tuple[int, int, str]
