@@ -52,15 +52,14 @@ def strip_html(text: Column) -> Column:
     return F.regexp_replace(bare, r"^\s+|\s+$", "")
 
 
-def _bare(fragment: str) -> str:
-    fragment = re.sub(r"(?is)<(script|style)\b.*?</\1>", "", fragment)
-    return html.unescape(re.sub(r"<[^>]+>", "", fragment)).strip()
+def _untagged(fragment: str) -> str:
+    return re.sub(r"<[^>]+>", "", re.sub(r"(?is)<(script|style)\b.*?</\1>", "", fragment)).strip()
 
 
 _MARKDOWN = (
-    (re.compile(r"(?is)<a\s[^>]*?href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"), lambda m: f"[{_bare(m[2])}]({m[1]})"),
-    (re.compile(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1>"), lambda m: "\n" + "#" * int(m[1]) + f" {_bare(m[2])}\n"),
-    (re.compile(r"(?is)<li\b[^>]*>(.*?)</li>"), lambda m: f"\n- {_bare(m[1])}"),
+    (re.compile(r"(?is)<a\s[^>]*?href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"), lambda m: f"[{_untagged(m[2])}]({m[1]})"),
+    (re.compile(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1>"), lambda m: "\n" + "#" * int(m[1]) + f" {_untagged(m[2])}\n"),
+    (re.compile(r"(?is)<li\b[^>]*>(.*?)</li>"), lambda m: f"\n- {_untagged(m[1])}"),
     (re.compile(r"(?i)</(?:p|div|section|article)>"), "\n\n"),
     (re.compile(r"(?i)<(?:br|hr)\s*/?>"), "\n"),
 )
@@ -72,7 +71,8 @@ def markdown(page: str | None) -> str | None:
         return None
     for pattern, new in _MARKDOWN:
         page = pattern.sub(new, page)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", _bare(page))).strip()
+    # Entities last: a decoded bracket is text, not a tag.
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", html.unescape(_untagged(page)))).strip()
 
 
 @F.pandas_udf(T.StringType())

@@ -41,10 +41,10 @@ def tumbling_counts(stream: DataFrame, width: str = "1 hour", late: str = "6 hou
     return timed.groupBy(F.window("occurred_at", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("from_at"), "event_type", "n")
 
 
-def first_terminal(stream: DataFrame, expires_ms: int = 86_400_000) -> DataFrame:
+def first_terminal(stream: DataFrame, late: str = "1 day", expires_ms: int = 86_400_000) -> DataFrame:
     """``task_id, status, at`` once per task: its first terminal state; later results of the task are ignored.
 
-    State is one flag a task and ends ``expires_ms`` after the task was last heard of.
+    State is one flag a task; it ends when the watermark is ``expires_ms`` beyond the last row of the task.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -58,9 +58,10 @@ def first_terminal(stream: DataFrame, expires_ms: int = 86_400_000) -> DataFrame
             yield pd.DataFrame({"task_id": [key[0]], "status": [ended["status"].iloc[0]], "at": [ended["at"].iloc[0]]})
             done = True
         state.update((bool(done),))
-        state.setTimeoutDuration(expires_ms)
+        heard = int(rows["at"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(heard, state.getCurrentWatermarkMs()) + expires_ms)
 
-    return stream.groupBy("task_id").applyInPandasWithState(step, "task_id string, status string, at timestamp", "done boolean", "append", "ProcessingTimeTimeout")
+    return stream.withWatermark("at", late).groupBy("task_id").applyInPandasWithState(step, "task_id string, status string, at timestamp", "done boolean", "append", "EventTimeTimeout")
 
 
 def first_terminal_batch(rows: DataFrame) -> DataFrame:
