@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.session import cut
+
 LEAST_TOKENS = 4
 
 
@@ -69,3 +71,57 @@ def newest_by_key(rows: DataFrame, keys: list[str], order: list[str], k: int = 1
     """The last ``k`` rows of each key by ``order`` (upsert with k = 1: the latest version wins)."""
     nr = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
     return rows.withColumn("_nr", nr).filter(F.col("_nr") <= k).drop("_nr")
+
+
+def legal_start(messages: DataFrame, key: str, seq: str) -> DataFrame:
+    """Per session the first ``seq`` from which every tool result has its call: ``key, legal_from`` (null: from the start).
+
+    messages: the rows of :func:`within_budget` (the budget bounds a session's rows) with ``call_ids`` (array, what an
+    assistant message calls) and ``result_id`` (what a tool message answers). A result whose call isn't declared since the
+    last such result cuts off everything up to itself. Found as a fixpoint: a result is cut if a cut lies after its call.
+    """
+    calls = messages.select(key, F.col(seq).alias("called"), F.explode("call_ids").alias("call_id"))
+    results = messages.filter("result_id is not null").select(key, F.col(seq).alias("at"), F.col("result_id").alias("call_id"))
+    latest = results.join(calls, [key, "call_id"], "left").groupBy(key, "at").agg(F.max(F.when(F.col("called") < F.col("at"), F.col("called"))).alias("called"))
+    earlier = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    last, n = -1, 0
+    while n != last:
+        cut_before = F.max(F.when(F.col("called").isNull(), F.col("at"))).over(earlier)
+        judged = latest.withColumn("_cut", cut_before).withColumn("called", F.when(F.col("called") > F.coalesce("_cut", F.lit(-1)), F.col("called")))
+        latest = cut(judged.drop("_cut"))
+        last, n = n, latest.filter("called is null").count() + 1
+    cuts = latest.filter("called is null").groupBy(key).agg(F.max("at").alias("_cut"))
+    return messages.select(key).distinct().join(cuts, key, "left").select(key, (F.col("_cut") + 1).alias("legal_from"))
+
+
+def compact_results(messages: DataFrame, key: str, order: list[str], tokens: Column, budget: int, stub_tokens: int = 8) -> DataFrame:
+    """Tool results replaced by stubs, oldest first, until the session's tokens are within ``budget``: adds ``compacted``.
+
+    The greedy choice is a prefix of the tool results, so it is a running sum of what each replacement saves.
+    """
+    total = messages.groupBy(key).agg(F.sum(tokens).alias("_total"))
+    saving = F.when(F.col("role") == "tool", F.greatest(tokens - stub_tokens, F.lit(0))).otherwise(F.lit(0))
+    before = F.coalesce(F.sum(saving).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return messages.join(total, key).withColumn("compacted", (saving > 0) & (F.col("_total") - before > budget)).drop("_total")
+
+
+def merge_tool_events(rows: DataFrame, keys: list[str], rank: Column, order: str, fields: list[str]) -> DataFrame:
+    """One row per tool call from its progress events: of each field the value of the highest phase, then the latest, that has one."""
+    best = [F.max(F.when(F.col(f).isNotNull(), F.struct(rank.alias("r"), F.col(order).alias("o"), F.col(f).alias("x"))))["x"].alias(f) for f in fields]
+    return rows.groupBy(*keys).agg(*best)
+
+
+def reconcile(cached: DataFrame, present: DataFrame, key: str, signature: list[str]) -> DataFrame:
+    """A cached index against what is there (full outer): ``key, action`` of ``reuse``, ``read``, ``drop``."""
+    a, b = cached.select(key, F.struct(*signature).alias("old")), present.select(key, F.struct(*signature).alias("new"))
+    action = F.when(F.col("new").isNull(), "drop").when(F.col("old").eqNullSafe(F.col("new")), "reuse").otherwise("read")
+    return a.join(b, key, "full_outer").select(key, action.alias("action"))
+
+
+def last_turns(turn_rows: DataFrame, key: str, turn: str, least: int) -> DataFrame:
+    """The newest whole turns that together have at least ``least`` messages (``key, turn, n``), or all of a shorter session."""
+    sizes = turn_rows.groupBy(key, turn).agg(F.count("*").alias("n"))
+    newest = Window.partitionBy(key).orderBy(F.desc(turn))
+    few = sizes.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= least)
+    after = F.coalesce(F.sum("n").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return few.withColumn("_after", after).filter(F.col("_after") < least).drop("_r", "_after")

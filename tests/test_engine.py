@@ -325,3 +325,52 @@ def test_first_terminal(spark, tmp_path):
     got = {(r.task_id, r.status) for r in run_stream(streaming.first_terminal(streaming.event_stream(spark, str(tmp_path / "in"), schema, 1)), "tasks")}
     assert got == {("a", "failed"), ("b", "cancelled")}
     assert {(r.task_id, r.status) for r in streaming.first_terminal_batch(spark.read.schema(schema).json(str(tmp_path / "in"))).collect()} == got
+
+
+def test_legal_start(spark):
+    import random
+
+    rng, rows, want = random.Random(6), [], {}
+    for s in range(12):
+        declared, start = set(), None
+        for i in range(14):
+            if rng.random() < 0.5:
+                ids = [f"c{rng.randrange(4)}"]
+                rows.append((f"s{s}", i, ids, None))
+                declared |= set(ids)
+            else:
+                r = f"c{rng.randrange(4)}"
+                rows.append((f"s{s}", i, [], r))
+                if r not in declared:
+                    start, declared = i + 1, set()
+        want[f"s{s}"] = start
+    df = spark.createDataFrame(rows, "k string, seq int, call_ids array<string>, result_id string")
+    assert {r.k: r.legal_from for r in H.legal_start(df, "k", "seq").collect()} == want
+
+
+def test_compaction_and_merges(spark):
+    m = spark.createDataFrame([("s", i, role, t) for i, (role, t) in enumerate([("user", 10), ("tool", 50), ("tool", 60), ("assistant", 5), ("tool", 70)])], "k string, seq int, role string, tokens int")
+    got = H.compact_results(m, "k", ["seq"], F.col("tokens"), 130).orderBy("seq").collect()
+    assert [r.compacted for r in got] == [False, True, True, False, False]
+    e = spark.createDataFrame([("t", 1, 1, "a", None), ("t", 2, 0, "b", "x"), ("t", 3, 1, None, "y")], "k string, at int, phase int, name string, note string")
+    assert [tuple(r) for r in H.merge_tool_events(e, ["k"], F.col("phase"), "at", ["name", "note"]).collect()] == [("t", "a", "y")]
+    old, new = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "f string, size int"), spark.createDataFrame([("a", 1), ("b", 2), ("d", 1)], "f string, size int")
+    assert {r.f: r.action for r in H.reconcile(old, new, "f", ["size"]).collect()} == {"a": "reuse", "b": "read", "c": "drop", "d": "read"}
+    t = spark.createDataFrame([("s", turn) for turn, n in ((1, 3), (2, 2), (3, 1)) for _ in range(n)], "k string, turn int")
+    assert sorted(r.turn for r in H.last_turns(t, "k", "turn", 2).collect()) == [2, 3]
+
+
+def test_edits(spark):
+    from loomtrace.functions import edits as E
+
+    assert E.line_changes("a\nb\nc", "a\nx\nc\nd") == (2, 1) and E.line_changes(None, "a") == (1, 0)
+    assert "-b" in E.unified_diff("a\nb", "a\nc") and E.unified_diff("a", "a") == ""
+    assert E.best_window("x\nhello world\ny", "hello wrld") == (pytest.approx(0.952, abs=0.01), 2)
+    assert E.find_spans("  a b\n", "a b") == [(2, 5)] and E.find_spans(" say “x”\n", 'say "x"') == [(0, 9)] and E.find_spans("a", "b") == []
+    assert E.canonical_json('{"b": 1, "a": [1.0, "é"]}') == '{"a":[1.0,"é"],"b":1}' and E.canonical_json("{") is None
+    at = dt.datetime(2026, 1, 1, 10, 30)
+    assert E.next_cron("*/15 * * * *", at) == dt.datetime(2026, 1, 1, 10, 45)
+    assert E.next_cron("0 9 * * 1-5", at) == dt.datetime(2026, 1, 2, 9, 0) and E.next_cron("0 0 29 2 *", at) == dt.datetime(2028, 2, 29)
+    rows = spark.createDataFrame([('{"a":1}', '{ "a": 1}', "5 4 * * *", at), (None, "x", "bad", None)], "a string, b string, c string, t timestamp")
+    got = rows.select(E.json_digest("a").alias("a"), E.json_digest("b").alias("b"), E.next_run("c", "t").alias("n"), E.diff_stats("a", "b").alias("d")).collect()
+    assert got[0].a == got[0].b and got[0].a.startswith("sha256:") and got[0].n == dt.datetime(2026, 1, 2, 4, 5) and got[1].b is None and got[1].n is None and got[1].d.added == 1
