@@ -374,3 +374,45 @@ def test_edits(spark):
     rows = spark.createDataFrame([('{"a":1}', '{ "a": 1}', "5 4 * * *", at), (None, "x", "bad", None)], "a string, b string, c string, t timestamp")
     got = rows.select(E.json_digest("a").alias("a"), E.json_digest("b").alias("b"), E.next_run("c", "t").alias("n"), E.diff_stats("a", "b").alias("d")).collect()
     assert got[0].a == got[0].b and got[0].a.startswith("sha256:") and got[0].n == dt.datetime(2026, 1, 2, 4, 5) and got[1].b is None and got[1].n is None and got[1].d.added == 1
+
+
+def test_memory(spark):
+    from loomtrace.operators import memory as M
+
+    assert M.budgets(None) == (2000, 3000) and M.budgets(1000) == (128, 128) and M.budgets(40_000) == (2000, 2400)
+    cols = "id int, title string, summary string, updated timestamp"
+    wiki = spark.createDataFrame([(1, "Lease", "stale", T0), (2, "Lease", None, T0), (3, "x", "y", T0)], cols)
+    memory = spark.createDataFrame([(1, "stale", "note", T0, 0.4, 1.0)], cols + ", effective_score double, authority double")
+    got = [(r.identifier, r.score) for r in M.retrieve({"wiki": wiki, "memory": memory, "trace": wiki.filter("id = 1")}, "stale lease", "2026-01-01 00:00:00").collect()]
+    assert got == [("wiki:1", 1.4), ("trace:1", 1.3), ("wiki:2", 0.9), ("memory:1", 0.65)]
+    assert M.retrieve({"wiki": wiki}, "stale", "2026-01-01 00:00:00", before_match=1).count() == 1
+    gone = spark.createDataFrame([("wiki_page", "1"), ("wiki_page", "1"), ("event", "3")], "object_type string, object_id string")
+    assert sorted(r.id for r in M.not_deleted(wiki, gone, "wiki_page", "id").collect()) == [2, 3]
+    cases = spark.createDataFrame([(1, "h1", "s1"), (2, "h1", "s2"), (3, "h3", "s2"), (4, None, "s1"), (5, None, None)], "id int, h string, s string")
+    assert {(r.id, r.duplicate_of) for r in M.duplicates_of(cases, "h", "s", "id").collect()} == {(2, 1), (3, 2), (4, 1)}
+    issues = spark.createDataFrame([(1, ["e2", "e1"]), (2, []), (3, None)], "issue int, episode_ids array<string>")
+    episodes = spark.createDataFrame([("e1", "a"), ("e2", "b")], "episode_id string, text string")
+    assert {r.issue: r.text for r in M.with_sample(issues, episodes).collect()} == {1: "b", 2: None, 3: None}
+    e = lambda *rows: spark.createDataFrame(rows, "a string, b string, w int")
+    assert {tuple(r) for r in M.upsert_edges(e(("x", "y", 1), ("x", "z", 1)), e(("x", "y", 2), ("n", "n", 3)), e(("x", "z", 0), ("n", "n", 0)), ["a", "b"]).collect()} == {("x", "y", 2)}
+    q = spark.createDataFrame([(1, "pending", at(0), None), (2, "pending", at(99), None), (3, "leased", at(0), at(5)), (4, "leased", at(0), at(50)), (5, "done", at(0), None)], "id int, status string, due_at timestamp, lease_until timestamp")
+    assert [r.id for r in M.due(q, "2026-01-01 00:10:00").collect()] == [1, 3]
+    a = spark.createDataFrame([("p", 1, "draft"), ("p", 2, "open"), ("p", 3, "draft")], "k string, n int, status string")
+    assert [tuple(r) for r in M.illegal_transitions(a, "k", ["n"], {"draft": ("open",)}).collect()] == [("p", "open", "draft")]
+    t = spark.createDataFrame([("g", at(0)), ("g", at(23 * 60)), ("h", at(2000))], "k string, t timestamp")
+    assert {r.k: r.used for r in M.quota_used([t, t], "k", "t", "2026-01-01", "Asia/Shanghai").collect()} == {"g": 2}
+    packs = spark.createDataFrame([("s", '{"version": 3}'), ("s", '{"version": "x"}'), ("t", "{}")], "k string, doc string")
+    assert {r.k: r.next_version for r in M.next_version(packs, "k", "doc").collect()} == {"s": 4, "t": 1}
+    ab = spark.createDataFrame([("e", "baseline", 0.9, 100, 10.0, False), ("e", "candidate", 0.88, 110, 11.0, False), ("f", "baseline", 0.9, 100, 10.0, False), ("f", "candidate", 0.95, 130, 10.0, False)], "k string, arm string, score double, tokens int, ms double, violation boolean")
+    assert {r.k: r.passed for r in M.ab_gate(ab, "k").collect()} == {"e": True, "f": False}
+    row = M.reasons(spark.createDataFrame([(5, None)], "a int, b int"), {"b high": F.col("b") > 1, "a high": F.col("a") > 1, "a odd": F.col("a") % 2 == 1}).first()
+    assert (row.reasons, row.reason) == (["a high", "a odd"], "a high")
+    assert [r.action for r in M.retention_plan(t, "t", "2026-02-15 00:00:00", 30, 44).orderBy("t").collect()] == ["drop_trace", "drop_trace", "drop_payload"]
+    import hashlib
+
+    p = spark.createDataFrame([("p", "text", "sha256:" + hashlib.sha256(b"text").hexdigest()), ("q", "text", "sha256:0")], "payload_id string, c string, d string")
+    assert tuple(M.load_payload(p, "p", "c", "d", 2).first()) == ("p", True, "te", True) and M.load_payload(p, "q", "c", "d", 9).first().text is None
+    s = spark.createDataFrame([("a/", at(1), False), (" a", at(2), None), ("b", at(3), True), ("/", at(0), False)], "project string, updated timestamp, archived boolean")
+    assert [(r.project, r.n) for r in M.sessions_by_project(s).collect()] == [("a", 2), ("/", 1)]
+    tr = spark.createDataFrame([("x", 1, "tool_call"), ("x", 2, "tool_result"), ("y", 1, "tool_call"), ("y", 2, "text"), ("z", 1, "text")], "k string, seq int, event string")
+    assert {r.k: r.pending for r in M.pending_calls(tr, "k", "seq").collect()} == {"x": False, "y": True, "z": False}
