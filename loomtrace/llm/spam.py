@@ -57,15 +57,24 @@ LINE_WORDS, LINE_COUNT = 4, 4
 LEAST_CHARS = 100
 CASE_SHARE = 0.5
 
-_CUT = re.compile(
-    r"(```.*?(?:```|\Z)"  # fenced code
-    r"|`[^`\n]*`"  # code in a line
-    r"|\[/?url\b[^\]\n]*\]|(?:https?://|www\.)[^\s<>\])\"']+|\b[\w-]+(?:\.[\w-]+)+/[^\s<>\])\"']*"  # links
-    r"|</?\w[^<>]{0,300}>"  # tags
-    r"|[.!?]+(?=[\s<\"”»]|$)|[。！？]|\n+"  # ends of sentences
-    r"|[;|,~•·<>()\[\]{}:/\\»«=*#\"“”—–，；：、?!]+| [-+] )",  # separators
-    re.S,
-)
+_LINK = r"\[/?url\b[^\]\n]*\]|(?:https?://|www\.)[^\s<>\])\"']+"
+#: Links without a scheme: only looked for in texts with a slash, since every word is a possible start.
+_BARE_LINK = r"|(?<![\w.-])[\w-]{1,63}\.[\w.-]+/[^\s<>\])\"']*"
+
+
+def _pattern(links: str) -> re.Pattern[str]:
+    return re.compile(
+        r"(```.*?(?:```|\Z)"  # fenced code
+        r"|`[^`\n]*`"  # code in a line
+        rf"|{links}"
+        r"|</?\w[^<>]{0,300}>"  # tags
+        r"|[.!?]+(?=[\s<\"”»]|$)|[。！？]|\n+"  # ends of sentences
+        r"|[;|,~•·<>()\[\]{}:/\\»«=*#\"“”—–，；：、?!]+| [-+] )",  # separators
+        re.S,
+    )
+
+
+_CUT, _CUT_PROSE = _pattern(_LINK + _BARE_LINK), _pattern(_LINK)
 _DISGUISED = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
 #: Letters without a Latin look-alike: where these are common, the text is in that script and disguises nothing.
 _CYRILLIC = re.compile("[бгджзийлптфцчшщъыьэюя]")
@@ -95,6 +104,29 @@ def _kind(piece: str) -> int:
     return LINK if len(piece) > 4 and (c.isalnum() or c == "_") else BREAK
 
 
+#: Separators met so far with their kind: at most the strings of three characters that the pattern can match and texts hold.
+_separators: dict[str, tuple[int, int]] = {}
+
+
+def _separator(piece: str) -> tuple[int, int]:
+    """Kind and visible size of what stands between phrases; short ones are kept."""
+    found = (_kind(piece), len(piece.strip()))
+    if len(piece) < 4:
+        _separators[piece] = found
+    return found
+
+
+def _phrase_kind(text: str, ws: list[str], function: frozenset[str]) -> int:
+    if not ws:
+        return BLANK
+    if not text.isascii():
+        if "ぁ" <= max(text) <= "鿿":
+            return SENTENCE if GRAMMAR.search(text) else PHRASE
+        if _OTHER_SCRIPT.search(text) and not _LATIN.search(text):
+            return SENTENCE  # no list of function words for this script: taken as ordinary
+    return (PHRASE if function.isdisjoint(ws) else SENTENCE) if text.islower() else BLANK
+
+
 def _grams(words: list[str] | str, function: frozenset[str]) -> list[tuple[int, object]]:
     """(position, n-gram): pairs of content words, or four characters of a script without blanks."""
     if isinstance(words, str):
@@ -127,8 +159,6 @@ def _stuffed(sentences: list[list[list[str] | str]], function: frozenset[str]) -
     return out
 
 
-#: Separators met so far with their kind: at most the strings of three characters that the pattern can match and texts hold.
-_separators: dict[str, tuple[int, int]] = {}
 _NO_WORDS: list[str] = []
 SHARES = ("n_chars", "list_share", "link_share", "stuffed_share", "duplicate_share", "spam_share")
 
@@ -143,41 +173,21 @@ def features(text: str | None) -> dict[str, float]:
     disguised = not text.isascii() and _DISGUISED.search(text) and len(_CYRILLIC.findall(text)) * 50 < len(text)
     plain = text.translate(_PLAIN) if disguised else text
     plain = plain.lower().replace("'", " ").replace("’", " ")
-    pieces = _CUT.split(plain)
-    words_of = [piece.split() for piece in pieces[::2]]
-    function = function_words(set().union(*words_of))
-    apart, known = function.isdisjoint, _separators
-
-    kinds: list[int] = []
-    sizes: list[int] = []
-    words: list[list[str] | str] = []
-    for k, ws in enumerate(words_of):
-        if ws:
-            piece = pieces[2 * k]
-            size = len(piece) - piece.count(" ")
-            if piece.isascii():
-                kind = (PHRASE if apart(ws) else SENTENCE) if piece.islower() else BLANK
-            elif "ぁ" <= max(piece) <= "鿿":
-                kind, ws = SENTENCE if GRAMMAR.search(piece) else PHRASE, _NOT_WORD.sub("", piece)
-            elif _OTHER_SCRIPT.search(piece) and not _LATIN.search(piece):
-                kind = SENTENCE  # no list of function words for this script: taken as ordinary
-            else:
-                kind = (PHRASE if apart(ws) else SENTENCE) if piece.islower() else BLANK
-            kinds.append(kind)
-            sizes.append(size)
-            words.append(ws)
-        if 2 * k + 1 < len(pieces):
-            piece = pieces[2 * k + 1]
-            if len(piece) < 4:
-                found = known.get(piece)
-                if found is None:
-                    found = known[piece] = (_kind(piece), len(piece.strip()))
-                kind, size = found
-            else:
-                kind, size = _kind(piece), len(piece.strip())
-            kinds.append(kind)
-            sizes.append(size)
-            words.append(_NO_WORDS)
+    pieces = (_CUT if "/" in plain else _CUT_PROSE).split(plain)
+    texts = pieces[::2]
+    own_words: list[list[str] | str] = [t.split() for t in texts]
+    function = function_words(set().union(*own_words))
+    if plain.isascii():
+        apart = function.isdisjoint
+        own_kinds = [(PHRASE if apart(ws) else SENTENCE) if ws and t.islower() else BLANK for t, ws in zip(texts, own_words)]
+    else:
+        own_kinds = [_phrase_kind(t, ws, function) for t, ws in zip(texts, own_words)]
+        own_words = [_NOT_WORD.sub("", t) if "ぁ" <= max(t, default="") <= "鿿" else ws for t, ws in zip(texts, own_words)]
+    between = [_separators.get(p) or _separator(p) for p in pieces[1::2]]
+    kinds, sizes, words = [BLANK] * len(pieces), [0] * len(pieces), [_NO_WORDS] * len(pieces)
+    kinds[::2], kinds[1::2] = own_kinds, [k for k, _ in between]
+    sizes[::2], sizes[1::2] = [len(t) - t.count(" ") for t in texts], [n for _, n in between]
+    words[::2] = own_words
     total = sum(sizes)
     if not total:
         return dict.fromkeys(SHARES, 0.0)
@@ -198,24 +208,37 @@ def features(text: str | None) -> dict[str, float]:
     # Lists: many phrases or undescribed links with no sentence between; a long phrase counts as several.
     marks = list(kinds)
     run: list[int] = []
-    for i in [*range(len(kinds)), None]:
-        k = kinds[i] if i is not None else SENTENCE
-        if k == PHRASE or (k == LINK and i not in described):
+    sentences: list[list[int]] = []
+    sentence: list[int] = []
+
+    def close() -> None:
+        if sum(1 + len(words[j]) // (ITEM_CHARS if isinstance(words[j], str) else ITEM_WORDS) for j in run) < LIST_ITEMS:
+            for j in run:
+                marks[j] = BLANK
+        run.clear()
+
+    for i, k in enumerate(kinds):
+        if k == SENTENCE:
+            sentence.append(i)
+            if run:
+                close()
+        elif k == PHRASE:
+            sentence.append(i)
             run.append(i)
-        elif k in (SENTENCE, CODE, LINK):
-            if sum(1 + len(words[j]) // (ITEM_CHARS if isinstance(words[j], str) else ITEM_WORDS) for j in run) < LIST_ITEMS:
-                for j in run:
-                    marks[j] = BLANK
-            run = []
+        elif k == END:
+            if sentence:
+                sentences.append(sentence)
+                sentence = []
+        elif k == LINK and i not in described:
+            run.append(i)
+        elif k == LINK or k == CODE:
+            if run:
+                close()
+    close()
+    if sentence:
+        sentences.append(sentence)
 
     # Stuffed sentences: repeated n-grams cover much of the sentence.
-    sentences: list[list[int]] = [[]]
-    for i, k in enumerate(kinds):
-        if k in (SENTENCE, PHRASE):
-            sentences[-1].append(i)
-        elif k == END and sentences[-1]:
-            sentences.append([])
-    sentences = [x for x in sentences if x]
     for x, stuffed in zip(sentences, _stuffed([[words[j] for j in x] for x in sentences], function)):
         if stuffed:
             for j in x:
@@ -234,6 +257,8 @@ def features(text: str | None) -> dict[str, float]:
     share = [0] * 8
     last = BLANK
     for i, k in enumerate(marks):
+        if not sizes[i]:
+            continue
         if k == LINK and i in described:
             k = SENTENCE
         elif k == END or k == BREAK:
