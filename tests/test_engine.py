@@ -416,3 +416,35 @@ def test_memory(spark):
     assert [(r.project, r.n) for r in M.sessions_by_project(s).collect()] == [("a", 2), ("/", 1)]
     tr = spark.createDataFrame([("x", 1, "tool_call"), ("x", 2, "tool_result"), ("y", 1, "tool_call"), ("y", 2, "text"), ("z", 1, "text")], "k string, seq int, event string")
     assert {r.k: r.pending for r in M.pending_calls(tr, "k", "seq").collect()} == {"x": False, "y": True, "z": False}
+
+
+def test_classify(spark):
+    from loomtrace.operators import classify as C
+
+    assert column(spark, ["FAILED", "denied", "timeout", "Done", None, "x"], C.outcome) == ["failure", "blocked", "partial", "success", "unknown", "unknown"]
+    assert column(spark, ["grep", "web_fetch", "edit_file", "exec", "new_tool", None], C.risk) == ["R0", "R1", "R2", "R3", "R3", "R3"]
+    assert column(spark, ["grep", None], lambda c: C.risk(c, F.lit(True))) == ["R4", "R4"]
+    assert column(spark, ["grep", "odd", None], C.operation) == ["text_search", "unknown", "unknown"]
+    rows = spark.createDataFrame([("ok", None, ["grep"], 1), ("ok", "Secret", ["grep"], 1), ("ok", "", [], 2), ("ok", "", ["exec"], 1), ("failed", "", ["grep"], 1), ("ok", "", None, 0)], "r string, s string, t array<string>, n int")
+    assert [r[0] for r in rows.select(C.low_risk(F.col("r"), F.col("s"), F.col("t"), F.col("n"))).collect()] == [True, False, False, False, False, True]
+    assert column(spark, ["fix  it: password=abc in /etc/app/conf via rm -rf /tmp/x now", None], C.sanitize) == ["fix it: [CREDENTIAL] in [PATH] via [COMMAND] now", ""]
+    runs = spark.createDataFrame([("m", None, None, at(0)), ("r", None, "m", at(1)), ("a", "m", None, at(2)), ("b", "m", "a", at(3)), ("c", "m", None, at(3))], "run_id string, parent_run_id string, resumed_from_run_id string, occurred_at timestamp")
+    assert {(r.run_id, r.kind, r.side) for r in C.run_lanes(runs).collect()} == {("m", "main", "center"), ("r", "continuation", "center"), ("a", "child_agent", "left"), ("b", "child_agent", "right"), ("c", "child_agent", "left")}
+    turns = spark.createDataFrame([("s", "x"), ("s", "y"), ("s", ""), ("s", None)], "k string, sig string")
+    there = spark.createDataFrame([("s", "x", "t1"), ("s", "y", "t2"), ("s", "y", "t3"), ("s", "", "t4")], "k string, sig string, turn_id string")
+    assert {r.sig: r.session_turn_id for r in C.unique_matches(turns, there, "k", "sig").collect()} == {"x": "t1", "y": None, "": None, None: None}
+    tasks = spark.createDataFrame([("o", "running", 3), ("o", "failed", 7), ("p", "running", 9)], "owner string, status string, revision int")
+    assert tuple(C.snapshot(tasks, "o").first()) == (2, 1, 7) and tuple(C.snapshot(tasks, "none").first()) == (0, 0, 0)
+    s = spark.createDataFrame([("a", True, None, at(9)), ("b", None, True, at(1)), ("c", None, None, at(2)), ("d", None, None, None)], "session_key string, archived boolean, pinned boolean, updated timestamp")
+    assert [r.session_key for r in C.sort_sessions(s).collect()] == ["b", "c", "d", "a"]
+    f = lambda *rows: spark.createDataFrame(rows, "path string, digest string")
+    assert {tuple(r) for r in C.file_changes(f(("a", "1"), ("b", "1"), ("c", "1")), f(("a", "1"), ("b", "2"), ("d", "1"))).collect()} == {("b", "modified"), ("c", "deleted"), ("d", "created")}
+    assert C.page_range(None, 5) == (0, 4) and C.page_range("2-9", 5) == (1, 4) and C.page_range("3", 5) == (2, 2)
+    for bad in ("0", "4-2", "9", "a", "1-2-3"):
+        with pytest.raises(ValueError):
+            C.page_range(bad, 5)
+    assert C.bound_cursor(C.bind_cursor("abc.d", 4), 4) == "abc.d"
+    with pytest.raises(ValueError):
+        C.bound_cursor(C.bind_cursor("abc", 4), 5)
+    assert "to_markdown" in C.register_functions(spark)
+    assert spark.sql("select to_markdown('<h1>a</h1>') as m").first().m == "# a"
