@@ -7,6 +7,7 @@ import base64
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.operators.neighbours import with_neighbours
 from loomtrace.operators.stats import zero
 
 # Integrity from best to worst, and the order in which a display status is decided.
@@ -206,10 +207,10 @@ def trace_summary(events: DataFrame) -> DataFrame:
 
 
 def sequence_edges(events: DataFrame) -> DataFrame:
-    """Within each run the step from every event to the next one: ``run_id, source, target, gap_ms``."""
-    nxt = Window.partitionBy("run_id").orderBy("occurred_at", "segment_sequence", "event_id")
-    edges = events.filter("run_id is not null").select("run_id", F.col("event_id").alias("source"), F.lead("event_id").over(nxt).alias("target"), (F.unix_millis(F.lead("occurred_at").over(nxt)) - F.unix_millis("occurred_at")).alias("gap_ms"))
-    return edges.filter("target is not null")
+    """Within each run the step from every event to the next one: ``run_id, source, target, gap_ms``. No task orders a whole run."""
+    rows = events.filter("run_id is not null").select("run_id", "event_id", "occurred_at", "segment_sequence")
+    near = with_neighbours(rows, ["run_id"], ["occurred_at", "segment_sequence", "event_id"], ["event_id", "occurred_at"]).filter("has_next")
+    return near.select("run_id", F.col("event_id").alias("source"), F.col("next_event_id").alias("target"), (F.unix_millis("next_occurred_at") - F.unix_millis("occurred_at")).alias("gap_ms"))
 
 
 def collapse_groups(events: DataFrame, least: int = 3) -> DataFrame:

@@ -448,3 +448,30 @@ def test_classify(spark):
         C.bound_cursor(C.bind_cursor("abc", 4), 5)
     assert "to_markdown" in C.register_functions(spark)
     assert spark.sql("select to_markdown('<h1>a</h1>') as m").first().m == "# a"
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_neighbours(spark, partitions):
+    import random
+
+    from loomtrace.operators.neighbours import with_neighbours
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", "c", None]), i, rng.choice([None, f"v{i}"]), [i]) for i in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i int, v string, extra array<int>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = {r.i: (r.has_prev, r.prev_v, r.prev_i, r.has_next, r.next_v, r.next_i) for r in with_neighbours(df, ["k"], ["i"], ["v", "i"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want, groups = {}, {}
+    for k, i, v, _ in sorted(rows, key=lambda r: r[1]):
+        groups.setdefault(k, []).append((i, v))
+    for g in groups.values():
+        for n, (i, _) in enumerate(g):
+            p, q = g[n - 1] if n else None, g[n + 1] if n + 1 < len(g) else None
+            want[i] = (p is not None, p[1] if p else None, p[0] if p else None, q is not None, q[1] if q else None, q[0] if q else None)
+    assert got == want
+    assert with_neighbours(df.limit(0), ["k"], ["i"], ["v"]).count() == 0
