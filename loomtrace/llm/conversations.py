@@ -12,17 +12,13 @@ rows leave the loop when they reach their root, and only sessions still open are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomtrace.functions.ids import canonical
+from loomtrace.operators.neighbours import with_neighbours
 from loomtrace.operators.skew import hot_keys, salted_join
 from loomtrace.session import written
 
@@ -78,59 +74,13 @@ def place(messages: DataFrame, events: DataFrame) -> DataFrame:
 def link(placed: DataFrame) -> DataFrame:
     """Adds ``parent`` (the message before it in its session, or null), ``same_turn`` (it is in the same turn),
     ``turn_leaf`` and ``session_leaf`` (no later message of the turn or session)."""
-    names = ("session_key", "turn_id", "payload_id")
-    fields = [*placed.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("edge", T.IntegerType())]
-    fields += [T.StructField(f"{side}_{n}", T.StringType()) for side in ("prev", "next") for n in names]
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, before = TaskContext.get().partitionId(), None, None
-        first = True
-
-        def out(batch: pa.RecordBatch, after: list | None) -> pa.RecordBatch:
-            nonlocal first
-            n = batch.num_rows
-            edge = [(1 if first and i == 0 else 0) + (2 if after is None and i == n - 1 else 0) for i in range(n)] if first or after is None else [0] * n
-            columns = [pa.array([part] * n, pa.int32()), pa.array(edge, pa.int32())]
-            for k, name in enumerate(names):
-                columns.append(pa.concat_arrays([pa.array([before[k] if before else None], pa.string()), batch.column(name).slice(0, n - 1).cast(pa.string())]))
-            for k, name in enumerate(names):
-                columns.append(pa.concat_arrays([batch.column(name).slice(1).cast(pa.string()), pa.array([after[k] if after else None], pa.string())]))
-            first = False
-            return pa.RecordBatch.from_arrays([*batch.columns, *columns], [f.name for f in fields])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                yield out(held, [batch.column(n)[0].as_py() for n in names])
-                before = [held.column(n)[held.num_rows - 1].as_py() for n in names]
-            held = batch
-        if held is not None:
-            yield out(held, None)
-
-    spread = placed.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
-    near = written(spread.mapInArrow(neighbours, T.StructType(fields)))
-    # The first and last rows of the parts meet their neighbours here: two rows a part, however many rows a part has.
-    edges = near.filter("edge > 0").select("part", "edge", *names).collect()
-    firsts, lasts = sorted((r.part, r) for r in edges if r.edge & 1), sorted((r.part, r) for r in edges if r.edge & 2)
-    rows = [(f.part, *[l[n] for n in names], None, None, None) for (_, l), (_, f) in zip(lasts, firsts[1:])]
-    rows += [(l.part, None, None, None, *[f[n] for n in names]) for (_, l), (_, f) in zip(lasts, firsts[1:])]
-    merged: dict[int, list] = {}
-    for part, *values in rows:
-        merged[part] = [a if a is not None else b for a, b in zip(merged.get(part, [None] * 6), values)]
-    seam_fields = ["part int", *[f"{s}_{n} string" for s in ("before", "after") for n in names]]
-    seams = near.sparkSession.createDataFrame([(p, *v) for p, v in merged.items()], ", ".join(seam_fields))
-    joined = near.join(F.broadcast(seams), "part", "left")  # at most one row a part
-    prev = {n: F.when(F.col("edge").bitwiseAND(1) > 0, F.col(f"before_{n}")).otherwise(F.col(f"prev_{n}")) for n in names}
-    nxt = {n: F.when(F.col("edge").bitwiseAND(2) > 0, F.col(f"after_{n}")).otherwise(F.col(f"next_{n}")) for n in names}
-    in_session = prev["session_key"].eqNullSafe(F.col("session_key"))
-    goes_on = nxt["session_key"].eqNullSafe(F.col("session_key"))
-    return joined.select(
+    near = with_neighbours(placed, ORDER[:1], ORDER[1:], ["turn_id", "payload_id"])
+    return near.select(
         *placed.columns,
-        F.when(in_session, prev["payload_id"]).alias("parent"),
-        (in_session & prev["turn_id"].eqNullSafe(F.col("turn_id"))).alias("same_turn"),
-        (~(goes_on & nxt["turn_id"].eqNullSafe(F.col("turn_id")))).alias("turn_leaf"),
-        (~goes_on).alias("session_leaf"),
+        F.col("prev_payload_id").alias("parent"),
+        (F.col("has_prev") & F.col("prev_turn_id").eqNullSafe(F.col("turn_id"))).alias("same_turn"),
+        (~(F.col("has_next") & F.col("next_turn_id").eqNullSafe(F.col("turn_id")))).alias("turn_leaf"),
+        (~F.col("has_next")).alias("session_leaf"),
     )
 
 
