@@ -475,3 +475,21 @@ def test_neighbours(spark, partitions):
             want[i] = (p is not None, p[1] if p else None, p[0] if p else None, q is not None, q[1] if q else None, q[0] if q else None)
     assert got == want
     assert with_neighbours(df.limit(0), ["k"], ["i"], ["v"]).count() == 0
+
+
+def test_transcripts(spark):
+    from loomtrace.operators import transcripts as P
+
+    cols = ("event", "message_id", "role", "text", "tool_call_id", "phase", "name", "status")
+    made = [
+        ("delta", "m1", "assistant", "he", None, None, None, None), ("tool", None, None, None, "t1", "start", "grep", None), ("delta", "m1", "assistant", "llo", None, None, None, None),
+        ("tool", None, None, "2 hits", "t1", "end", None, "ok"), ("tool", None, None, "1 hit", "t1", "progress", "grep", "running"), ("turn_end", None, None, None, None, None, None, None),
+        ("message", "m1", "user", "next", None, None, None, None), ("delta", "m2", "assistant", None, None, None, None, None), ("message", "m2", "assistant", "all", None, None, None, None), ("ping", "m9", "x", "y", None, None, None, None),
+    ]
+    rows = spark.createDataFrame([("s", i, *m) for i, m in enumerate(made)], "session_key string, seq int, " + ", ".join(f"{c} string" for c in cols))
+    got = [(r.turn_no, r.kind, r.key, r.text, r.name, r.status) for r in P.in_turn_order(P.fold(rows)).collect()]
+    assert got == [(0, "text", "m1", "hello", None, None), (0, "tool", "t1", "2 hits", "grep", "ok"), (1, "text", "m1", "next", None, None), (1, "text", "m2", "all", None, None)]
+    assert P.fold(rows.limit(0)).count() == 0
+    e = [("a", "r", "slack", None, "webui_stream_already_delivered"), ("a", "r", "slack", None, "other"), ("b", "r", "websocket", None, None), ("b", None, None, None, None), ("c", "r", "slack", "k", None), ("d", "r", None, "websocket:x", None)]
+    events = spark.createDataFrame([("delivery_finished", "suppressed", *x) for x in e], "event_type string, status string, trace_id string, run_id string, source_type string, session_key string, suppression_reason string")
+    assert {r.trace_id: r.n for r in P.unexpected_suppressions(events).collect()} == {"a": 1, "b": 1, "c": 1}
