@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.operators.neighbours import with_neighbours
 from loomtrace.operators.stats import zero
 
 
@@ -44,13 +45,19 @@ def recoveries(runs: DataFrame, minutes: int = 120) -> DataFrame:
 def spawned_between(events: DataFrame) -> DataFrame:
     """Child runs that started strictly after a finished ``spawn`` call of their parent run and before the parent's next
     event, if exactly one call fits: ``run_id, parent_run_id, spawn_event_id``."""
-    order = Window.partitionBy("run_id").orderBy("occurred_at", "segment_sequence", "event_id")
-    gaps = events.filter("run_id is not null").select("run_id", "event_id", "event_type", "tool_name", F.col("occurred_at").alias("from_at"), F.lead("occurred_at").over(order).alias("to_at"))
+    rows = events.filter("run_id is not null").select("run_id", "event_id", "event_type", "tool_name", "occurred_at", "segment_sequence")
+    near = with_neighbours(rows, ["run_id"], ["occurred_at", "segment_sequence", "event_id"], ["occurred_at"])
+    gaps = near.withColumnRenamed("occurred_at", "from_at").withColumnRenamed("next_occurred_at", "to_at")
     spawn = gaps.filter("event_type = 'tool_finished' and tool_name = 'spawn'").select(F.col("run_id").alias("parent_run_id"), F.col("event_id").alias("spawn_event_id"), "from_at", "to_at")
     child = events.filter("event_type = 'run_started' and parent_run_id is not null").select("run_id", "parent_run_id", "occurred_at")
-    inside = child.join(spawn, "parent_run_id").filter((F.col("occurred_at") > F.col("from_at")) & (F.col("to_at").isNull() | (F.col("occurred_at") < F.col("to_at"))))
-    unique = inside.groupBy("run_id", "parent_run_id").agg(F.count("*").alias("n"), F.min("spawn_event_id").alias("spawn_event_id"))
-    return unique.filter("n = 1").drop("n")
+    # The gaps of a run lie apart, so a child fits the last spawn before it or none: no child meets every call of its parent.
+    nothing = F.lit(None)
+    a = spawn.select("parent_run_id", F.col("from_at").alias("t"), F.lit(1).alias("kind"), nothing.cast("string").alias("run_id"), F.struct("spawn_event_id", "to_at").alias("spawn"))
+    b = child.select("parent_run_id", F.col("occurred_at").alias("t"), F.lit(0).alias("kind"), "run_id", nothing.cast(a.schema["spawn"].dataType).alias("spawn"))
+    order = Window.partitionBy("parent_run_id").orderBy("t", "kind", F.asc_nulls_last("spawn.to_at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    matched = a.unionByName(b).withColumn("s", F.last("spawn", ignorenulls=True).over(order)).filter("kind = 0 and s is not null")
+    inside = matched.filter(F.col("s.to_at").isNull() | (F.col("t") < F.col("s.to_at")))
+    return inside.groupBy("run_id", "parent_run_id").agg(F.count("*").alias("n"), F.min("s.spawn_event_id").alias("spawn_event_id")).filter("n = 1").drop("n")
 
 
 def repeated_groups(rows: DataFrame, keys: list[str], least: int, least_sessions: int = 1) -> DataFrame:

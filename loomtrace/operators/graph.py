@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.operators.neighbours import with_neighbours
 from loomtrace.operators.stats import zero
 
 # Event types by the kind of node they make.
@@ -84,8 +85,8 @@ def edges(events: DataFrame) -> DataFrame:
     caused = events.filter("caused_by_event_id is not null").select(F.lit("caused_by").alias("edge_type"), F.col("caused_by_event_id").alias("source"), F.col("event_id").alias("target"))
     node_id = F.concat_ws(":", "node_type", "node_key")
     nodes = run_nodes(events)
-    in_run = Window.partitionBy("run_id").orderBy("first_at", "node_type", "node_key")
-    follows = nodes.select(F.lit("sequence").alias("edge_type"), node_id.alias("source"), F.lead(node_id).over(in_run).alias("target")).filter("target is not null")
+    near = with_neighbours(nodes.select("run_id", "first_at", "node_type", "node_key", node_id.alias("node")), ["run_id"], ["first_at", "node_type", "node_key"], ["node"])
+    follows = near.filter("has_next").select(F.lit("sequence").alias("edge_type"), F.col("node").alias("source"), F.col("next_node").alias("target"))
     attempts = events.filter("event_type = 'model_attempt_started' and model_call_id is not null and attempt_id is not null").groupBy("model_call_id", "attempt_id").agg(F.min("occurred_at").alias("at"))
     in_call = Window.partitionBy("model_call_id").orderBy("at", "attempt_id")
     retries = attempts.select(F.lit("retry").alias("edge_type"), F.col("attempt_id").alias("source"), F.lead("attempt_id").over(in_call).alias("target")).filter("target is not null")
