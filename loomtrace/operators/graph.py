@@ -112,3 +112,22 @@ def orphan_marks(events: DataFrame, dead_processes: DataFrame, suspected_after:
         closed = events.filter(F.col("event_type").isin(end, "model_request_failed") & F.col(key).isNotNull()).select(F.col(key).alias("identity")).distinct()
         out.append(opened.join(closed, "identity", "left_anti").join(owner, "process_instance_id").select(F.lit(span).alias("span"), "identity", "mark"))
     return reduce(DataFrame.unionByName, out)
+
+
+#: Array columns that name earlier tool calls, with the edges they make.
+TOOL_RELATIONS = {"retry_of_tool_call_ids": "tool_retry", "continuation_of_tool_call_ids": "tool_continuation", "recovery_of_tool_call_ids": "tool_recovery"}
+
+
+def tool_relations(events: DataFrame) -> DataFrame:
+    """``edge_type, source, target``: tool calls joined to the earlier calls of their run that their arrays name.
+
+    A source counts if its call ended abnormally before the target; of several named by one relation the latest counts.
+    Null and empty arrays make no edge.
+    """
+    named = F.array(*[F.struct(F.lit(edge).alias("edge_type"), F.col(c).alias("ids")) for c, edge in TOOL_RELATIONS.items()])
+    target = events.filter("tool_call_id is not null and run_id is not null").select("run_id", "occurred_at", F.col("tool_call_id").alias("target"), F.inline(named))
+    target = target.select("run_id", "occurred_at", "target", "edge_type", F.explode("ids").alias("source")).filter("source is not null and source <> target").distinct()
+    ended = events.filter((F.col("event_type") == "tool_finished") & F.col("status").isin(*ABNORMAL)).groupBy("run_id", F.col("tool_call_id").alias("source")).agg(F.max(F.struct("occurred_at", "event_id")).alias("end"))
+    both = target.join(ended, ["run_id", "source"]).filter(F.col("end.occurred_at") <= F.col("occurred_at"))
+    latest = F.max(F.struct("end", "source"))["source"].alias("source")
+    return both.groupBy("run_id", "edge_type", "target").agg(latest).select("edge_type", "source", "target")

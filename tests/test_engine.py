@@ -493,3 +493,34 @@ def test_transcripts(spark):
     e = [("a", "r", "slack", None, "webui_stream_already_delivered"), ("a", "r", "slack", None, "other"), ("b", "r", "websocket", None, None), ("b", None, None, None, None), ("c", "r", "slack", "k", None), ("d", "r", None, "websocket:x", None)]
     events = spark.createDataFrame([("delivery_finished", "suppressed", *x) for x in e], "event_type string, status string, trace_id string, run_id string, source_type string, session_key string, suppression_reason string")
     assert {r.trace_id: r.n for r in P.unexpected_suppressions(events).collect()} == {"a": 1, "b": 1, "c": 1}
+
+
+def test_tool_relations(spark):
+    rows = [
+        ("e1", "tool_finished", "r", "t1", "error", at(1), None, None, None), ("e2", "tool_finished", "r", "t2", "timeout", at(2), None, None, None), ("e3", "tool_finished", "r", "ok", "ok", at(2), None, None, None),
+        ("e4", "tool_started", "r", "t3", None, at(3), ["t1", "t2", "ok", None], [], None), ("e5", "tool_started", "q", "t4", None, at(3), ["t1"], None, None), ("e6", "tool_started", "r", "t5", None, at(0), ["t1"], ["t5"], ["t2"]),
+    ]
+    events = spark.createDataFrame(rows, "event_id string, event_type string, run_id string, tool_call_id string, status string, occurred_at timestamp, " + ", ".join(f"{c} array<string>" for c in G.TOOL_RELATIONS))
+    assert [tuple(r) for r in G.tool_relations(events).collect()] == [("tool_retry", "t2", "t3")]
+
+
+def test_monitor(spark, tmp_path):
+    import time
+
+    from loomtrace.streaming.monitor import Progress
+
+    seen = Progress().watch(spark)
+    try:
+        write_lines(tmp_path / "in/1.jsonl", [{"event_id": "e", "occurred_at": T0.isoformat()}])
+        schema = spark.createDataFrame([], "event_id string, occurred_at timestamp").schema
+        q = streaming.ingest(streaming.event_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "t"), str(tmp_path / "c"))
+        assert q.awaitTermination(60)
+        for _ in range(50):
+            if str(q.id) in seen.updated and str(q.id) in seen.errors:
+                break
+            time.sleep(0.2)
+        now = seen.updated[str(q.id)]
+        assert seen.state(str(q.id), now) == "ready" and seen.state(str(q.id), now + dt.timedelta(hours=1)) == "stale" and seen.state("none", now) == "unavailable"
+        assert seen.rows[str(q.id)] == 1
+    finally:
+        spark.streams.removeListener(seen)
