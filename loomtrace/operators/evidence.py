@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.operators.neighbours import with_neighbours
 from loomtrace.operators.stats import zero
+from loomtrace.session import written
 
 
 def latest_before(late: DataFrame, early: DataFrame, key: str, at: str, minutes: int) -> DataFrame:
@@ -34,7 +35,7 @@ def recoveries(runs: DataFrame, minutes: int = 120) -> DataFrame:
     runs: ``id, session_key, at, status, family``. The latest failure alone is judged: if its family differs, an older one
     that would fit is not taken.
     """
-    keyed = runs.filter("session_key is not null")
+    keyed = written(runs.filter("session_key is not null"))  # read four times below
     good, bad = keyed.filter("status = 'succeeded'"), keyed.filter("status in ('failed', 'interrupted', 'exhausted')")
     linked = latest_before(good, bad, "session_key", "at", minutes).filter("early_id is not null")
     family = bad.select(F.col("id").alias("early_id"), F.col("family").alias("bad_family"))
