@@ -49,9 +49,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_tables: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables that :func:`written` made in this process; call it when their results are no longer needed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_tables)
+    while _tables:
+        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def written(df: DataFrame, *sort: str) -> DataFrame:
-    """Like :func:`cut`, as a Parquet table in the shared folder: smaller on disk and read by column."""
+    """Like :func:`cut`, as a Parquet table in the shared folder: smaller on disk and read by column.
+
+    The table stays until :func:`drop_written` or until the folder is cleared, since later plans read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)

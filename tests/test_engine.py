@@ -524,3 +524,14 @@ def test_monitor(spark, tmp_path):
         assert seen.rows[str(q.id)] == 1
     finally:
         spark.streams.removeListener(seen)
+
+
+def test_drop_written(spark):
+    from loomtrace import session
+
+    kept = session.written(spark.range(5))
+    assert kept.count() == 5
+    path = session._tables[-1]
+    assert session.drop_written(spark) >= 1 and session._tables == []
+    with pytest.raises(Exception, match="(?i)not.*exist|path"):
+        spark.read.parquet(path).count()
