@@ -36,7 +36,16 @@ FAILURES = (
     ("rate_limited", ("rate_limit", "rate limit", "429")),
     ("policy_blocked", ("policy_blocked", "policyerror", "blocked")),
 )
+# The tags of thinking blocks and what of them is removed, in order.
 THINK = "(?:think|thinking|thought)"
+THINK_PATTERNS = (
+    rf"(?s)<(?<tag>{THINK})>.*?</\k<tag>>",
+    rf"(?s)^\s*<{THINK}>.*$",
+    rf"<{THINK}(?![A-Za-z0-9_\-:>/])",
+    rf"^\s*</{THINK}>\s*",
+    rf"\s*</{THINK}>\s*$",
+    r"^\s*<\|?channel\|?>\s*",
+)
 
 
 def squeeze(text: Column) -> Column:
@@ -56,6 +65,7 @@ def _untagged(fragment: str) -> str:
     return re.sub(r"<[^>]+>", "", re.sub(r"(?is)<(script|style)\b.*?</\1>", "", fragment)).strip()
 
 
+# The elements that become Markdown.
 _MARKDOWN = (
     (re.compile(r"(?is)<a\s[^>]*?href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"), lambda m: f"[{_untagged(m[2])}]({m[1]})"),
     (re.compile(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1>"), lambda m: "\n" + "#" * int(m[1]) + f" {_untagged(m[2])}\n"),
@@ -105,7 +115,7 @@ def redact_map(values: Column) -> Column:
 
 def strip_think(text: Column) -> Column:
     """Text without thinking blocks: closed ones anywhere, an open one from the start, broken tags, orphan ends at the edges."""
-    for pattern in (rf"(?s)<(?<tag>{THINK})>.*?</\k<tag>>", rf"(?s)^\s*<{THINK}>.*$", rf"<{THINK}(?![A-Za-z0-9_\-:>/])", rf"^\s*</{THINK}>\s*", rf"\s*</{THINK}>\s*$", r"^\s*<\|?channel\|?>\s*"):
+    for pattern in THINK_PATTERNS:
         text = F.regexp_replace(text, pattern, "")
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
