@@ -1,8 +1,8 @@
 """Keyword-stuffed pages, link lists and lists of tags or products: pages that are such text for more than half.
 
 Method: a text is cut into phrases at separators. Thresholds on missing function words (per language), on separator-bound lists,
-on links without describing text, on the share of the top n-gram in a sentence and on duplicate lines tell for every
-phrase whether it is ordinary; the page is told by the characters of the others. Code, tables of options, logs and
+on links without describing text, on the share of the top word and n-grams in a sentence and in the page, on separator
+density and on duplicate lines tell for every phrase whether it is ordinary; the page is told by the characters of the others. Code, tables of options, logs and
 described links are ordinary by these rules, not by exceptions for pages.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,10 +42,20 @@ GRAMMAR = re.compile(r"在(?!线)|如果|因为|为什么|为了|[的了是我
 # Look-alike letters and characters that are not seen.
 _PLAIN = {ord(a): b for a, b in zip("аеорсухіјѕԁһԛԝ", "aeopcyxijsdhqw")} | dict.fromkeys(map(ord, "​‌‍⁠﻿­"), None)
 
+# Further words that carry no content, for shares of single words.
+LINKING = frozenset("de del des les par para pour sans avec après comme como cada und oder von vom zum zur für per than into any all each".split())
+
 #: Items in a row that make a list.
 LIST_ITEMS = 8
 #: Share of a sentence's words that n-grams must cover which it repeats, or which a stuffed sentence beside it repeats.
 TOP_SHARE = 0.35
+#: A page's top word and top n-gram (two or three content words) must stand so often, and reach the language's share of all words.
+TOP_COUNT = 4
+#: Above the largest share on an ordinary test page of the language ("" is any other).
+TOP_WORD = {"en": 0.12, "fr": 0.13, "de": 0.11, "es": 0.12, "zh": 0.12, "": 0.12}
+TOP_GRAM = {"en": 0.15, "fr": 0.13, "de": 0.12, "es": 0.11, "zh": 0.16, "": 0.15}
+#: Share of separators among separators and words from which on phrases are list items in runs of any length; set likewise.
+DENSITY = {"en": 0.3, "fr": 0.32, "de": 0.35, "es": 0.3, "zh": 0.34, "": 0.35}
 #: Words without a function word that count as one item of a list, for lists without separators.
 ITEM_WORDS = 6
 #: The same for scripts without blanks, in characters.
@@ -80,6 +91,7 @@ _DISGUISED = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
 _CYRILLIC = re.compile("[бгджзийлптфцчшщъыьэюя]")
 _LATIN = re.compile(r"[a-z]")
 _OTHER_SCRIPT = re.compile(r"[\u0370-\u2fff\uac00-\ud7ff]")
+_DIGITS = re.compile(r"[0-9]+")
 _NOT_WORD = re.compile(r"\W+")
 
 CODE, LINK, END, BREAK, SENTENCE, PHRASE, BLANK, STUFFED = range(8)
@@ -134,6 +146,57 @@ def _grams(words: list[str] | str, function: frozenset[str]) -> list[tuple[int,
     return [(i, pair) for i, pair in enumerate(zip(words, words[1:])) if pair[0] not in function and pair[1] not in function]
 
 
+def _is_content(word: str, function: frozenset[str]) -> bool:
+    return len(word) > 2 and word not in function and word not in LINKING and word.isalpha()
+
+
+def _characters(phrase: str, size: int) -> list[str]:
+    """n-grams of a script without blanks that hold no grammar."""
+    return [part[i : i + size] for part in GRAMMAR.split(phrase) for i in range(len(part) - size + 1)]
+
+
+def _top_word(phrases: list[list[str] | str], size: int, function: frozenset[str]) -> set[object]:
+    """The word (of a script without blanks, pair of characters) that a sentence repeats most, if it alone covers much of it."""
+    counts = Counter(chain.from_iterable([w for w in phrases if isinstance(w, list)]))
+    out: set[object] = set()
+    if counts and max(counts.values()) >= TOP_SHARE * size:
+        out = {(w,) for w, n in counts.items() if n > 1 and n >= TOP_SHARE * size and _is_content(w, function)}
+    pairs = Counter(g for w in phrases if isinstance(w, str) for g in _characters(w, 2))
+    return out | {g for g, n in pairs.items() if n > 1 and 2 * n >= TOP_SHARE * size}
+
+
+def _page_tops(phrases: list[list[str] | str], function: frozenset[str], language: str) -> tuple[float, float, set[object]]:
+    """Shares of all words that the page's top word and its top n-gram cover, and the words and n-grams over the thresholds."""
+    lists, strings = [w for w in phrases if isinstance(w, list)], [w for w in phrases if isinstance(w, str)]
+    # Two characters of a script without blanks count as a word.
+    total = max(sum(map(len, lists)) + sum(map(len, strings)) / 2, 1)
+    words = Counter(chain.from_iterable(lists))
+    counts: dict[object, int] = {(w,): n for w, n in words.items() if n > 1 and _is_content(w, function)}
+    if not counts and any(_is_content(w, function) for w in words):
+        counts = {("",): 1}  # none stands twice
+    if strings:
+        counts |= Counter(g for w in strings for g in _characters(w, 2))
+    most, gram = max(counts.values(), default=0), 0.0
+    tops = {g for g, n in counts.items() if n >= TOP_COUNT and n >= TOP_WORD[language] * total}
+    for size in (2, 3):
+        # No n-gram stands more often than its words.
+        if most < TOP_COUNT or size * most < TOP_GRAM[language] * total:
+            continue
+        runs = Counter(chain.from_iterable([zip(*(w[i:] for i in range(size))) for w in lists]))
+        grams: dict[object, int] = {g: n for g, n in runs.items() if n > 1 and function.isdisjoint(g) and LINKING.isdisjoint(g)}
+        if strings:
+            grams |= Counter(g for w in strings for g in _characters(w, 2 * size))
+        gram = max(gram, size * max(grams.values(), default=0) / total)
+        tops |= {g for g, n in grams.items() if n >= TOP_COUNT and n * size >= TOP_GRAM[language] * total}
+    return min(most / total, 1.0), min(gram, 1.0), tops
+
+
+def _holds(words: list[str] | str, tops: set[object]) -> bool:
+    if isinstance(words, str):
+        return any(isinstance(g, str) and g in words for g in tops)
+    return any(isinstance(g, tuple) and any(tuple(words[i : i + len(g)]) == g for i in range(len(words) - len(g) + 1)) for g in tops)
+
+
 def _covered(places: list[tuple[int, int, object]], grams: set[object], size: int) -> bool:
     covered = {(k, i + d) for k, i, g in places if g in grams for d in range(len(g))}
     return len(covered) >= TOP_SHARE * size
@@ -143,6 +206,7 @@ def _stuffed(sentences: list[list[list[str] | str]], function: frozenset[str]) -
     """For each sentence (its phrases) whether n-grams that it or a stuffed neighbour repeats cover much of it."""
     places: list[list[tuple[int, int, object]]] = []
     own: list[set[object]] = []
+    single = False
     sizes = [sum(map(len, phrases)) for phrases in sentences]
     # Repeated n-grams that cover so much leave a sentence few different words: most sentences need no closer look.
     close = [len(set().union(*phrases)) <= (1 - TOP_SHARE / 2) * size for phrases, size in zip(sentences, sizes)]
@@ -150,8 +214,15 @@ def _stuffed(sentences: list[list[list[str] | str]], function: frozenset[str]) -
     for phrases, size, look in zip(sentences, sizes, beside):
         found = [(k, i, g) for k, words in enumerate(phrases) for i, g in _grams(words, function)] if look else []
         twice = {g for g, n in Counter(g for _, _, g in found).items() if n > 1} if len(found) > 1 else set()
+        twice = twice if twice and _covered(found, twice, size) else set()
+        top = _top_word(phrases, size, function) if look else set()
         places.append(found)
-        own.append(twice if twice and _covered(found, twice, size) else set())
+        own.append(twice | top)
+        single |= bool(top)
+    if single:
+        for phrases, found, look in zip(sentences, places, beside):
+            for k, words in enumerate(phrases if look else ()):
+                found += [(k, i, words[i : i + 2]) for i in range(len(words) - 1)] if isinstance(words, str) else [(k, i, (w,)) for i, w in enumerate(words)]
     out = []
     for i, (found, size) in enumerate(zip(places, sizes)):
         near = own[i] or (own[i - 1] if i else set()) | (own[i + 1] if i + 1 < len(own) else set())
@@ -160,13 +231,14 @@ def _stuffed(sentences: list[list[list[str] | str]], function: frozenset[str]) -
 
 
 _NO_WORDS: list[str] = []
-SHARES = ("n_chars", "list_share", "link_share", "stuffed_share", "duplicate_share", "spam_share")
+SHARES = ("n_chars", "list_share", "link_share", "stuffed_share", "duplicate_share", "spam_share", "top_word_share", "top_gram_share", "separator_density")
 
 
 def features(text: str | None) -> dict[str, float]:
-    """``n_chars`` (visible characters), ``list_share``, ``link_share``, ``stuffed_share``, ``duplicate_share``, ``spam_share``.
+    """The features :data:`SHARES`: ``n_chars`` are visible characters.
 
-    Shares are of the visible characters; markup counts with what stands before it. Null, empty and blank texts: all 0.
+    Shares are of the visible characters, those of the page's top word and n-gram of all words; ``separator_density`` is
+    separators by separators and words; markup counts with what stands before it. Null, empty and blank texts: all 0.
     """
     if not text or text.isspace():
         return dict.fromkeys(SHARES, 0.0)
@@ -177,11 +249,13 @@ def features(text: str | None) -> dict[str, float]:
     texts = pieces[::2]
     own_words: list[list[str] | str] = [t.split() for t in texts]
     function = function_words(set().union(*own_words))
+    language = next((k for k, own in FUNCTION_WORDS.items() if own is function), "")
     if plain.isascii():
         apart = function.isdisjoint
         own_kinds = [(PHRASE if apart(ws) else SENTENCE) if ws and t.islower() else BLANK for t, ws in zip(texts, own_words)]
     else:
         own_kinds = [_phrase_kind(t, ws, function) for t, ws in zip(texts, own_words)]
+        language = language or ("zh" if GRAMMAR.search(plain) else "")
         own_words = [_NOT_WORD.sub("", t) if "ぁ" <= max(t, default="") <= "鿿" else ws for t, ws in zip(texts, own_words)]
     between = [_separators.get(p) or _separator(p) for p in pieces[1::2]]
     kinds, sizes, words = [BLANK] * len(pieces), [0] * len(pieces), [_NO_WORDS] * len(pieces)
@@ -205,14 +279,21 @@ def features(text: str | None) -> dict[str, float]:
             if upto[b] > upto[a + 1]:
                 described.add(here)
 
+    n_words = sum(map(len, own_words)) - sum([len(w) / 2 for w in own_words if isinstance(w, str)] if not plain.isascii() else ())
+    n_breaks = [k for k, _ in between].count(BREAK)
+    density = n_breaks / max(n_breaks + n_words, 1)
+    dense = density >= DENSITY[language]
+
     # Lists: many phrases or undescribed links with no sentence between; a long phrase counts as several.
     marks = list(kinds)
     run: list[int] = []
     sentences: list[list[int]] = []
     sentence: list[int] = []
+    beside: list[bool] = []  # for each sentence whether code or a described link stands in it
+    described_here = False
 
     def close() -> None:
-        if sum(1 + len(words[j]) // (ITEM_CHARS if isinstance(words[j], str) else ITEM_WORDS) for j in run) < LIST_ITEMS:
+        if not dense and sum(1 + len(words[j]) // (ITEM_CHARS if isinstance(words[j], str) else ITEM_WORDS) for j in run) < LIST_ITEMS:
             for j in run:
                 marks[j] = BLANK
         run.clear()
@@ -228,19 +309,28 @@ def features(text: str | None) -> dict[str, float]:
         elif k == END:
             if sentence:
                 sentences.append(sentence)
+                beside.append(described_here)
                 sentence = []
+            described_here = False
         elif k == LINK and i not in described:
             run.append(i)
         elif k == LINK or k == CODE:
+            described_here = True
             if run:
                 close()
     close()
     if sentence:
         sentences.append(sentence)
-
-    # Stuffed sentences: repeated n-grams cover much of the sentence.
-    for x, stuffed in zip(sentences, _stuffed([[words[j] for j in x] for x in sentences], function)):
-        if stuffed:
+        beside.append(described_here)
+
+    # Stuffed sentences: repeated words or n-grams cover much of the sentence, or it holds one that covers much of the page.
+    phrases = [[words[j] for j in x] for x in sentences]
+    # Sentences that differ in digits at most count once for the page: what one template repeats is no search phrase.
+    bare = _DIGITS.sub("", "\0".join(texts)).split("\0") if "\0" not in plain else texts
+    distinct = {tuple([bare[j // 2] for j in x]): own for x, own, apart in zip(sentences, phrases, beside) if not apart}
+    top_word, top_gram, tops = _page_tops([w for x in distinct.values() for w in x], function, language)
+    for x, own, apart, stuffed in zip(sentences, phrases, beside, _stuffed(phrases, function)):
+        if stuffed or tops and not apart and any(_holds(w, tops) for w in own):
             for j in x:
                 marks[j] = STUFFED
 
@@ -267,7 +357,7 @@ def features(text: str | None) -> dict[str, float]:
         last = k
     listed, linked, stuffed, twice = share[PHRASE] / total, share[LINK] / total, share[STUFFED] / total, duplicate / total
     # Duplicate lines may be lists or stuffed too: the larger of both counts.
-    return dict(zip(SHARES, (float(total), listed, linked, stuffed, twice, max(listed + linked + stuffed, twice))))
+    return dict(zip(SHARES, (float(total), listed, linked, stuffed, twice, max(listed + linked + stuffed, twice), top_word, top_gram, density)))
 
 
 def is_spam(f: dict[str, float]) -> bool:

@@ -64,3 +64,22 @@ def test_rows(spark):
     got = sorted(((r.doc_id, r.is_spam) for r in spam.page_features(docs).collect()), key=str)
     assert got == sorted([(1, True), (1, True), (2, False), (3, False), (None, False)], key=str)
     assert spam.page_features(docs.limit(0)).count() == 0
+
+
+PAGE_CASES = {
+    "one word": "Garde, c'est garde et toujours garde. Notre garde est le garde pour garde. garde ? Ici garde, encore garde ! " * 4,
+    "one word, german": "Kanaladapter gesucht? Kanaladapter hier, Kanaladapter jetzt! Unser Kanaladapter ist das Kanaladapter für Kanaladapter. " * 4,
+    "one word a sentence": "You want the hosting that lasts. We have hosting for you. It is hosting as you like it. There is no better hosting. Who needs hosting in the night?",
+    "phrase a sentence": "You can buy a voice clone here. We sell the voice clone to all. There is a voice clone for your team. It was the voice clone that they like. Why not try our voice clone?",
+    "dense": "gpu rental | chat bot | proxy pool | voice clone | cron hosting | The gateway restores it. | " * 3 + "gpu | bot | pool | clone | cron | relay",
+}
+
+
+@pytest.mark.parametrize("name", PAGE_CASES)
+def test_page_shares(name):
+    assert spam.is_spam(spam.features(PAGE_CASES[name])), spam.features(PAGE_CASES[name])
+
+
+def test_page_shares_of_prose():
+    f = spam.features(PROSE + "The gateway is slow. It was late when the gateway came back. They had asked for it before the night, and the answer was there.")
+    assert 0 < f["top_word_share"] < spam.TOP_WORD["en"] and f["top_gram_share"] == 0 and f["separator_density"] < spam.DENSITY["en"] and f["stuffed_share"] == 0
