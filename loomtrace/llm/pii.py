@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomtrace.llm import given_names
+
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 
 # Look-alike letters (Cyrillic and Greek to Latin), invisible characters, dashes.
@@ -36,8 +38,8 @@ DIGIT_WORDS = {
     **dict.fromkeys(("eight", "acht", "huit", "ocho"), "8"),
     **dict.fromkeys(("nine", "neun", "neuf", "nueve"), "9"),
 }
-# Given names common in English, German, French, Spanish and among their neighbours.
-GIVEN = frozenset(
+# Given names, the common ones by language and some rarer ones.
+GIVEN = given_names.COMMON | frozenset(
     "Aaron Adam Adrian Aiko Alan Alberto Alejandro Alex Alexander Alice Amelia Amir Ana Andrea Andreas Andrew Angela Anita Anna Anne Anouk Antoine "
     "Antonio Arthur Astrid Barbara Beatriz Benjamin Bernard Bruno Camille Carla Carlos Carmen Caroline Catherine Charles Charlotte Chloé Christian "
     "Christine Claire Clara Claudia Clémence Daniel Dario David Diana Diego Dirk Edward Elena Elias Elisa Elizabeth Emeka Emil Emily Emma Eric Erik Eva "
@@ -56,7 +58,11 @@ NOT_SURNAMES = frozenset(
     "October November December The This That These Those There Then They And Or But If In On At To For From With When Where What Which Who Why How "
     "You We It Its Is Are Was Please Set Read Each Here Nobody Yesterday Compare Der Die Das Den Dem Ein Eine Einen Wenn Warum Wir Ich Er Sie Es Und "
     "Oder Aber Zur Zum Im Am Auf Niemand Gestern Lies Le La Les Un Une Des Du Et Ou Mais Si Pour Pourquoi Nous Vous Il Elle Hier Personne El Los Las "
-    "Una Y O Pero Por Para Hemos Ayer Nadie Antes Se Hello Hi Dear Thanks Hallo Danke Bonjour Merci Hola Gracias Yes No Ok Draft Ask Move Since Fill Write Ship Pickup Call Send Can Could Did Done Reach Missed Bounce Build Route Window".split()
+    "Una Y O Pero Por Para Hemos Ayer Nadie Antes Se Hello Hi Dear Thanks Hallo Danke Bonjour Merci Hola Gracias Yes No Ok Draft Ask Move Since Fill Write Ship Pickup Call Send Can Could Did Done Reach Missed Bounce Build Route Window "
+    "Hey Sorry Sure Okay Morning Evening Cheers Regards Welcome Congratulations Bye Now Today Tomorrow Tonight Actually However Also Meanwhile Finally Maybe Perhaps Regarding Because After Before While Since Until Does Has Have Had "
+    "Will Would Should My Your Our His Her Their She He They Not Add Check Create Delete Fix Forward Get Give Keep Let Look Make Meet Open Remind Remove Reply Review Run See Start Stop Submit Take Tell Test Try Update Use "
+    "Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonnabend Sonntag Januar Februar März Juni Juli Oktober Dezember Heute Morgen Bitte Hat Ist Kann Soll Sind Mein Meine Dein Unser Was Wer Wie Wann Weil Nach Vor Mit Von Bei Ihr "
+    "Liebe Lieber Moin Servus Guten Salut Coucou Cher Chère Bonsoir Demain Quand Comment Avec Dans Sur Mon Mes Notre Votre Buenos Buenas Querido Querida Estimado Estimada Mañana Cuando Cómo Qué Quién Ella Nosotros Script".split()
 )
 
 Span = tuple[int, int, str]
@@ -175,7 +181,8 @@ _ID = regex.compile(
 )
 _PHONE = regex.compile(
     r"""(?x)(?<![\w.:/@%+-])(?:tel:)?(?:
-      (?:\+|00)(?:1|3[0-469]|4[013-9]|5\d|6[0-6]|7|8[1246]|9[0-58]|35\d)[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .\/-]?\d){6,11}
+      (?:\+|00)(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[0578]|9[679])\d[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .\/-]?\d){4,11}
+    | (?:\+|00)(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .\/-]?\d){6,11}
     | \+\d{8,14}
     | \(\d{3}\)[ .-]?[2-9]\d{2}[ .-]?\d{4}
     | 1?[ .-]?[2-9]\d{2}([ .-])[2-9]\d{2}\1\d{4}

@@ -85,3 +85,22 @@ def test_rows(spark):
     got = sorted(((r.payload_id, r.content, r.pii_types) for r in pii.find_and_replace(df).collect()), key=str)
     assert got == sorted([("p1", None, []), ("p2", "", []), ("p3", "[EMAIL] or [EMAIL]", ["email"]), ("p3", "[EMAIL] or [EMAIL]", ["email"]), (None, "nothing", [])], key=str)
     assert pii.find_and_replace(df.limit(0)).count() == 0
+
+
+COMMON_NAMES = "John Mark Kevin Joseph Christopher Margaret Lisa Karen Jessica Sabine Markus Tobias Philippe Nathalie Rafael Pilar".split()
+CODES = ["+27 21 555 0123", "+234 803 555 0123", "0020 2 2555 0123", "+376 312 345", "+380 44 555 01 23", "+420 222 555 012", "+598 2555 0123", "+682 21 234", "+852 2555 0123", "+966 11 555 0123", "+972-3-555-0123", "+998 71 255 01 23"]
+
+
+@pytest.mark.parametrize("text", [f"{name} Brimmore" for name in COMMON_NAMES] + ["Brimmore, Kevin", "Marie-Nathalie Brimmore", "Kevin Ma"])
+def test_common_names(text):
+    assert pii.redact(f"we told {text} of it") == "we told [PERSON_NAME] of it"
+
+
+@pytest.mark.parametrize("text", ["Hey, Kevin", "Ask Sabine Montag", "Tell Lisa Please", "Mark Monday as blocked"])
+def test_given_names_alone(text):
+    assert pii.redact(text) == text
+
+
+@pytest.mark.parametrize("text", CODES)
+def test_calling_codes(text):
+    assert pii.redact(f"call {text} now") == "call [PHONE] now"
