@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,8 @@ UNLISTED = "unlisted"
 BLOCK = 1_024
 #: A catalog may list so many types; they become columns.
 MAX_TYPES = 2_000
+#: So many statuses may occur; they become slots of arrays.
+MAX_STATUSES = 2_000
 
 
 def catalog_types(catalog: DataFrame) -> list[str]:
@@ -41,32 +43,55 @@ def catalog_types(catalog: DataFrame) -> list[str]:
     return sorted({r.t for r in names} - {UNLISTED}) + [UNLISTED]
 
 
+def _status() -> Column:
+    return F.coalesce(F.nullif(F.lower(F.trim("status")), F.lit("")), F.lit("none"))
+
+
+def occurring_statuses(events: DataFrame) -> list[str]:
+    """The statuses of events of runs, trimmed, in lower case, sorted, then ``none``. More than ``MAX_STATUSES`` is an error."""
+    names = events.filter("run_id is not null").select(_status().alias("s")).distinct().limit(MAX_STATUSES + 1).collect()
+    if len(names) > MAX_STATUSES:
+        raise ValueError(f"more than {MAX_STATUSES} statuses")
+    return sorted({r.s for r in names} - {"none"}) + ["none"]
+
+
 def cells(events: DataFrame) -> DataFrame:
     """``run_id, event_type, status, n, last_at, elapsed_ms, total_tokens``: one row per run, type and status that occurs.
 
     Deliveries of an event count once. Types and statuses are trimmed and in lower case; a missing status is ``none``, a
     missing type ``unlisted``. Events without a run belong to no entity. Null and negative totals add nothing.
     """
-    status = F.coalesce(F.nullif(F.lower(F.trim("status")), F.lit("")), F.lit("none"))
     kind = F.coalesce(F.lower(F.trim("event_type")), F.lit(UNLISTED))
-    own = ["event_id", canonical(F.col("run_id")).alias("run_id"), kind.alias("event_type"), status.alias("status"), F.unix_micros("occurred_at").alias("at"), "elapsed_ms", "total_tokens"]
+    own = ["event_id", canonical(F.col("run_id")).alias("run_id"), kind.alias("event_type"), _status().alias("status"), F.unix_micros("occurred_at").alias("at"), "elapsed_ms", "total_tokens"]
     once = events.filter("run_id is not null").select(*own).distinct()
     total = lambda c: F.sum(F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))).cast("bigint").alias(c)
     return once.groupBy("run_id", "event_type", "status").agg(F.count("*").alias("n"), F.max("at").alias("last_at"), total("elapsed_ms"), total("total_tokens"))
 
 
-def schema(types: Sequence[str]) -> T.StructType:
-    """run_id, n_events, last_at, then per type ``n_, last_, elapsed_ms_, total_tokens_`` and ``statuses_`` (one count per slot)."""
+#: Prefixes of the arrays by status slot beside the counts, and the types of their elements.
+BY_STATUS = {"status_last": T.TimestampType(), "status_elapsed_ms": T.LongType(), "status_total_tokens": T.LongType()}
+
+
+def schema(types: Sequence[str], by_status: bool = False) -> T.StructType:
+    """run_id, n_events, last_at, then per type ``n_, last_, elapsed_ms_, total_tokens_`` and ``statuses_`` (one count per slot).
+
+    With ``by_status`` the names of the slots (``status_slots``) and per type the arrays of ``BY_STATUS`` too.
+    """
     fields = [T.StructField("run_id", T.StringType()), T.StructField("n_events", T.LongType()), T.StructField("last_at", T.TimestampType())]
+    if by_status:
+        fields += [T.StructField("status_slots", T.ArrayType(T.StringType()))]
     for t in types:
         fields += [T.StructField(f"n_{t}", T.LongType()), T.StructField(f"last_{t}", T.TimestampType()), T.StructField(f"elapsed_ms_{t}", T.LongType()), T.StructField(f"total_tokens_{t}", T.LongType())]
         fields += [T.StructField(f"statuses_{t}", T.ArrayType(T.IntegerType()))]
+        if by_status:
+            fields += [T.StructField(f"{p}_{t}", T.ArrayType(kind)) for p, kind in BY_STATUS.items()]
     return T.StructType(fields)
 
 
-def _dense(types: Sequence[str], statuses: Sequence[str]):
-    slots = [*statuses, *EXTRA]
+def _dense(types: Sequence[str], slots: Sequence[str], by_status: bool = False):
     n_t, n_s = len(types), len(slots)
+    # More slots, fewer entities in a block: its size stays.
+    entities = max(1, BLOCK * (len(STATUSES) + len(EXTRA)) // max(n_s, len(STATUSES) + len(EXTRA)))
     known_types, known_slots = pa.array(types), pa.array(slots)
 
     def block(table: pa.Table) -> pa.RecordBatch:
@@ -86,21 +111,33 @@ def _dense(types: Sequence[str], statuses: Sequence[str]):
             return (low + (high << 26)).reshape(n_e, width)
 
         counts, elapsed, tokens = add(cell, n_t, of["n"]), add(cell, n_t, of["elapsed_ms"]), add(cell, n_t, of["total_tokens"])
-        by_status = add(cell * n_s + slot, n_t * n_s, of["n"]).reshape(n_e, n_t, n_s).astype(np.int32)
-        never = np.iinfo(np.int64).min
-        last = np.full(n_e * n_t, never)
+        place, never = cell * n_s + slot, np.iinfo(np.int64).min
         seen = ~pd_isnull(of["last_at"])
-        np.maximum.at(last, cell[seen], of["last_at"][seen].astype(np.int64))
-        last = last.reshape(n_e, n_t)
+
+        def by_slot(values: np.ndarray) -> np.ndarray:
+            # Types first, so that each type's array is one piece.
+            return np.ascontiguousarray(values.reshape(n_e, n_t, n_s).transpose(1, 0, 2)).reshape(n_t, -1)
+
+        def latest(at: np.ndarray, width: int) -> np.ndarray:
+            out = np.full(n_e * width, never)
+            np.maximum.at(out, at[seen], of["last_at"][seen].astype(np.int64))
+            return out
+
+        slot_counts = by_slot(add(place, n_t * n_s, of["n"]).astype(np.int32))
+        last = latest(cell, n_t).reshape(n_e, n_t)
         utc = pa.timestamp("us", "UTC")
         moment = lambda v: pa.array(v, mask=v == never).cast(utc)
         columns = [names, pa.array(counts.sum(1)), moment(last.max(1))]
         offsets = pa.array(np.arange(n_e + 1, dtype=np.int32) * n_s)
+        if by_status:
+            slot_last, slot_elapsed, slot_tokens = by_slot(latest(place, n_t * n_s)), *(by_slot(add(place, n_t * n_s, of[c])) for c in ("elapsed_ms", "total_tokens"))
+            columns += [pa.ListArray.from_arrays(offsets, pa.array(list(slots) * n_e, pa.string()))]
         for j in range(n_t):
             columns += [pa.array(counts[:, j]), moment(np.ascontiguousarray(last[:, j])), pa.array(elapsed[:, j]), pa.array(tokens[:, j])]
-            columns += [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(by_status[:, j]).ravel()))]
-        fields = ["run_id", "n_events", "last_at"] + [f"{p}_{t}" for t in types for p in ("n", "last", "elapsed_ms", "total_tokens", "statuses")]
-        return pa.RecordBatch.from_arrays(columns, fields)
+            columns += [pa.ListArray.from_arrays(offsets, pa.array(slot_counts[j]))]
+            if by_status:
+                columns += [pa.ListArray.from_arrays(offsets, v) for v in (moment(slot_last[j]), pa.array(slot_elapsed[j]), pa.array(slot_tokens[j]))]
+        return pa.RecordBatch.from_arrays(columns, schema(types, by_status).names)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -110,8 +147,8 @@ def _dense(types: Sequence[str], statuses: Sequence[str]):
             runs = table.column("run_id").combine_chunks()
             starts = np.flatnonzero(np.concatenate([[True], pc.not_equal(runs[1:], runs[:-1]).to_numpy(zero_copy_only=False)]))
             done = 0  # all entities but the last, which may go on in the next batch
-            for first in range(0, len(starts) - 1, BLOCK):
-                upto = min(first + BLOCK, len(starts) - 1)
+            for first in range(0, len(starts) - 1, entities):
+                upto = min(first + entities, len(starts) - 1)
                 yield block(table.slice(starts[first], starts[upto] - starts[first]))
                 done = starts[upto]
             held = table.slice(done).combine_chunks().to_batches()
@@ -134,4 +171,15 @@ def run_features(events: DataFrame, catalog: DataFrame, statuses: Sequence[str]
     """
     types = catalog_types(catalog)
     bucketed = cells(events).repartition("run_id").sortWithinPartitions("run_id")
-    return bucketed.mapInArrow(_dense(types, statuses), schema(types))
+    return bucketed.mapInArrow(_dense(types, [*statuses, *EXTRA]), schema(types))
+
+
+def run_status_features(events: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The rows of :func:`run_features`, with recency and totals by status too, for every status that occurs.
+
+    ``status_slots`` names the statuses: those of the data, none of them in a common slot. Beside ``statuses_<type>`` stand
+    ``status_last_<type>``, ``status_elapsed_ms_<type>`` and ``status_total_tokens_<type>`` in the same order.
+    """
+    types, slots = catalog_types(catalog), occurring_statuses(events)
+    bucketed = cells(events).repartition("run_id").sortWithinPartitions("run_id")
+    return bucketed.mapInArrow(_dense(types, slots, by_status=True), schema(types, by_status=True))

@@ -46,6 +46,10 @@ def p3_features(spark: SparkSession, d: str) -> DataFrame:
     return entity_features.run_features(load(spark, d, "audit_events"), load(spark, d, "event_type_catalog"))
 
 
+def p3_status_features(spark: SparkSession, d: str) -> DataFrame:
+    return entity_features.run_status_features(load(spark, d, "audit_events"), load(spark, d, "event_type_catalog"))
+
+
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.run_hierarchy(load(spark, d, "audit_events"))
 
@@ -63,7 +67,7 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(_runs(spark, d)).select(F.col("ancestor").alias("run_id"), F.col("id").alias("descendant_run_id"), "distance")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_weekly, p2_percentiles, p2_daily_summary, p2_combined, p3_features, p6_found, p6_paths, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_weekly, p2_percentiles, p2_daily_summary, p2_combined, p3_features, p3_status_features, p6_found, p6_paths, p6_descendants)}
 
 _U = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
