@@ -9,6 +9,7 @@ described links are ordinary by these rules, not by exceptions for pages.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -45,8 +46,18 @@ _PLAIN = {ord(a): b for a, b in zip("аеорсухіјѕԁһԛԝ", "aeopcyxijsd
 # Further words that carry no content, for shares of single words.
 LINKING = frozenset("de del des les par para pour sans avec après comme como cada und oder von vom zum zur für per than into any all each".split())
 
-#: Items in a row that make a list.
+# The same for scripts that the languages above do not use (Russian, Ukrainian, Greek, Arabic).
+OTHER_FUNCTION = frozenset(
+    "и в не на что я он она они мы вы с как это по но из у за то же так для от о бы если когда чтобы который которая которые без или уже его её их і та що як це до від не є "
+    "και το η ο οι τα να που με σε για από δεν είναι στο στη την τον του της θα αν όταν في من على إلى عن أن إن لا ما هذا هذه التي الذي كان هو هي مع أو ثم".split()
+)
+
+#: Items in a row that make a list on any page.
 LIST_ITEMS = 8
+#: Shorter runs are lists too on a page with so many items, if together they are more than ``CASE_SHARE`` of its characters.
+PAGE_ITEMS = 3
+#: Words of an item in a script without function words here (as Hangul); longer phrases are sentences.
+OTHER_WORDS = 3
 #: Share of a sentence's words that n-grams must cover which it repeats, or which a stuffed sentence beside it repeats.
 TOP_SHARE = 0.35
 #: A page's top word and top n-gram (two or three content words) must stand so often, and reach the language's share of all words.
@@ -64,8 +75,7 @@ ITEM_CHARS = 12
 LANGUAGE_WORDS = 2
 #: A line of at least so many words that stands so often is a duplicate.
 LINE_WORDS, LINE_COUNT = 4, 4
-#: Least number of characters of a page that can be a case, and the share of them.
-LEAST_CHARS = 100
+#: Share of the characters of a page that make it a case.
 CASE_SHARE = 0.5
 
 _LINK = r"\[/?url\b[^\]\n]*\]|(?:https?://|www\.)[^\s<>\])\"']+"
@@ -78,9 +88,9 @@ def _pattern(links: str) -> re.Pattern[str]:
         r"(```.*?(?:```|\Z)"  # fenced code
         r"|`[^`\n]*`"  # code in a line
         rf"|{links}"
-        r"|</?\w[^<>]{0,300}>"  # tags
+        r"|<\|\w{1,40}\|>|</?\w[^<>]{0,300}>"  # special tokens, tags
         r"|[.!?]+(?=[\s<\"”»]|$)|[。！？]|\n+"  # ends of sentences
-        r"|[;|,~•·<>()\[\]{}:/\\»«=*#\"“”—–，；：、?!]+| [-+] )",  # separators
+        r"|[;|,~•·<>()\[\]{}:/\\»«=*#\"“”—–，；：、?!｜（）［］｛｝【】「」『』《》〈〉／＼～＃＊＝・]+| [-+] )",  # separators
         re.S,
     )
 
@@ -91,6 +101,8 @@ _DISGUISED = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
 _CYRILLIC = re.compile("[бгджзийлптфцчшщъыьэюя]")
 _LATIN = re.compile(r"[a-z]")
 _OTHER_SCRIPT = re.compile(r"[\u0370-\u2fff\uac00-\ud7ff]")
+_CJK, _HANGUL = re.compile("[ぁ-ヿ㐀-鿿豈-﫿𠀀-𲎯]"), re.compile("[가-힣]")
+_MARK = re.compile("[\u0300-\u036f]")
 _DIGITS = re.compile(r"[0-9]+")
 _NOT_WORD = re.compile(r"\W+")
 
@@ -128,14 +140,21 @@ def _separator(piece: str) -> tuple[int, int]:
     return found
 
 
+def _is_cjk(text: str) -> bool:
+    """Whether Chinese characters or kana stand in it, whatever signs stand beside them."""
+    return not text.isascii() and bool(_CJK.search(text)) and not _HANGUL.search(text)
+
+
 def _phrase_kind(text: str, ws: list[str], function: frozenset[str]) -> int:
     if not ws:
         return BLANK
     if not text.isascii():
-        if "ぁ" <= max(text) <= "鿿":
+        if _is_cjk(text):
             return SENTENCE if GRAMMAR.search(text) else PHRASE
         if _OTHER_SCRIPT.search(text) and not _LATIN.search(text):
-            return SENTENCE  # no list of function words for this script: taken as ordinary
+            if not any(map(str.isalpha, text)):
+                return BLANK
+            return PHRASE if len(ws) <= OTHER_WORDS and OTHER_FUNCTION.isdisjoint(ws) and any(map(str.isalpha, ws)) else SENTENCE
     return (PHRASE if function.isdisjoint(ws) else SENTENCE) if text.islower() else BLANK
 
 
@@ -230,6 +249,30 @@ def _stuffed(sentences: list[list[list[str] | str]], function: frozenset[str]) -
     return out
 
 
+def _by_kind(marks: list[int], sizes: list[int], described: set[int]) -> list[int]:
+    """Visible characters of each kind; markup counts with what stands before it."""
+    share = [0] * 8
+    last = BLANK
+    for i, k in enumerate(marks):
+        if not sizes[i]:
+            continue
+        if k == LINK and i in described:
+            k = SENTENCE
+        elif k == END or k == BREAK:
+            k = last
+        share[k] += sizes[i]
+        last = k
+    return share
+
+
+def _lists_prevail(marks: list[int], sizes: list[int], described: set[int], total: int) -> bool:
+    """Whether the page's phrases and undescribed links are more than half of it, in runs of any length."""
+    if sum([k == PHRASE or k == LINK and i not in described for i, k in enumerate(marks)]) < PAGE_ITEMS:
+        return False
+    share = _by_kind(marks, sizes, described)
+    return share[PHRASE] + share[LINK] > CASE_SHARE * total
+
+
 _NO_WORDS: list[str] = []
 SHARES = ("n_chars", "list_share", "link_share", "stuffed_share", "duplicate_share", "spam_share", "top_word_share", "top_gram_share", "separator_density")
 
@@ -244,6 +287,8 @@ def features(text: str | None) -> dict[str, float]:
         return dict.fromkeys(SHARES, 0.0)
     disguised = not text.isascii() and _DISGUISED.search(text) and len(_CYRILLIC.findall(text)) * 50 < len(text)
     plain = text.translate(_PLAIN) if disguised else text
+    if not text.isascii() and _MARK.search(text) and len(_MARK.findall(text)) * 4 > len(text):
+        plain = _MARK.sub("", unicodedata.normalize("NFD", plain))  # accents over everything hide the words
     plain = plain.lower().replace("'", " ").replace("’", " ")
     pieces = (_CUT if "/" in plain else _CUT_PROSE).split(plain)
     texts = pieces[::2]
@@ -256,7 +301,7 @@ def features(text: str | None) -> dict[str, float]:
     else:
         own_kinds = [_phrase_kind(t, ws, function) for t, ws in zip(texts, own_words)]
         language = language or ("zh" if GRAMMAR.search(plain) else "")
-        own_words = [_NOT_WORD.sub("", t) if "ぁ" <= max(t, default="") <= "鿿" else ws for t, ws in zip(texts, own_words)]
+        own_words = [_NOT_WORD.sub("", t) if _is_cjk(t) else ws for t, ws in zip(texts, own_words)]
     between = [_separators.get(p) or _separator(p) for p in pieces[1::2]]
     kinds, sizes, words = [BLANK] * len(pieces), [0] * len(pieces), [_NO_WORDS] * len(pieces)
     kinds[::2], kinds[1::2] = own_kinds, [k for k, _ in between]
@@ -292,10 +337,11 @@ def features(text: str | None) -> dict[str, float]:
     beside: list[bool] = []  # for each sentence whether code or a described link stands in it
     described_here = False
 
+    short: list[int] = []  # items of runs too short to be lists by themselves
+
     def close() -> None:
-        if not dense and sum(1 + len(words[j]) // (ITEM_CHARS if isinstance(words[j], str) else ITEM_WORDS) for j in run) < LIST_ITEMS:
-            for j in run:
-                marks[j] = BLANK
+        if sum([1 + len(words[j]) // (ITEM_CHARS if isinstance(words[j], str) else ITEM_WORDS) for j in run]) < (PAGE_ITEMS if dense else LIST_ITEMS):
+            short.extend(run)
         run.clear()
 
     for i, k in enumerate(kinds):
@@ -323,6 +369,17 @@ def features(text: str | None) -> dict[str, float]:
         sentences.append(sentence)
         beside.append(described_here)
 
+    # Single letters are no items.
+    marks = [BLANK if k == PHRASE and isinstance(w, list) and len(max(w, key=len)) < 2 else k for k, w in zip(marks, words)]
+    # Clauses beside a sentence, and long phrases without blanks that happen to hold no grammar, are items in long runs only.
+    clauses = {j for x in sentences if any(kinds[j] == SENTENCE for j in x) for j in x} if short else set()
+    for j in short:
+        if kinds[j] == PHRASE and (j in clauses or isinstance(words[j], str) and len(words[j]) > ITEM_CHARS):
+            marks[j] = BLANK
+    if short and not _lists_prevail(marks, sizes, described, total):
+        for j in short:
+            marks[j] = BLANK
+
     # Stuffed sentences: repeated words or n-grams cover much of the sentence, or it holds one that covers much of the page.
     phrases = [[words[j] for j in x] for x in sentences]
     # Sentences that differ in digits at most count once for the page: what one template repeats is no search phrase.
@@ -344,25 +401,15 @@ def features(text: str | None) -> dict[str, float]:
             if line not in fenced:
                 duplicate += (lines[line] - 1) * (len(line) - line.count(" "))
 
-    share = [0] * 8
-    last = BLANK
-    for i, k in enumerate(marks):
-        if not sizes[i]:
-            continue
-        if k == LINK and i in described:
-            k = SENTENCE
-        elif k == END or k == BREAK:
-            k = last
-        share[k] += sizes[i]
-        last = k
+    share = _by_kind(marks, sizes, described)
     listed, linked, stuffed, twice = share[PHRASE] / total, share[LINK] / total, share[STUFFED] / total, duplicate / total
     # Duplicate lines may be lists or stuffed too: the larger of both counts.
     return dict(zip(SHARES, (float(total), listed, linked, stuffed, twice, max(listed + linked + stuffed, twice), top_word, top_gram, density)))
 
 
 def is_spam(f: dict[str, float]) -> bool:
-    """Whether a page with these features is a case: long enough, and more than half of it is no ordinary text."""
-    return f["n_chars"] >= LEAST_CHARS and f["spam_share"] > CASE_SHARE
+    """Whether a page with these features is a case: more than half of it is no ordinary text."""
+    return f["spam_share"] > CASE_SHARE
 
 
 def page_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -83,3 +83,35 @@ def test_page_shares(name):
 def test_page_shares_of_prose():
     f = spam.features(PROSE + "The gateway is slow. It was late when the gateway came back. They had asked for it before the night, and the answer was there.")
     assert 0 < f["top_word_share"] < spam.TOP_WORD["en"] and f["top_gram_share"] == 0 and f["separator_density"] < spam.DENSITY["en"] and f["stuffed_share"] == 0
+
+
+SHARE_CASES = {
+    "seven links": "\n".join(f"https://wiki.example/quiet/{i}/user/reply" for i in range(7)),
+    "seven products": "\n".join(f"gpu rental model {i}7 monthly offer" for i in range(7)),
+    "sentence between": ("buy agent hosting\nvoice clone free\ncheap proxy pool\nbest chat bot\ngpu rental\ncron hosting\nwebhook relay\nSee what we have.\n" * 3),
+    "short page": "cheap gpu rental, best chat bot, free voice clone, proxy pool",
+    "fullwidth": "显卡租用｜最好聊天机器人｜智能体托管【会话存储】优惠｜" * 5,
+    "emoji": "🔥显卡租用🔥, 最好聊天机器人✨, 智能体托管🚀, 会话存储👍, " * 5,
+    "russian": "аренда серверов, дешёвый хостинг, лучший чат бот, купить токены, " * 5,
+    "greek": "φθηνή φιλοξενία, καλύτερο ρομπότ, αγορά κουπονιών, " * 5,
+    "arabic": "استضافة رخيصة | روبوت محادثة | شراء رموز | " * 6,
+    "korean": "서버 임대, 저렴한 호스팅, 최고의 챗봇, 토큰 구매, " * 5,
+}
+SHARE_ORDINARY = {
+    "special tokens": "<|startoftext|> <s> </s> <unk>", "title": "Session store", "two words": "alpha, beta",
+    "russian": "Если сервер занят, он ждёт, и это нормально, но мы не знаем, когда он ответит на запрос. " * 4,
+    "korean": "서버가 다시 시작되면 게이트웨이가 세션을 복원합니다. 대기열이 비면 작업자가 결과를 전달합니다. " * 4,
+    "emoji": "👩‍💻 🧪 ✅ 🐢 🚀 ✅ 🚀 🧪 ✅ ✅ 🐢 ⚠️ 🧪 🧪", "accents": "".join(c + "\u0301" for c in "To fix this, stop the ledger, remove what is late, and start again"),
+    "chinese clauses": "要解决这个问题,请先停止记忆索引,删除过期租约,然后重新开始。" * 2 + "\nTags: broken-child-task, shared-draft-plan\n",
+    "few items": PROSE + "gpu rental\nchat bot\nproxy pool\n",
+}
+
+
+@pytest.mark.parametrize("name", SHARE_CASES)
+def test_lists_by_share(name):
+    assert spam.is_spam(spam.features(SHARE_CASES[name])), spam.features(SHARE_CASES[name])
+
+
+@pytest.mark.parametrize("name", SHARE_ORDINARY)
+def test_no_lists_by_share(name):
+    assert not spam.is_spam(spam.features(SHARE_ORDINARY[name])), spam.features(SHARE_ORDINARY[name])
