@@ -65,6 +65,15 @@ def html_markdown(spark, d):
     return load(spark, d, "documents").filter("text like '%<html>%'").select("doc_id", X.to_markdown("text").alias("markdown"))
 
 
+def html_strip_all(spark, d):
+    # Every document: pages with attributes or capitals in <html>, and fragments, are none for the SQL of html_strip.
+    return load(spark, d, "documents").select("doc_id", X.squeeze(X.strip_html(F.col("text"))).alias("text"))
+
+
+def html_markdown_all(spark, d):
+    return load(spark, d, "documents").select("doc_id", X.to_markdown("text").alias("markdown"))
+
+
 def redact_counts(spark, d):
     return load(spark, d, "documents").select("doc_id", *X.redaction_counts(F.coalesce("text", F.lit(""))), F.length(X.redact(F.col("text"))).alias("n_chars_left"))
 
@@ -184,7 +193,7 @@ def session_debounce(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        term_match_rank, term_match_all, bm25_topk, token_budget_pack, grep_content, grep_count, grep_context, line_window, html_strip, html_markdown, redact_counts, intent_route, goal_masks, chunk_text,
+        term_match_rank, term_match_all, bm25_topk, token_budget_pack, grep_content, grep_count, grep_context, line_window, html_strip, html_markdown, html_strip_all, html_markdown_all, redact_counts, intent_route, goal_masks, chunk_text,
         truncated_texts, failure_families, history_suffix, history_token_budget, consolidation_boundary, orphan_tool_results, missing_tool_results, retain_last_k, latest_wins, asof_recovery, interval_spawn,
         recovery_review, reference_integrity, sequence_faults, split_assign, holdout_gate, replay_consistency, answer_scores, session_debounce,
     )
