@@ -26,6 +26,15 @@ def p1_weekly(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphans_per_week(_orphans(spark, d))
 
 
+def p1_dense(spark: SparkSession, d: str) -> DataFrame:
+    """Dense integer keys, so long runs: events whose predecessor in the segment is missing or younger."""
+    return orphans.sequence_orphans(load(spark, d, "audit_events"))
+
+
+def p1_runs(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.sequence_runs(load(spark, d, "audit_events"))
+
+
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles (error bound 0) of the days' exact summaries put together."""
     days = quantiles.summaries(quantiles.log_values(load(spark, d, "audit_events")))
@@ -67,7 +76,7 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(_runs(spark, d)).select(F.col("ancestor").alias("run_id"), F.col("id").alias("descendant_run_id"), "distance")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_weekly, p2_percentiles, p2_daily_summary, p2_combined, p3_features, p3_status_features, p6_found, p6_paths, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_weekly, p1_dense, p1_runs, p2_percentiles, p2_daily_summary, p2_combined, p3_features, p3_status_features, p6_found, p6_paths, p6_descendants)}
 
 _U = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
@@ -169,6 +178,16 @@ pairs AS (SELECT w.at_id AS run_id, w.id AS descendant_run_id, w.depth AS distan
 SQL = {
     "p1_found": f"{_ORPHANS} SELECT ref_field, ref_key FROM orphans",
     "p1_weekly": f"{_ORPHANS} SELECT ref_table, ref_field, CAST(date_trunc('week', seen AT TIME ZONE 'UTC') AS DATE) AS week, reason, count(*) AS n_orphans FROM orphans GROUP BY 1, 2, 3, 4",
+    "p1_dense": """
+WITH e AS (SELECT event_id, segment_id, segment_sequence, min(recorded_at) AS seen FROM audit_events WHERE segment_id IS NOT NULL AND segment_sequence IS NOT NULL GROUP BY 1, 2, 3),
+places AS (SELECT segment_id, segment_sequence, min(seen) AS seen FROM e GROUP BY 1, 2)
+SELECT e.segment_id, e.segment_sequence, event_id, CASE WHEN p.segment_id IS NULL THEN 'missing' ELSE 'later' END AS reason
+FROM e LEFT JOIN places p ON p.segment_id = e.segment_id AND p.segment_sequence = e.segment_sequence - 1
+WHERE e.segment_sequence > 1 AND (p.segment_id IS NULL OR p.seen > e.seen)""",
+    "p1_runs": """
+WITH places AS (SELECT DISTINCT segment_id, segment_sequence AS s FROM audit_events WHERE segment_id IS NOT NULL AND segment_sequence IS NOT NULL),
+numbered AS (SELECT *, s - row_number() OVER (PARTITION BY segment_id, s >> 16 ORDER BY s) AS island FROM places)
+SELECT segment_id, min(s) AS first_sequence, max(s) AS last_sequence, count(*) AS n_places FROM numbered GROUP BY segment_id, s >> 16, island""",
     "p2_percentiles": f"{_PERCENTILES} SELECT metric, dim, grp, CAST(q AS DOUBLE) AS q, n, value FROM exact",
     "p2_daily_summary": f"{_VALUES} SELECT metric, dim, grp, day, {_LOW} AS value, count(*) AS n FROM vals GROUP BY 1, 2, 3, 4, 5",
     "p2_combined": f"{_PERCENTILES} SELECT metric, dim, grp, CAST(q AS DOUBLE) AS q, n, least(a, b) AS low, greatest(a, b) AS high, (least(a, b) + greatest(a, b)) / 2 AS estimate"

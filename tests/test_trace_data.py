@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions.ids import canonical, halves, reference, text_of
 from loomtrace.operators import entity_features as E
 from loomtrace.operators import hierarchy as H
+from loomtrace.functions.ids import halves
 from loomtrace.operators import orphans as O
 from loomtrace.operators import quantiles as Q
 from loomtrace.operators import skew
@@ -54,6 +55,29 @@ def test_orphans_random(spark, monkeypatch):
     assert orphan_rows(spark, refs, parents, deleted) == sorted(want)
 
 
+def test_orphans_at_the_ends_of_the_key_range(spark):
+    zero, big, small = "00000000-0000-4000-8000-000000000000", "ffffffff-ffff-4fff-bfff-ffffffffffff", "00000000-0000-4000-7fff-ffffffffffff"
+    keyed = lambda rows: spark.createDataFrame(rows, "ref string, k string, at long").select("ref", F.lit(0).alias("space"), *[h.alias(n) for h, n in zip(halves(F.col("k"), "k"), ("hi", "lo"))], "at")
+    parents = keyed([("", zero, 1), ("", small, 1)]).drop("ref")
+    got = O.orphan_references(keyed([("a", zero, 5), ("b", big, 5), ("c", small, 5), ("d", zero, 0)]), parents)
+    assert sorted((r.ref, r.reason) for r in got.collect()) == [("b", "missing"), ("d", "later")]
+    ends = spark.createDataFrame([(k, 0) for k in (-(2**63), -(2**63) + 1, 2**63 - 1)], "lo long, at long").select(F.lit("x").alias("space"), F.lit(0).alias("hi"), "lo", "at")
+    assert sorted((r.lo, r.run_size) for r in O.key_runs(ends).collect()) == [(-(2**63), 2), (2**63 - 1, 1)]
+
+
+def test_orphans_over_many_batches(spark):
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "3")
+    try:
+        refs = [(f"r{k}", k, 5) for k in range(40)]
+        parents, gone = [(k, 9 if k % 10 == 3 else 1) for k in range(40) if k % 7], [0, 8, 9, 70]
+        want = [(f"r{k}", "deleted" if k in gone else "missing" if not k % 7 else "later") for k in range(40) if k in gone or not k % 7 or k % 10 == 3]
+        assert orphan_rows(spark, refs, parents, gone) == sorted(want)
+    finally:
+        spark.conf.set(batch, before)
+
+
 def test_orphans_odd_cases(spark):
     assert orphan_rows(spark, [], [(1, 1)]) == []
     assert orphan_rows(spark, [("a", 1, 5), ("b", None, 5)], []) == [("a", "missing")]
