@@ -6,8 +6,9 @@ as-of to the last run that starts at or before it: it is missing if that run end
 one at its distance from the run's start. Runs are cut at the borders of ranges, which changes no match, since a key and the
 run that could hold it lie in the same range. Random keys make runs of length 1, dense keys (:func:`dense`) long ones.
 
-Skew: keys are made unique and references counted per key before they move (map-side); ranges are cut by the keys themselves,
-so no block of ids, however alike, meets in one task; the way back from keys to rows is a salted join.
+Skew: parent keys are made unique before they move (map-side); ranges are cut by the keys themselves, so no block of ids,
+however alike, meets in one task. The rows of a key that very many refer to stay where they are: one row stands for them in
+the stream, and what it finds is joined back by a broadcast of at most ``skew.HOT`` keys.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtrace.functions.ids import canonical, halves, reference
-from loomtrace.operators.skew import hot_keys, salted_join
+from loomtrace.operators.skew import crowded_values
 from loomtrace.session import written
 
 KEY = ["space", "hi", "lo"]
@@ -102,7 +103,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = ~inside | later
         rows = pa.array(asked[out])
         target = pa.array(at[own[out]], mask=~(inside[out] & timed[own[out]]))
-        yield pa.RecordBatch.from_arrays([*[table.column(c).take(rows) for c in [*KEY, "n_refs"]], pa.array(~inside[out]), pa.array((same & gone[last])[out]), target], [*KEY, "n_refs", "beyond", "gone", "target_at"])
+        yield pa.RecordBatch.from_arrays([*[table.column(c).take(rows) for c in [*KEY, "row"]], pa.array(~inside[out]), pa.array((same & gone[last])[out]), target], [*KEY, "row", "beyond", "gone", "target_at"])
         carry = table.slice(int(known[-1]), 1) if len(known) else None
 
 
@@ -121,18 +122,28 @@ def orphan_references(references: DataFrame, parents: DataFrame, deleted: DataFr
     spaces = parents.filter(whole).select(*integers, F.col("at").cast("bigint").alias("at"), F.lit(False).alias("gone"), F.lit(True).alias("there"))
     if deleted is not None:
         spaces = spaces.unionByName(deleted.filter(whole).select(*integers, F.lit(None).cast("bigint").alias("at"), F.lit(True).alias("gone"), F.lit(False).alias("there")))
-    known = spaces.groupBy(*KEY).agg(F.min("at").alias("at"), F.max("gone").alias("gone"), F.max("there").alias("there"))
+    known = written(spaces.groupBy(*KEY).agg(F.min("at").alias("at"), F.max("gone").alias("gone"), F.max("there").alias("there")))
     rows = written(references.filter(whole).withColumn("hi", F.col("hi").cast("bigint")).withColumn("lo", F.col("lo").cast("bigint")))
-    asked = rows.groupBy(*KEY).agg(F.count("*").alias("n_refs"), F.min("at").cast("bigint").alias("at"))
-    none = F.lit(False)
-    both = known.select(*KEY, F.lit(0).alias("kind"), "at", "gone", "there", F.lit(0).cast("bigint").alias("n_refs")).unionByName(
-        asked.select(*KEY, F.lit(1).alias("kind"), "at", none.alias("gone"), none.alias("there"), "n_refs")
-    )
-    # Written, since the range partitioning reads its input twice.
-    ordered = written(both).repartitionByRange(*KEY).sortWithinPartitions(*KEY, "kind")
-    shape = T.StructType([*[T.StructField(c, both.schema[c].dataType) for c in KEY], T.StructField("n_refs", T.LongType()), T.StructField("beyond", T.BooleanType()), T.StructField("gone", T.BooleanType()), T.StructField("target_at", T.LongType())])
-    problem = written(ordered.mapInArrow(_match, shape))
-    found = salted_join(rows, problem.drop("n_refs"), KEY, hot_keys(problem, KEY, "n_refs"))
+    row, none = F.struct(*[c for c in rows.columns if c not in KEY]), F.lit(False)
+    hashed = F.xxhash64(*KEY)
+    crowded = crowded_values(rows.select(hashed.alias("h")))
+    asked = rows.filter(~hashed.isin(crowded)) if crowded else rows
+    asked = asked.select(*KEY, F.lit(1).alias("kind"), F.col("at").cast("bigint").alias("at"), none.alias("gone"), none.alias("there"), row.alias("row"))
+    if crowded:  # one row stands for all rows of a crowded key
+        once = rows.filter(hashed.isin(crowded)).groupBy(*KEY).agg(F.min("at").cast("bigint").alias("at"))
+        asked = asked.unionByName(once.select(*KEY, F.lit(1).alias("kind"), "at", none.alias("gone"), none.alias("there")), allowMissingColumns=True)
+    both = known.withColumn("kind", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    ordered = both.repartitionByRange(*KEY).sortWithinPartitions(*KEY, "kind")
+    kept = [*KEY, "row"]
+    shape = T.StructType([*[T.StructField(c, both.schema[c].dataType) for c in kept], T.StructField("beyond", T.BooleanType()), T.StructField("gone", T.BooleanType()), T.StructField("target_at", T.LongType())])
+    matched = ordered.mapInArrow(_match, shape)
+    found = matched
+    if crowded:
+        matched = written(matched)
+        found = matched.filter("row is not null")
+    found = found.select(*[F.col(c) if c in KEY else F.col(f"row.{c}").alias(c) for c in rows.columns], "beyond", "gone", "target_at")
+    if crowded:  # at most ``HOT`` keys
+        found = found.unionByName(rows.join(F.broadcast(matched.filter("row is null").drop("row")), KEY))
     reason = F.when(F.col("beyond") & F.col("gone"), "deleted").when(F.col("beyond"), "missing").when(F.col("target_at") > F.col("at"), "later")
     return found.withColumn("reason", reason).filter("reason is not null").drop("beyond", "gone")
 

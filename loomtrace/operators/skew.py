@@ -18,6 +18,20 @@ def hot_keys(counted: DataFrame, keys: Sequence[str], count: str, least: int = 2
     return counted.filter(F.col(count) >= least).orderBy(F.desc(count), *keys).limit(HOT).select(*keys)
 
 
+def crowded_values(values: DataFrame, least: int = 20_000) -> list[int]:
+    """The values of a bigint column that stand in at least ``least`` rows and in more than one in ``HOT`` of all: at most ``HOT``.
+
+    Candidates come from one pass of counters without a shuffle (every value above the share is among them), then they alone
+    are counted. What is crowded decides where rows go, never what comes out.
+    """
+    name = values.columns[0]
+    candidates = values.stat.freqItems([name], 1 / HOT).first()[0]
+    if not candidates:
+        return []
+    counted = values.filter(F.col(name).isin(candidates)).groupBy(name).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return [r[0] for r in counted.orderBy(F.desc("n"), name).limit(HOT).collect()]
+
+
 def salted_join(many: DataFrame, one: DataFrame, keys: Sequence[str], hot: DataFrame, how: str = "inner") -> DataFrame:
     """``many`` joined with ``one`` (unique in ``keys``) on equal ``keys``; rows of hot keys are spread over ``SALTS`` parts.
 

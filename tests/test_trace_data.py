@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from loomtrace.functions.ids import canonical, halves, reference, text_of
 from loomtrace.operators import entity_features as E
 from loomtrace.operators import hierarchy as H
-from loomtrace.functions.ids import halves
 from loomtrace.operators import orphans as O
 from loomtrace.operators import quantiles as Q
 from loomtrace.operators import skew
@@ -42,8 +41,7 @@ def orphan_rows(spark, refs, parents, deleted=()):
 
 
 def test_orphans_random(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT", 3)
-    monkeypatch.setattr(O, "hot_keys", lambda c, k, n: skew.hot_keys(c, k, n, least=5))
+    monkeypatch.setattr(O, "crowded_values", lambda v: skew.crowded_values(v, least=5))
     rng = random.Random(5)
     parents = [(rng.choice([rng.randrange(300), 65_530 + rng.randrange(20), -rng.randrange(9)]), rng.randrange(100)) for _ in range(400)]
     deleted = [rng.randrange(300) for _ in range(20)]
@@ -78,6 +76,14 @@ def test_orphans_over_many_batches(spark):
         spark.conf.set(batch, before)
 
 
+def test_orphans_of_crowded_keys(spark, monkeypatch):
+    monkeypatch.setattr(O, "crowded_values", lambda v: skew.crowded_values(v, least=50))
+    refs = [(f"m{i}", 7, i) for i in range(300)] + [(f"x{i}", 8, 1) for i in range(200)] + [(f"d{i}", 3, 1) for i in range(60)] + [(f"n{i}", 9, None) for i in range(60)] + [("a", 100, 1), ("b", 101, 1)]
+    assert len(skew.crowded_values(spark.createDataFrame([(k,) for _, k, _ in refs], "k long"), least=50)) == 4
+    want = [(f"m{i}", "later") for i in range(150)] + [(f"x{i}", "missing") for i in range(200)] + [(f"d{i}", "deleted") for i in range(60)] + [("b", "missing")]
+    assert orphan_rows(spark, refs, [(7, 150), (3, 0), (9, 5), (100, 1)], [3]) == sorted(want)
+
+
 def test_orphans_odd_cases(spark):
     assert orphan_rows(spark, [], [(1, 1)]) == []
     assert orphan_rows(spark, [("a", 1, 5), ("b", None, 5)], []) == [("a", "missing")]
