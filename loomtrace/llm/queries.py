@@ -1,14 +1,36 @@
-"""Queries of the operators over messages and documents (problems 4, 5, 7, 8 and 9) and their SQL where there is one."""
+"""Queries of the operators over messages and documents (problems 2, 4, 5, 7, 8 and 9) and their SQL where there is one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import conversations, packing, pii, spam, tokens
+from loomtrace.llm import conversations, packing, pii, quantiles, spam, tokens
 from loomtrace.sources.tables import load
 
 
+#: The percentiles of the reports.
+FRACTIONS = (0.01, 0.25, 0.5, 0.75, 0.9, 0.99)
+#: Leading binary digits kept in the bounded-error form: values are off by at most 2^-10.
+BITS = 10
+
+
+def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles (error bound 0) of the days' exact summaries put together."""
+    days = quantiles.summaries(quantiles.log_values(load(spark, d, "audit_events")))
+    return quantiles.multi_select(quantiles.combine(days), FRACTIONS)
+
+
+def p2_daily_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The form that combines: counts of value buckets per group and day."""
+    return quantiles.summaries(quantiles.log_values(load(spark, d, "audit_events")), BITS)
+
+
+def p2_combined(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles with bounds from the combined bounded-error summaries of all days."""
+    return quantiles.with_bounds(quantiles.multi_select(quantiles.combine(p2_daily_summary(spark, d)), FRACTIONS), BITS)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(load(spark, d, "turn_input_payloads"), load(spark, d, "audit_events"))[1]
 
@@ -51,7 +73,7 @@ def p9_features(spark: SparkSession, d: str) -> DataFrame:
     return spam.page_features(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_conversations, p5_found, p5_redacted, p7_ids, p8_windows, p8_fill, p9_found, p9_features)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily_summary, p2_combined, p4_found, p4_conversations, p5_found, p5_redacted, p7_ids, p8_windows, p8_fill, p9_found, p9_features)}
 
 _U = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 _REF = rf"lower(regexp_replace(event_id, '^\s*(?:urn:uuid:)?\s*(?:\{{\s*(?:urn:uuid:)?({_U})\s*\}}|({_U}))\s*$', '\1\2', 'i'))"
@@ -89,7 +111,33 @@ dropped AS (
     OR session_key IN (SELECT session_key FROM left_over WHERE role = 'unknown')
     OR session_key IN (SELECT session_key FROM per_turn WHERE opens <> 'user' OR (last_user IS NOT NULL AND coalesce(last_reply, -1) < last_user)))
 """
+def _name(column: str) -> str:
+    return f"coalesce(nullif(lower(trim({column})), ''), '(none)')"
+
+
+_VALUES = f"""
+WITH once AS (SELECT DISTINCT event_id, {_name('model')} AS model, {_name('tool_name')} AS tool_name,
+    CAST(occurred_at AT TIME ZONE 'UTC' AS DATE) AS day, elapsed_ms, total_tokens FROM audit_events),
+vals AS (
+  SELECT 'elapsed_ms' AS metric, 'model' AS dim, model AS grp, day, elapsed_ms AS value FROM once WHERE elapsed_ms IS NOT NULL
+  UNION ALL SELECT 'elapsed_ms', 'tool_name', tool_name, day, elapsed_ms FROM once WHERE elapsed_ms IS NOT NULL
+  UNION ALL SELECT 'total_tokens', 'model', model, day, total_tokens FROM once WHERE total_tokens IS NOT NULL
+  UNION ALL SELECT 'total_tokens', 'tool_name', tool_name, day, total_tokens FROM once WHERE total_tokens IS NOT NULL)
+"""
+_PERCENTILES = f"""{_VALUES},
+ranked AS (SELECT metric, dim, grp, value, row_number() OVER (PARTITION BY metric, dim, grp ORDER BY value) AS r, count(*) OVER (PARTITION BY metric, dim, grp) AS n FROM vals),
+exact AS (
+  SELECT metric, dim, grp, q, n, value FROM ranked, (SELECT unnest([{', '.join(map(str, FRACTIONS))}]) AS q)
+  WHERE r = greatest(1, CAST(ceil(round(CAST(q AS DOUBLE) * n, 6)) AS BIGINT)))
+"""
+_DROP = f"greatest(0, length(format('{{:b}}', abs(value))) - {BITS})"
+_LOW = f"(CASE WHEN value < 0 THEN -1 ELSE 1 END) * ((abs(value) >> CAST({_DROP} AS INTEGER)) << CAST({_DROP} AS INTEGER))"
+
 SQL = {
+    "p2_percentiles": f"{_PERCENTILES} SELECT metric, dim, grp, CAST(q AS DOUBLE) AS q, n, value FROM exact",
+    "p2_daily_summary": f"{_VALUES} SELECT metric, dim, grp, day, {_LOW} AS value, count(*) AS n FROM vals GROUP BY 1, 2, 3, 4, 5",
+    "p2_combined": f"{_PERCENTILES} SELECT metric, dim, grp, CAST(q AS DOUBLE) AS q, n, least(a, b) AS low, greatest(a, b) AS high, (least(a, b) + greatest(a, b)) / 2 AS estimate"
+    f" FROM (SELECT *, {_LOW} AS a, {_LOW} + (CASE WHEN value < 0 THEN -1 ELSE 1 END) * ((CAST(1 AS BIGINT) << CAST({_DROP} AS INTEGER)) - 1) AS b FROM exact)",
     "p4_found": f"{_PLACED} SELECT session_key FROM dropped",
     "p4_conversations": f"{_PLACED} SELECT session_key, position, turn_id, payload_id, role, content FROM left_over WHERE session_key NOT IN (SELECT session_key FROM dropped)",
 }
