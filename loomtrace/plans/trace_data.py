@@ -1,18 +1,13 @@
-"""Queries of the general data operators over the event log (problems 1, 2, 3 and 6) and their SQL."""
+"""Queries of the general data operators over the event log (problems 1, 3 and 6) and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.operators import entity_features, hierarchy, orphans, quantiles
+from loomtrace.operators import entity_features, hierarchy, orphans
 from loomtrace.sources.tables import load
 
-#: The percentiles of the reports.
-FRACTIONS = (0.01, 0.25, 0.5, 0.75, 0.9, 0.99)
-#: Leading binary digits kept in the bounded-error form: values are off by at most 2^-10.
-BITS = 10
-
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.log_orphans(load(spark, d, "audit_events"), load(spark, d, "node_relations"), load(spark, d, "tombstones"))
@@ -35,22 +30,6 @@ def p1_runs(spark: SparkSession, d: str) -> DataFrame:
     return orphans.sequence_runs(load(spark, d, "audit_events"))
 
 
-def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Exact percentiles (error bound 0) of the days' exact summaries put together."""
-    days = quantiles.summaries(quantiles.log_values(load(spark, d, "audit_events")))
-    return quantiles.multi_select(quantiles.combine(days), FRACTIONS)
-
-
-def p2_daily_summary(spark: SparkSession, d: str) -> DataFrame:
-    """The form that combines: counts of value buckets per group and day."""
-    return quantiles.summaries(quantiles.log_values(load(spark, d, "audit_events")), BITS)
-
-
-def p2_combined(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles with bounds from the combined bounded-error summaries of all days."""
-    return quantiles.with_bounds(quantiles.multi_select(quantiles.combine(p2_daily_summary(spark, d)), FRACTIONS), BITS)
-
-
 def p3_features(spark: SparkSession, d: str) -> DataFrame:
     return entity_features.run_features(load(spark, d, "audit_events"), load(spark, d, "event_type_catalog"))
 
@@ -76,7 +55,7 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(_runs(spark, d)).select(F.col("ancestor").alias("run_id"), F.col("id").alias("descendant_run_id"), "distance")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_weekly, p1_dense, p1_runs, p2_percentiles, p2_daily_summary, p2_combined, p3_features, p3_status_features, p6_found, p6_paths, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_weekly, p1_dense, p1_runs, p3_features, p3_status_features, p6_found, p6_paths, p6_descendants)}
 
 _U = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
@@ -106,28 +85,6 @@ orphans AS (
 """
 
 
-def _name(column: str) -> str:
-    return f"coalesce(nullif(lower(trim({column})), ''), '(none)')"
-
-
-_VALUES = f"""
-WITH once AS (SELECT DISTINCT event_id, {_name('model')} AS model, {_name('tool_name')} AS tool_name,
-    CAST(occurred_at AT TIME ZONE 'UTC' AS DATE) AS day, elapsed_ms, total_tokens FROM audit_events),
-vals AS (
-  SELECT 'elapsed_ms' AS metric, 'model' AS dim, model AS grp, day, elapsed_ms AS value FROM once WHERE elapsed_ms IS NOT NULL
-  UNION ALL SELECT 'elapsed_ms', 'tool_name', tool_name, day, elapsed_ms FROM once WHERE elapsed_ms IS NOT NULL
-  UNION ALL SELECT 'total_tokens', 'model', model, day, total_tokens FROM once WHERE total_tokens IS NOT NULL
-  UNION ALL SELECT 'total_tokens', 'tool_name', tool_name, day, total_tokens FROM once WHERE total_tokens IS NOT NULL)
-"""
-_PERCENTILES = f"""{_VALUES},
-ranked AS (SELECT metric, dim, grp, value, row_number() OVER (PARTITION BY metric, dim, grp ORDER BY value) AS r, count(*) OVER (PARTITION BY metric, dim, grp) AS n FROM vals),
-exact AS (
-  SELECT metric, dim, grp, q, n, value FROM ranked, (SELECT unnest([{', '.join(map(str, FRACTIONS))}]) AS q)
-  WHERE r = greatest(1, CAST(ceil(round(CAST(q AS DOUBLE) * n, 6)) AS BIGINT)))
-"""
-_DROP = f"greatest(0, length(format('{{:b}}', abs(value))) - {BITS})"
-_LOW = f"(CASE WHEN value < 0 THEN -1 ELSE 1 END) * ((abs(value) >> CAST({_DROP} AS INTEGER)) << CAST({_DROP} AS INTEGER))"
-
 # The 61 event types of the log, for the column names of the SQL only; the operator reads the catalog.
 EVENT_TYPES = (
     "audit_degraded audit_recovered cancel_requested checkpoint_cleared checkpoint_restored checkpoint_written continuation_requested "
@@ -188,10 +145,6 @@ WHERE e.segment_sequence > 1 AND (p.segment_id IS NULL OR p.seen > e.seen)""",
 WITH places AS (SELECT DISTINCT segment_id, segment_sequence AS s FROM audit_events WHERE segment_id IS NOT NULL AND segment_sequence IS NOT NULL),
 numbered AS (SELECT *, s - row_number() OVER (PARTITION BY segment_id, s >> 16 ORDER BY s) AS island FROM places)
 SELECT segment_id, min(s) AS first_sequence, max(s) AS last_sequence, count(*) AS n_places FROM numbered GROUP BY segment_id, s >> 16, island""",
-    "p2_percentiles": f"{_PERCENTILES} SELECT metric, dim, grp, CAST(q AS DOUBLE) AS q, n, value FROM exact",
-    "p2_daily_summary": f"{_VALUES} SELECT metric, dim, grp, day, {_LOW} AS value, count(*) AS n FROM vals GROUP BY 1, 2, 3, 4, 5",
-    "p2_combined": f"{_PERCENTILES} SELECT metric, dim, grp, CAST(q AS DOUBLE) AS q, n, least(a, b) AS low, greatest(a, b) AS high, (least(a, b) + greatest(a, b)) / 2 AS estimate"
-    f" FROM (SELECT *, {_LOW} AS a, {_LOW} + (CASE WHEN value < 0 THEN -1 ELSE 1 END) * ((CAST(1 AS BIGINT) << CAST({_DROP} AS INTEGER)) - 1) AS b FROM exact)",
     "p3_features": _feature_sql(),
     "p6_found": f"{_WALK} SELECT id AS run_id FROM ends WHERE status = 'cycle'",
     "p6_paths": f"{_WALK} SELECT id AS run_id, CASE WHEN status = 'tree' THEN at_id END AS root_run_id, CASE WHEN status = 'tree' THEN depth END AS depth,"

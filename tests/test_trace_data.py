@@ -1,9 +1,8 @@
-"""Orphans, percentiles, features and hierarchies against brute force on small tables, with their odd cases."""
+"""Orphans, features and hierarchies against brute force on small tables, with their odd cases."""
 
 from __future__ import annotations
 
 import datetime as dt
-import math
 import random
 from collections import defaultdict
 
@@ -14,7 +13,6 @@ from loomtrace.functions.ids import canonical, halves, reference, text_of
 from loomtrace.operators import entity_features as E
 from loomtrace.operators import hierarchy as H
 from loomtrace.operators import orphans as O
-from loomtrace.operators import quantiles as Q
 from loomtrace.operators import skew
 
 U = "019ca6b1-dc00-75ba-99b5-296b75fb65{:02x}".format
@@ -100,43 +98,6 @@ def test_runs_are_contiguous(spark):
     assert got == [(1, 3, 3, 10, 30), (7, 8, 2, 70, 80), (65_535, 65_535, 1, 655_350, 655_350), (65_536, 65_536, 1, 655_360, 655_360)]
 
 
-def values_frame(spark, rows):
-    return spark.createDataFrame(rows, "metric string, dim string, grp string, day date, value long")
-
-
-@pytest.mark.parametrize("gather,chunk", [(2_048, 16_384), (3, 7)])
-def test_percentiles_random(spark, monkeypatch, gather, chunk):
-    monkeypatch.setattr(Q, "GATHER", gather)
-    monkeypatch.setattr(Q, "CHUNK", chunk)
-    rng, days = random.Random(3), [dt.date(2026, 1, d) for d in (1, 2, 3)]
-    rows = [("m", "d", g, rng.choice(days), rng.choice([0, -1, rng.randrange(200), int(rng.lognormvariate(8, 3))])) for g, n in (("hot", 700), ("two", 2), ("one", 1)) for _ in range(n)]
-    rows += [("m", "d", "same", days[0], 5)] * 20 + [("m", "d", "nothing", days[0], None), ("m", "d", "edge", days[0], 2**62), ("m", "d", "edge", days[1], -(2**62))]
-    frames = [values_frame(spark, [r for r in rows if r[3] == d]) for d in days]
-    combined = Q.combine(*[Q.summaries(f) for f in frames])
-    fractions = (0.0, 0.01, 0.5, 0.9, 1.0)
-    got = {(r.grp, r.q): (r.n, r.value) for r in Q.multi_select(combined, fractions).collect()}
-    groups = defaultdict(list)
-    for r in rows:
-        if r[4] is not None:
-            groups[r[2]].append(r[4])
-    want = {(g, q): (len(v), sorted(v)[max(1, math.ceil(round(q * len(v), 6))) - 1]) for g, v in groups.items() for q in fractions}
-    assert got == want
-
-
-def test_percentile_bounds(spark):
-    rng, bits = random.Random(8), 6
-    values = sorted(int(rng.lognormvariate(9, 3)) * rng.choice([1, -1]) for _ in range(500))
-    frame = values_frame(spark, [("m", "d", "g", dt.date(2026, 1, 1), v) for v in values])
-    result = Q.with_bounds(Q.multi_select(Q.combine(Q.summaries(frame, bits)), (0.1, 0.5, 0.99)), bits)
-    for r in result.collect():
-        true = values[max(1, math.ceil(round(r.q * 500, 6))) - 1]
-        assert r.low <= true <= r.high and abs(r.estimate - true) <= max(0.5, abs(true) * 2**-bits)
-
-
-def test_percentiles_empty(spark):
-    assert Q.multi_select(Q.combine(Q.summaries(values_frame(spark, []))), (0.5,)).count() == 0
-
-
 LOG = "event_id string, event_type string, run_id string, status string, occurred_at timestamp, elapsed_ms long, total_tokens long, n string"
 
 
