@@ -18,17 +18,10 @@ from pyspark.sql import types as T
 
 from loomtrace.functions.ids import canonical
 
-# The statuses an event of the log can carry.
-STATUSES = (
-    "accepted_by_adapter", "blocked", "cancelled", "clean", "error", "exhausted", "failed", "interrupted", "ok",
-    "response_prepared", "returned", "succeeded", "timeout",
-)
-#: Slots after the known statuses: no status at all, and any status not listed.
-EXTRA = ("none", "other")
 #: The type under which event types that no catalog lists are counted.
 UNLISTED = "unlisted"
-#: Entities in a dense block.
-BLOCK = 1_024
+#: Cells (entities x types x statuses) of a dense block.
+CELLS = 1_000_000
 #: A catalog may list so many types; they become columns.
 MAX_TYPES = 2_000
 #: So many statuses may occur; they become slots of arrays.
@@ -68,30 +61,24 @@ def cells(events: DataFrame) -> DataFrame:
     return once.groupBy("run_id", "event_type", "status").agg(F.count("*").alias("n"), F.max("at").alias("last_at"), total("elapsed_ms"), total("total_tokens"))
 
 
-#: Prefixes of the arrays by status slot beside the counts, and the types of their elements.
-BY_STATUS = {"status_last": T.TimestampType(), "status_elapsed_ms": T.LongType(), "status_total_tokens": T.LongType()}
+#: Prefixes of the arrays by status slot and the types of their elements; times as microseconds since 1970, null where none.
+BY_STATUS = {"statuses": T.IntegerType(), "status_last": T.LongType(), "status_elapsed_ms": T.LongType(), "status_total_tokens": T.LongType()}
 
 
-def schema(types: Sequence[str], by_status: bool = False) -> T.StructType:
-    """run_id, n_events, last_at, then per type ``n_, last_, elapsed_ms_, total_tokens_`` and ``statuses_`` (one count per slot).
-
-    With ``by_status`` the names of the slots (``status_slots``) and per type the arrays of ``BY_STATUS`` too.
-    """
-    fields = [T.StructField("run_id", T.StringType()), T.StructField("n_events", T.LongType()), T.StructField("last_at", T.TimestampType())]
-    if by_status:
-        fields += [T.StructField("status_slots", T.ArrayType(T.StringType()))]
+def schema(types: Sequence[str]) -> T.StructType:
+    """run_id, n_events, last_at, ``status_slots`` (the names of the slots), then per type ``n_, last_, elapsed_ms_, total_tokens_``
+    and by status slot ``statuses_`` (counts) and the arrays of ``BY_STATUS``."""
+    fields = [T.StructField("run_id", T.StringType()), T.StructField("n_events", T.LongType()), T.StructField("last_at", T.TimestampType()), T.StructField("status_slots", T.ArrayType(T.StringType()))]
     for t in types:
         fields += [T.StructField(f"n_{t}", T.LongType()), T.StructField(f"last_{t}", T.TimestampType()), T.StructField(f"elapsed_ms_{t}", T.LongType()), T.StructField(f"total_tokens_{t}", T.LongType())]
-        fields += [T.StructField(f"statuses_{t}", T.ArrayType(T.IntegerType()))]
-        if by_status:
-            fields += [T.StructField(f"{p}_{t}", T.ArrayType(kind)) for p, kind in BY_STATUS.items()]
+        fields += [T.StructField(f"{p}_{t}", T.ArrayType(kind)) for p, kind in BY_STATUS.items()]
     return T.StructType(fields)
 
 
-def _dense(types: Sequence[str], slots: Sequence[str], by_status: bool = False):
+def _dense(types: Sequence[str], slots: Sequence[str]):
     n_t, n_s = len(types), len(slots)
-    # More slots, fewer entities in a block: its size stays.
-    entities = max(1, BLOCK * (len(STATUSES) + len(EXTRA)) // max(n_s, len(STATUSES) + len(EXTRA)))
+    # More columns, fewer entities in a block: its size stays.
+    entities = max(1, CELLS // (n_t * n_s))
     known_types, known_slots = pa.array(types), pa.array(slots)
 
     def block(table: pa.Table) -> pa.RecordBatch:
@@ -127,17 +114,14 @@ def _dense(types: Sequence[str], slots: Sequence[str], by_status: bool = False):
         last = latest(cell, n_t).reshape(n_e, n_t)
         utc = pa.timestamp("us", "UTC")
         moment = lambda v: pa.array(v, mask=v == never).cast(utc)
-        columns = [names, pa.array(counts.sum(1)), moment(last.max(1))]
+        slot_last, slot_elapsed, slot_tokens = by_slot(latest(place, n_t * n_s)), *(by_slot(add(place, n_t * n_s, of[c])) for c in ("elapsed_ms", "total_tokens"))
         offsets = pa.array(np.arange(n_e + 1, dtype=np.int32) * n_s)
-        if by_status:
-            slot_last, slot_elapsed, slot_tokens = by_slot(latest(place, n_t * n_s)), *(by_slot(add(place, n_t * n_s, of[c])) for c in ("elapsed_ms", "total_tokens"))
-            columns += [pa.ListArray.from_arrays(offsets, pa.array(list(slots) * n_e, pa.string()))]
+        columns = [names, pa.array(counts.sum(1)), moment(last.max(1)), pa.ListArray.from_arrays(offsets, pa.array(list(slots) * n_e, pa.string()))]
         for j in range(n_t):
             columns += [pa.array(counts[:, j]), moment(np.ascontiguousarray(last[:, j])), pa.array(elapsed[:, j]), pa.array(tokens[:, j])]
-            columns += [pa.ListArray.from_arrays(offsets, pa.array(slot_counts[j]))]
-            if by_status:
-                columns += [pa.ListArray.from_arrays(offsets, v) for v in (moment(slot_last[j]), pa.array(slot_elapsed[j]), pa.array(slot_tokens[j]))]
-        return pa.RecordBatch.from_arrays(columns, schema(types, by_status).names)
+            by_slots = (pa.array(slot_counts[j]), pa.array(slot_last[j], mask=slot_last[j] == never), pa.array(slot_elapsed[j]), pa.array(slot_tokens[j]))
+            columns += [pa.ListArray.from_arrays(offsets, v) for v in by_slots]
+        return pa.RecordBatch.from_arrays(columns, schema(types).names)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -163,23 +147,13 @@ def pd_isnull(values: np.ndarray) -> np.ndarray:
     return np.isnan(values) if values.dtype.kind == "f" else np.zeros(len(values), bool)
 
 
-def run_features(events: DataFrame, catalog: DataFrame, statuses: Sequence[str] = STATUSES) -> DataFrame:
+def run_features(events: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row per run with the columns of :func:`schema`.
 
     Types of the catalog that a run never saw have counts and totals 0 and recency null; types that no catalog lists share
-    ``unlisted``. ``statuses_<type>`` counts by ``statuses``, then ``none`` and ``other``. No events: no rows.
-    """
-    types = catalog_types(catalog)
-    bucketed = cells(events).repartition("run_id").sortWithinPartitions("run_id")
-    return bucketed.mapInArrow(_dense(types, [*statuses, *EXTRA]), schema(types))
-
-
-def run_status_features(events: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The rows of :func:`run_features`, with recency and totals by status too, for every status that occurs.
-
-    ``status_slots`` names the statuses: those of the data, none of them in a common slot. Beside ``statuses_<type>`` stand
-    ``status_last_<type>``, ``status_elapsed_ms_<type>`` and ``status_total_tokens_<type>`` in the same order.
+    ``unlisted``. ``status_slots`` names the statuses that occur in the data, sorted, and last ``none`` for events without one;
+    the arrays by status stand in that order. No events: no rows.
     """
     types, slots = catalog_types(catalog), occurring_statuses(events)
     bucketed = cells(events).repartition("run_id").sortWithinPartitions("run_id")
-    return bucketed.mapInArrow(_dense(types, slots, by_status=True), schema(types, by_status=True))
+    return bucketed.mapInArrow(_dense(types, slots), schema(types))

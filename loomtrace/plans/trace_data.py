@@ -34,10 +34,6 @@ def p3_features(spark: SparkSession, d: str) -> DataFrame:
     return entity_features.run_features(load(spark, d, "audit_events"), load(spark, d, "event_type_catalog"))
 
 
-def p3_status_features(spark: SparkSession, d: str) -> DataFrame:
-    return entity_features.run_status_features(load(spark, d, "audit_events"), load(spark, d, "event_type_catalog"))
-
-
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.run_hierarchy(load(spark, d, "audit_events"))
 
@@ -55,7 +51,7 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(_runs(spark, d)).select(F.col("ancestor").alias("run_id"), F.col("id").alias("descendant_run_id"), "distance")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_weekly, p1_dense, p1_runs, p3_features, p3_status_features, p6_found, p6_paths, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_weekly, p1_dense, p1_runs, p3_features, p6_found, p6_paths, p6_descendants)}
 
 _U = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
@@ -102,18 +98,21 @@ EVENT_TYPES = (
 
 def _feature_sql() -> str:
     listed = ", ".join(f"'{t}'" for t in EVENT_TYPES)
-    slots = ", ".join(f"'{s}'" for s in entity_features.STATUSES)
     parts = []
     for t in [*EVENT_TYPES, entity_features.UNLISTED]:
-        where = f"FILTER (WHERE t = '{t}')"
-        parts += [f"count(*) {where} AS n_{t}", f"max(seen) {where} AS last_{t}", f"CAST(coalesce(sum(ms) {where}, 0) AS BIGINT) AS elapsed_ms_{t}", f"CAST(coalesce(sum(tok) {where}, 0) AS BIGINT) AS total_tokens_{t}"]
-        counts = ", ".join(f"CAST(count(*) FILTER (WHERE t = '{t}' AND s = '{s}') AS INTEGER)" for s in [*entity_features.STATUSES, *entity_features.EXTRA])
-        parts.append(f"[{counts}] AS statuses_{t}")
+        of = lambda c: f"any_value({c}) FILTER (WHERE t = '{t}')"  # noqa: B023, E731
+        parts += [f"coalesce({of('n')}, 0) AS n_{t}", f"{of('seen')} AS last_{t}", f"coalesce({of('ms')}, 0) AS elapsed_ms_{t}", f"coalesce({of('tok')}, 0) AS total_tokens_{t}"]
+        slot = lambda c, none, kind: f"list_transform(slots, lambda x: coalesce(CAST({of('by_status')}[x].{c} AS {kind}), {none}))"  # noqa: B023, E731
+        parts += [f"{slot('n', 0, 'INTEGER')} AS statuses_{t}", f"{slot('seen', 'NULL', 'BIGINT')} AS status_last_{t}", f"{slot('ms', 0, 'BIGINT')} AS status_elapsed_ms_{t}", f"{slot('tok', 0, 'BIGINT')} AS status_total_tokens_{t}"]
     return f"""
-WITH once AS (SELECT DISTINCT event_id, coalesce({_ref('run_id')}, trim(run_id)) AS run_id, lower(trim(event_type)) AS et, coalesce(nullif(lower(trim(status)), ''), 'none') AS st,
+WITH once AS (SELECT DISTINCT event_id, coalesce({_ref('run_id')}, trim(run_id)) AS run_id, lower(trim(event_type)) AS et, coalesce(nullif(lower(trim(status)), ''), 'none') AS s,
     occurred_at AT TIME ZONE 'UTC' AS seen, greatest(coalesce(elapsed_ms, 0), 0) AS ms, greatest(coalesce(total_tokens, 0), 0) AS tok FROM audit_events WHERE run_id IS NOT NULL),
-typed AS (SELECT *, CASE WHEN et IN ({listed}) THEN et ELSE '{entity_features.UNLISTED}' END AS t, CASE WHEN st IN ({slots}, 'none') THEN st ELSE 'other' END AS s FROM once)
-SELECT run_id, count(*) AS n_events, max(seen) AS last_at, {', '.join(parts)} FROM typed GROUP BY run_id"""
+named AS (SELECT list_append(coalesce(list(s ORDER BY s) FILTER (WHERE s <> 'none'), []), 'none') AS slots FROM (SELECT DISTINCT s FROM once)),
+typed AS (SELECT *, CASE WHEN et IN ({listed}) THEN et ELSE '{entity_features.UNLISTED}' END AS t FROM once),
+cells AS (SELECT run_id, t, s, count(*) AS n, max(seen) AS seen, sum(ms) AS ms, sum(tok) AS tok FROM typed GROUP BY 1, 2, 3),
+kinds AS (SELECT run_id, t, CAST(sum(n) AS BIGINT) AS n, max(seen) AS seen, CAST(sum(ms) AS BIGINT) AS ms, CAST(sum(tok) AS BIGINT) AS tok,
+    map_from_entries(list((s, struct_pack(n := n, seen := epoch_us(seen), ms := ms, tok := tok)))) AS by_status FROM cells GROUP BY 1, 2)
+SELECT run_id, CAST(sum(n) AS BIGINT) AS n_events, max(seen) AS last_at, any_value(slots) AS status_slots, {', '.join(parts)} FROM kinds, named GROUP BY run_id, slots"""
 
 
 _WALK = f"""

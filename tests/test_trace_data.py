@@ -102,7 +102,7 @@ LOG = "event_id string, event_type string, run_id string, status string, occurre
 
 
 def test_features(spark, monkeypatch):
-    monkeypatch.setattr(E, "BLOCK", 2)
+    monkeypatch.setattr(E, "CELLS", 2 * 4 * 4)
     t = [dt.datetime(2026, 1, 1, 0, i) for i in range(9)]
     rows = [
         ("e1", "a", "r1", "ok", t[1], 5, None, "x"), ("e1", "a", "r1", "ok", t[1], 5, None, "x"), ("e2", " A", "r1", "OK ", t[3], -1, 7, None), ("e3", "b", "r1", None, t[2], None, 3, "x"),
@@ -115,30 +115,32 @@ def test_features(spark, monkeypatch):
     one, two = got["r1"], got["r2"]
     assert (one.n_events, one.n_a, one.n_b, one.n_never, one.n_unlisted) == (3, 2, 1, 0, 0)
     assert (one.last_a, one.last_at, one.last_never, one.elapsed_ms_a, one.total_tokens_a) == (t[3], t[3], None, 5, 7)
-    slots = [*E.STATUSES, *E.EXTRA]
+    slots = one.status_slots
+    assert slots == ["failed", "odd", "ok", "none"]
     assert one.statuses_a[slots.index("ok")] == 2 and sum(one.statuses_a) == 2 and one.statuses_b[slots.index("none")] == 1
     assert (two.n_unlisted, two.elapsed_ms_unlisted, two.total_tokens_unlisted, two.last_unlisted) == (2, 2**41, 2**40 + 1, t[4])
-    assert two.statuses_unlisted[slots.index("other")] == 1 and two.statuses_unlisted[slots.index("none")] == 1
+    assert two.statuses_unlisted[slots.index("odd")] == 1 and two.statuses_unlisted[slots.index("none")] == 1
     assert E.run_features(spark.createDataFrame([], LOG), catalog).count() == 0
 
 
 def test_features_by_status(spark, monkeypatch):
-    monkeypatch.setattr(E, "BLOCK", 2)
+    monkeypatch.setattr(E, "CELLS", 2 * 4 * 4)
     t = [dt.datetime(2026, 1, 1, 0, i) for i in range(9)]
+    us = [int(x.timestamp()) * 1_000_000 for x in t]
     rows = [
         ("e1", "a", "r1", "ok", t[1], 5, 1, "x"), ("e1", "a", "r1", "ok", t[1], 5, 1, "x"), ("e2", "a", "r1", " OK", t[4], 2, -7, "x"), ("e3", "a", "r1", "failed", t[3], 2**40, 2, "x"), ("e4", "a", "r1", "odd", t[2], 7, 4, "x"),
         ("e5", "a", "r1", "strange", None, 1, 2**40, "x"), ("e6", "a", "r1", None, t[5], None, 8, "x"), ("e7", "zz", "r2", "ok", t[6], 3, 9, "x"), ("e8", "a", "r3", "ok", t[7], 3, 9, "x"), ("e9", "a", None, "unrun", t[8], 3, 9, "x"),
     ]
     events, catalog = spark.createDataFrame(rows, LOG), spark.createDataFrame([("a",), ("never",)], "event_type string")
-    got = {r.run_id: r for r in E.run_status_features(events, catalog).collect()}
+    got = {r.run_id: r for r in E.run_features(events, catalog).collect()}
     one = got["r1"]
     assert sorted(got) == ["r1", "r2", "r3"] and one.status_slots == ["failed", "odd", "ok", "strange", "none"]
-    assert one.statuses_a == [1, 1, 2, 1, 1] and one.status_last_a == [t[3], t[2], t[4], None, t[5]]
+    assert one.statuses_a == [1, 1, 2, 1, 1] and one.status_last_a == [us[3], us[2], us[4], None, us[5]]
     assert one.status_elapsed_ms_a == [2**40, 7, 7, 1, 0] and one.status_total_tokens_a == [2, 4, 1, 2**40, 8]
     assert (one.n_a, one.last_a, one.elapsed_ms_a) == (6, t[5], 2**40 + 15)
     assert one.statuses_never == one.status_elapsed_ms_never == one.status_total_tokens_never == [0] * 5 and one.status_last_never == [None] * 5
-    assert got["r2"].status_last_unlisted == [None, None, t[6], None, None] and got["r2"].status_total_tokens_unlisted == [0, 0, 9, 0, 0]
-    assert E.run_status_features(spark.createDataFrame([], LOG), catalog).count() == 0
+    assert got["r2"].status_last_unlisted == [None, None, us[6], None, None] and got["r2"].status_total_tokens_unlisted == [0, 0, 9, 0, 0]
+    assert E.run_features(spark.createDataFrame([], LOG), catalog).count() == 0
 
 
 def brute(links):
