@@ -33,16 +33,19 @@ def _by_hash(node: Column) -> Column:
 def double_pointers(state: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Follow ``id -> cur`` by doubling until ``done``; returns finished rows and those that never finish (or None).
 
-    state: ``id, cur, seg (array of ids from id to before cur), done``. A row that isn't done must point at an existing id.
+    state: ``id, cur, done`` and, if the ways are wanted, ``seg`` (array of ids from id to before cur). A row that isn't done
+    must point at an existing id.
     In every round an unfinished row jumps over the stretch of the row it points at. Walks are closed under suffixes, so a
     round in which the number of unfinished rows stays the same leaves only walks without an end.
     """
     state = written(state)
     finished, active = [state.filter("done")], state.filter("not done")
     last, n = -1, active.count()
+    ways = "seg" in state.columns
+    more, joined = ([F.col("seg").alias("more")], [F.concat("seg", "more").alias("seg")]) if ways else ([], [])
     while n not in (0, last):
-        table = reduce(DataFrame.unionByName, finished, active).select(F.col("id").alias("cur"), F.col("cur").alias("next"), F.col("seg").alias("more"), F.col("done").alias("ended"))
-        hop = active.drop("done").join(table, "cur").select("id", F.col("next").alias("cur"), F.concat("seg", "more").alias("seg"), F.col("ended").alias("done"))
+        table = reduce(DataFrame.unionByName, finished, active).select(F.col("id").alias("cur"), F.col("cur").alias("next"), *more, F.col("done").alias("ended"))
+        hop = active.drop("done").join(table, "cur").select("id", F.col("next").alias("cur"), *joined, F.col("ended").alias("done"))
         hop = written(hop)
         finished.append(hop.filter("done"))
         active, last = hop.filter("not done"), n
@@ -65,13 +68,8 @@ def endless(active: DataFrame) -> DataFrame:
         jump = written(jump.join(jump.select(F.col("id").alias("cur"), F.col("cur").alias("next")), "cur").select("id", F.col("next").alias("cur")))
 
 
-def solve_hierarchy(links: DataFrame) -> DataFrame:
-    """``id, root, depth, path, status`` of every node of ``links`` (``id`` string, ``parent`` string or null).
-
-    status is ``tree``, ``cycle`` (the node lies on one, a node that is its own parent included) or ``below_cycle``. For the
-    latter two root, depth and path are null. path runs from the root to the node; a root has depth 0. A parent that is no
-    id ends the path. Rows with a null id are left out; an id in several rows takes its smallest parent. No rows: no rows.
-    """
+def _walks(links: DataFrame) -> tuple[DataFrame, DataFrame | None, Column]:
+    """Every node's way ``id, cur, seg, done`` to its next splitter or root, the ways without an end, and what a splitter ``id`` is."""
     nodes = links.filter("id is not null").groupBy("id").agg(F.min("parent").alias("parent"))
     nodes = written(nodes)
     kids = nodes.filter("parent is not null").groupBy("parent").agg(F.count("*").alias("n_children"))
@@ -82,10 +80,36 @@ def solve_hierarchy(links: DataFrame) -> DataFrame:
     cur = F.when(F.col("exists"), F.col("parent"))
     splits = lambda c: _by_hash(c) | c.isin(hubs) if hubs else _by_hash(c)
     state = valid.select("id", cur.alias("cur"), F.array("id").alias("seg"), (cur.isNull() | splits(cur)).alias("done"))
-    walked, lost = double_pointers(state)
+    return *double_pointers(state), splits(F.col("id"))
+
+
+def cycle_nodes(links: DataFrame) -> DataFrame:
+    """The ``id`` of every node on a cycle, as :func:`solve_hierarchy` tells them, from pointers alone: no path is built.
 
+    Only the stretches between splitters, of a few ids each, are kept; the graph of splitters is solved without them.
+    """
+    walked, lost, is_splitter = _walks(links)
+    reduced = walked.filter(is_splitter).select("id", "cur", F.col("cur").isNull().alias("done"))
+    if lost is not None:  # these end in a splitterless cycle
+        reduced = reduced.unionByName(lost.filter(is_splitter).select("id", F.lit(None).cast("string").alias("cur"), F.lit(True).alias("done")))
+    circling = double_pointers(reduced)[1]
+    parts = []
+    if circling is not None:
+        parts.append(walked.join(endless(circling), "id", "left_semi").select(F.explode("seg").alias("id")))
+    if lost is not None:
+        parts.append(endless(lost))
+    return reduce(DataFrame.unionByName, parts).distinct() if parts else walked.select("id").limit(0)
+
+
+def solve_hierarchy(links: DataFrame) -> DataFrame:
+    """``id, root, depth, path, status`` of every node of ``links`` (``id`` string, ``parent`` string or null).
+
+    status is ``tree``, ``cycle`` (the node lies on one, a node that is its own parent included) or ``below_cycle``. For the
+    latter two root, depth and path are null. path runs from the root to the node; a root has depth 0. A parent that is no
+    id ends the path. Rows with a null id are left out; an id in several rows takes its smallest parent. No rows: no rows.
+    """
+    walked, lost, is_splitter = _walks(links)
     # The reduced graph: splitters only, each pointing at the next one.
-    is_splitter = splits(F.col("id"))
     reduced = walked.filter(is_splitter).withColumn("done", F.col("cur").isNull())
     doomed = None
     if lost is not None:  # splitters whose walk ends in a splitterless cycle

@@ -39,7 +39,7 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _runs(spark, d).filter("status = 'cycle'").select(F.col("id").alias("run_id"))
+    return hierarchy.cycle_nodes(hierarchy.run_links(load(spark, d, "audit_events"))).select(F.col("id").alias("run_id"))
 
 
 def p6_paths(spark: SparkSession, d: str) -> DataFrame:

@@ -175,6 +175,7 @@ def test_hierarchy_random(spark, monkeypatch, seed, spacing, hub):
     rows = H.with_descendant_counts(solved).collect()
     want = brute(links)
     assert {r.id: (r.root, r.depth, r.path, r.status) for r in rows} == want and len(rows) == len(want)
+    assert sorted(r.id for r in H.cycle_nodes(spark.createDataFrame(links, "id string, parent string")).collect()) == sorted(i for i, v in want.items() if v[3] == "cycle")
     below = defaultdict(int)
     for root, depth, path, status in want.values():
         for a in (path or [])[:-1]:
@@ -185,6 +186,7 @@ def test_hierarchy_random(spark, monkeypatch, seed, spacing, hub):
 
 
 def test_hierarchy_empty(spark):
+    assert H.cycle_nodes(spark.createDataFrame([], "id string, parent string")).count() == 0
     assert H.solve_hierarchy(spark.createDataFrame([], "id string, parent string")).count() == 0
 
 
