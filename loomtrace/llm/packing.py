@@ -1,8 +1,9 @@
 """Filling windows of fixed capacity with texts of varying length.
 
 Method: swap-based local search. Texts longer than a window are cut into whole windows and a rest; rests and short texts are
-placed largest first into the fullest window that takes them; then the emptiest windows are emptied: a text moves to
-another underfull window, is exchanged for a smaller one, or two texts for one, whenever the sum of squared fills grows.
+first put into windows in the order in which they come, then emptied windows are what the search makes: a text moves from one
+underfull window to another, is exchanged for a smaller one, two texts are exchanged for one or one for two, whenever the sum of
+squared fills grows, until no such step is left or the windows are as few as their tokens allow.
 
 Scale: texts are hash-spread into blocks of about ``BLOCK`` pieces which are packed apart, in one pass over (id, size) rows; a
 block wastes at most its last windows, less than one in a thousand. Nothing is gathered beyond a block.
@@ -23,128 +24,168 @@ from loomtrace.session import written
 CAPACITY = 2_048
 #: Pieces packed together.
 BLOCK = 20_000
-#: Improving steps of the local search in a block, at most.
-STEPS = 2_000
-#: Bins that can't be emptied further, after which a block is left.
-STUCK = 16
 
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> np.ndarray:
-    """The bin of each item (0 <= size <= capacity), bins numbered from 0."""
-    bins: list[list[int]] = []
-    fill: list[int] = []
-    by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
-    some = 0  # bit f is set if a bin with free room f exists
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        size = int(sizes[i])
-        fits = some >> size
-        if fits:
-            free = size + (fits & -fits).bit_length() - 1
-            b = by_free[free].pop()
-            if not by_free[free]:
-                some &= ~(1 << free)
-            bins[b].append(i)
-            fill[b] += size
-        else:
-            b, free = len(bins), capacity
-            bins.append([i])
-            fill.append(size)
-        left = capacity - fill[b]
-        by_free[left].append(b)
-        some |= 1 << left
+def in_order(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """The bin of each item if bins are filled in the order of arrival: the start of the search."""
     bin_of = np.empty(len(sizes), np.int64)
-    for b, items in enumerate(bins):
-        bin_of[items] = b
-    _improve(bin_of, np.array(fill, np.int64), np.asarray(sizes, np.int64), capacity, steps)
-    return np.unique(bin_of, return_inverse=True)[1]
-
-
-def _improve(bin_of: np.ndarray, fill: np.ndarray, sizes: np.ndarray, capacity: int, steps: int) -> None:
-    """Local search in place. Every step moves room into the emptiest bin, so the sum of squared fills grows and it ends."""
-    least = -(-int(sizes.sum()) // capacity)
-    order = np.argsort(bin_of, kind="stable")
-    pairs = [(order[:-d], order[d:]) for d in (1, 2)]
-    first, second = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-    stuck: set[int] = set()
-    used = int((fill > 0).sum())
-    while steps > 0 and used > least and len(stuck) < STUCK:
-        open_bins = np.flatnonzero(fill > 0)
-        b = next((int(x) for x in open_bins[np.argsort(fill[open_bins], kind="stable")][: STUCK + 1] if int(x) not in stuck), None)
-        if b is None or fill[b] >= capacity:
-            return
-        while steps > 0 and fill[b] > 0:
-            if not _relieve(b, bin_of, fill, sizes, capacity, first, second):
-                stuck.add(b)
+    b = fill = 0
+    for i, size in enumerate(sizes.tolist()):
+        if fill + size > capacity:
+            b, fill = b + 1, 0
+        bin_of[i] = b
+        fill += size
+    return bin_of
+
+
+def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """The bin of each item (0 <= size <= capacity), bins numbered from 0."""
+    if not len(sizes):
+        return np.empty(0, np.int64)
+    search = Search(sizes, in_order(sizes, capacity), capacity)
+    search.run()
+    return np.unique(search.bin_of, return_inverse=True)[1]
+
+
+class Search:
+    """Items in bins, and the steps by which room gathers in few of them. Every step raises the sum of squared fills, so it ends."""
+
+    def __init__(self, sizes: np.ndarray, bin_of: np.ndarray, capacity: int):
+        self.sizes, self.bin_of, self.capacity = np.asarray(sizes, np.int64), np.asarray(bin_of, np.int64).copy(), capacity
+        n = int(self.bin_of.max()) + 1
+        self.items: list[list[int]] = [[] for _ in range(n)]
+        for i, b in enumerate(self.bin_of.tolist()):
+            self.items[b].append(i)
+        self.fill = np.bincount(self.bin_of, self.sizes, n).astype(np.int64)
+        #: The step that changed a bin last, and the step up to which a bin was found to have no further step.
+        self.changed, self.settled = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        self.step = 0
+
+    def run(self) -> None:
+        """Steps from the emptiest bin on, until no bin has any."""
+        least, used = -(-int(self.sizes.sum()) // self.capacity), int((self.fill > 0).sum())
+        moved = True
+        while used > least and moved:
+            moved = False
+            underfull = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+            for b in underfull[np.argsort(self.fill[underfull], kind="stable")].tolist():
+                moved |= self._relieve(b)
+                if not self.fill[b]:
+                    used -= 1
+                    break  # the next emptiest first
+
+    def _relieve(self, b: int) -> bool:
+        """Steps that move room into bin ``b``, until it is empty or has none left; whether there was any."""
+        any_step = False
+        while self.fill[b] > 0:
+            # A bin without steps that did not change since needs a look at the bins that did, only.
+            since = self.settled[b] + 1 if self.settled[b] >= self.changed[b] else 0
+            now = self.step
+            if not self._step(b, int(since)):
+                self.settled[b] = now
+                break
+            any_step = True
+        return any_step
+
+    def _shift(self, b: int, out: list[int], c: int, back: list[int]) -> None:
+        self.step += 1
+        for a, z, some in ((b, c, out), (c, b, back)):
+            for i in some:
+                self.items[a].remove(i)
+                self.items[z].append(i)
+            self.bin_of[some] = z
+        gain = int(self.sizes[out].sum() - self.sizes[back].sum())
+        self.fill[b] -= gain
+        self.fill[c] += gain
+        self.changed[[b, c]] = self.step
+
+    def _step(self, b: int, since: int) -> bool:
+        """Improving steps between ``b`` and bins changed at step ``since`` or later; False if there is none."""
+        sizes, fill = self.sizes, self.fill
+        own = np.array(sorted(self.items[b], key=lambda i: -sizes[i]), np.int64)
+        room = np.where((fill > 0) & (self.changed >= since), self.capacity - fill, 0)
+        room[b] = 0
+        # Squares grow if what moves is more than what the other bin lacks.
+        lack = np.maximum(fill[b] - fill, 0)
+        most = int(room.max())
+        if not most:
+            return False
+        for i in own[sizes[own] <= most].tolist():  # move into the tightest bin that takes it
+            fits = np.flatnonzero((room >= sizes[i]) & (lack < sizes[i]))
+            if len(fits):
+                self._shift(b, [i], int(fits[np.argmin(room[fits])]), [])
+                return True
+        there = np.flatnonzero(room[self.bin_of] > 0) if not since else np.array([j for c in np.flatnonzero(room).tolist() for j in self.items[c]], np.int64)
+        bins = self.bin_of[there]
+
+        def gains(out: np.ndarray, back: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            gain = out[:, None] - back[None, :]
+            gain[(gain > room[of]) | (gain <= lack[of])] = 0
+            best = gain.argmax(1)
+            return best, gain[np.arange(len(out)), best]
+
+        # One for one: of every own item the best exchange, with different bins.
+        best, gain = gains(sizes[own], sizes[there], bins)
+        met: set[int] = set()
+        for o in np.argsort(-gain, kind="stable").tolist():
+            c = int(bins[best[o]])
+            if gain[o] > 0 and c not in met and gain[o] > self.fill[b] - self.fill[c]:
+                self._shift(b, [int(own[o])], c, [int(there[best[o]])])
+                met.add(c)
+        if met:
+            return True
+        x, y = np.triu_indices(len(own), 1)
+        for part in range(0, len(x), 256):  # two for one
+            first, second = own[x[part : part + 256]], own[y[part : part + 256]]
+            best, gain = gains(sizes[first] + sizes[second], sizes[there], bins)
+            o = int(gain.argmax())
+            if gain[o] > 0:
+                self._shift(b, [int(first[o]), int(second[o])], int(bins[best[o]]), [int(there[best[o]])])
+                return True
+        # One for two: all pairs of items that share a bin now, those a given distance apart together.
+        there = there[np.argsort(bins, kind="stable")]
+        for apart in range(1, len(there)):
+            same = np.flatnonzero(self.bin_of[there[apart:]] == self.bin_of[there[:-apart]])
+            if not len(same):
                 break
-            steps -= 1
-        used -= int(fill[b] == 0)
-
-
-def _relieve(b: int, bin_of: np.ndarray, fill: np.ndarray, sizes: np.ndarray, capacity: int, first: np.ndarray, second: np.ndarray) -> bool:
-    """One step that makes bin ``b`` emptier in favour of a bin at least as full; False if there is none."""
-    own = np.flatnonzero(bin_of == b)
-    own = own[np.argsort(-sizes[own], kind="stable")]
-    room = np.where((fill >= fill[b]) & (fill < capacity), capacity - fill, -1)
-    room[b] = -1
-
-    def shift(out: list[int], back: list[int], c: int) -> bool:
-        gain = int(sizes[out].sum() - sizes[back].sum())
-        bin_of[out], bin_of[back] = c, b
-        fill[c] += gain
-        fill[b] -= gain
-        return True
-
-    for i in own:  # move into the tightest bin that takes it
-        fits = np.flatnonzero(room >= sizes[i])
-        if len(fits):
-            return shift([i], [], int(fits[np.argmin(room[fits])]))
-    at_item, at_pair = room[bin_of], np.where(bin_of[first] == bin_of[second], room[bin_of[first]], -1)
-    pair_sizes = sizes[first] + sizes[second]
-    best: tuple[int, list[int], list[int], int] = (0, [], [], -1)
-
-    def consider(out: list[int], size: int, there: np.ndarray, free: np.ndarray, items: tuple[np.ndarray, ...]) -> None:
-        nonlocal best
-        gain = np.where((free > 0) & (size - there <= free), size - there, 0)
-        k = int(np.argmax(gain))
-        if gain[k] > best[0]:
-            back = [int(x[k]) for x in items]
-            best = (int(gain[k]), out, back, int(bin_of[back[0]]))
-
-    everything = np.arange(len(sizes))
-    for i in own:
-        consider([int(i)], int(sizes[i]), sizes, at_item, (everything,))  # one for one
-        consider([int(i)], int(sizes[i]), pair_sizes, at_pair, (first, second))  # one for two
-    for x in range(min(len(own), 6)):
-        for y in range(x + 1, min(len(own), 6)):  # two for one
-            consider([int(own[x]), int(own[y])], int(sizes[own[x]] + sizes[own[y]]), sizes, at_item, (everything,))
-    return shift(*best[1:]) if best[0] > 0 else False
+            first, second = there[same], there[same + apart]
+            best, gain = gains(sizes[own], sizes[first] + sizes[second], self.bin_of[first])
+            o = int(gain.argmax())
+            if gain[o] > 0:
+                back = [int(first[best[o]]), int(second[best[o]])]
+                self._shift(b, [int(own[o])], int(self.bin_of[back[0]]), back)
+                return True
+        return False
 
 
 def fill_windows(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
-    """``key, piece, start, n_tokens, window_id`` for every row of ``sizes``.
+    """``key, piece, start, n_tokens, window_id, first_window_id`` for every row of ``sizes``.
 
     A text of at most ``capacity`` tokens is one piece; a longer one is cut into whole windows and, if tokens are left, a rest that
-    shares a window. Texts of size 0 or null take no room: one piece of 0 tokens whose window_id is null. Repeated keys are
-    separate texts. window_id is unique and otherwise without meaning.
+    shares a window. Texts of size 0 or null take no room: one piece of 0 tokens whose window_id is null. Repeated and null keys are
+    separate texts. window_id is unique and otherwise without meaning; first_window_id is the window before the local search.
     """
     n = F.coalesce(F.col(size), F.lit(0))
-    sized = written(sizes.select(key, n.cast("bigint").alias("n_tokens")))
+    sized = written(sizes.select(key, n.cast("bigint").alias("n_tokens"), F.monotonically_increasing_id().alias("row")))
     whole = F.floor(F.col("n_tokens") / capacity)
     piece = F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)).alias("piece")
-    full = sized.filter(F.col("n_tokens") >= capacity).select(key, piece).select(key, "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("n_tokens"))
-    full = full.withColumn("window_id", F.concat_ws(".", F.lit("w"), F.col(key).cast("string"), "piece"))
-    empty = sized.filter("n_tokens = 0").select(key, F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("start"), "n_tokens", F.lit(None).cast("string").alias("window_id"))
-    rest = sized.filter(F.col("n_tokens") % capacity != 0).select(key, whole.alias("piece"), (whole * capacity).alias("start"), (F.col("n_tokens") % capacity).alias("n_tokens"))
+    full = sized.filter(F.col("n_tokens") >= capacity).select(key, "row", piece)
+    own = F.concat_ws(".", F.lit("w"), "row", "piece")
+    full = full.select(key, "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("n_tokens"), own.alias("window_id"), own.alias("first_window_id"))
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+    empty = sized.filter("n_tokens = 0").select(key, zero.alias("piece"), zero.alias("start"), "n_tokens", none.alias("window_id"), none.alias("first_window_id"))
+    rest = sized.filter(F.col("n_tokens") % capacity != 0).select(key, whole.alias("piece"), (whole * capacity).alias("start"), (F.col("n_tokens") % capacity).alias("n_tokens"), "row")
     blocks = max(1, -(-rest.count() // BLOCK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done, held, rows = TaskContext.get().partitionId(), 0, [], 0
 
         def packed() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            bins = pack(table.column("n_tokens").to_numpy(), capacity)
-            names = pa.array([f"s.{task}.{done}.{b}" for b in bins.tolist()])
-            return table.append_column("window_id", names).to_batches()[0]
+            table = pa.Table.from_batches(held).sort_by("row").combine_chunks()  # whatever order the rows came in
+            taken = table.column("n_tokens").to_numpy()
+            for name, bins in (("window_id", pack(taken, capacity)), ("first_window_id", in_order(taken, capacity))):
+                table = table.append_column(name, pa.array([f"s.{task}.{done}.{b}" for b in bins.tolist()]))
+            return table.drop_columns(["row"]).combine_chunks().to_batches()[0]
 
         for batch in batches:
             held.append(batch)
@@ -155,12 +196,15 @@ def fill_windows(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens",
         if rows:
             yield packed()
 
-    spread = rest.repartition(blocks, F.xxhash64(key, "n_tokens", "piece"))
+    spread = rest.repartition(blocks, F.xxhash64("row"))
     return full.unionByName(empty).unionByName(spread.mapInArrow(run, full.schema))
 
 
 def fill_report(windows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: windows used, the least possible number, tokens, and the share of room used."""
-    used = windows.filter("window_id is not null").groupBy("window_id").agg(F.sum("n_tokens").alias("fill"))
+    """One row: windows used, windows before the local search, the least possible number, tokens, and the share of room used."""
+    filled = windows.filter("window_id is not null")
+    used = filled.groupBy("window_id").agg(F.sum("n_tokens").alias("fill"))
     total = used.agg(F.count("*").alias("n_windows"), F.coalesce(F.sum("fill"), F.lit(0)).alias("n_tokens"), F.max("fill").alias("largest_fill"))
-    return total.select("n_windows", F.ceil(F.col("n_tokens") / capacity).alias("least_windows"), "n_tokens", "largest_fill", (F.col("n_tokens") / (F.col("n_windows") * capacity)).alias("fill_share"))
+    before = filled.select("first_window_id").distinct().agg(F.count("*").alias("n_windows_before"))
+    shares = total.select("n_windows", F.ceil(F.col("n_tokens") / capacity).alias("least_windows"), "n_tokens", "largest_fill", (F.col("n_tokens") / (F.col("n_windows") * capacity)).alias("fill_share"))
+    return shares.crossJoin(F.broadcast(before))  # one row each

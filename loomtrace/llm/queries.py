@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm import conversations, packing, pii, quantiles, spam, tokens
+from loomtrace.session import written
 from loomtrace.sources.tables import load
 
 
@@ -57,12 +58,16 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(load(spark, d, "documents"))
 
 
-def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+def _windows(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_windows(tokens.count_tokens(load(spark, d, "documents")))
 
 
+def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _windows(spark, d).drop("first_window_id")
+
+
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill_report(p8_windows(spark, d))
+    return packing.fill_report(written(_windows(spark, d)))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

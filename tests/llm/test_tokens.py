@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import random
 
 import numpy as np
@@ -74,23 +75,39 @@ def test_pack(seed, top):
     bins = packing.pack(sizes, 100)
     fill = np.bincount(bins, sizes)
     assert fill.max() <= 100 and len(bins) == 600
-    plain = packing.pack(sizes, 100, steps=0)
-    assert (fill**2).sum() >= (np.bincount(plain, sizes) ** 2).sum() and bins.max() <= plain.max()
+    start = packing.in_order(sizes, 100)
+    assert (fill**2).sum() > (np.bincount(start, sizes) ** 2).sum() and bins.max() < start.max() and np.bincount(start, sizes).max() <= 100
 
 
 def test_search_empties_bins():
-    # Largest first leaves a third bin here; a swap and a move fill the two others.
     sizes = np.array([6, 5, 5, 4, 3, 3, 2, 2])
-    spread = np.array([0, 1, 1, 0, 2, 2, 2, 3])
-    fill = np.bincount(spread, sizes)
-    packing._improve(spread, fill.astype(np.int64), sizes, 10, 100)
-    assert len(np.unique(spread)) == 3 and np.bincount(spread, sizes).max() <= 10
+    search = packing.Search(sizes, np.array([0, 1, 1, 0, 2, 2, 2, 3]), 10)
+    search.run()
+    assert len(np.unique(search.bin_of)) == 3 and np.bincount(search.bin_of, sizes).max() <= 10
+
+
+@pytest.mark.parametrize("low,high", [(1, 40), (20, 60), (34, 51), (26, 101)])
+def test_search_ends_where_no_step_is_left(low, high):
+    """At the end no move, swap, two for one or one for two between any two bins would raise the squares."""
+    sizes = np.random.default_rng(low).integers(low, high, 60)
+    search = packing.Search(sizes, packing.in_order(sizes, 100), 100)
+    search.run()
+    bins = [[int(i) for i in np.flatnonzero(search.bin_of == b)] for b in np.unique(search.bin_of)]
+    if len(bins) == -(-int(sizes.sum()) // 100):
+        return
+    some = lambda items, most: [c for k in range(most + 1) for c in itertools.combinations(items, k)]
+    for a, c in itertools.permutations(bins, 2):
+        for out in some(a, 2):
+            for back in some(c, 2):
+                if (len(out), len(back)) in {(1, 0), (1, 1), (2, 1), (1, 2)}:
+                    gain, fa, fc = int(sizes[list(out)].sum() - sizes[list(back)].sum()), int(sizes[a].sum()), int(sizes[c].sum())
+                    assert not (gain > 0 and fc + gain <= 100 and (fa - gain) ** 2 + (fc + gain) ** 2 > fa**2 + fc**2)
 
 
 def test_windows(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 40)
     rng = random.Random(2)
-    rows = [(i, rng.choice([0, None, 2048, 4096, 5000, rng.randrange(1, 2048), rng.randrange(1, 300)])) for i in range(300)] + [(7, 10), (7, 10)]
+    rows = [(i, rng.choice([0, None, 2048, 4096, 5000, rng.randrange(1, 2048), rng.randrange(1, 300)])) for i in range(300)] + [(7, 10), (7, 10), (8, 5000), (8, 5000)]
     sizes = spark.createDataFrame(rows, "doc_id long, n_tokens long").withColumn("window_id", F.lit("clash"))
     got = packing.fill_windows(sizes).collect()
     by_doc: dict[int, int] = {}
@@ -106,5 +123,5 @@ def test_windows(spark, monkeypatch):
     assert by_doc == want and max(fill.values()) <= 2048
     assert len(got) == sum(-(-(n or 0) // 2048) or 1 for _, n in rows)
     report = packing.fill_report(packing.fill_windows(sizes)).first()
-    assert report.n_windows == len(fill) and report.n_tokens == sum(want.values()) and report.largest_fill <= 2048
+    assert report.n_windows == len(fill) <= report.n_windows_before and report.n_tokens == sum(want.values()) and report.largest_fill <= 2048
     assert packing.fill_windows(sizes.limit(0)).count() == 0
