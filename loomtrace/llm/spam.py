@@ -13,6 +13,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,19 +84,25 @@ _LINK = r"\[/?url\b[^\]\n]*\]|(?:https?://|www\.)[^\s<>\])\"']+"
 _BARE_LINK = r"|(?<![\w.-])[\w-]{1,63}\.[\w.-]+/[^\s<>\])\"']*"
 
 
-def _pattern(links: str) -> re.Pattern[str]:
+#: What stands between phrases starts with one of these; most characters are passed by at the first look.
+_STARTS = r"[`\[hw<.!?。！？\n;|,~•·>()\]{}:/\\»«=*#\"“”—–，；：、｜（）［］｛｝【】「」『』《》〈〉／＼～＃＊＝・ ]"
+
+
+def _pattern(others: str = "") -> re.Pattern[str]:
     return re.compile(
-        r"(```.*?(?:```|\Z)"  # fenced code
+        rf"((?={_STARTS})(?:"
+        r"```.*?(?:```|\Z)"  # fenced code
         r"|`[^`\n]*`"  # code in a line
-        rf"|{links}"
+        rf"|{_LINK}"
         r"|<\|\w{1,40}\|>|</?\w[^<>]{0,300}>"  # special tokens, tags
         r"|[.!?]+(?=[\s<\"”»]|$)|[。！？]|\n+"  # ends of sentences
-        r"|[;|,~•·<>()\[\]{}:/\\»«=*#\"“”—–，；：、?!｜（）［］｛｝【】「」『』《》〈〉／＼～＃＊＝・]+| [-+] )",  # separators
+        r"|[;|,~•·<>()\[\]{}:/\\»«=*#\"“”—–，；：、?!｜（）［］｛｝【】「」『』《》〈〉／＼～＃＊＝・]+| [-+] "  # separators
+        rf"){others})",
         re.S,
     )
 
 
-_CUT, _CUT_PROSE = _pattern(_LINK + _BARE_LINK), _pattern(_LINK)
+_CUT, _CUT_PROSE = _pattern(_BARE_LINK), _pattern()
 _DISGUISED = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
 #: Letters without a Latin look-alike: where these are common, the text is in that script and disguises nothing.
 _CYRILLIC = re.compile("[бгджзийлптфцчшщъыьэюя]")
@@ -184,19 +191,28 @@ def _top_word(phrases: list[list[str] | str], size: int, function: frozenset[str
     return out | {g for g, n in pairs.items() if n > 1 and 2 * n >= TOP_SHARE * size}
 
 
+_times = itemgetter(1)
+
+
 def _page_tops(phrases: list[list[str] | str], function: frozenset[str], language: str) -> tuple[float, float, set[object]]:
     """Shares of all words that the page's top word and its top n-gram cover, and the words and n-grams over the thresholds."""
     lists, strings = [w for w in phrases if isinstance(w, list)], [w for w in phrases if isinstance(w, str)]
     # Two characters of a script without blanks count as a word.
     total = max(sum(map(len, lists)) + sum(map(len, strings)) / 2, 1)
     words = Counter(chain.from_iterable(lists))
-    counts: dict[object, int] = {(w,): n for w, n in words.items() if n > 1 and _is_content(w, function)}
+    counts: dict[object, int] = {}
+    least = TOP_WORD[language] * total
+    for w, n in sorted([x for x in words.items() if x[1] > 1], key=_times, reverse=True):
+        if counts and n < least:
+            break
+        if _is_content(w, function):
+            counts[(w,)] = n
     if not counts and any(_is_content(w, function) for w in words):
         counts = {("",): 1}  # none stands twice
     if strings:
         counts |= Counter(g for w in strings for g in _characters(w, 2))
     most, gram = max(counts.values(), default=0), 0.0
-    tops = {g for g, n in counts.items() if n >= TOP_COUNT and n >= TOP_WORD[language] * total}
+    tops = {g for g, n in counts.items() if n >= TOP_COUNT and n >= least}
     for size in (2, 3):
         # No n-gram stands more often than its words.
         if most < TOP_COUNT or size * most < TOP_GRAM[language] * total:
@@ -221,6 +237,16 @@ def _covered(places: list[tuple[int, int, object]], grams: set[object], size: in
     return len(covered) >= TOP_SHARE * size
 
 
+def _repeats(phrases: list[list[str] | str], size: int, function: frozenset[str]) -> bool:
+    """Whether a sentence repeats enough for n-grams to cover ``TOP_SHARE`` of it: half of that must be words that stand before."""
+    words = phrases[0] if len(phrases) == 1 else list(chain.from_iterable(phrases))
+    few = (1 - TOP_SHARE / 2) * size
+    if len(set(words)) > few:
+        return False
+    content = [w for w in words if w not in function]
+    return len(content) - len(set(content)) >= TOP_SHARE / 2 * size
+
+
 def _stuffed(sentences: list[list[list[str] | str]], function: frozenset[str]) -> list[bool]:
     """For each sentence (its phrases) whether n-grams that it or a stuffed neighbour repeats cover much of it."""
     places: list[list[tuple[int, int, object]]] = []
@@ -228,7 +254,9 @@ def _stuffed(sentences: list[list[list[str] | str]], function: frozenset[str]) -
     single = False
     sizes = [sum(map(len, phrases)) for phrases in sentences]
     # Repeated n-grams that cover so much leave a sentence few different words: most sentences need no closer look.
-    close = [len(set().union(*phrases)) <= (1 - TOP_SHARE / 2) * size for phrases, size in zip(sentences, sizes)]
+    close = [size > 1 and _repeats(phrases, size, function) for phrases, size in zip(sentences, sizes)]
+    if not any(close):
+        return close
     beside = [close[i] or any(close[max(0, i - 1) : i + 2]) for i in range(len(close))]
     for phrases, size, look in zip(sentences, sizes, beside):
         found = [(k, i, g) for k, words in enumerate(phrases) for i, g in _grams(words, function)] if look else []
