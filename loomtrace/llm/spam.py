@@ -3,7 +3,8 @@
 Method: a text is cut into phrases at separators. Thresholds on missing function words (per language), on separator-bound lists,
 on links without describing text, on the share of the top word and n-grams in a sentence and in the page, on separator
 density and on duplicate lines tell for every phrase whether it is ordinary; the page is told by the characters of the others. Code, tables of options, logs and
-described links are ordinary by these rules, not by exceptions for pages.
+described links are ordinary by these rules, not by exceptions for pages. The thresholds of the page's shares are calibrated
+per language, on the shares of all pages that the other signals take as ordinary.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtrace.session import written
+
 # Words without which no sentence of the language goes on for long; prepositions that stand within
 # noun phrases (de, of names) are left out where a list of phrases could hold them.
 FUNCTION_WORDS = {
@@ -61,13 +65,18 @@ PAGE_ITEMS = 3
 OTHER_WORDS = 3
 #: Share of a sentence's words that n-grams must cover which it repeats, or which a stuffed sentence beside it repeats.
 TOP_SHARE = 0.35
-#: A page's top word and top n-gram (two or three content words) must stand so often, and reach the language's share of all words.
+#: A page's top word and top n-gram (two or three content words) must stand so often to count at all.
 TOP_COUNT = 4
-#: Above the largest share on an ordinary test page of the language ("" is any other).
-TOP_WORD = {"en": 0.12, "fr": 0.13, "de": 0.11, "es": 0.12, "zh": 0.12, "": 0.12}
-TOP_GRAM = {"en": 0.15, "fr": 0.13, "de": 0.12, "es": 0.11, "zh": 0.16, "": 0.15}
-#: Share of separators among separators and words from which on phrases are list items in runs of any length; set likewise.
-DENSITY = {"en": 0.3, "fr": 0.32, "de": 0.35, "es": 0.3, "zh": 0.34, "": 0.35}
+#: Least shares of all words, and least share of separators among separators and words, that can ever tell a page.
+FLOORS = {"top_word": 0.12, "top_gram": 0.12, "separators": 0.25}
+#: Thresholds of the three shares stand so far above the quantile ``QUANTILE`` of a language's ordinary pages.
+MARGINS, QUANTILE = {"top_word": 1.5, "top_gram": 1.5, "separators": 1.15}, 0.999
+#: The thresholds where no pages are known, and the number of pages in whose place they stand in every language.
+PRIOR, PRIOR_PAGES = {"top_word": 0.15, "top_gram": 0.25, "separators": 0.3}, 1_000
+#: A page is taken as ordinary for the calibration up to this share of other text, found without these thresholds.
+ORDINARY = 0.1
+#: In a language without a list here, sentences of so many words make a page prose from this share of its characters on.
+SENTENCE_WORDS, PROSE_SHARE = 5, 0.5
 #: Words without a function word that count as one item of a list, for lists without separators.
 ITEM_WORDS = 6
 #: The same for scripts without blanks, in characters.
@@ -112,6 +121,7 @@ _CJK, _HANGUL = re.compile("[ぁ-ヿ㐀-鿿豈-﫿𠀀-𲎯]"), re.compile("[가
 _MARK = re.compile("[\u0300-\u036f]")
 _DIGITS = re.compile(r"[0-9]+")
 _NOT_WORD = re.compile(r"\W+")
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 
 CODE, LINK, END, BREAK, SENTENCE, PHRASE, BLANK, STUFFED = range(8)
 
@@ -152,6 +162,16 @@ def _is_cjk(text: str) -> bool:
     return not text.isascii() and bool(_CJK.search(text)) and not _HANGUL.search(text)
 
 
+def _is_prose(text: str) -> bool:
+    """Whether most of a text are sentences by their form: a capital, some words, a full stop."""
+    share = 0
+    for part in _SENTENCES.split(text):
+        part = part.strip()
+        if part and part[0].isupper() and part[-1] in ".!?" and part.count(" ") >= SENTENCE_WORDS - 1:
+            share += len(part)
+    return share >= PROSE_SHARE * len(text)
+
+
 def _phrase_kind(text: str, ws: list[str], function: frozenset[str]) -> int:
     if not ws:
         return BLANK
@@ -194,36 +214,36 @@ def _top_word(phrases: list[list[str] | str], size: int, function: frozenset[str
 _times = itemgetter(1)
 
 
-def _page_tops(phrases: list[list[str] | str], function: frozenset[str], language: str) -> tuple[float, float, set[object]]:
-    """Shares of all words that the page's top word and its top n-gram cover, and the words and n-grams over the thresholds."""
+def _page_tops(phrases: list[list[str] | str], function: frozenset[str]) -> tuple[float, float, set[object], set[object]]:
+    """Shares of all words that the page's top word and its top n-gram cover, and the words and n-grams over the least shares."""
     lists, strings = [w for w in phrases if isinstance(w, list)], [w for w in phrases if isinstance(w, str)]
     # Two characters of a script without blanks count as a word.
     total = max(sum(map(len, lists)) + sum(map(len, strings)) / 2, 1)
     words = Counter(chain.from_iterable(lists))
     counts: dict[object, int] = {}
-    least = TOP_WORD[language] * total
+    least = FLOORS["top_word"] * total
     for w, n in sorted([x for x in words.items() if x[1] > 1], key=_times, reverse=True):
         if counts and n < least:
             break
         if _is_content(w, function):
             counts[(w,)] = n
-    if not counts and any(_is_content(w, function) for w in words):
-        counts = {("",): 1}  # none stands twice
     if strings:
         counts |= Counter(g for w in strings for g in _characters(w, 2))
-    most, gram = max(counts.values(), default=0), 0.0
+    most, gram = max(counts.values(), default=1), 0.0
     tops = {g for g, n in counts.items() if n >= TOP_COUNT and n >= least}
+    of_grams: set[object] = set()
     for size in (2, 3):
         # No n-gram stands more often than its words.
-        if most < TOP_COUNT or size * most < TOP_GRAM[language] * total:
+        if most < TOP_COUNT or size * most < FLOORS["top_gram"] * total:
             continue
         runs = Counter(chain.from_iterable([zip(*(w[i:] for i in range(size))) for w in lists]))
         grams: dict[object, int] = {g: n for g, n in runs.items() if n > 1 and function.isdisjoint(g) and LINKING.isdisjoint(g)}
         if strings:
             grams |= Counter(g for w in strings for g in _characters(w, 2 * size))
-        gram = max(gram, size * max(grams.values(), default=0) / total)
-        tops |= {g for g, n in grams.items() if n >= TOP_COUNT and n * size >= TOP_GRAM[language] * total}
-    return min(most / total, 1.0), min(gram, 1.0), tops
+        n = max(grams.values(), default=0)
+        gram = max(gram, size * n / total if n >= TOP_COUNT else 0)
+        of_grams |= {g for g, n in grams.items() if n >= TOP_COUNT and n * size >= FLOORS["top_gram"] * total}
+    return min(most / total, 1.0) if most >= TOP_COUNT else 0.0, min(gram, 1.0), tops, of_grams
 
 
 def _holds(words: list[str] | str, tops: set[object]) -> bool:
@@ -303,16 +323,18 @@ def _lists_prevail(marks: list[int], sizes: list[int], described: set[int], tota
 
 _NO_WORDS: list[str] = []
 SHARES = ("n_chars", "list_share", "link_share", "stuffed_share", "duplicate_share", "spam_share", "top_word_share", "top_gram_share", "separator_density")
+_BLANK_PAGE: tuple[str, list[float], list[float]] = ("", [0.0] * 5, [0.0] * 12)
 
 
-def features(text: str | None) -> dict[str, float]:
-    """The features :data:`SHARES`: ``n_chars`` are visible characters.
+def analyse(text: str | None) -> tuple[str, list[float], list[float]]:
+    """A page's language, its features that need no threshold of the language, and its shares by what the thresholds may say.
 
-    Shares are of the visible characters, those of the page's top word and n-gram of all words; ``separator_density`` is
-    separators by separators and words; markup counts with what stands before it. Null, empty and blank texts: all 0.
+    The features are visible characters, share of duplicate lines, shares of the page's top word and top n-gram (of all words;
+    0 if they stand fewer than ``TOP_COUNT`` times), and separators by separators and words. The shares (of lists, links and stuffed
+    text) come for four cases: neither tops nor separators pass, tops alone, separators alone, both.
     """
     if not text or text.isspace():
-        return dict.fromkeys(SHARES, 0.0)
+        return _BLANK_PAGE
     disguised = not text.isascii() and _DISGUISED.search(text) and len(_CYRILLIC.findall(text)) * 50 < len(text)
     plain = text.translate(_PLAIN) if disguised else text
     if not text.isascii() and _MARK.search(text) and len(_MARK.findall(text)) * 4 > len(text):
@@ -330,6 +352,8 @@ def features(text: str | None) -> dict[str, float]:
         own_kinds = [_phrase_kind(t, ws, function) for t, ws in zip(texts, own_words)]
         language = language or ("zh" if GRAMMAR.search(plain) else "")
         own_words = [_NOT_WORD.sub("", t) if _is_cjk(t) else ws for t, ws in zip(texts, own_words)]
+    if not function and language != "zh" and PHRASE in own_kinds and _is_prose(text.translate(_PLAIN) if disguised else text):
+        own_kinds = [SENTENCE if k == PHRASE else k for k in own_kinds]
     between = [_separators.get(p) or _separator(p) for p in pieces[1::2]]
     kinds, sizes, words = [BLANK] * len(pieces), [0] * len(pieces), [_NO_WORDS] * len(pieces)
     kinds[::2], kinds[1::2] = own_kinds, [k for k, _ in between]
@@ -337,7 +361,7 @@ def features(text: str | None) -> dict[str, float]:
     words[::2] = own_words
     total = sum(sizes)
     if not total:
-        return dict.fromkeys(SHARES, 0.0)
+        return _BLANK_PAGE
 
     # Links are described if a sentence stands between them and the link before or after.
     described: set[int] = set()
@@ -355,10 +379,8 @@ def features(text: str | None) -> dict[str, float]:
     n_words = sum(map(len, own_words)) - sum([len(w) / 2 for w in own_words if isinstance(w, str)] if not plain.isascii() else ())
     n_breaks = [k for k, _ in between].count(BREAK)
     density = n_breaks / max(n_breaks + n_words, 1)
-    dense = density >= DENSITY[language]
 
     # Lists: many phrases or undescribed links with no sentence between; a long phrase counts as several.
-    marks = list(kinds)
     run: list[int] = []
     sentences: list[list[int]] = []
     sentence: list[int] = []
@@ -366,10 +388,12 @@ def features(text: str | None) -> dict[str, float]:
     described_here = False
 
     short: list[int] = []  # items of runs too short to be lists by themselves
+    middling: list[int] = []  # items of runs that are long enough between dense separators
 
     def close() -> None:
-        if sum([1 + len(words[j]) // (ITEM_CHARS if isinstance(words[j], str) else ITEM_WORDS) for j in run]) < (PAGE_ITEMS if dense else LIST_ITEMS):
-            short.extend(run)
+        items = sum([1 + len(words[j]) // (ITEM_CHARS if isinstance(words[j], str) else ITEM_WORDS) for j in run])
+        if items < LIST_ITEMS:
+            (short if items < PAGE_ITEMS else middling).extend(run)
         run.clear()
 
     for i, k in enumerate(kinds):
@@ -398,26 +422,43 @@ def features(text: str | None) -> dict[str, float]:
         beside.append(described_here)
 
     # Single letters are no items.
-    marks = [BLANK if k == PHRASE and isinstance(w, list) and len(max(w, key=len)) < 2 else k for k, w in zip(marks, words)]
+    items = [BLANK if k == PHRASE and isinstance(w, list) and len(max(w, key=len)) < 2 else k for k, w in zip(kinds, words)]
     # Clauses beside a sentence, and long phrases without blanks that happen to hold no grammar, are items in long runs only.
-    clauses = {j for x in sentences if any(kinds[j] == SENTENCE for j in x) for j in x} if short else set()
-    for j in short:
-        if kinds[j] == PHRASE and (j in clauses or isinstance(words[j], str) and len(words[j]) > ITEM_CHARS):
-            marks[j] = BLANK
-    if short and not _lists_prevail(marks, sizes, described, total):
-        for j in short:
-            marks[j] = BLANK
+    clauses = {j for x in sentences if any(kinds[j] == SENTENCE for j in x) for j in x} if short or middling else set()
+
+    def listed(loose: list[int]) -> list[int]:
+        """The marks if the items ``loose`` stand in runs too short."""
+        marks = list(items)
+        for j in loose:
+            if kinds[j] == PHRASE and (j in clauses or isinstance(words[j], str) and len(words[j]) > ITEM_CHARS):
+                marks[j] = BLANK
+        if loose and not _lists_prevail(marks, sizes, described, total):
+            for j in loose:
+                marks[j] = BLANK
+        return marks
 
     # Stuffed sentences: repeated words or n-grams cover much of the sentence, or it holds one that covers much of the page.
     phrases = [[words[j] for j in x] for x in sentences]
     # Sentences that differ in digits at most count once for the page: what one template repeats is no search phrase.
     bare = _DIGITS.sub("", "\0".join(texts)).split("\0") if "\0" not in plain else texts
     distinct = {tuple([bare[j // 2] for j in x]): own for x, own, apart in zip(sentences, phrases, beside) if not apart}
-    top_word, top_gram, tops = _page_tops([w for x in distinct.values() for w in x], function, language)
-    for x, own, apart, stuffed in zip(sentences, phrases, beside, _stuffed(phrases, function)):
-        if stuffed or tops and not apart and any(_holds(w, tops) for w in own):
+    top_word, top_gram, tops, grams = _page_tops([w for x in distinct.values() for w in x], function)
+    stuffed = [x for x, is_stuffed in zip(sentences, _stuffed(phrases, function)) if is_stuffed]
+    topped = [x for x, own, apart in zip(sentences, phrases, beside) if not apart and any(_holds(w, tops | grams) for w in own)] if tops or grams else []
+
+    def shares(marks: list[int], more: list[list[int]]) -> list[float]:
+        for x in chain(stuffed, more):
             for j in x:
                 marks[j] = STUFFED
+        share = _by_kind(marks, sizes, described)
+        return [share[PHRASE] / total, share[LINK] / total, share[STUFFED] / total]
+
+    loose = short + middling
+    neither = shares(listed(loose), [])
+    with_tops = shares(listed(loose), topped) if topped else neither
+    differs = middling and density >= FLOORS["separators"]
+    between_separators = shares(listed(short), []) if differs else neither
+    both = (shares(listed(short), topped) if topped else between_separators) if differs else with_tops
 
     # Duplicate lines outside of code.
     duplicate = 0
@@ -428,11 +469,20 @@ def features(text: str | None) -> dict[str, float]:
         for line in repeated:
             if line not in fenced:
                 duplicate += (lines[line] - 1) * (len(line) - line.count(" "))
+    return language, [float(total), duplicate / total, top_word, top_gram, density], neither + with_tops + between_separators + both
 
-    share = _by_kind(marks, sizes, described)
-    listed, linked, stuffed, twice = share[PHRASE] / total, share[LINK] / total, share[STUFFED] / total, duplicate / total
+
+def features(text: str | None, thresholds: dict[str, float] = PRIOR) -> dict[str, float]:
+    """The features :data:`SHARES` of a page, told by ``thresholds``: ``n_chars`` are visible characters.
+
+    Shares are of the visible characters, those of the page's top word and n-gram of all words; ``separator_density`` is
+    separators by separators and words; markup counts with what stands before it. Null, empty and blank texts: all 0.
+    """
+    _, (n_chars, twice, top_word, top_gram, density), shares = analyse(text)
+    case = (top_word >= thresholds["top_word"] or top_gram >= thresholds["top_gram"]) + 2 * (density >= thresholds["separators"])
+    listed, linked, stuffed = shares[3 * case : 3 * case + 3]
     # Duplicate lines may be lists or stuffed too: the larger of both counts.
-    return dict(zip(SHARES, (float(total), listed, linked, stuffed, twice, max(listed + linked + stuffed, twice), top_word, top_gram, density)))
+    return dict(zip(SHARES, (n_chars, listed, linked, stuffed, twice, max(listed + linked + stuffed, twice), top_word, top_gram, density)))
 
 
 def is_spam(f: dict[str, float]) -> bool:
@@ -440,17 +490,49 @@ def is_spam(f: dict[str, float]) -> bool:
     return f["spam_share"] > CASE_SHARE
 
 
-def page_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, the columns of :func:`features` and ``is_spam`` for each row, in its own task (no shuffle), over whole texts.
+_ANALYSIS = ("n_chars", "duplicate_share", "top_word_share", "top_gram_share", "separator_density")
 
-    Rows come out one for one, repeated ones too; other columns are not read; null and blank texts are no cases.
-    """
-    fields = [docs.schema[key], *[T.StructField(n, T.DoubleType()) for n in SHARES], T.StructField("is_spam", T.BooleanType())]
+
+def analysed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, language``, the features of :func:`analyse` and ``shares`` of each row's whole text, in its own task."""
+    fields = [docs.schema[key], T.StructField("language", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in _ANALYSIS], T.StructField("shares", T.ArrayType(T.DoubleType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(v) for v in batch.column(1).to_pylist()]
-            columns = [pa.array([r[n] for r in rows], pa.float64()) for n in SHARES]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([is_spam(r) for r in rows], pa.bool_())], [f.name for f in fields])
+            rows = [analyse(v) for v in batch.column(1).to_pylist()]
+            columns = [pa.array([r[1][k] for r in rows], pa.float64()) for k in range(len(_ANALYSIS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), *columns, pa.array([r[2] for r in rows], pa.list_(pa.float64()))], [f.name for f in fields])
 
     return docs.select(key, text).mapInArrow(run, T.StructType(fields))
+
+
+def calibrated(pages: DataFrame) -> DataFrame:
+    """The thresholds of every language that occurs: ``language, top_word, top_gram, separators``, from all pages of :func:`analysed`.
+
+    A language's ordinary pages are those that the thresholds don't touch and whose other shares are low; a threshold lies above
+    nearly all of them (``QUANTILE``, ``MARGINS``), the less sure the fewer they are (``PRIOR_PAGES``).
+    """
+    other = F.greatest(F.aggregate(F.slice("shares", 1, 3), F.lit(0.0), lambda a, x: a + x), "duplicate_share")
+    ordinary = pages.filter(F.col("n_chars") > 0).withColumn("ordinary", other <= ORDINARY)
+    columns = {"top_word": "top_word_share", "top_gram": "top_gram_share", "separators": "separator_density"}
+    own = {k: F.when(F.col("ordinary") & (F.col(c) > 0) & (F.col(c) < 1), F.col(c)) for k, c in columns.items()}
+    known = ordinary.groupBy("language").agg(*[x for k, v in own.items() for x in (F.count(v).alias(f"n_{k}"), F.percentile_approx(v, QUANTILE, 10_000).alias(k))])
+    weighed = lambda k: (F.coalesce(F.col(k) * MARGINS[k], F.lit(0.0)) * F.col(f"n_{k}") + PRIOR[k] * PRIOR_PAGES) / (F.col(f"n_{k}") + PRIOR_PAGES)
+    return known.select("language", *[F.greatest(F.lit(FLOORS[k]), weighed(k)).alias(k) for k in columns])
+
+
+def page_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, the columns of :func:`features` and ``is_spam`` for each row, by the thresholds of its language.
+
+    The texts are read once; the thresholds come from the features of all pages (:func:`calibrated`), a row for each of the few
+    languages, hence the broadcast. Rows come out one for one, repeated ones too; other columns are not read; null and blank
+    texts are no cases.
+    """
+    pages = written(analysed(docs, key, text))
+    judged = pages.join(F.broadcast(calibrated(pages)), "language", "left")
+    tops = (F.col("top_word_share") >= F.col("top_word")) | (F.col("top_gram_share") >= F.col("top_gram"))
+    case = F.coalesce(tops.cast("int") + 2 * (F.col("separator_density") >= F.col("separators")).cast("int"), F.lit(0))
+    share = lambda k: F.element_at("shares", 3 * case + k + 1)
+    told = judged.select(key, "n_chars", share(0).alias("list_share"), share(1).alias("link_share"), share(2).alias("stuffed_share"), *_ANALYSIS[1:])
+    spam = F.greatest(F.col("list_share") + F.col("link_share") + F.col("stuffed_share"), F.col("duplicate_share"))
+    return told.withColumn("spam_share", spam).select(key, *SHARES, (spam > CASE_SHARE).alias("is_spam"))
