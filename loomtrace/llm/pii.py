@@ -9,8 +9,9 @@ the next; their spans are mapped back, so only source characters that belong to
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import pyarrow as pa
 import regex
@@ -62,7 +63,8 @@ NOT_SURNAMES = frozenset(
     "Hey Sorry Sure Okay Morning Evening Cheers Regards Welcome Congratulations Bye Now Today Tomorrow Tonight Actually However Also Meanwhile Finally Maybe Perhaps Regarding Because After Before While Since Until Does Has Have Had "
     "Will Would Should My Your Our His Her Their She He They Not Add Check Create Delete Fix Forward Get Give Keep Let Look Make Meet Open Remind Remove Reply Review Run See Start Stop Submit Take Tell Test Try Update Use "
     "Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonnabend Sonntag Januar Februar März Juni Juli Oktober Dezember Heute Morgen Bitte Hat Ist Kann Soll Sind Mein Meine Dein Unser Was Wer Wie Wann Weil Nach Vor Mit Von Bei Ihr "
-    "Liebe Lieber Moin Servus Guten Salut Coucou Cher Chère Bonsoir Demain Quand Comment Avec Dans Sur Mon Mes Notre Votre Buenos Buenas Querido Querida Estimado Estimada Mañana Cuando Cómo Qué Quién Ella Nosotros Script".split()
+    "Liebe Lieber Moin Servus Guten Salut Coucou Cher Chère Bonsoir Demain Quand Comment Avec Dans Sur Mon Mes Notre Votre Buenos Buenas Querido Querida Estimado Estimada Mañana Cuando Cómo Qué Quién Ella Nosotros Script "
+    "Adapter Agent Cache Client Cluster Container Daemon Database Gateway Index Kafka Kernel Kubernetes Linux Loader Optimizer Pipeline Planner Platform Postgres Proxy Queue Redis Router Runner Scheduler Shell Spark Tracker Worker".split()
 )
 
 Span = tuple[int, int, str]
@@ -71,10 +73,12 @@ Span = tuple[int, int, str]
 class Plain:
     """A rewritten text; character k came from the source characters ``first[k]:after[k]``."""
 
-    __slots__ = ("after", "first", "text")
+    __slots__ = ("after", "first", "spelled", "text")
 
     def __init__(self, text: str):
         self.text, self.first, self.after = text, None, None
+        #: Source spans of numbers spelled digit by digit.
+        self.spelled: list[tuple[int, int]] = []
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace the spans (sorted, apart); all characters of a replacement come from its whole span."""
@@ -99,8 +103,10 @@ _ESCAPE = regex.compile(r'\\(?:u(?:d[89ab][0-9a-f]{2}\\ud[c-f][0-9a-f]{2}|[0-9a-
 _PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 _AT = regex.compile(r"%40|&#0*64;|&#x0*40;|&commat;|\s?[(\[{<]\s?(?:at|arroba|arobase|klammeraffe|ät)\s?[)\]}>]\s?|(?<=[\w.+-]) @ (?=[\w-]+\.)", regex.I)
 _DOT = regex.compile(r"&#0*46;|&period;|\s?[(\[{<]\s?(?:dot|punkt|punto|point)\s?[)\]}>]\s?", regex.I)
-_SPELLED = regex.compile(r"(?<![\w@])[\w.+-]+( at | arroba | arobase )[\w-]+(?: (?:dot|punto|punkt|point) [\w-]+)+(?!\w)", regex.I)
-_SPELLED_DOT = regex.compile(r" (?:dot|punto|punkt|point) ", regex.I)
+_SPELLED = regex.compile(
+    r"(?<![\w@])[\w.+-]+(?: (?:dot|punto|punkt|point|underscore|dash|hyphen|minus) [\w.+-]+){0,6}( at | arroba | arobase )[\w-]+(?: (?:dot|punto|punkt|point|dash|hyphen|minus) [\w-]+)+(?!\w)(?! (?:at|arroba|arobase) )", regex.I
+)
+_SPELLED_SIGN = regex.compile(r" (?:(dot|punto|punkt|point)|(underscore)|(?:dash|hyphen|minus)) ", regex.I)
 _SPELLED_DIGITS = regex.compile(r"(?<!\w)(?:(?:%s)[ ,.-]{1,2}){6,}(?:%s)(?!\w)" % (("|".join(DIGIT_WORDS),) * 2), regex.I)
 _ONE_DIGIT = regex.compile(r"\w+")
 
@@ -133,16 +139,20 @@ def plain(content: str) -> Plain:
         p.rewrite([(m.start(), m.end(), json.loads(f'"{m.group()}"')) for m in _ESCAPE.finditer(content)])
     if not p.text.isascii():
         p.rewrite(_characters(p.text))
-    p.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(p.text)])
-    p.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(p.text)])
-    edits = []
-    for m in _SPELLED.finditer(p.text):
-        edits.append((*m.span(1), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _SPELLED_DOT.finditer(p.text, m.end(1) - 1, m.end())]
+    # Most texts hold nothing of a disguise: one look for its signs spares the patterns.
+    if _SIGNS.search(p.text):
+        p.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(p.text)])
+        p.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(p.text)])
+    low = p.text.lower()
+    edits: list[tuple[int, int, str]] = []
+    for m in _SPELLED.finditer(p.text) if any(w in low for w in _ATS) and any(w in low for w in _DOTS) else ():
+        signs = [(d.start(), d.end(), "." if d.group(1) else "_" if d.group(2) else "-") for d in _SPELLED_SIGN.finditer(p.text, *m.span(), overlapped=True)]
+        edits += sorted([(*m.span(1), "@"), *signs])
     p.rewrite(edits)
     edits = []
-    for m in _SPELLED_DIGITS.finditer(p.text):
+    for m in _SPELLED_DIGITS.finditer(p.text) if _spells_digits(p.text.lower()) else ():
         upto = m.start()
+        p.spelled.append(p.source(*m.span()))
         for d in _ONE_DIGIT.finditer(p.text, *m.span()):
             edits.append((upto, d.end(), DIGIT_WORDS[d.group().lower()]))  # the gap before it goes with it
             upto = d.end()
@@ -150,6 +160,15 @@ def plain(content: str) -> Plain:
     return p
 
 
+_SIGNS = re.compile(r"[%&(\[{<@]")
+_ATS, _DOTS = (" at ", " arroba ", " arobase "), (" dot ", " punto ", " punkt ", " point ")
+_BETWEEN_WORDS = str.maketrans(",.-", "   ")
+
+
+def _spells_digits(low: str) -> bool:
+    return sum([w in DIGIT_WORDS for w in low.translate(_BETWEEN_WORDS).split()]) >= 7
+
+
 def _is_blocks(content: str) -> bool:
     try:
         blocks = json.loads(content)
@@ -203,6 +222,7 @@ _ADDRESS = regex.compile(
     | \p{Lu}[\p{Ll}]*(?:-\p{Lu}\p{Ll}+)*(?:stra(?:ß|ss)e|str\.|weg|platz|gasse|allee|ring|damm|ufer|steig|pfad|markt)\ \d{1,4}(?:\ ?[a-z](?!\w))?(?:,\ \d{5}\ \p{Lu}[\p{L}-]+)?
     | (?:\p{Lu}\p{Ll}+(?:er|-\p{Lu}\p{Ll}+)?\ )(?:Stra(?:ß|ss)e|Str\.|Weg|Platz|Gasse|Allee|Ring|Damm|Ufer)\ \d{1,4}(?:\ ?[a-z](?!\w))?(?:,\ \d{5}\ \p{Lu}[\p{L}-]+)?
     | (?:Calle|C\/|C\.|Avda\.?|Av\.|Avenida|Paseo|P\.º|Plaza|Pza\.?|Camino|Ronda|Traves[íi]a|Carretera)\ ?(?:(?:de\ las|de\ los|de\ la|del|de|las|los|la|el|Las|Los|La|El)\ )?\p{Lu}[\p{L}'-]*(?:\ (?:(?:de\ la|del|de)\ )?\p{Lu}[\p{L}'-]*)*,?\ (?:n\.?º\ ?)?\d{1,4}(?:,\ \d{1,2}[ºª°](?:\ [A-Z](?!\w))?)?(?:,\ \d{5}\ \p{Lu}[\p{L}-]+)?
+    | (?:Via|Viale|Vicolo|Piazza|Piazzale|Corso|Rua|Praça|Travessa|Largo|ul\.|ulica|aleja)\ (?:(?:della|delle|dei|del|di|da|das|dos|do)\ )?\p{Lu}[\p{L}'-]*(?:\ (?:(?:della|del|di|da|dos|do|e)\ )?\p{Lu}[\p{L}'-]*)*,?\ (?:n\.?º?\ ?)?\d{1,4}(?!\w)
     )"""
 )
 _PARTICLE = r"(?:(?:van|von|de|del|der|den|di|da|la|le|zu|zum|ten|y|d'|O')(?:\ (?:der|den|la|las|los|le))?\ )?"
@@ -216,7 +236,39 @@ _CUED = regex.compile(
 )
 
 
-def _names(text: str) -> Iterator[tuple[int, int]]:
+_PAIR = regex.compile(rf"(?<![\w@.'’-])(\p{{Lu}}\p{{Ll}}[\p{{L}}'’]*)(?:-(\p{{Lu}}\p{{Ll}}+))? (?:\p{{Lu}}\. )?(?:(?:van|von|der|den|di|da|dos|ten|bin|al) ){{0,2}}(\p{{Lu}}[\p{{L}}'’]*\p{{Ll}})(?:-\p{{Lu}}\p{{Ll}}+)?(?![\w@'’-])")
+# Words that tell German text, where every noun is capital, and what stands right before a person's name in any.
+_GERMAN = re.compile(r"(?i)\b(?:der|die|das|und|ist|nicht|ein|eine|mit|für|auf|den|dem|wir|ich|zur|zum|von|wenn|bitte)\b")
+_BEFORE_NAME = regex.compile(
+    r"(?i)(?:^|[\s,.:;!?(\"“«])(?:dear|hi|hello|hey|hallo|liebe|lieber|guten (?:tag|morgen|abend)|cher|chère|bonjour|salut|estimad[oa]|querid[oa]|hola|thanks|thank you|regards|best|cheers|gr(?:u|ü)(?:ß|ss)e?n?|danke|"
+    r"cordialement|saludos|atentamente|attn:?|cc:?|from:?|contact:?|ask|call|tell|told|met|meet|invite|kontakt:?|ansprechpartner(?:in)?:?|sagt|sagte|schrieb|fragte|fragt|ruft|bittet|von|bei|mit|an|für),?[ \n]$"
+)
+
+
+def _unlisted_names(text: str, lexicon: Set[str]) -> Iterator[tuple[int, int]]:
+    """Two capital words that are no common words: names by their shape where capitals are rare, else by the word before."""
+    german: bool | None = None
+    for m in _PAIR.finditer(text, overlapped=True):
+        first, second, last = m.groups()
+        common = [w for w in (first, second, last) if w and (w in NOT_SURNAMES or w.lower() in lexicon)]
+        at = m.start()
+        if common or text[max(0, at - 2) : at].startswith("\x01"):  # after an address stands its town
+            continue
+        if german is None:
+            german = len(_GERMAN.findall(text)) > 1
+        if not german or _BEFORE_NAME.search(text, max(0, at - 24), at):
+            yield m.span()
+
+
+def _names(text: str, lexicon: Set[str] = frozenset()) -> Iterator[tuple[int, int]]:
+    listed = list(_listed_names(text))
+    yield from listed
+    if lexicon:
+        # Where a name is known already, its neighbours are none of it.
+        yield from (x for x in _unlisted_names(text, lexicon) if not any(i < x[1] and x[0] < j for i, j in listed))
+
+
+def _listed_names(text: str) -> Iterator[tuple[int, int]]:
     for m in _TITLED.finditer(text):
         if m.group(1) not in NOT_SURNAMES:
             full = m.group(2) and m.group(1).split("-")[0] in GIVEN and m.group(2) not in NOT_SURNAMES
@@ -238,8 +290,11 @@ def _names(text: str) -> Iterator[tuple[int, int]]:
             yield m.span(1)
 
 
-def spans(content: str) -> list[Span]:
-    """``(start, end, type)`` of the personal information in ``content``, as source positions, sorted and apart."""
+def spans(content: str, lexicon: Set[str] = frozenset()) -> list[Span]:
+    """``(start, end, type)`` of the personal information in ``content``, as source positions, sorted and apart.
+
+    ``lexicon`` holds common words in lower case; with it names are found that no list knows.
+    """
     p = plain(content)
     text, found = p.text, []
 
@@ -257,15 +312,24 @@ def spans(content: str) -> list[Span]:
 
     if "@" in text:
         take("email", [m.span() for m in _EMAIL.finditer(text)])
-    if _HAS_DIGIT.search(text):
+    n_digits = len(_DIGIT.findall(text))
+    low = text.lower() if 0 < n_digits < 6 else ""
+    if n_digits >= 6 or any(cue in low for cue in _ID_CUES):  # without a cue, no number of a person has fewer digits
         take("id_number", [m.span() for m in _ID.finditer(text)])
+    if n_digits:
         take("street_address", [m.span() for m in _ADDRESS.finditer(text)])
+    if n_digits >= 6:
         take("phone", [m.span() for m in _PHONE.finditer(text)])
-    take("person_name", list(_names(text)))
+    taken = {i for i, _, _ in found}
+    # A number that somebody spells digit by digit, and that is no other identifier, is one to call.
+    found += [(i, j, "phone") for i, j in p.spelled if not any(i <= k < j for k in taken)]
+    take("person_name", list(_names(text, lexicon)))
     return sorted(found)
 
 
-_HAS_DIGIT = regex.compile(r"\d")
+_DIGIT = re.compile(r"\d")
+#: Parts of words that name a personal number; the patterns of such numbers ask for two digits only.
+_ID_CUES = ("pass", "ausweis", "identi", "id card", "cni", "bsn", "pesel", "cpf", "ahv", "svnr", "itin", "sin ", "sin:", "sin#", "cpr", "versicher", "codice", "licen", "schein", "permi")
 
 
 def redact(content: str, found: list[Span] | None = None) -> str:
@@ -278,19 +342,29 @@ def redact(content: str, found: list[Span] | None = None) -> str:
     return "".join([*out, content[at:]])
 
 
-def find_and_replace(messages: DataFrame, key: str = "payload_id", text: str = "content") -> DataFrame:
+def read_lexicon(path: str) -> frozenset[str]:
+    """The lower-case words that a public byte-level vocabulary has as one token: its common words, a set of fixed size."""
+    with open(path, encoding="utf-8") as file:
+        words = json.load(file)["model"]["vocab"]
+    return frozenset(w[1:] for w in words if w[0] == "Ġ" and w[1:].isalpha() and w[1:].islower())
+
+
+def find_and_replace(messages: DataFrame, key: str = "payload_id", text: str = "content", lexicon_path: str | None = None) -> DataFrame:
     """``key, text, pii_types``: every row's text with placeholders, and the types that occur (sorted, each once).
 
     A null text stays null with an empty list, as does a text without personal information with its own text. Rows, also
-    repeated ones, come out one for one; other columns are not read. Works in each row's own task, on whole texts.
+    repeated ones, come out one for one; other columns are not read. Works in each row's own task, on whole texts. With
+    ``lexicon_path`` (a public vocabulary) names are found that no list knows.
     """
     fields = [messages.schema[key], T.StructField(text, T.StringType()), T.StructField("pii_types", T.ArrayType(T.StringType()))]
+    # About 20,000 words whatever the data: broadcast once.
+    words = messages.sparkSession.sparkContext.broadcast(read_lexicon(lexicon_path) if lexicon_path else frozenset())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, kinds = [], []
             for value in batch.column(1).to_pylist():
-                found = spans(value) if value else []
+                found = spans(value, words.value) if value else []
                 texts.append(redact(value, found) if found else value)
                 kinds.append(sorted({k for _, _, k in found}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))], [f.name for f in fields])

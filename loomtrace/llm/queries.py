@@ -43,7 +43,7 @@ def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
 def _personal(spark: SparkSession, d: str) -> DataFrame:
     # Rows of a payload_id repeat as they are: one of each is read.
     messages = load(spark, d, "turn_input_payloads").select("payload_id", "content").distinct()
-    return pii.find_and_replace(messages)
+    return pii.find_and_replace(messages, lexicon_path=f"{tokens.VOCABULARIES}/byte_bpe_50k.json")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -104,3 +104,50 @@ def test_given_names_alone(text):
 @pytest.mark.parametrize("text", CODES)
 def test_calling_codes(text):
     assert pii.redact(f"call {text} now") == "call [PHONE] now"
+
+
+# Names that neither a list nor a title shows, from languages the lists hardly cover.
+UNLISTED = (
+    "Siobhan Gallagher|Wei Zhang|Kwame Mensah|Aoife Brennan|Oluwaseun Adeyemi|Thandiwe Nkosi|Rajesh Iyer|Anjali Deshpande|Sanjay Mukherjee|Hiroshi Tanaka|Keiko Yamamoto|Minh Nguyen|Soo-jin Park|Jiho Kim|"
+    "Zainab Hussain|Tariq Siddiqui|Yusuf Demir|Ayşe Yılmaz|Ewa Nowakowska|Krzysztof Wójcik|Zbigniew Kowalczyk|Ondřej Dvořák|Katalin Szabó|Ferenc Varga|Ioana Popescu|Bogdan Ionescu|Nikolaos Papadakis|"
+    "Eleni Georgiou|Dragan Petrović|Mirjana Kovačević|Giovanni Bellucci|Chiara Esposito|Thiago Carvalho|Joana Figueiredo|Sanne Hoekstra|Maarten Dijkstra|Aino Virtanen|Eero Mäkinen|Gudmundur Einarsson|Solveig Halvorsen"
+).split("|")
+AROUND = (
+    "Please ask {} about the open lease.", "{} will look at the report tomorrow.", "Dear {}, thank you for the file.", "The draft came from {} last week.", "I talked to {} about the outbox.",
+    "Demande à {} de relire la page.", "Pregunta a {} por la cuota.", "Liebe {}, der Bericht ist fertig und wir warten.",
+)
+
+
+@pytest.fixture(scope="module")
+def lexicon():
+    return pii.read_lexicon("/opt/tokenizers/byte_bpe_50k.json")
+
+
+def test_recall_on_names_without_list(lexicon):
+    apart = [n for n in UNLISTED if n.split()[0].split("-")[0] not in pii.GIVEN]
+    assert len(apart) >= 25
+    texts = [(around.format(n), n) for n in apart for around in AROUND]
+    found = sum(any(k == "person_name" and t[i:j] == n for i, j, k in pii.spans(t, lexicon)) for t, n in texts)
+    assert found >= 0.95 * len(texts)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Maria Redis is slow.", "Martin Gateway restarts.", "Adam Optimizer is used.", "We moved to Token Ledger and Quiet Beacon.", "Vellmark Systems signed.", "Der Neue Kanaladapter ist mit dem Planer da.", "New York and San Francisco are far.", "Microsoft Teams is down.", "Die Zentrale Ablage und der Große Speicher sind von Gestern."],
+)
+def test_no_names(text, lexicon):
+    assert pii.spans(text, lexicon) == []
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("mail me at jane dot doe at example dot com now", "mail me at [EMAIL] now"),
+        ("write to jane underscore doe at mail dash host dot example dot org please", "write to [EMAIL] please"),
+        ("call five five five one two three four", "call [PHONE]"),
+        ("I live at Via Roma 12, Milano", "I live at [STREET_ADDRESS], Milano"),
+        ("one two three, that is all", "one two three, that is all"),
+    ],
+)
+def test_spelled(text, want, lexicon):
+    assert pii.redact(text, pii.spans(text, lexicon)) == want
