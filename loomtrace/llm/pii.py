@@ -162,11 +162,11 @@ def plain(content: str) -> Plain:
 
 _SIGNS = re.compile(r"[%&(\[{<@]")
 _ATS, _DOTS = (" at ", " arroba ", " arobase "), (" dot ", " punto ", " punkt ", " point ")
-_BETWEEN_WORDS = str.maketrans(",.-", "   ")
+_is_digit_word = DIGIT_WORDS.__contains__
 
 
 def _spells_digits(low: str) -> bool:
-    return sum([w in DIGIT_WORDS for w in low.translate(_BETWEEN_WORDS).split()]) >= 7
+    return sum(map(_is_digit_word, low.replace(",", " ").replace("-", " ").replace(".", " ").split())) >= 7
 
 
 def _is_blocks(content: str) -> bool:
@@ -235,6 +235,8 @@ _CUED = regex.compile(
     rf"(?i:my name is|mein name ist|ich hei(?:ß|ss)e|je m'appelle|me llamo|mi nombre es|signed,|gezeichnet|\bname: ?|\"(?:customer|name|contact|author|owner)\": ?\")\ ?({_UP} (?:\p{{Lu}}\. )*{_PARTICLE}{_UP})"
 )
 
+#: Parts of the words of ``_CUED``.
+_CUES = ("name", "ich hei", "appelle", "me llamo", "nombre", "signed,", "gezeichnet", '"customer"', '"contact"', '"author"', '"owner"')
 
 _PAIR = regex.compile(rf"(?<![\w@.'’-])(\p{{Lu}}\p{{Ll}}[\p{{L}}'’]*)(?:-(\p{{Lu}}\p{{Ll}}+))? (?:\p{{Lu}}\. )?(?:(?:van|von|der|den|di|da|dos|ten|bin|al) ){{0,2}}(\p{{Lu}}[\p{{L}}'’]*\p{{Ll}})(?:-\p{{Lu}}\p{{Ll}}+)?(?![\w@'’-])")
 # Words that tell German text, where every noun is capital, and what stands right before a person's name in any.
@@ -285,7 +287,8 @@ def _listed_names(text: str) -> Iterator[tuple[int, int]]:
     for m in _TURNED.finditer(text):
         if m.group(2) in GIVEN and m.group(1) not in NOT_SURNAMES and m.group(1).split("-")[0] not in GIVEN:
             yield m.span()
-    for m in _CUED.finditer(text):
+    low = text.lower()
+    for m in _CUED.finditer(text) if any(w in low for w in _CUES) else ():
         if m.group(1).split()[-1] not in NOT_SURNAMES:
             yield m.span(1)
 
