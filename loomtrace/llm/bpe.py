@@ -3,16 +3,19 @@
 Method: the text of a batch is one array of code points; token borders before the merges (the split pattern of the public
 vocabulary) follow from character classes by array operations; equal words are encoded once; the symbols of many words stand
 in one flat array, and in every merge round the rank of all neighbouring pairs is found by binary search over the sorted
-pair keys, the lowest-ranked pair of each word is merged wherever it occurs, and words without a pair leave.
+pair keys, the lowest-ranked pair of each word is merged wherever it occurs, and words without a pair leave. Very long words
+(blobs without a blank) take the same merges from a heap, in time that grows with their length only.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -26,6 +29,8 @@ CONTRACTIONS_1 = "stmd"
 CONTRACTIONS_2 = ("re", "ve", "ll")
 #: Code points worked on at once.
 SLICE = 1_000_000
+#: Bytes of a word from which on it is merged by itself.
+LONG = 2_000
 #: Words kept encoded from one slice to the next.
 CACHE_WORDS = 100_000
 
@@ -40,6 +45,11 @@ class Vocabulary:
     pair_ids: np.ndarray
     classes: np.ndarray
 
+    @cached_property
+    def merges(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged id by pair key, for single words."""
+        return {k: (r, i) for k, r, i in zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), self.pair_ids.tolist())}
+
     @staticmethod
     def read(path: str) -> Vocabulary:
         """From a ``tokenizers`` file (``.json``: vocabulary and ordered merges) or a rank file (``.tiktoken``).
@@ -113,8 +123,51 @@ def token_starts(codes: np.ndarray, doc_starts: np.ndarray, classes: np.ndarray)
     return np.flatnonzero(border)
 
 
+def merge_long(word: bytes, v: Vocabulary) -> np.ndarray:
+    """The ids of one word (not empty) of any length, in n log n steps: the lowest-rank pair, the leftmost first, from a heap."""
+    merges, n = v.merges, len(word)
+    symbol: list[int] = v.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank = [-1] * n  # of the pair that starts here and waits in the heap
+    heap = []
+    for i in range(n - 1):
+        merge = merges.get(symbol[i] << 32 | symbol[i + 1])
+        if merge:
+            rank[i] = merge[0]
+            heap.append((merge[0], i))
+    heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        if rank[i] != r:
+            continue  # its pair is gone
+        j = after[i]
+        symbol[i] = merges[symbol[i] << 32 | symbol[j]][1]
+        symbol[j], rank[j] = -1, -1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+        for a, b in ((before[i], i), (i, k)):
+            if a >= 0 and b < n:
+                merge = merges.get(symbol[a] << 32 | symbol[b])
+                rank[a] = merge[0] if merge else -1
+                if merge:
+                    heapq.heappush(heap, (merge[0], a))
+            elif a == i:
+                rank[i] = -1
+    return np.array([x for x in symbol if x >= 0], np.int64)
+
+
 def merge_words(words: list[bytes], v: Vocabulary) -> list[np.ndarray]:
-    """The ids of each word (not empty), merged all together."""
+    """The ids of each word (not empty), merged all together; words of more than ``LONG`` bytes one by one.
+
+    A round passes over all words, and a word takes as many rounds as it merges different pairs: in long words that grows with
+    the square of their length, so these go through :func:`merge_long`, with the same result.
+    """
+    long = [k for k, w in enumerate(words) if len(w) > LONG]
+    if long:
+        apart = dict(zip(long, (merge_long(words[k], v) for k in long)))
+        rest = iter(merge_words([w for w in words if len(w) <= LONG], v))
+        return [apart[k] if k in apart else next(rest) for k in range(len(words))]
     sizes = np.array([len(w) for w in words], np.int64)
     symbol = v.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
     word = np.repeat(np.arange(len(words)), sizes)

@@ -104,6 +104,15 @@ def test_search_ends_where_no_step_is_left(low, high):
                     assert not (gain > 0 and fc + gain <= 100 and (fa - gain) ** 2 + (fc + gain) ** 2 > fa**2 + fc**2)
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken"])
+def test_long_words_merge_as_short_ones(file, monkeypatch):
+    v, rng = Vocabulary.read(f"{DIR}/{file}"), random.Random(6)
+    words = [bytes(rng.choice(b"aabcdeothing ") for _ in range(rng.randint(1, 400))) for _ in range(60)] + [b"a" * 301, base64.b64encode(bytes(rng.randrange(256) for _ in range(600)))]
+    rounds = bpe.merge_words(words, v)
+    monkeypatch.setattr(bpe, "LONG", 50)
+    assert [x.tolist() for x in bpe.merge_words(words, v)] == [x.tolist() for x in rounds] == [bpe.merge_long(w, v).tolist() for w in words]
+
+
 def test_windows(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 40)
     rng = random.Random(2)
