@@ -38,9 +38,11 @@ def json_digest(texts: pd.Series) -> pd.Series:
 
 
 def line_changes(before: str | None, after: str | None) -> tuple[int, int]:
-    """Lines added and deleted; null counts as empty."""
+    """Lines added and deleted; with a null on either side there is nothing to compare: none."""
     added = deleted = 0
-    for tag, i, j, k, m in difflib.SequenceMatcher(None, (before or "").splitlines(), (after or "").splitlines(), autojunk=False).get_opcodes():
+    if before is None or after is None:
+        return 0, 0
+    for tag, i, j, k, m in difflib.SequenceMatcher(None, before.splitlines(), after.splitlines(), autojunk=False).get_opcodes():
         if tag != "equal":
             deleted, added = deleted + j - i, added + m - k
     return added, deleted
@@ -59,28 +61,46 @@ def unified_diff(before: str | None, after: str | None, max_lines: int = 400) ->
 
 
 def best_window(text: str, wanted: str) -> tuple[float, int]:
-    """The ratio and first line (from 1) of the window of as many lines as ``wanted`` has that resembles it most."""
-    lines, want = text.splitlines(), wanted.splitlines()
+    """The ratio and first line (from 1) of the window of as many lines as ``wanted`` has that shares most lines with it."""
+    lines, want = text.splitlines(keepends=True), wanted.splitlines(keepends=True)
     if not lines or not want:
         return 0.0, 0
     best = (0.0, 0)
-    matcher = difflib.SequenceMatcher(autojunk=False)
-    matcher.set_seq2("\n".join(want))
+    matcher = difflib.SequenceMatcher()
+    matcher.set_seq2(want)
     for i in range(max(1, len(lines) - len(want) + 1)):
-        matcher.set_seq1("\n".join(lines[i : i + len(want)]))
+        matcher.set_seq1(lines[i : i + len(want)])
         if matcher.real_quick_ratio() > best[0] and matcher.quick_ratio() > best[0] and (ratio := matcher.ratio()) > best[0]:
             best = (ratio, i + 1)
     return best
 
 
+@F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("line", T.IntegerType())]))
+def nearest_lines(texts: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+    """:func:`best_window` of two columns; null on either side finds nothing."""
+    return pd.DataFrame([best_window(t or "", w or "") for t, w in zip(texts, wanted)], columns=["ratio", "line"])
+
+
+@F.pandas_udf(T.IntegerType())
+def match_count(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+    """How often :func:`find_spans` finds one column's text in the other's."""
+    return pd.Series([len(find_spans(t or "", w or "")) for t, w in zip(texts, wanted)])
+
+
 def find_spans(text: str, wanted: str) -> list[tuple[int, int]]:
-    """Where ``wanted`` stands: exactly, else line by line with outer blanks aside, else with quotation marks made plain."""
+    """Where ``wanted`` stands: exactly, else line by line with outer blanks aside, else with quotation marks made plain (as it
+    stands, then line by line)."""
     if not wanted:
         return []
     exact = [(m.start(), m.end()) for m in re.finditer(re.escape(wanted), text)]
     if exact:
         return exact
-    for tidy in (str.strip, lambda s: s.strip().translate(QUOTES)):
+    plain = [(m.start(), m.end()) for m in re.finditer(re.escape(wanted.translate(QUOTES)), text.translate(QUOTES))]
+    for tidy in (str.strip, None, lambda s: s.strip().translate(QUOTES)):
+        if tidy is None:  # quotation marks alone; every one is a character for a character
+            if plain:
+                return plain
+            continue
         lines = text.splitlines(keepends=True)
         starts = [0]
         for line in lines:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,16 +37,11 @@ FAILURES = (
     ("rate_limited", ("rate_limit", "rate limit", "429")),
     ("policy_blocked", ("policy_blocked", "policyerror", "blocked")),
 )
-# The tags of thinking blocks and what of them is removed, in order.
-THINK = "(?:think|thinking|thought)"
-THINK_PATTERNS = (
-    rf"(?s)<(?<tag>{THINK})>.*?</\k<tag>>",
-    rf"(?s)^\s*<{THINK}>.*$",
-    rf"<{THINK}(?![A-Za-z0-9_\-:>/])",
-    rf"^\s*</{THINK}>\s*",
-    rf"\s*</{THINK}>\s*$",
-    r"^\s*<\|?channel\|?>\s*",
-)
+# The names of thinking tags, and of the marker of channels.
+THINK_NAMES = ("think", "thinking", "thought")
+CHANNEL_MARKS = ("<channel>", "<channel|>", "<|channel>", "<|channel|>")
+#: A thinking tag: slash, name, and how it closes (nothing, if the name ends in what can't belong to a tag), or a channel mark.
+_TAG = re.compile(rf"<(/?)({'|'.join(sorted(THINK_NAMES, key=len, reverse=True))})(/?>|(?![A-Za-z0-9_:>/-]))|{'|'.join(map(re.escape, CHANNEL_MARKS))}")
 
 
 def squeeze(text: Column) -> Column:
@@ -54,40 +50,80 @@ def squeeze(text: Column) -> Column:
 
 
 def strip_html(text: Column) -> Column:
-    """Text without scripts, styles and tags, with the common entities decoded (ampersand last)."""
+    """Text without scripts, styles and tags, entities decoded: the rare ones in Python, only where a text holds any."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?is)<script.*?</script>", ""), r"(?is)<style.*?</style>", ""), r"<[^>]+>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return F.regexp_replace(bare, r"^\s+|\s+$", "")
-
-
-def _untagged(fragment: str) -> str:
-    return re.sub(r"<[^>]+>", "", re.sub(r"(?is)<(script|style)\b.*?</\1>", "", fragment)).strip()
+    decoded = F.when(bare.rlike(r"&#?\w"), decode_entities(bare)).otherwise(bare)
+    return F.regexp_replace(decoded, r"^\s+|\s+$", "")
 
 
-# The elements that become Markdown.
-_MARKDOWN = (
-    (re.compile(r"(?is)<a\s[^>]*?href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"), lambda m: f"[{_untagged(m[2])}]({m[1]})"),
-    (re.compile(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1>"), lambda m: "\n" + "#" * int(m[1]) + f" {_untagged(m[2])}\n"),
-    (re.compile(r"(?is)<li\b[^>]*>(.*?)</li>"), lambda m: f"\n- {_untagged(m[1])}"),
-    (re.compile(r"(?i)</(?:p|div|section|article)>"), "\n\n"),
-    (re.compile(r"(?i)<(?:br|hr)\s*/?>"), "\n"),
-)
+@F.pandas_udf(T.StringType())
+def decode_entities(texts: pd.Series) -> pd.Series:
+    """Character references of HTML decoded, over Arrow batches (the table of names is Python's)."""
+    return texts.map(lambda t: t if t is None else html.unescape(t))
+
+
+class _Markdown(HTMLParser):
+    """Writes Markdown while a page is read; elements whose text is needed as a whole have a buffer of their own."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, str, list[str]]] = [("", "", [])]
+        self.hidden = 0
+
+    def _write(self, text: str) -> None:
+        if not self.hidden:
+            self.open[-1][2].append(text)
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        href = dict(attrs).get("href")
+        if tag in ("script", "style"):
+            self.hidden += 1
+        elif tag in ("br", "hr"):
+            self._write("\n")
+        elif tag == "li" or tag == "a" and href or len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
+            self.open.append((tag, href or "", []))
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("script", "style"):
+            self.hidden = max(0, self.hidden - 1)
+        elif tag in ("p", "div", "section", "article"):
+            self._write("\n\n")
+        elif any(tag == name for name, _, _ in self.open):
+            while self.open[-1][0] != tag:
+                self._end(False)
+            self._end(True)
+
+    def _end(self, closed: bool) -> None:
+        tag, href, parts = self.open.pop()
+        text = "".join(parts)
+        if closed:
+            text = text.strip()
+            text = f"[{text}]({href})" if tag == "a" else f"\n- {text}" if tag == "li" else f"\n{'#' * int(tag[1])} {text}\n"
+        self._write(text)
+
+    def handle_data(self, data: str) -> None:
+        self._write(data)
+
+    def written(self) -> str:
+        while len(self.open) > 1:
+            self._end(False)
+        return "".join(self.open[0][2])
 
 
 def markdown(page: str | None) -> str | None:
     """An HTML page as Markdown: links, headings, list items, paragraphs and breaks; null stays null."""
     if page is None:
         return None
-    for pattern, new in _MARKDOWN:
-        page = pattern.sub(new, page)
-    # Entities last: a decoded bracket is text, not a tag.
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", html.unescape(_untagged(page)))).strip()
+    writer = _Markdown()
+    writer.feed(page)
+    writer.close()
+    lines = [" ".join(x for x in re.split(r"[ \t]+", line)) for line in writer.written().split("\n")]
+    return re.sub(r"\n\n\n+", "\n\n", "\n".join(lines)).strip()
 
 
 @F.pandas_udf(T.StringType())
 def to_markdown(pages: pd.Series) -> pd.Series:
-    """:func:`markdown` over Arrow batches (replacements that depend on the match need Python)."""
+    """:func:`markdown` over Arrow batches (a page is read by a parser)."""
     return pages.map(markdown)
 
 
@@ -113,11 +149,57 @@ def redact_map(values: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.when(normalize_key(k).isin(*SECRET_KEYS), F.lit(REDACTED)).otherwise(redact(v)))
 
 
-def strip_think(text: Column) -> Column:
-    """Text without thinking blocks: closed ones anywhere, an open one from the start, broken tags, orphan ends at the edges."""
-    for pattern in THINK_PATTERNS:
-        text = F.regexp_replace(text, pattern, "")
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+def visible(text: str | None) -> str | None:
+    """Text without thinking, in one pass over its tags; null stays null.
+
+    A closed block goes wherever it stands; one that never closes goes with the rest if nothing stands before it; a tag that
+    breaks off goes. Single closing tags, empty ``<thinking/>`` and channel marks go at the edges only, since elsewhere somebody
+    talks about them. At the very end the beginning of such a tag goes too (a stream may stop there).
+    """
+    if text is None:
+        return None
+    pieces: list[tuple[str, bool]] = []  # text, and whether it is a mark that goes at an edge
+
+    def shown() -> bool:
+        return any(t.strip() for t, mark in pieces if not mark)
+
+    at = 0
+    while found := _TAG.search(text, at):
+        slash, name, tail = found.groups()
+        pieces.append((text[at : found.start()], False))
+        at = found.end()
+        if name is None:
+            pieces.append((found.group(), not shown()))
+        elif tail == ">" and not slash:
+            end = text.find(f"</{name}>", at)
+            if end >= 0:
+                at = end + len(name) + 3
+            elif not shown():
+                at = len(text)
+            else:
+                pieces.append((found.group(), False))
+        elif tail or slash:
+            pieces.append((found.group(), tail == ">" or name == "thinking" and not slash))
+    pieces.append((text[at:], False))
+    first = next((k for k, (t, mark) in enumerate(pieces) if t.strip() and not mark), len(pieces))
+    last = next((k for k in range(len(pieces) - 1, -1, -1) if pieces[k][0].strip() and not pieces[k][1]), -1)
+    out = "".join(t for k, (t, mark) in enumerate(pieces) if not (mark and (k < first or k > last)))
+    return out[: len(out) - _partial(out)].strip()
+
+
+def _partial(text: str) -> int:
+    """Length of the beginning of a tag at the end of a text (a bare ``<`` only if it is all of it)."""
+    at = text.rfind("<")
+    tail = text[at:] if at >= 0 else ""
+    whole = [f"<{slash}{n}>" for n in THINK_NAMES for slash in ("", "/")] + list(CHANNEL_MARKS)
+    bare = tail.strip("</|") == ""
+    return len(tail) if tail and any(w.startswith(tail) for w in whole) and (not bare or text.strip() == tail) else 0
+
+
+@F.pandas_udf(T.StringType())
+def strip_think(texts: pd.Series) -> pd.Series:
+    """:func:`visible` over Arrow batches (what a tag means depends on the tags before it)."""
+    return texts.map(visible)
 
 
 def truncate(text: Column, limit: int, suffix: str = "\n... (truncated)") -> Column:
@@ -125,6 +207,15 @@ def truncate(text: Column, limit: int, suffix: str = "\n... (truncated)") -> Col
     return F.when((F.length(text) > limit) & F.lit(limit > 0), F.concat(F.substring(text, 1, max(limit, 0)), F.lit(suffix))).otherwise(text)
 
 
+def truncate_bytes(text: Column, limit: int, suffix: str = "\n... (truncated)") -> Column:
+    """At most ``limit`` bytes of UTF-8, whole code points, the suffix included if it fits; limits below 1 change nothing."""
+    room = limit - len(suffix.encode())
+    # A code point cut in two becomes the replacement character at the end.
+    head = lambda n: F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, n).cast("string")), "\ufffd+$", "")
+    cut = F.concat(head(room), F.lit(suffix)) if room > 0 else head(limit)
+    return F.when((F.octet_length(text) > limit) & F.lit(limit > 0), cut).otherwise(text)
+
+
 def token_estimate(text: Column) -> Column:
     """Tokens of a message by its UTF-8 bytes: bytes + 4, at least 4."""
     return F.greatest(F.lit(4), F.coalesce(F.octet_length(text), F.lit(0)) + 4)

@@ -70,12 +70,20 @@ def low_risk(result: Column, sensitivity: Column, tools: Column, tool_count: Col
     return (outcome(result) == "success") & ~F.lower(F.coalesce(sensitivity, F.lit(""))).isin(*SENSITIVE) & known & F.forall(F.coalesce(tools, F.array().cast("array<string>")), lambda t: t.isin(*READS))
 
 
+# What is taken out of free text that somebody wrote, in order, and what stands in its place.
+SANITIZED = (
+    (r"(?i)\b(?:api[_ -]?key|token|password|secret|credential|authorization)\s*[:=]\s*[^\s,;]+", "[REDACTED:CREDENTIAL]"),
+    (r"(?i)(?<![A-Za-z0-9_])(?:sudo\s+|rm\s+-|curl\s+|wget\s+|bash\s+|sh\s+|powershell\s+|python(?:3)?\s+|chmod\s+|git\s+)[^;\n]{0,240}", "[REDACTED:COMMAND]"),
+    (r"(?<![A-Za-z0-9_])/(?:[A-Za-z0-9._-]+/)+[A-Za-z0-9._-]*", "[REDACTED:PATH]"),
+)
+
+
 def sanitize(text: Column, limit: int = 500) -> Column:
     """Free text without credentials, assignments of secrets, shell commands and absolute paths, blanks squeezed, cut to ``limit``."""
     out = redact(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
-    out = F.regexp_replace(out, r"(?i)\b(?:password|passwd|secret|token|api[_-]?key)\s*[:=]\s*\S+", r"\[CREDENTIAL\]")
-    out = F.regexp_replace(out, r"(?i)\b(?:sudo|rm|curl|wget|chmod|bash|sh|python3?|git|docker)\s+(?:-\S+\s*|\S*[/|;&]\S*\s*)+", r"\[COMMAND\] ")
-    return F.substring(F.trim(F.regexp_replace(out, r"(?<![\w.])(?:/[\w.-]+){2,}/?|\b[A-Za-z]:\\\\[\w\\\\.-]+", r"\[PATH\]")), 1, limit)
+    for pattern, mark in SANITIZED:
+        out = F.regexp_replace(out, pattern, mark.replace("[", r"\[").replace("]", r"\]"))
+    return F.substring(out, 1, limit)
 
 
 def step_evidence(events: DataFrame) -> DataFrame:
