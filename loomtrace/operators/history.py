@@ -125,3 +125,39 @@ def last_turns(turn_rows: DataFrame, key: str, turn: str, least: int) -> DataFra
     few = sizes.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= least)
     after = F.coalesce(F.sum("n").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return few.withColumn("_after", after).filter(F.col("_after") < least).drop("_r", "_after")
+
+
+def legal_suffix(messages: DataFrame, key: str, seq: str, n: int) -> DataFrame:
+    """Every message with ``kept``: whether it is among the session's last ``n`` and not before its :func:`legal_start`."""
+    newest = messages.select(key, seq).withColumn("_r", F.row_number().over(_newest(key, [seq]))).filter(F.col("_r") <= n)
+    first = newest.groupBy(key).agg(F.min(seq).alias("_first")).join(legal_start(messages, key, seq), key)
+    start = F.greatest("_first", F.coalesce("legal_from", F.lit(0)))
+    return messages.join(first, key).withColumn("kept", F.col(seq) >= start).drop("_first", "legal_from")
+
+
+# What stands for a result that never came, and for a reply that says nothing.
+NO_RESULT, PLACEHOLDER = "[no result]", "[placeholder]"
+
+
+def backfill_results(messages: DataFrame, key: str, seq: str) -> DataFrame:
+    """Messages with a tool message ``NO_RESULT`` after each call that no result answers, renumbered as ``position`` (from 1).
+
+    messages: ``role, content, call_ids, result_id``. Several missing results of one message stand in the order of its calls.
+    """
+    calls = messages.select(key, seq, F.posexplode("call_ids").alias("_nth", "result_id"))
+    missing = calls.join(messages.filter("result_id is not null").select(key, "result_id").distinct(), [key, "result_id"], "left_anti")
+    filled = missing.select(key, seq, (F.col("_nth") + 1).alias("_nth"), F.lit("tool").alias("role"), F.lit(NO_RESULT).alias("content"), "result_id")
+    own = messages.select(key, seq, F.lit(0).alias("_nth"), "role", "content", "result_id")
+    return own.unionByName(filled).withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(seq, "_nth"))).drop("_nth")
+
+
+def well_formed(messages: DataFrame) -> DataFrame:
+    """Messages without calls that name no tool, and without assistant messages that then have neither a call nor a text.
+
+    messages: ``role, content, call_ids, call_names`` (two arrays of equal length).
+    """
+    pairs = F.filter(F.arrays_zip("call_ids", "call_names"), lambda p: F.trim(F.coalesce(p["call_names"], F.lit(""))) != "")
+    kept = messages.withColumn("_calls", pairs)
+    kept = kept.withColumn("call_ids", F.transform("_calls", lambda p: p["call_ids"])).withColumn("call_names", F.transform("_calls", lambda p: p["call_names"]))
+    says = ~F.trim(F.coalesce("content", F.lit(""))).isin("", PLACEHOLDER)
+    return kept.filter((F.col("role") != "assistant") | (F.size(F.coalesce("_calls", F.array())) > 0) | says).drop("_calls")

@@ -101,10 +101,12 @@ def illegal_transitions(actions: DataFrame, key: str, order: list[str], allowed:
     return steps.filter(bad).select(key, "from_status", F.col("status").alias("to_status"))
 
 
-def quota_used(tables: list[DataFrame], key: str, at: str, day: str, zone: str = "UTC") -> DataFrame:
-    """How many rows of all tables fall on a local day, per key: ``key, used``."""
-    rows = reduce(DataFrame.unionByName, [t.select(key, at) for t in tables])
-    return rows.filter(F.to_date(F.from_utc_timestamp(at, zone)) == F.lit(day).cast("date")).groupBy(key).agg(F.count("*").alias("used"))
+def quota_used(tables: list[DataFrame], key: str, at: str, day: str, zone: str = "UTC", amount: str | None = None) -> DataFrame:
+    """How many rows of all tables fall on a local day, per key: ``key, used``, and with a column ``amount`` its sum."""
+    rows = reduce(DataFrame.unionByName, [t.select(key, at, *([amount] if amount else [])) for t in tables])
+    own = rows.filter(F.to_date(F.from_utc_timestamp(at, zone)) == F.lit(day).cast("date"))
+    sums = [F.coalesce(F.sum(amount), F.lit(0)).alias("amount")] if amount else []
+    return own.groupBy(key).agg(F.count("*").alias("used"), *sums)
 
 
 def next_version(packs: DataFrame, key: str, document: str, path: str = "$.version") -> DataFrame:

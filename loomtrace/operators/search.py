@@ -115,3 +115,15 @@ def line_window(docs: DataFrame, key: str, text: str, offset: int, limit: int, m
     cut = F.slice(F.split(text, r"\r\n|\r|\n"), offset, limit)
     upto = F.transform(cut, lambda line, i: F.struct((i + offset).alias("line_no"), line.alias("line"), F.aggregate(F.slice(cut, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)).alias("chars_upto")))
     return docs.filter(F.col(text).isNotNull()).select(key, F.inline(F.filter(upto, lambda x: x["chars_upto"] <= max_chars)))
+
+
+def catalog_search(rows: DataFrame, columns: list[str], query: str, key: str, limit: int) -> DataFrame:
+    """Rows whose columns together hold the whole query (trimmed, in lower case), the smallest keys; an empty query matches all."""
+    return rows.filter(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(query.strip().lower()))).orderBy(key).limit(limit)
+
+
+def matching_records(index: DataFrame, records: DataFrame, key: str, text: str, query: str, **literal: str) -> DataFrame:
+    """Records of the index rows that match any word of the query, with fixed values in further columns (filters before the join)."""
+    for column, value in literal.items():
+        records = records.filter(F.col(column) == value)
+    return records.join(index.filter(match_any(F.coalesce(text, F.lit("")), query)).select(key), key)

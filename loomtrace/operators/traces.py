@@ -55,6 +55,31 @@ def overlapping(listing: DataFrame, since: str | None = None, until: str | None
     return listing.filter(F.col("first_seen") <= F.lit(until).cast("timestamp")) if until else listing
 
 
+def filter_listing(listing: DataFrame, status: str | None = None, anomalies_only: bool = False) -> DataFrame:
+    """Rows of :func:`list_traces` with a display status, or with anomalies. Before the page is cut, so pages are full."""
+    if status is not None:
+        listing = listing.filter(F.col("display_status") == status)
+    return listing.filter("anomaly_count > 0") if anomalies_only else listing
+
+
+def search_summaries(summaries: DataFrame, outcomes: tuple[str, ...] = (), tool: str | None = None, limit: int = 50) -> DataFrame:
+    """The traces of :func:`trace_summary` with one of the outcomes and a tool, those of most events first (a top-n)."""
+    if outcomes:
+        summaries = summaries.filter(F.col("outcome").isin(*outcomes))
+    if tool is not None:
+        summaries = summaries.filter(F.array_contains(F.split("tools", ","), tool))
+    return summaries.orderBy(F.desc("event_count"), "trace_id").limit(limit)
+
+
+def event_page(events: DataFrame, key: str, after: int, limit: int) -> DataFrame:
+    """Of every ``key`` its events ``after + 1`` to ``after + limit`` in log order, with their ``position`` (from 1).
+
+    The rank is bounded, so that only so many rows of a key are kept before they move.
+    """
+    order = Window.partitionBy(key).orderBy("occurred_at", "segment_sequence", "event_id")
+    return events.withColumn("position", F.row_number().over(order)).filter((F.col("position") <= after + limit) & (F.col("position") > after))
+
+
 def find_traces(events: DataFrame) -> DataFrame:
     """Per trace: first and last event, distinct turns and runs, and how its runs ended (sorted, comma separated)."""
     ended = F.when(F.col("event_type") == "run_finished", F.col("status"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("log_queries", "text_queries", "graph_queries", "evidence_queries", "trace_data")
+_MODULES = ("log_queries", "text_queries", "graph_queries", "evidence_queries", "record_queries", "trace_data")
 
 
 def all_queries() -> dict:

@@ -28,12 +28,17 @@ def build_session(app: str = "loomtrace", cpus: int | str = "*", shuffle_partiti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests) a local folder is made."""
+    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests) a local folder is made.
+
+    On a cluster an unset folder is an error: no folder of one machine can be read by all executors.
+    """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = context.getConf().get("spark.checkpoint.dir", None)
+    if configured is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if configured is None:
         configured = "file://" + os.path.join(tempfile.gettempdir(), f"loomtrace-{uuid.uuid4().hex}")
     context.setCheckpointDir(configured)
@@ -62,13 +67,19 @@ def drop_written(spark: SparkSession) -> int:
     return n
 
 
+def scratch(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the shared folder, which :func:`drop_written` deletes."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _tables.append(path)
+    return path
+
+
 def written(df: DataFrame, *sort: str) -> DataFrame:
     """Like :func:`cut`, as a Parquet table in the shared folder: smaller on disk and read by column.
 
     The table stays until :func:`drop_written` or until the folder is cleared, since later plans read it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch(spark)
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)

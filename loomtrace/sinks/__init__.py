@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from loomtrace.operators.history import newest_by_key
 
 
+#: How instants are written: all six digits, which the default of the JSON writer cuts to three.
+INSTANT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def append_segments(records: DataFrame, path: str, date: str = "occurred_at") -> None:
     """Append as JSON lines, one directory a day."""
-    records.withColumn("date", F.to_date(date)).write.mode("append").partitionBy("date").json(path)
+    records.withColumn("date", F.to_date(date)).write.mode("append").option("timestampFormat", INSTANT).partitionBy("date").json(path)
 
 
 def insert_new(records: DataFrame, existing: DataFrame, key: str = "event_id") -> DataFrame:
@@ -45,19 +49,31 @@ def rebuild(df: DataFrame, path: str, least_rows: int = 1) -> int:
     df.write.parquet(beside)
     n = spark.read.schema(df.schema).parquet(beside).count()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(conf)
+    new, live, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path, f"{beside}_old"))
+    fs = live.getFileSystem(conf)
     if n < least_rows:
         fs.delete(new, True)
         raise ValueError(f"rebuild of {path} has {n} rows")
-    fs.delete(old, True)
-    fs.rename(new, old)
+    # The old table leaves last: whenever this stops, a whole table lies under one of the names.
+    moved = fs.exists(live) and fs.rename(live, old)
+    if not fs.rename(new, live):
+        if moved:
+            fs.rename(old, live)
+        raise OSError(f"{path} could not be replaced")
+    if moved:
+        fs.delete(old, True)
     return n
 
 
+def remove(spark, path: str) -> bool:
+    """Delete a table or file tree; whether there was one."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True))
+
+
 def export_json(df: DataFrame, path: str, hidden: tuple[str, ...] = ()) -> None:
     """One JSON document a row, without the ``hidden`` columns."""
-    df.drop(*hidden).write.mode("overwrite").json(path)
+    df.drop(*hidden).write.mode("overwrite").option("timestampFormat", INSTANT).json(path)
 
 
 def offload(df: DataFrame, key: str, text: str, limit: int, preview: int = 200) -> tuple[DataFrame, DataFrame]:

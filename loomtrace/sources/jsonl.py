@@ -24,7 +24,7 @@ def read_segments(spark: SparkSession, path: str, schema: T.StructType = EVENT_S
     """All records under ``path`` with an explicit schema (no inference pass); lines that are no JSON keep their text in
     ``_corrupt_record``. Adds ``source_file``."""
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return spark.read.schema(full).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(path).withColumn("source_file", F.input_file_name())
+    return spark.read.schema(full).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").json(path).withColumn("source_file", F.input_file_name())
 
 
 def flatten_usage(events: DataFrame) -> DataFrame:
