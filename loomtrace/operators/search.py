@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions.text import token_estimate
+from loomtrace.session import written
 
 #: Okapi BM25.
 K1, B = 1.2, 0.75
@@ -72,6 +73,7 @@ def bm25(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
     terms = sorted(set(terms_of(query)))
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     counted = docs.select("id", words.alias("w")).select("id", F.size("w").alias("len"), *[F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = written(counted)  # a few numbers a text; statistics and scores both read these
     corpus = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     both = counted.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").join(F.broadcast(corpus))  # one row
     score = F.lit(0.0)

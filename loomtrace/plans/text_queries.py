@@ -17,6 +17,8 @@ from loomtrace.sources.tables import load
 QUERY = "session store stale lease"
 NOW = f"{TODAY} 00:00:00"
 BUDGET = 400
+#: Tokens of the texts that are packed together.
+PACK_BUDGET = 12_000
 
 
 def _docs(spark, d: str) -> DataFrame:
@@ -36,8 +38,8 @@ def bm25_topk(spark, d):
 
 
 def token_budget_pack(spark, d):
-    hits = R.rank(_docs(spark, d), QUERY, NOW).join(_docs(spark, d).select("id", F.substring("title", 1, 60).alias("label")), "id")
-    return R.fit_budget(hits, BUDGET, "label", F.desc("score"), F.desc("freshness"), F.col("id")).select("id", "tokens_upto")
+    hits = R.rank(_docs(spark, d), QUERY, NOW).join(_docs(spark, d).select("id", "text"), "id")
+    return R.fit_budget(hits, PACK_BUDGET, "text", F.desc("score"), F.desc("freshness"), F.col("id")).select("id", "tokens_upto")
 
 
 def grep_content(spark, d):
@@ -57,20 +59,11 @@ def line_window(spark, d):
 
 
 def html_strip(spark, d):
-    pages = load(spark, d, "documents").filter("text like '%<html>%'")
+    pages = load(spark, d, "documents")
     return pages.select("doc_id", F.sha2(X.squeeze(X.strip_html(F.col("text"))), 256).alias("digest"), F.length(X.squeeze(X.strip_html(F.col("text")))).alias("n_chars"))
 
 
 def html_markdown(spark, d):
-    return load(spark, d, "documents").filter("text like '%<html>%'").select("doc_id", X.to_markdown("text").alias("markdown"))
-
-
-def html_strip_all(spark, d):
-    # Every document: pages with attributes or capitals in <html>, and fragments, are none for the SQL of html_strip.
-    return load(spark, d, "documents").select("doc_id", X.squeeze(X.strip_html(F.col("text"))).alias("text"))
-
-
-def html_markdown_all(spark, d):
     return load(spark, d, "documents").select("doc_id", X.to_markdown("text").alias("markdown"))
 
 
@@ -88,11 +81,12 @@ def goal_masks(spark, d):
 
 def chunk_text(spark, d):
     cut = load(spark, d, "documents").select("doc_id", F.posexplode(X.chunks(F.col("text"), 2000)).alias("pos", "chunk"))
-    return cut.select("doc_id", "pos", F.length("chunk").alias("n_chars"))
+    return cut.select("doc_id", "pos", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("digest"))
 
 
 def truncated_texts(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.length(X.truncate(F.col("text"), 500)).alias("n_chars"), X.token_estimate(F.col("text")).alias("tokens"))
+    cut = X.truncate(F.col("text"), 500)
+    return load(spark, d, "documents").select("doc_id", F.length(cut).alias("n_chars"), F.sha2(cut, 256).alias("digest"), X.token_estimate(F.col("text")).alias("tokens"))
 
 
 def failure_families(spark, d):
@@ -193,7 +187,7 @@ def session_debounce(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        term_match_rank, term_match_all, bm25_topk, token_budget_pack, grep_content, grep_count, grep_context, line_window, html_strip, html_markdown, html_strip_all, html_markdown_all, redact_counts, intent_route, goal_masks, chunk_text,
+        term_match_rank, term_match_all, bm25_topk, token_budget_pack, grep_content, grep_count, grep_context, line_window, html_strip, html_markdown, redact_counts, intent_route, goal_masks, chunk_text,
         truncated_texts, failure_families, history_suffix, history_token_budget, consolidation_boundary, orphan_tool_results, missing_tool_results, retain_last_k, latest_wins, asof_recovery, interval_spawn,
         recovery_review, reference_integrity, sequence_faults, split_assign, holdout_gate, replay_consistency, answer_scores, session_debounce,
     )
@@ -232,8 +226,8 @@ SQL = {
     "term_match_rank": f"WITH {_RANK} SELECT * FROM r",
     "term_match_all": f"SELECT doc_id AS id FROM documents WHERE ({_HITS}) = {len(_TERMS)}",
     "bm25_topk": f"WITH {_BM25_WORDS} SELECT id, round({_BM25}, 6) AS score FROM c, k WHERE {' OR '.join(f'tf{i} > 0' for i in range(len(set(_TERMS))))} ORDER BY score DESC, id LIMIT 20",
-    "token_budget_pack": f"""WITH {_RANK}, u AS (SELECT id, CAST(sum(greatest(4, octet_length(encode(substr(coalesce(title, ''), 1, 60))) + 4)) OVER (ORDER BY score DESC, freshness DESC, id) AS BIGINT) AS tokens_upto FROM r JOIN documents ON doc_id = id)
-  SELECT id, tokens_upto FROM u WHERE tokens_upto <= {BUDGET}""",
+    "token_budget_pack": f"""WITH {_RANK}, u AS (SELECT id, CAST(sum(greatest(4, octet_length(encode(coalesce(text, ''))) + 4)) OVER (ORDER BY score DESC, freshness DESC, id) AS BIGINT) AS tokens_upto FROM r JOIN documents ON doc_id = id)
+  SELECT id, tokens_upto FROM u WHERE tokens_upto <= {PACK_BUDGET}""",
     "grep_content": rf"SELECT doc_id, line_no, line FROM ({_LINES}) WHERE regexp_matches(line, 'lease \d+ still held')",
     "grep_count": f"SELECT doc_id, count(*) AS n_lines FROM ({_LINES}) WHERE contains(lower(line), 'token budget') GROUP BY 1",
     "grep_context": f"""WITH l AS ({_LINES}), f AS (SELECT *, contains(line, 'WARN gateway') AS is_match FROM l)
@@ -243,7 +237,7 @@ SQL = {
   len(regexp_extract_all(coalesce(text, ''), '\b(?:AKIA|ASIA)[A-Z0-9]{16}\b')) AS n_aws_access_key,
   length(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+', '[REDACTED]', 'g'), '\bsk-[A-Za-z0-9_-]{16,}\b', '[REDACTED]', 'g'), '\b(?:AKIA|ASIA)[A-Z0-9]{16}\b', '[REDACTED]', 'g')) AS n_chars_left FROM documents""",
     "intent_route": _intent_sql(),
-    "truncated_texts": "SELECT doc_id, CASE WHEN length(text) > 500 THEN 516 ELSE length(text) END AS n_chars, greatest(4, coalesce(octet_length(encode(text)), 0) + 4) AS tokens FROM documents",
+    "truncated_texts": "SELECT doc_id, CASE WHEN length(text) > 500 THEN 516 ELSE length(text) END AS n_chars, sha256(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || chr(10) || '... (truncated)' ELSE text END) AS digest, greatest(4, coalesce(octet_length(encode(text)), 0) + 4) AS tokens FROM documents",
     "history_suffix": f"""WITH {_MESSAGES}, n AS (SELECT *, row_number() OVER ({_NEWEST}) AS r FROM m), u AS (SELECT session_key, min(r) FILTER (WHERE role = 'user') AS first_user FROM n GROUP BY 1)
   SELECT session_key, message_id FROM n JOIN u USING (session_key) WHERE r <= greatest(3, coalesce(first_user, 0))""",
     "history_token_budget": f"""WITH {_MESSAGES}, n AS (SELECT session_key, message_id, CAST(sum(tokens) OVER ({_NEWEST}) AS BIGINT) AS tokens_upto, row_number() OVER ({_NEWEST}) AS r FROM m) SELECT session_key, message_id, tokens_upto FROM n WHERE tokens_upto <= {BUDGET} OR r = 1""",
@@ -287,12 +281,12 @@ for _entity, _char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&
     _DECODED = f"replace({_DECODED}, '{_entity}', {_char})"
 SQL |= {
     "html_strip": rf"""WITH h AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '<[^>]+>', '', 'g') AS t
-    FROM documents WHERE text LIKE '%<html>%'),
+    FROM documents),
   q AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_DECODED}, '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM h)
   SELECT doc_id, sha256(t) AS digest, length(t) AS n_chars FROM q""",
     "chunk_text": f"""WITH RECURSIVE c AS (SELECT doc_id, 0 AS pos, text AS rest FROM documents WHERE text IS NOT NULL AND text <> ''
     UNION ALL SELECT doc_id, pos + 1, regexp_replace(substr(rest, {_CHUNK_END} + 1), '^[\\s]+', '') FROM c WHERE length(rest) > 2000)
-  SELECT doc_id, pos, {_CHUNK_END} AS n_chars FROM c WHERE rest <> ''""",
+  SELECT doc_id, pos, {_CHUNK_END} AS n_chars, sha256(substr(rest, 1, {_CHUNK_END})) AS digest FROM c WHERE rest <> ''""",
     "goal_masks": r"""SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(title, ''), '[\w./-]+\.[A-Za-z0-9]{1,8}\b', '<file>', 'g'), '\d{4}-\d{2}-\d{2}|\d{4,}', '<id>', 'g'), '\s+', ' ', 'g'))) AS goal,
   CASE WHEN source IS NULL THEN NULL ELSE greatest(len(string_split(source, '/')) - 1, 1) END AS n_near FROM documents""",
     "failure_families": f"""WITH {EVENTS.replace("process_instance_id, segment_id", "stop_reason, process_instance_id, segment_id")},

@@ -48,8 +48,8 @@ def test_html_of_all_documents(spark, tmp_path):
     texts = ["<html lang=en><p>one</p></html>", "<HTML><P>two</P></HTML>", "<p>three</p>", "plain", None, "<html><p>four</p></html>"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = ["one", "two", "three", "plain", None, "four"]
-    assert [r.text for r in all_queries()["html_strip_all"](spark, str(tmp_path)).orderBy("doc_id").collect()] == want
-    assert [r.markdown and r.markdown.strip() for r in all_queries()["html_markdown_all"](spark, str(tmp_path)).orderBy("doc_id").collect()] == want
+    assert [r.n_chars for r in all_queries()["html_strip"](spark, str(tmp_path)).orderBy("doc_id").collect()] == [w and len(w) for w in want]
+    assert [r.markdown and r.markdown.strip() for r in all_queries()["html_markdown"](spark, str(tmp_path)).orderBy("doc_id").collect()] == want
 
 
 def test_redaction(spark):
