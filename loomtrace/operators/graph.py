@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.operators.classify import run_lanes
 from loomtrace.operators.neighbours import with_neighbours
 from loomtrace.operators.stats import zero
 
@@ -41,20 +42,27 @@ def owned_events(events: DataFrame) -> DataFrame:
     return events.filter("run_id is not null").withColumn("node_type", node_type.otherwise("decision")).withColumn("node_key", node_key.otherwise(F.col("event_id")))
 
 
+#: Nodes that begin and end; without both events they are incomplete whatever their status.
+SPANS = ("model_call", "model_attempt", "tool_call")
+
+
+def node_status(kind: Column, node_type: Column, status: Column) -> Column:
+    """Aggregate: the status of a node from its events: the first that applies."""
+    has = lambda *s: F.max(F.coalesce(status.isin(*s), F.lit(False)))
+    whole = F.max(kind.endswith("_started")) & F.max(kind.endswith("_finished") | kind.endswith("_received") | kind.endswith("_failed"))
+    return (
+        F.when(F.max(node_type.isin(*SPANS)) & ~whole, "incomplete").when(has("failed", "exhausted", "error"), "failed").when(has("interrupted"), "interrupted").when(has("cancelled"), "cancelled")
+        .when(has("timeout", "blocked"), "warning").otherwise("succeeded")
+    )
+
+
 def run_nodes(events: DataFrame) -> DataFrame:
     """One row per node of a run: ``run_id, node_type, node_key, n_events, first_at, status, elapsed_ms``."""
-    owned = owned_events(events).filter("node_type is not null")
-    status = F.col("status")
-    kind = F.col("event_type")
-    ended = kind.endswith("_finished") | kind.isin("model_response_received", "model_request_failed")
-    begun = kind.endswith("_started")
+    owned = owned_events(events).filter("node_type is not null").withColumn("_type", F.col("node_type"))
     return owned.groupBy("run_id", "node_type", "node_key").agg(
         F.count("*").alias("n_events"),
         F.min("occurred_at").alias("first_at"),
-        F.when(F.max(F.coalesce(status.isin(*ABNORMAL), F.lit(False))) | F.max(kind == "model_request_failed"), "failed")
-        .when(F.max(begun) & ~F.max(ended), "incomplete")
-        .otherwise("succeeded")
-        .alias("status"),
+        node_status(F.col("event_type"), F.col("_type"), F.col("status")).alias("status"),
         F.greatest(F.coalesce(F.max("elapsed_ms"), F.unix_millis(F.max("occurred_at")) - F.unix_millis(F.min("occurred_at"))), F.lit(0)).alias("elapsed_ms"),
     )
 
@@ -131,3 +139,140 @@ def tool_relations(events: DataFrame) -> DataFrame:
     both = target.join(ended, ["run_id", "source"]).filter(F.col("end.occurred_at") <= F.col("occurred_at"))
     latest = F.max(F.struct("end", "source"))["source"].alias("source")
     return both.groupBy("run_id", "edge_type", "target").agg(latest).select("edge_type", "source", "target")
+
+
+def node_names(owned: DataFrame) -> Column:
+    """How edges name a node."""
+    return F.concat_ws(":", "node_type", "node_key")
+
+
+def result_returns(events: DataFrame) -> DataFrame:
+    """``edge_type, source, target``: from where a resumed run ended to the run that goes on with it.
+
+    The source is the resumed run's last node that began before the run finished, else the run itself.
+    """
+    started = events.filter("event_type = 'run_started' and resumed_from_run_id is not null").select(F.col("resumed_from_run_id").alias("run_id"), F.col("run_id").alias("next_run")).distinct()
+    finished = events.filter("event_type = 'run_finished' and run_id is not null").groupBy("run_id").agg(F.max("occurred_at").alias("finished_at"))
+    nodes = run_nodes(events).select("run_id", "first_at", node_names(events).alias("node"))
+    last = nodes.join(finished, "run_id").filter(F.col("first_at") <= F.col("finished_at")).groupBy("run_id").agg(F.max(F.struct("first_at", "node"))["node"].alias("node"))
+    known = events.filter("event_type = 'run_started'").select("run_id").distinct()
+    out = started.join(known, "run_id").join(last, "run_id", "left")
+    return out.select(F.lit("result_return").alias("edge_type"), F.coalesce("node", F.concat(F.lit("run:"), "run_id")).alias("source"), F.concat(F.lit("run:"), "next_run").alias("target"))
+
+
+def retries_of(events: DataFrame) -> DataFrame:
+    """``edge_type, source, target``: at every scheduled retry of a model call the attempt before it and the first one after it."""
+    attempts = events.filter("event_type = 'model_attempt_started' and model_call_id is not null and attempt_id is not null").groupBy("model_call_id", "attempt_id").agg(F.min("occurred_at").alias("at"))
+    scheduled = events.filter("event_type = 'retry_scheduled' and model_call_id is not null").select("model_call_id", "event_id", F.col("occurred_at").alias("retry_at"))
+    moment = F.struct("at", "attempt_id")
+    both = scheduled.join(attempts, "model_call_id").groupBy("event_id").agg(F.max(F.when(F.col("at") <= F.col("retry_at"), moment)).alias("before"), F.min(F.when(F.col("at") > F.col("retry_at"), moment)).alias("after"))
+    found = both.filter("before is not null and after is not null")
+    return found.select(F.lit("retry_of").alias("edge_type"), F.concat(F.lit("model_attempt:"), "before.attempt_id").alias("source"), F.concat(F.lit("model_attempt:"), "after.attempt_id").alias("target")).distinct()
+
+
+def spawn_branches(spawned: DataFrame, events: DataFrame) -> DataFrame:
+    """``edge_type, source, target``: from the spawning tool call (:func:`evidence.spawned_between`) to the child run."""
+    call = events.filter("tool_call_id is not null").select(F.col("event_id").alias("spawn_event_id"), "tool_call_id").distinct()
+    return spawned.join(call, "spawn_event_id").select(F.lit("spawn_branch").alias("edge_type"), F.concat(F.lit("tool_call:"), "tool_call_id").alias("source"), F.concat(F.lit("run:"), "run_id").alias("target"))
+
+
+def task_edges(events: DataFrame) -> DataFrame:
+    """``edge_type, source, target`` of subagent tasks: ``task_execution`` (task to its run), ``task_recovery`` (the same, if the
+    task was recovered) and ``task_replacement`` (a task to the one that replaces it).
+
+    events: ``event_type, subagent_task_id, child_run_id, replaces_task_id``. A task whose run or predecessor no event names has no such edge.
+    """
+    task = events.filter("subagent_task_id is not null").groupBy("subagent_task_id").agg(
+        F.max("child_run_id").alias("child"), F.max("replaces_task_id").alias("replaces"), F.max(F.col("event_type") == "subagent_recovered").alias("recovered")
+    )
+    own = F.concat(F.lit("task:"), "subagent_task_id")
+    run = F.concat(F.lit("run:"), "child")
+    kinds = F.array(F.struct(F.lit("task_execution").alias("edge_type"), F.lit(True).alias("is")), F.struct(F.lit("task_recovery").alias("edge_type"), F.col("recovered").alias("is")))
+    ran = task.filter("child is not null").select(own.alias("source"), run.alias("target"), F.inline(kinds)).filter("is").select("edge_type", "source", "target")
+    known = task.select(F.col("subagent_task_id").alias("replaces"))
+    replaced = task.filter("replaces is not null").join(known, "replaces", "left_semi")
+    return ran.unionByName(replaced.select(F.lit("task_replacement").alias("edge_type"), F.concat(F.lit("task:"), "replaces").alias("source"), own.alias("target")))
+
+
+def node_causes(events: DataFrame) -> DataFrame:
+    """``source, target, resolution``: of every ``caused_by_event_id`` the nodes of both events: ``linked``, ``same_node`` (no edge),
+    or ``unresolved`` (the cause is no owned event)."""
+    owned = owned_events(events).filter("node_type is not null")
+    name = owned.select("event_id", node_names(owned).alias("node")).distinct()
+    asked = owned.filter("caused_by_event_id is not null").select("event_id", F.col("caused_by_event_id").alias("cause"), node_names(owned).alias("target")).distinct()
+    both = asked.join(name.select(F.col("event_id").alias("cause"), F.col("node").alias("source")), "cause", "left")
+    resolution = F.when(F.col("source").isNull(), "unresolved").when(F.col("source") == F.col("target"), "same_node").otherwise("linked")
+    return both.select("event_id", "source", "target", resolution.alias("resolution"))
+
+
+def collapse_chains(events: DataFrame, least: int = 3) -> DataFrame:
+    """Neighbouring succeeded nodes of a run that no cause or retry touches, ``least`` or more in a row, as one row each:
+    ``run_id, first_at, members, elapsed_ms``. Neighbours are found without a window over a whole run (gaps and islands by seams)."""
+    nodes = run_nodes(events)
+    linked = node_causes(events).filter("resolution = 'linked'")
+    touched = linked.select(F.explode(F.array("source", "target")).alias("node"))
+    touched = touched.unionByName(retries_of(events).select(F.explode(F.array("source", "target")).alias("node"))).distinct().withColumn("touched", F.lit(True))
+    named = nodes.withColumn("node", node_names(nodes)).join(touched, "node", "left")
+    plain = (F.col("status") == "succeeded") & (F.col("node_type") != "anomaly") & F.col("touched").isNull()
+    order = Window.partitionBy("run_id").orderBy("first_at", "node_type", "node_key")
+    numbered = named.select("run_id", "first_at", "node_type", "node_key", "elapsed_ms", plain.alias("plain")).withColumn("at", F.row_number().over(order)).filter("plain")
+    islands = numbered.withColumn("island", F.col("at") - F.row_number().over(order))
+    grouped = islands.groupBy("run_id", "island").agg(F.count("*").alias("members"), F.min("first_at").alias("first_at"), zero(F.sum("elapsed_ms")).alias("elapsed_ms"))
+    return grouped.filter(F.col("members") >= least).drop("island")
+
+
+# What begins and what ends a span, and which column tells spans apart.
+LIFECYCLES = {
+    "run": ("run_id", ("run_started",), ("run_finished",)), "model_call": ("model_call_id", ("model_request_started",), ("model_response_received", "model_request_failed")),
+    "model_attempt": ("attempt_id", ("model_attempt_started",), ("model_attempt_finished",)), "tool_call": ("tool_call_id", ("tool_started",), ("tool_finished",)),
+}
+
+
+def anomaly_starts(events: DataFrame, integrity: DataFrame) -> DataFrame:
+    """Per trace where its trouble starts: ``trace_id, event_id, category``.
+
+    First a span with a wrong life cycle (a run not begun exactly once or ended twice, a call without beginning or end): its
+    second beginning, else its second end, else its first event; the earliest of a trace. Else the earliest abnormal event.
+    Else, if the trace's ``integrity`` (``trace_id, integrity``) is not valid, its first event.
+    """
+    rows = events.filter("trace_id is not null").withColumn("o", F.struct("occurred_at", "segment_sequence", "event_id"))
+    kind, spans = F.col("event_type"), []
+    for span, (key, starts, ends) in LIFECYCLES.items():
+        own = rows.filter(F.col(key).isNotNull())
+        if span != "run":
+            own = own.filter(kind.isin(*starts, *ends))
+        role = F.when(kind.isin(*starts), "s").when(kind.isin(*ends), "e")
+        spans.append(own.select("trace_id", F.lit(span).alias("span"), F.col(key).alias("key"), role.alias("role"), "o"))
+    every = reduce(DataFrame.unionByName, spans)
+    nth = F.row_number().over(Window.partitionBy("trace_id", "span", "key", "role").orderBy("o"))
+    second = every.filter("role is not null").withColumn("n", nth).filter("n = 2").groupBy("trace_id", "span", "key").agg(F.min(F.when(F.col("role") == "s", F.col("o"))).alias("s2"), F.min(F.when(F.col("role") == "e", F.col("o"))).alias("e2"))
+    count = lambda r: F.count(F.when(F.col("role") == r, 1))
+    life = every.groupBy("trace_id", "span", "key").agg(count("s").alias("n_s"), count("e").alias("n_e"), F.min("o").alias("first"))
+    wrong = F.when(F.col("span") == "run", (F.col("n_s") != 1) | (F.col("n_e") > 1)).otherwise((F.col("n_s") == 0) | (F.col("n_e") == 0))
+    broken = life.filter(wrong).join(second, ["trace_id", "span", "key"], "left").groupBy("trace_id").agg(F.min(F.coalesce("s2", "e2", "first")).alias("broken"))
+    bad = kind.startswith("orphan_") | kind.isin("audit_degraded", "policy_blocked", "retry_scheduled") | F.coalesce(F.col("status").isin(*ABNORMAL), F.lit(False))
+    whole = rows.groupBy("trace_id").agg(F.min("o").alias("first"), F.min(F.when(bad, F.struct("o", "event_type"))).alias("bad"))
+    out = whole.join(broken, "trace_id", "left").join(integrity.select("trace_id", "integrity"), "trace_id", "left")
+    unsound = F.col("integrity").isin("invalid", "incomplete", "degraded")
+    event = F.coalesce(F.col("broken.event_id"), F.col("bad.o.event_id"), F.when(unsound, F.col("first.event_id")))
+    category = F.when(F.col("broken").isNotNull(), "lifecycle_mismatch").when(F.col("bad").isNotNull(), F.col("bad.event_type")).when(unsound, "integrity")
+    return out.select("trace_id", event.alias("event_id"), category.alias("category")).filter("event_id is not null")
+
+
+def build(events: DataFrame, level: str) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, edges)`` of a level: ``trace`` (runs and how they follow from each other), ``run`` (what happens in runs), or
+    ``trace_full`` (both, with the side of each run and the returns and retries between them)."""
+    started = events.filter("event_type = 'run_started'")
+    runs = trace_nodes(events).select("run_id", F.lit("run").alias("node_type"), F.col("run_id").alias("node_key"), "first_at")
+    all_edges = edges(events)
+    between = all_edges.filter("edge_type in ('parent_run', 'resumed_from')")
+    if level == "trace":
+        return runs, between
+    inner = run_nodes(events).select("run_id", "node_type", "node_key", "first_at")
+    if level == "run":
+        return inner, all_edges.filter("edge_type not in ('parent_run', 'resumed_from')")
+    if level != "trace_full":
+        raise ValueError(f"no level {level}")
+    lanes = run_lanes(started.select("run_id", "parent_run_id", "resumed_from_run_id", "occurred_at").distinct())
+    placed = runs.unionByName(inner).join(lanes.groupBy("run_id").agg(F.min("kind").alias("kind"), F.min("side").alias("side")), "run_id", "left")
+    return placed, all_edges.unionByName(result_returns(events)).unionByName(retries_of(events))
