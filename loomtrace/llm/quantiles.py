@@ -6,9 +6,9 @@ a value keeps its b leading binary digits, so a group has at most 2^b buckets pe
 and the bucket's midpoint is off by at most 2^-b of the value; values below 2^b in size stay exact.
 
 Method: distributed multi-select. The counted values lie in sorted chunks, at least one for each day and partition of a group; in
-each round every chunk proposes its local weighted median within the still possible range of each wanted rank, the weighted
-median of the proposals becomes the pivot, the chunks count three ways (below, equal, above), and the ranges ruled out are
-discarded, per group until the rank is found. There is no other way to a result.
+each round the chunks count three ways (below, equal to and above the pivot of each wanted rank) and propose their local weighted
+medians within the range that stays possible on either side of it; the range ruled out is discarded, and the weighted median of
+the other side's proposals becomes the next pivot, per group until the rank is found. There is no other way to a result.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.session import written
@@ -112,44 +112,55 @@ class _Met:
         self.at = at.reshape(-1)
         self.names = names.take(pa.array(first[self.pair[0].astype(np.int64)]))
 
-    def rows(self, some: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-        keys = [self.names.field(c).take(pa.array(some)) for c in GROUP]
-        return pa.RecordBatch.from_arrays([*keys, pa.array(self.pair[1][some]), *[pa.array(v.astype(np.int64)) for v in columns.values()]], [*GROUP, "q", *columns])
-
-
-def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The local weighted median of each wanted range in each chunk; of a batch's proposals the weighted median, with their weight."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        met = _Met(batch, ["los", "his"])
-        a, b = (search(met.values, met.begin, met.end, x, right) for x, right in zip(met.asked, (False, True)))
+    def medians(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the stretches ``a:b`` of all chunks the weighted median of their weighted medians for each wanted rank, and the weight."""
+        out, total = np.zeros(self.pair.shape[1], np.int64), np.zeros(self.pair.shape[1], np.int64)
         some = np.flatnonzero(b > a)
-        a, b, at = a[some], b[some], met.at[some]
-        weight = met.upto[b] - met.upto[a]
-        median = met.values[np.searchsorted(met.upto, met.upto[a] + (weight + 1) // 2) - 1]
+        if not len(some):
+            return out, total
+        a, b, at = a[some], b[some], self.at[some]
+        weight = self.upto[b] - self.upto[a]
+        median = self.values[np.searchsorted(self.upto, self.upto[a] + (weight + 1) // 2) - 1]
         order = np.lexsort((median, at))
         at, median, upto = at[order], median[order], np.cumsum(weight[order])
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])[: len(at)])
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         before = np.concatenate([[0], upto])[first]
-        total = np.diff(np.append(before, upto[-1] if len(upto) else 0))
-        yield met.rows(at[first], median=median[np.searchsorted(upto, before + (total + 1) // 2)], weight=total)
+        total[at[first]] = np.diff(np.append(before, upto[-1]))
+        out[at[first]] = median[np.searchsorted(upto, before + (total[at[first]] + 1) // 2)]
+        return out, total
+
+    def sums(self, n: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.pair.shape[1], np.int64)
+        np.add.at(out, self.at, n)
+        return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows below and equal to the pivot, of the batch's chunks, for each wanted rank."""
+def _round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the batch's chunks below and equal to each pivot, and proposals for the next one on either side of it."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        met = _Met(batch, ["pivots"])
-        a, b = (search(met.values, met.begin, met.end, met.asked[0], right) for right in (False, True))
-        below, equal = np.zeros(met.pair.shape[1], np.int64), np.zeros(met.pair.shape[1], np.int64)
-        np.add.at(below, met.at, met.upto[a] - met.upto[met.begin])
-        np.add.at(equal, met.at, met.upto[b] - met.upto[a])
-        yield met.rows(np.arange(len(below)), below=below, equal=equal)
+        met = _Met(batch, ["los", "pivots", "his"])
+        lo, pivot, hi = met.asked
+        start, end = search(met.values, met.begin, met.end, lo, False), search(met.values, met.begin, met.end, hi, True)
+        low, high = search(met.values, met.begin, met.end, pivot, False), search(met.values, met.begin, met.end, pivot, True)
+        left, right = met.medians(start, np.maximum(low, start)), met.medians(np.minimum(high, end), end)
+        keys = [met.names.field(c) for c in GROUP]
+        numbers = [met.sums(met.upto[low] - met.upto[met.begin]), met.sums(met.upto[high] - met.upto[low]), *left, *right]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(met.pair[1]), *map(pa.array, numbers)], [*GROUP, "q", "below", "equal", "left", "left_n", "right", "right_n"])
+
+
+_ROUND = "metric string, dim string, grp string, q double, below bigint, equal bigint, left bigint, left_n bigint, right bigint, right_n bigint"
 
 
-_KEYS = "metric string, dim string, grp string, q double"
+def _weighted_median(side: str) -> Column:
+    """Aggregate: the weighted median of the proposals of one side (one a batch of chunks), null if there is none."""
+    proposed = F.array_sort(F.collect_list(F.when(F.col(f"{side}_n") > 0, F.struct(F.col(side).alias("m"), F.col(f"{side}_n").alias("w")))))
+    total = F.aggregate(proposed, F.lit(0).cast("bigint"), lambda acc, x: acc + x["w"])
+    # The sum so far until it reaches half of all; then it stays below zero, and the median is kept.
+    begin = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("bigint").alias("m"))
+    step = lambda acc, x: F.struct((acc["upto"] + x["w"]).alias("upto"), F.when(acc["m"].isNull() & (2 * (acc["upto"] + x["w"]) >= total), x["m"]).otherwise(acc["m"]).alias("m"))
+    return F.aggregate(proposed, begin, step)["m"]
 
 
 def _meet(chunks: DataFrame, state: DataFrame, n_state: int, columns: Sequence[str]) -> DataFrame:
@@ -170,21 +181,18 @@ def multi_select(combined: DataFrame, fractions: Sequence[float]) -> DataFrame:
     asked = F.explode(F.array(*[F.lit(float(q)) for q in fractions])).alias("q")
     # Rank by integers, so that no rounding of q * n moves it.
     rank = F.greatest(F.lit(1), F.ceil(F.round(F.col("q") * F.col("n"), 6))).cast("bigint")
-    state = written(group.select(*GROUP, asked, "n", "lo", "hi").withColumn("rank", rank))
+    # The first pivot lies before all values, so that the first round only proposes.
+    state = written(group.select(*GROUP, asked, "n", "lo", "hi", F.coalesce(F.try_subtract("lo", F.lit(1).cast("bigint")), "lo").alias("pivot")).withColumn("rank", rank))
     found: list[DataFrame] = []
     while n_state := state.count():
-        proposed = _meet(chunks, state, n_state, ["q", "lo", "hi"]).mapInArrow(_propose, f"{_KEYS}, median bigint, weight bigint")
-        order, whole = Window.partitionBy(*GROUP, "q").orderBy("median"), Window.partitionBy(*GROUP, "q")
-        half = proposed.withColumn("upto", F.sum("weight").over(order)).withColumn("all", F.sum("weight").over(whole))
-        pivots = half.filter("2 * upto >= `all`").groupBy(*GROUP, "q").agg(F.min("median").alias("pivot"))
-        pivoted = written(state.join(pivots, [*GROUP, "q"]))
-        counted = _meet(chunks, pivoted, n_state, ["q", "pivot"]).mapInArrow(_count, f"{_KEYS}, below bigint, equal bigint")
-        ways = counted.groupBy(*GROUP, "q").agg(F.sum("below").alias("below"), F.sum("equal").alias("equal"))
-        judged = written(pivoted.join(ways, [*GROUP, "q"]))
+        counted = _meet(chunks, state, n_state, ["q", "lo", "pivot", "hi"]).mapInArrow(_round, _ROUND)
+        ways = counted.groupBy(*GROUP, "q").agg(F.sum("below").alias("below"), F.sum("equal").alias("equal"), _weighted_median("left").alias("left"), _weighted_median("right").alias("right"))
+        judged = written(state.join(ways, [*GROUP, "q"]))
         here = (F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("equal"))
         found.append(judged.filter(here).select(*GROUP, "q", "n", F.col("pivot").alias("value")))
-        left = F.col("rank") <= F.col("below")
-        state = judged.filter(~here).select(*GROUP, "q", "n", F.when(left, F.col("lo")).otherwise(F.col("pivot") + 1).alias("lo"), F.when(left, F.col("pivot") - 1).otherwise(F.col("hi")).alias("hi"), "rank")
+        down = F.col("rank") <= F.col("below")
+        lo, hi = F.when(down, F.col("lo")).otherwise(F.col("pivot") + 1), F.when(down, F.col("pivot") - 1).otherwise(F.col("hi"))
+        state = judged.filter(~here).select(*GROUP, "q", "n", lo.alias("lo"), hi.alias("hi"), F.when(down, F.col("left")).otherwise(F.col("right")).alias("pivot"), "rank")
     out = state.select(*GROUP, "q", "n", F.col("lo").alias("value"))
     for part in found:
         out = out.unionByName(part)
