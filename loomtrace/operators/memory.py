@@ -27,6 +27,13 @@ def current_revisions(records: DataFrame, revisions: DataFrame) -> DataFrame:
     return records.join(revisions.withColumnRenamed("revision_id", "current_revision_id"), "current_revision_id")
 
 
+def linked(rows: DataFrame, others: DataFrame, key: str, **wanted: tuple) -> DataFrame:
+    """Inner join by ``key`` with those of ``others`` whose columns have one of the values wanted (filtered before the join)."""
+    for column, values in wanted.items():
+        others = others.filter(F.col(column).isin(*values))
+    return rows.join(others, key)
+
+
 def not_deleted(rows: DataFrame, tombstones: DataFrame, object_type: str, key: str) -> DataFrame:
     """Rows that no tombstone of their type names."""
     gone = tombstones.filter(F.col("object_type") == object_type).select(F.col("object_id").alias(key)).distinct()
@@ -86,11 +93,12 @@ def upsert_edges(edges: DataFrame, add: DataFrame, remove: DataFrame, keys: list
     return kept.unionByName(add.join(remove.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys))
 
 
-def due(queue: DataFrame, now: str) -> DataFrame:
-    """Work that may be claimed: pending and due, or leased with an expired lease; oldest first by ``due_at, id``."""
+def due(queue: DataFrame, now: str, limit: int | None = None) -> DataFrame:
+    """Work that may be claimed: pending and due, or leased with an expired lease; oldest first by ``due_at, id``, up to ``limit``."""
     at = F.lit(now).cast("timestamp")
     ready = ((F.col("status") == "pending") & (F.col("due_at") <= at)) | ((F.col("status") == "leased") & (F.col("lease_until") < at))
-    return queue.filter(ready).orderBy("due_at", "id")
+    ready_rows = queue.filter(ready).orderBy("due_at", "id")
+    return ready_rows if limit is None else ready_rows.limit(limit)
 
 
 def illegal_transitions(actions: DataFrame, key: str, order: list[str], allowed: dict[str, tuple[str, ...]]) -> DataFrame:

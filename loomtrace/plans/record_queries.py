@@ -15,6 +15,7 @@ from loomtrace import sinks
 from loomtrace.functions import edits as E
 from loomtrace.functions import text as X
 from loomtrace.operators import classify as C
+from loomtrace.operators import diagnosis as D
 from loomtrace.operators import evidence as V
 from loomtrace.operators import graph as G
 from loomtrace.operators import history as H
@@ -89,6 +90,13 @@ HAND: dict[str, tuple[str, list[tuple]]] = {
         "session_key string, project string, archived boolean, updated timestamp",
         [("a", "/w/x/", False, _at(1)), ("b", " /w/x", None, _at(5)), ("c", "/w/y", True, _at(9)), ("d", None, False, _at(2)), ("e", "/", False, _at(3))],
     ),
+    "tasks": (
+        "id int, said string, tools array<string>, correction string, attempts int, risk string, status string, verified string, code string, kind string, timeout_ms int",
+        [
+            (1, "看看目录", ["list_dir"], "路径写错了", 1, "R0", "ok", "test", None, None, None), (2, "find a skill 找", [], "参数不完整", 5, "R3", "ok", None, "web_search_timeout", None, 2500), (3, "read", ["read_file"], "只看这里", 7, "R4", "ok", "x", "file_not_found", None, None),
+            (4, "Skill 内容", None, None, 4, "R0", "error", "x", None, "ValueError", None), (5, None, ["skill_read", "read_file"], "hello", 0, "R0", "success", None, "x", "y", None), (6, "x", ["grep"], "换一个", 9, "R2", "ok", "x", "web_search_timeout", "t", 3000),
+        ],
+    ),
     "packs": ("pack string, document string", [("a", '{"version": 3}'), ("a", '{"version": 7}'), ("b", '{"version": "x"}'), ("b", "no json"), ("c", None)]),
 }
 _SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "array<string>": "VARCHAR[]"}
@@ -340,12 +348,50 @@ def byte_truncated(spark, d):
     return load(spark, d, "documents").select("doc_id", F.octet_length(cut).alias("n_bytes"), F.octet_length("text").alias("n_before"))
 
 
+def step_failures(spark, d):
+    rows = events(spark, d, "event_type", "status", "tool_name").filter("event_type = 'tool_finished'")
+    return rows.groupBy(D.step_failure(F.col("status"), F.col("status"), F.col("event_type")).alias("family")).agg(F.count("*").alias("n"))
+
+
+def task_families(spark, d):
+    rows = hand(spark, "tasks")
+    return rows.select(
+        "id", D.operation_family(F.col("tools")).alias("operation"), D.task_family(F.col("said"), F.col("tools")).alias("task"), D.correction_family(F.col("correction")).alias("correction_kind"), D.retry_state(F.col("attempts")).alias("state"),
+        D.candidate_use(F.col("risk"), F.col("status"), F.col("verified")).alias("use"), D.error_note(F.lit("tool"), F.col("code"), F.col("kind"), F.col("timeout_ms"), F.lit(None).cast("string")).alias("note"),
+    )
+
+
+def tool_failures(spark, d):
+    return D.tool_failures(events(spark, d, "event_type", "status", "run_id", "tool_call_id", "occurred_at", "segment_sequence"))
+
+
+def repeated_tasks(spark, d):
+    rows = events(spark, d, "event_type", "tool_name", "trace_id", "elapsed_ms", "source_type").filter("event_type = 'tool_finished' and tool_name is not null and source_type is not null")
+    return D.repeated_tasks(rows, ["tool_name", "source_type"], "trace_id", "elapsed_ms", 3, 25)
+
+
+def traces_by_process(spark, d):
+    rows = events(spark, d, "event_type", "status", "trace_id", "tool_name", "elapsed_ms", "occurred_at", "process_instance_id").filter("trace_id is not null and process_instance_id is not null")
+    return T.trace_summary(rows.withColumn("trace_id", F.concat_ws("/", "process_instance_id", "trace_id"))).select("trace_id", "event_count", "outcome")
+
+
+def deleted_events_by_reason(spark, d):
+    gone = load(spark, d, "tombstones").filter("object_type = 'event'").select(F.col("object_id").alias("event_id"), "reason_code")
+    return M.linked(events(spark, d, "event_type"), gone, "event_id", reason_code=("user_request", "retention", "privacy", "expired")).groupBy("reason_code").agg(F.count("*").alias("n"))
+
+
+def checked_parameters(spark, d):
+    rows = load(spark, d, "documents").select("doc_id", F.create_map(F.lit("limit"), F.col("n_chars").cast("string"), F.lit("on"), F.col("updated_at").cast("date").cast("string"), F.lit("lang"), F.col("title")).alias("p"))
+    return rows.select("doc_id", *D.coerced(F.col("p"), {"limit": "int", "on": "date", "lang": "int"}, required=("limit", "lang"))).select("doc_id", "limit", "on", F.array_join("errors", ";").alias("errors"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         trace_status_filter, trace_search, catalog_search, record_hits, event_page, reasons_by_tool, retention_plan, quota_by_session, pending_calls, illegal_transitions, segments_roundtrip, committed_prefix,
         segment_diagnostics, catalog_faults, hash_chains, inserted_events, upserted_tombstones, superseded_outbox, offloaded_texts, rebuilt_table, due_work, reconciled_index, duplicate_cases, ab_gate, issue_samples, project_sessions,
         pack_versions, legal_starts, legal_history, compacted_results, backfilled_results, well_formed_calls, message_previews, last_whole_turns, folded_transcript, held_back, tool_relations, text_functions, compared_texts, byte_truncated,
+        step_failures, task_families, tool_failures, repeated_tasks, traces_by_process, deleted_events_by_reason, checked_parameters,
     )
 }
 
@@ -442,3 +488,29 @@ SQL = {
     CASE id WHEN 2 THEN '[REDACTED:CREDENTIAL] in [REDACTED:PATH]' WHEN 7 THEN '[REDACTED:COMMAND]' ELSE t END AS sanitized,
     len(regexp_extract_all(coalesce(a, ''), '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+')) AS n_bearer, len(regexp_extract_all(coalesce(a, ''), '\bsk-[A-Za-z0-9_-]{{16,}}\b')) AS n_sk_key, len(regexp_extract_all(coalesce(a, ''), '\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b')) AS n_aws_access_key FROM r""",
 }
+_words = lambda column, table: " ".join("WHEN " + " OR ".join(f"contains({column}, '{w}')" for w in words) + f" THEN '{name}'" for name, words in table)
+_has = lambda t: f"list_contains(coalesce(tools, []), '{t}')"
+_ABNORMAL = ", ".join(f"'{x}'" for x in G.ABNORMAL)
+SQL |= {
+    "step_failures": f"""WITH {EVENTS}, f AS (SELECT coalesce(status, '') AS st, trim(concat_ws(' ', coalesce(status, ''), event_type)) AS said FROM e WHERE event_type = 'tool_finished')
+  SELECT family, count(*) AS n FROM (SELECT CASE WHEN st IN ('ok', 'success', 'completed', 'done') THEN NULL {_words('said', D.STEP_FAILURES)} ELSE 'tool_exception' END AS family FROM f) GROUP BY 1""",
+    "task_families": f"""WITH {hand_sql('tasks')}, o AS (SELECT *, lower(coalesce(said, '')) AS low, CASE WHEN {_has('read_file')} AND {_has('skill_read')} THEN 'skill_read' WHEN {_has('read_file')} THEN 'file_read' WHEN {_has('list_dir')} THEN 'directory_list'
+    WHEN {_has('skill_catalog_search')} THEN 'skill_search' WHEN {_has('skill_read')} THEN 'skill_read' ELSE 'unknown_operation' END AS operation FROM tasks)
+  SELECT id, operation, CASE WHEN operation = 'skill_search' OR contains(low, 'skill') AND regexp_matches(low, '{'|'.join(D.SKILL_SEARCH)}') THEN 'skill_discovery' WHEN operation = 'skill_read' OR contains(low, 'skill') AND regexp_matches(low, '{'|'.join(D.SKILL_CONTENT)}') THEN 'skill_content_lookup'
+      WHEN operation = 'directory_list' OR regexp_matches(low, '{'|'.join(D.FOLDERS)}') THEN 'workspace_directory_inventory' WHEN operation = 'file_read' THEN 'workspace_file_lookup' ELSE 'unknown_task' END AS task,
+    CASE {_words("lower(coalesce(correction, ''))", D.CORRECTIONS)} ELSE 'general_correction' END AS correction_kind, CASE WHEN attempts >= 5 THEN 'dead_letter' ELSE 'pending' END AS state,
+    CASE WHEN risk = 'R4' THEN 'archive_only' WHEN status NOT IN ('ok', 'success') THEN 'unverified' WHEN risk IN ('R2', 'R3') THEN 'abstract_only' WHEN verified IS NOT NULL THEN 'reusable' ELSE 'unverified' END AS use,
+    CASE WHEN code IS NULL AND kind IS NULL THEN NULL WHEN code = 'web_search_timeout' AND timeout_ms IS NOT NULL THEN 'Web search timed out after ' || CASE WHEN timeout_ms % 1000 = 0 THEN CAST(timeout_ms // 1000 AS VARCHAR) ELSE CAST(timeout_ms / 1000.0 AS VARCHAR) END || 's'
+      WHEN code = 'file_not_found' THEN 'File not found (path unavailable)' ELSE 'tool failed (' || coalesce(kind, 'unknown error') || ')' END AS note FROM o""",
+    "tool_failures": f"""WITH {EVENTS}, f AS (SELECT run_id, tool_call_id, last(event_id ORDER BY occurred_at, segment_sequence, event_id) AS failed_event_id, last(status ORDER BY occurred_at, segment_sequence, event_id) AS st FROM e
+    WHERE run_id IS NOT NULL AND tool_call_id IS NOT NULL AND status IN ({_ABNORMAL}) GROUP BY 1, 2),
+  r AS (SELECT run_id, arg_max_null(status, (occurred_at, segment_sequence, event_id)) AS run_status, true AS ended FROM e WHERE event_type = 'run_finished' AND run_id IS NOT NULL GROUP BY 1)
+  SELECT run_id, tool_call_id, failed_event_id, CASE WHEN st = 'blocked' THEN 'policy_error' ELSE 'tool_error' END AS failure_kind, CASE WHEN ended IS NULL THEN 'pending' WHEN run_status = 'succeeded' THEN 'run_continued' ELSE 'unknown' END AS impact FROM f LEFT JOIN r USING (run_id)""",
+    "repeated_tasks": f"""WITH {EVENTS} SELECT tool_name, source_type, count(DISTINCT trace_id) AS traces, max(elapsed_ms) AS best_score FROM e WHERE event_type = 'tool_finished' AND tool_name IS NOT NULL AND source_type IS NOT NULL
+  GROUP BY 1, 2 HAVING count(DISTINCT trace_id) >= 3 ORDER BY traces DESC, best_score DESC NULLS LAST, tool_name, source_type LIMIT 25""",
+    "traces_by_process": f"""WITH {EVENTS} SELECT process_instance_id || '/' || trace_id AS trace_id, count(*) AS event_count, coalesce(last(status ORDER BY occurred_at, event_id) FILTER (WHERE event_type = 'run_finished' AND status IS NOT NULL),
+    last(status ORDER BY occurred_at, event_id) FILTER (WHERE event_type = 'turn_finished' AND status IS NOT NULL), 'running') AS outcome FROM e WHERE trace_id IS NOT NULL AND process_instance_id IS NOT NULL GROUP BY 1""",
+    "deleted_events_by_reason": f"WITH {EVENTS} SELECT reason_code, count(*) AS n FROM e JOIN tombstones ON object_type = 'event' AND object_id = event_id WHERE reason_code IN ('user_request', 'retention', 'privacy', 'expired') GROUP BY 1",
+    "checked_parameters": """WITH p AS (SELECT doc_id, TRY_CAST(n_chars AS INTEGER) AS "limit", CAST(updated_at AT TIME ZONE 'UTC' AS DATE) AS "on", title FROM documents)
+  SELECT doc_id, "limit", "on", array_to_string(list_filter([CASE WHEN title IS NOT NULL AND TRY_CAST(trim(title) AS INTEGER) IS NULL THEN 'lang: no int' END, CASE WHEN "limit" IS NULL THEN 'limit: missing' END, CASE WHEN title IS NULL THEN 'lang: missing' END], lambda x: x IS NOT NULL), ';') AS errors FROM p""",
+}

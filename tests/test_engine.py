@@ -566,3 +566,27 @@ def test_drop_written(spark):
     assert session.drop_written(spark) >= 1 and session._tables == []
     with pytest.raises(Exception, match="(?i)not.*exist|path"):
         spark.read.parquet(path).count()
+
+
+def test_notes_and_parameters(spark):
+    from loomtrace.operators import diagnosis as D
+
+    assert [D.page_note(5, 0, True), D.page_note(None, 3, True), D.page_note(5, 3, False), D.page_note(5, 0, False)] == ["(pagination: limit=5, offset=0)", "(pagination: offset=3)", "(pagination: offset=3)", None]
+    rows = spark.createDataFrame([({"n": "3", "at": "2026-01-02"},), ({"n": "x"},), ({},), (None,)], "p map<string,string>")
+    got = rows.select(*D.coerced(F.col("p"), {"n": "int", "at": "date"}, ("n",))).collect()
+    assert [(r.n, r.at, r.errors) for r in got] == [(3, dt.date(2026, 1, 2), []), (None, None, ["n: no int"]), (None, None, ["n: missing"]), (None, None, ["n: missing"])]
+
+
+def test_queries_are_found():
+    from loomtrace import plans
+
+    assert len(plans.all_queries()) > 130 and set(plans.all_sql()) <= set(plans.all_queries())
+
+
+def test_rebuild_keeps_a_whole_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    a = spark.createDataFrame([(1,), (2,)], "x int")
+    assert sinks.rebuild(a, path) == 2 and sinks.rebuild(a.limit(1), path) == 1
+    with pytest.raises(ValueError, match="0 rows"):
+        sinks.rebuild(a.limit(0), path)
+    assert spark.read.parquet(path).count() == 1 and [p.name for p in tmp_path.iterdir()] == ["t"]
