@@ -181,7 +181,7 @@ def answer_scores(spark, d):
 
 def session_debounce(spark, d):
     rows = events(spark, d, "session_key", "occurred_at").filter("session_key is not null")
-    return V.session_debounce(rows, "session_key", "occurred_at", "45 minutes")
+    return V.session_debounce(rows, "session_key", "occurred_at", 45)
 
 
 QUERIES = {
