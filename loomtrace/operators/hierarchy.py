@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions.ids import canonical, reference
 from loomtrace.operators.skew import hot_keys, salted_join
-from loomtrace.session import cut, written
+from loomtrace.session import settled, written
 
 #: One node in so many is a splitter.
 SPACING = 8
@@ -73,7 +73,7 @@ def _walks(links: DataFrame) -> tuple[DataFrame, DataFrame | None, Column]:
     nodes = links.filter("id is not null").groupBy("id").agg(F.min("parent").alias("parent"))
     nodes = written(nodes)
     kids = nodes.filter("parent is not null").groupBy("parent").agg(F.count("*").alias("n_children"))
-    kids = cut(kids.join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi"))
+    kids = written(kids.join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi"))
     crowded = hot_keys(kids, ["parent"], "n_children")
     hubs = [r.parent for r in hot_keys(kids, ["parent"], "n_children", HUB_CHILDREN).collect()]  # at most HOT
     valid = salted_join(nodes, kids.select("parent", F.lit(True).alias("exists")), ["parent"], crowded, "left")
@@ -88,6 +88,10 @@ def cycle_nodes(links: DataFrame) -> DataFrame:
 
     Only the stretches between splitters, of a few ids each, are kept; the graph of splitters is solved without them.
     """
+    return settled(links.sparkSession, lambda: _cycle_nodes(links))
+
+
+def _cycle_nodes(links: DataFrame) -> DataFrame:
     walked, lost, is_splitter = _walks(links)
     reduced = walked.filter(is_splitter).select("id", "cur", F.col("cur").isNull().alias("done"))
     if lost is not None:  # these end in a splitterless cycle
@@ -108,6 +112,10 @@ def solve_hierarchy(links: DataFrame) -> DataFrame:
     latter two root, depth and path are null. path runs from the root to the node; a root has depth 0. A parent that is no
     id ends the path. Rows with a null id are left out; an id in several rows takes its smallest parent. No rows: no rows.
     """
+    return settled(links.sparkSession, lambda: _solve(links))
+
+
+def _solve(links: DataFrame) -> DataFrame:
     walked, lost, is_splitter = _walks(links)
     # The reduced graph: splitters only, each pointing at the next one.
     reduced = walked.filter(is_splitter).withColumn("done", F.col("cur").isNull())

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtrace.session import cut
+from loomtrace.session import written
 
 LEAST_TOKENS = 4
 
@@ -88,7 +88,7 @@ def legal_start(messages: DataFrame, key: str, seq: str) -> DataFrame:
     while n != last:
         cut_before = F.max(F.when(F.col("called").isNull(), F.col("at"))).over(earlier)
         judged = latest.withColumn("_cut", cut_before).withColumn("called", F.when(F.col("called") > F.coalesce("_cut", F.lit(-1)), F.col("called")))
-        latest = cut(judged.drop("_cut"))
+        latest = written(judged.drop("_cut"))
         last, n = n, latest.filter("called is null").count() + 1
     cuts = latest.filter("called is null").groupBy(key).agg(F.max("at").alias("_cut"))
     return messages.select(key).distinct().join(cuts, key, "left").select(key, (F.col("_cut") + 1).alias("legal_from"))

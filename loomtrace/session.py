@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,12 +60,17 @@ _tables: list[str] = []
 
 def drop_written(spark: SparkSession) -> int:
     """Delete the tables that :func:`written` made in this process; call it when their results are no longer needed."""
+    return _drop(spark, 0, len(_tables))
+
+
+def _drop(spark: SparkSession, first: int, upto: int) -> int:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_tables)
-    while _tables:
-        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+    paths = _tables[first:upto]
+    del _tables[first:upto]
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    return n
+    return len(paths)
 
 
 def scratch(spark: SparkSession, kind: str = "table") -> str:
@@ -83,3 +89,11 @@ def written(df: DataFrame, *sort: str) -> DataFrame:
     path = scratch(spark)
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, written down; the tables it went through on the way are deleted, so that rounds leave nothing behind."""
+    first = len(_tables)
+    result = written(build())
+    _drop(spark, first, len(_tables) - 1)
+    return result
