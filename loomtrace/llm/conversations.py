@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions.ids import canonical
 from loomtrace.operators.neighbours import with_neighbours
 from loomtrace.operators.skew import hot_keys, salted_join
-from loomtrace.session import written
+from loomtrace.session import settled, written
 
 # Spellings of the speaker roles, and what counts as invisible.
 ROLES = {
@@ -161,8 +161,9 @@ def conversations(messages: DataFrame, events: DataFrame) -> tuple[DataFrame, Da
     first remaining message of a turn other than system is not the user's, or the last user message of a turn has no
     assistant message after it. Blank messages count as absent. Ties in time are ordered by segment_sequence, then payload_id.
     """
-    placed = written(place(messages, events))
-    paths = written(resolve(link(placed.filter("not blank").drop("blank"))))
+    spark = messages.sparkSession
+    placed = settled(spark, lambda: place(messages, events))
+    paths = settled(spark, lambda: resolve(link(placed.filter("not blank").drop("blank"))))
     turn_bad = F.col("turn_leaf") & ((F.col("opens") != "user") | (F.col("has_user") & ~F.col("answered")))
     session_bad = F.col("session_leaf") & (~F.col("any_user") | F.col("any_unknown"))
     bad = paths.filter(turn_bad | session_bad | F.col("broken_pointer")).select("session_key").distinct()

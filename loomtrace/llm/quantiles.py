@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.session import written
+from loomtrace.session import settled, written
 
 GROUP = ["metric", "dim", "grp"]
 #: Values in a chunk at most: bounds a row of the chunk table (16 bytes a value), whatever a group holds.
@@ -175,6 +175,10 @@ def multi_select(combined: DataFrame, fractions: Sequence[float]) -> DataFrame:
     below it (at least rank 1). Exact over ``combined`` (:func:`combine`). A group without values has no row. Ties need no rule:
     equal values are one, on whatever days. Without rows nothing comes out.
     """
+    return settled(combined.sparkSession, lambda: _select(combined, fractions))
+
+
+def _select(combined: DataFrame, fractions: Sequence[float]) -> DataFrame:
     chunks = written(chunked(combined))
     total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
     group = chunks.groupBy(*GROUP).agg(F.sum(total).alias("n"), F.min(F.element_at("values", 1)).alias("lo"), F.max(F.element_at("values", -1)).alias("hi"))
