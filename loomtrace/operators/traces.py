@@ -183,7 +183,8 @@ def list_traces(events: DataFrame) -> DataFrame:
 
 
 def list_sessions(events: DataFrame) -> DataFrame:
-    """Per session: interval, traces, active, erroneous and warned traces, and the latest trace. Two aggregates, no list of events."""
+    """Per session: interval, traces, active, erroneous and warned traces, the latest trace, and the worst integrity of its processes.
+    Aggregates only, no list of events."""
     keyed = events.filter("session_key is not null and session_key <> '' and trace_id is not null")
     status = F.col("status")
     trace = keyed.groupBy("session_key", "trace_id").agg(
@@ -193,7 +194,9 @@ def list_sessions(events: DataFrame) -> DataFrame:
         F.max(F.coalesce(status.isin(*ABNORMAL), F.lit(False))).alias("warned"),
     )
     active = keyed.select("session_key", "trace_id", "run_id").distinct().join(open_runs(events).select("run_id"), "run_id", "left_semi").select("session_key", "trace_id").distinct().withColumn("active", F.lit(1))
-    return (
+    process = keyed.select("session_key", "process_instance_id").distinct().join(process_integrity(events), "process_instance_id")
+    integrity = process.groupBy("session_key").agg(worst(F.col("integrity")).alias("integrity"))
+    listed = (
         trace.join(active, ["session_key", "trace_id"], "left")
         .groupBy("session_key")
         .agg(
@@ -206,6 +209,7 @@ def list_sessions(events: DataFrame) -> DataFrame:
             F.max(F.struct("last_seen", "trace_id"))["trace_id"].alias("latest_trace_id"),
         )
     )
+    return listed.join(integrity, "session_key", "left").withColumn("integrity", F.coalesce("integrity", F.lit("valid")))
 
 
 def first_anomaly(events: DataFrame) -> DataFrame:

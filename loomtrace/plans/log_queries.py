@@ -84,7 +84,7 @@ def trace_listing(spark, d):
 
 
 def session_listing(spark, d):
-    return T.list_sessions(events(spark, d, "event_type", "status", "trace_id", "run_id", "occurred_at", "session_key"))
+    return T.list_sessions(events(spark, d, "event_type", "status", "trace_id", "run_id", "occurred_at", "session_key", "process_instance_id"))
 
 
 def anti_open_runs(spark, d):
@@ -241,11 +241,12 @@ SQL = {
     CASE WHEN active THEN 'running' WHEN list_has_any(st, ['failed', 'exhausted']) THEN 'failed' WHEN list_contains(st, 'interrupted') THEN 'interrupted' WHEN list_contains(st, 'cancelled') THEN 'cancelled' WHEN incomplete THEN 'incomplete' WHEN anomaly_count > 0 THEN 'warning' ELSE 'succeeded' END AS display_status,
     sources, primary_source, session_key, coalesce(integrity, 'valid') AS integrity, concat_ws(' / ', primary_source, strftime(last_seen, '%H:%M'), substr(t.trace_id, 1, 8)) AS title
   FROM t JOIN r USING (trace_id) LEFT JOIN i USING (trace_id)""",
-    "session_listing": f"""WITH {EVENTS}, {_OPEN}, k AS (SELECT * FROM e WHERE session_key IS NOT NULL AND session_key <> '' AND trace_id IS NOT NULL),
+    "session_listing": f"""WITH {EVENTS}, {_OPEN}, {_INTEGRITY}, k AS (SELECT * FROM e WHERE session_key IS NOT NULL AND session_key <> '' AND trace_id IS NOT NULL),
   t AS (SELECT session_key, trace_id, min(occurred_at) AS first_seen, max(occurred_at) AS last_seen, coalesce(bool_or(status IN ('failed', 'exhausted')), false) AS failed, coalesce(bool_or(status IN ('error', 'timeout', 'blocked')), false) AS warned,
-    coalesce(bool_or(run_id IN (SELECT run_id FROM open_runs)), false) AS active FROM k GROUP BY 1, 2)
-  SELECT session_key, min(first_seen) AS first_seen, max(last_seen) AS last_seen, count(*) AS trace_count, count(*) FILTER (WHERE active) AS active_trace_count, count(*) FILTER (WHERE failed) AS error_count,
-    count(*) FILTER (WHERE NOT failed AND warned) AS warning_count, last(trace_id ORDER BY last_seen, trace_id) AS latest_trace_id FROM t GROUP BY 1""",
+    coalesce(bool_or(run_id IN (SELECT run_id FROM open_runs)), false) AS active FROM k GROUP BY 1, 2),
+  s AS (SELECT session_key, max(CASE integrity WHEN 'degraded' THEN 2 WHEN 'incomplete' THEN 3 ELSE 1 END) AS rank FROM (SELECT DISTINCT session_key, process_instance_id FROM k) JOIN integ USING (process_instance_id) GROUP BY 1)
+  SELECT *, CASE (SELECT rank FROM s WHERE s.session_key = l.session_key) WHEN 2 THEN 'degraded' WHEN 3 THEN 'incomplete' ELSE 'valid' END AS integrity FROM (SELECT session_key, min(first_seen) AS first_seen, max(last_seen) AS last_seen, count(*) AS trace_count, count(*) FILTER (WHERE active) AS active_trace_count, count(*) FILTER (WHERE failed) AS error_count,
+    count(*) FILTER (WHERE NOT failed AND warned) AS warning_count, last(trace_id ORDER BY last_seen, trace_id) AS latest_trace_id FROM t GROUP BY 1) l""",
     "anti_open_runs": f"WITH {EVENTS}, {_OPEN} SELECT run_id, started_at FROM open_runs",
     "process_integrity": f"WITH {EVENTS}, {_INTEGRITY} SELECT process_instance_id, integrity FROM integ",
     "first_anomaly": f"""WITH {EVENTS} SELECT trace_id, event_id, event_type AS category FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY occurred_at, segment_sequence, event_id) AS nr FROM e
