@@ -127,9 +127,9 @@ def to_markdown(pages: pd.Series) -> pd.Series:
     return pages.map(markdown)
 
 
-def redact(text: Column) -> Column:
-    """Credentials replaced."""
-    for pattern in SECRET_PATTERNS.values():
+def redact(text: Column, more: tuple[str, ...] = ()) -> Column:
+    """Credentials replaced, and what further patterns match."""
+    for pattern in (*SECRET_PATTERNS.values(), *more):
         text = F.regexp_replace(text, pattern, REDACTED.replace("[", r"\[").replace("]", r"\]"))
     return text
 
@@ -144,9 +144,10 @@ def normalize_key(key: Column) -> Column:
     return F.regexp_replace(F.lower(key), "[^a-z0-9]", "")
 
 
-def redact_map(values: Column) -> Column:
-    """A map with the values of secret keys replaced and credentials replaced in the others."""
-    return F.transform_values(values, lambda k, v: F.when(normalize_key(k).isin(*SECRET_KEYS), F.lit(REDACTED)).otherwise(redact(v)))
+def redact_map(values: Column, more_keys: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> Column:
+    """A map with the values of secret keys (and of ``more_keys``) replaced and credentials (and ``more``) replaced in the others."""
+    secret = {*SECRET_KEYS, *(re.sub("[^a-z0-9]", "", k.lower()) for k in more_keys)}
+    return F.transform_values(values, lambda k, v: F.when(normalize_key(k).isin(*sorted(secret)), F.lit(REDACTED)).otherwise(redact(v, more)))
 
 
 def visible(text: str | None) -> str | None:
@@ -284,6 +285,17 @@ def backoff(at: Column, attempt: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(at) + F.pow(F.lit(2), attempt - 1).cast("bigint") * 60_000_000)
 
 
+def next_due(kind: Column, anchor: Column, every_s: Column, after: Column) -> Column:
+    """When a job runs next after ``after``: ``at`` its anchor if that is still to come, ``every`` the next whole period from its anchor.
+
+    Null where it never does (a past ``at``, a period below a second, another kind; for cron see ``edits.next_run``).
+    """
+    start, now = F.unix_micros(anchor), F.unix_micros(after)
+    period = F.when(every_s >= 1, every_s * F.lit(1_000_000).cast("bigint"))
+    later = F.when(start > now, start).otherwise(start + (F.floor((now - start) / period) + 1) * period)
+    return F.when((kind == "at") & (start > now), anchor).when(kind == "every", F.timestamp_micros(later.cast("bigint")))
+
+
 def near_paths(path: Column) -> Column:
     """The path with one directory left out, for every directory: keys that find a mistyped path."""
     parts = F.split(path, "/")

@@ -111,12 +111,23 @@ def assign_splits(cases: DataFrame, key: str, pack: str) -> DataFrame:
     return ranked.withColumn("split", F.when(F.col("_r") <= train, "train").when(F.col("_r") <= train + validation, "validation").otherwise("holdout")).drop("_r", "_n")
 
 
-def holdout_gate(results: DataFrame, key: str, least_score: float = 0.8) -> DataFrame:
-    """Per run: the mean score of its holdout cases, any violation in all cases, and whether it passes (needs a holdout case)."""
+def holdout_gate(results: DataFrame, key: str, least_score: float = 0.8, cost: float = 0.15, latency: float = 0.20) -> DataFrame:
+    """Per run: the mean score of its holdout cases, any violation in all cases, and whether it passes (needs a holdout case).
+
+    With columns ``baseline_tokens, tokens`` or ``baseline_ms, ms`` the growth of their sums must stay within ``cost`` or ``latency``
+    too; a baseline of 0 or null sets no limit.
+    """
+    growths = {"cost_growth": ("baseline_tokens", "tokens", cost), "latency_growth": ("baseline_ms", "ms", latency)}
+    known = {name: x for name, x in growths.items() if set(x[:2]) <= set(results.columns)}
     agg = results.groupBy(key).agg(
-        F.round(F.avg(F.when(F.col("split") == "holdout", F.col("score"))), 6).alias("holdout_score"), F.coalesce(F.max("violation"), F.lit(False)).alias("any_violation")
+        F.round(F.avg(F.when(F.col("split") == "holdout", F.col("score"))), 6).alias("holdout_score"),
+        F.coalesce(F.max("violation"), F.lit(False)).alias("any_violation"),
+        *[F.round(F.sum(new) / F.nullif(F.sum(old), F.lit(0)) - 1, 6).alias(name) for name, (old, new, _) in known.items()],
     )
-    return agg.withColumn("passed", F.coalesce((F.col("holdout_score") >= least_score) & ~F.col("any_violation"), F.lit(False)))
+    fine = (F.col("holdout_score") >= least_score) & ~F.col("any_violation")
+    for name, (_, _, most) in known.items():
+        fine = fine & (F.coalesce(name, F.lit(0.0)) <= most)
+    return agg.withColumn("passed", F.coalesce(fine, F.lit(False)))
 
 
 def replay_consistency(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

@@ -161,3 +161,22 @@ def well_formed(messages: DataFrame) -> DataFrame:
     kept = kept.withColumn("call_ids", F.transform("_calls", lambda p: p["call_ids"])).withColumn("call_names", F.transform("_calls", lambda p: p["call_names"]))
     says = ~F.trim(F.coalesce("content", F.lit(""))).isin("", PLACEHOLDER)
     return kept.filter((F.col("role") != "assistant") | (F.size(F.coalesce("_calls", F.array())) > 0) | says).drop("_calls")
+
+
+def history_window(messages: DataFrame, key: str, order: list[str], tokens: Column, budget: int, most: int, keep_system: bool = False) -> DataFrame:
+    """The newest messages within ``budget`` tokens and ``most`` messages, from a user message on if there is one among them.
+
+    With ``keep_system`` the system messages of a session stay whatever their age, and their tokens are taken from the budget.
+    Always at least the newest message. Adds ``tokens_upto`` (null for system messages that are kept so).
+    """
+    if not keep_system:
+        few = within_budget(messages, key, order, tokens, budget)
+    else:
+        system = messages.filter("role = 'system'")
+        used = system.groupBy(key).agg(F.sum(tokens).alias("_used"))
+        others = within_budget(messages.filter("role is null or role <> 'system'"), key, order, tokens, budget).join(used, key, "left")
+        few = others.filter((F.col("tokens_upto") <= budget - F.coalesce("_used", F.lit(0))) | (F.col("from_end") == 1)).drop("_used")
+    few = few.filter(F.col("from_end") <= most)
+    first_user = few.groupBy(key).agg(F.max(F.when(F.col("role") == "user", F.col("from_end"))).alias("_user"))
+    kept = few.join(first_user, key).filter(F.col("_user").isNull() | (F.col("from_end") <= F.col("_user"))).drop("_user", "from_end")
+    return kept.unionByName(system, allowMissingColumns=True) if keep_system else kept

@@ -136,6 +136,10 @@ def operational_report(spark, d):
     return S.operational_report(runs, SINCE, UNTIL, "occurred_at", "status", "succeeded", ("failed", "exhausted"))
 
 
+def operational_overview(spark, d):
+    return S.operational_overview(events(spark, d, "event_type", "occurred_at", "status"), SINCE, UNTIL)
+
+
 def tombstoned_events(spark, d):
     gone = load(spark, d, "tombstones").filter("object_type = 'event'").select(F.col("object_id").alias("event_id")).distinct()
     return events(spark, d, "event_type").join(gone, "event_id", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"))
@@ -166,7 +170,7 @@ QUERIES = {
     for f in (
         stats_by_source, stats_by_status, stats_by_model, stats_by_tool, trace_summaries, trace_page_first, trace_page_next, trace_filter_exists, trace_time_overlap, trace_time_rows,
         trace_substring_filter, trace_listing, session_listing, anti_open_runs, process_integrity, first_anomaly, trace_outcomes, sequence_edges, collapse_groups, lifecycle_cardinality,
-        usage_daily, usage_summary, usage_streaks, operational_report, tombstoned_events, live_events, catalog_left_join, parent_child_runs,
+        usage_daily, usage_summary, usage_streaks, operational_report, operational_overview, tombstoned_events, live_events, catalog_left_join, parent_child_runs,
     )
 }
 
@@ -217,7 +221,10 @@ _SPANS = "UNION ALL ".join(
 )
 _ISLAND_ORDER = "PARTITION BY run_id ORDER BY occurred_at, segment_sequence, event_id"
 
+_KINDS = (("runs", "run_finished", "'failed', 'exhausted'"), ("deliveries", "delivery_finished", "'failed'"), ("tools", "tool_finished", "'error', 'timeout', 'blocked'"), ("subagents", "subagent_terminal", "'failed', 'lost', 'cancelled'"))
 SQL = {
+    "operational_overview": f"""WITH {EVENTS}, c AS (SELECT {', '.join(f"count(*) FILTER (WHERE event_type = '{k}') AS n_{n}, count(*) FILTER (WHERE event_type = '{k}' AND status IN ({bad})) AS bad_{n}" for n, k, bad in _KINDS)}
+  FROM e WHERE occurred_at >= TIMESTAMP '{SINCE}' AND occurred_at < TIMESTAMP '{UNTIL}') SELECT *, {', '.join(f"round(CASE WHEN n_{n} > 0 THEN bad_{n} / CAST(n_{n} AS DOUBLE) ELSE 0.0::DOUBLE END, 6) AS rate_{n}" for n, _, _ in _KINDS)} FROM c""",
     "stats_by_source": _stats_sql("source_type"),
     "stats_by_status": _stats_sql("status"),
     "stats_by_model": _stats_sql("model"),

@@ -97,6 +97,10 @@ HAND: dict[str, tuple[str, list[tuple]]] = {
             (4, "Skill 内容", None, None, 4, "R0", "error", "x", None, "ValueError", None), (5, None, ["skill_read", "read_file"], "hello", 0, "R0", "success", None, "x", "y", None), (6, "x", ["grep"], "换一个", 9, "R2", "ok", "x", "web_search_timeout", "t", 3000),
         ],
     ),
+    "jobs": (
+        "id int, kind string, anchor timestamp, every_s int, now timestamp",
+        [(1, "every", _at(0), 600, _at(25)), (2, "every", _at(0), 600, _at(30)), (3, "every", _at(90), 60, _at(25)), (4, "at", _at(40), None, _at(25)), (5, "at", _at(10), None, _at(25)), (6, "every", _at(0), 0, _at(25)), (7, "cron", _at(0), 60, _at(25)), (8, "every", None, 60, _at(1))],
+    ),
     "packs": ("pack string, document string", [("a", '{"version": 3}'), ("a", '{"version": 7}'), ("b", '{"version": "x"}'), ("b", "no json"), ("c", None)]),
 }
 _SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "array<string>": "VARCHAR[]"}
@@ -348,6 +352,16 @@ def byte_truncated(spark, d):
     return load(spark, d, "documents").select("doc_id", F.octet_length(cut).alias("n_bytes"), F.octet_length("text").alias("n_before"))
 
 
+def next_due(spark, d):
+    return hand(spark, "jobs").select("id", X.next_due(F.col("kind"), F.col("anchor"), F.col("every_s"), F.col("now")).alias("due_at"))
+
+
+def holdout_limits(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("n_chars", F.lit(0)).alias("n"))
+    rows = V.assign_splits(docs, "doc_id", "source").select("source", "split", F.lit(0.9).alias("score"), F.lit(False).alias("violation"), F.col("n").alias("baseline_tokens"), (F.col("n") + F.col("doc_id") % 500).alias("tokens"))
+    return V.holdout_gate(rows, "source")
+
+
 def step_failures(spark, d):
     rows = events(spark, d, "event_type", "status", "tool_name").filter("event_type = 'tool_finished'")
     return rows.groupBy(D.step_failure(F.col("status"), F.col("status"), F.col("event_type")).alias("family")).agg(F.count("*").alias("n"))
@@ -391,7 +405,7 @@ QUERIES = {
         trace_status_filter, trace_search, catalog_search, record_hits, event_page, reasons_by_tool, retention_plan, quota_by_session, pending_calls, illegal_transitions, segments_roundtrip, committed_prefix,
         segment_diagnostics, catalog_faults, hash_chains, inserted_events, upserted_tombstones, superseded_outbox, offloaded_texts, rebuilt_table, due_work, reconciled_index, duplicate_cases, ab_gate, issue_samples, project_sessions,
         pack_versions, legal_starts, legal_history, compacted_results, backfilled_results, well_formed_calls, message_previews, last_whole_turns, folded_transcript, held_back, tool_relations, text_functions, compared_texts, byte_truncated,
-        step_failures, task_families, tool_failures, repeated_tasks, traces_by_process, deleted_events_by_reason, checked_parameters,
+        next_due, holdout_limits, step_failures, task_families, tool_failures, repeated_tasks, traces_by_process, deleted_events_by_reason, checked_parameters,
     )
 }
 
@@ -492,6 +506,12 @@ _words = lambda column, table: " ".join("WHEN " + " OR ".join(f"contains({column
 _has = lambda t: f"list_contains(coalesce(tools, []), '{t}')"
 _ABNORMAL = ", ".join(f"'{x}'" for x in G.ABNORMAL)
 SQL |= {
+    "next_due": f"""WITH {hand_sql('jobs')}, j AS (SELECT *, epoch_us(anchor) AS a, epoch_us(now) AS n, every_s * 1000000 AS p FROM jobs)
+  SELECT id, CASE WHEN kind = 'at' AND a > n THEN anchor WHEN kind = 'every' AND every_s >= 1 THEN make_timestamp(CASE WHEN a > n THEN a ELSE a + ((n - a) // p + 1) * p END) END AS due_at FROM j""",
+    "holdout_limits": """WITH c AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(n_chars, 0) AS n FROM documents),
+  r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256(source || '|' || CAST(doc_id AS VARCHAR)), doc_id) AS k, count(*) OVER (PARTITION BY source) AS m FROM c),
+  g AS (SELECT source, CASE WHEN max(m) >= 3 THEN 0.9::DOUBLE END AS holdout_score, false AS any_violation, round(sum(n + doc_id % 500) / nullif(CAST(sum(n) AS DOUBLE), 0) - 1, 6) AS cost_growth FROM r GROUP BY 1)
+  SELECT *, coalesce(holdout_score >= 0.8 AND coalesce(cost_growth, 0) <= 0.15, false) AS passed FROM g""",
     "step_failures": f"""WITH {EVENTS}, f AS (SELECT coalesce(status, '') AS st, trim(concat_ws(' ', coalesce(status, ''), event_type)) AS said FROM e WHERE event_type = 'tool_finished')
   SELECT family, count(*) AS n FROM (SELECT CASE WHEN st IN ('ok', 'success', 'completed', 'done') THEN NULL {_words('said', D.STEP_FAILURES)} ELSE 'tool_exception' END AS family FROM f) GROUP BY 1""",
     "task_families": f"""WITH {hand_sql('tasks')}, o AS (SELECT *, lower(coalesce(said, '')) AS low, CASE WHEN {_has('read_file')} AND {_has('skill_read')} THEN 'skill_read' WHEN {_has('read_file')} THEN 'file_read' WHEN {_has('list_dir')} THEN 'directory_list'

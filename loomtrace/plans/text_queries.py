@@ -111,6 +111,14 @@ def history_token_budget(spark, d):
     return H.within_budget(_messages(spark, d), "session_key", _ORDER, F.col("tokens"), BUDGET).select("session_key", "message_id", "tokens_upto")
 
 
+def history_window(spark, d):
+    return H.history_window(_messages(spark, d), "session_key", _ORDER, F.col("tokens"), 3 * BUDGET, 5).select("session_key", "message_id")
+
+
+def history_with_system(spark, d):
+    return H.history_window(_messages(spark, d), "session_key", _ORDER, F.col("tokens"), 3 * BUDGET, 5, keep_system=True).select("session_key", "message_id")
+
+
 def consolidation_boundary(spark, d):
     return H.consolidation_boundary(_messages(spark, d), "session_key", _ORDER[:2], F.col("tokens"), BUDGET)
 
@@ -188,7 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         term_match_rank, term_match_all, bm25_topk, token_budget_pack, grep_content, grep_count, grep_context, line_window, html_strip, html_markdown, redact_counts, intent_route, goal_masks, chunk_text,
-        truncated_texts, failure_families, history_suffix, history_token_budget, consolidation_boundary, orphan_tool_results, missing_tool_results, retain_last_k, latest_wins, asof_recovery, interval_spawn,
+        truncated_texts, failure_families, history_suffix, history_token_budget, history_window, history_with_system, consolidation_boundary, orphan_tool_results, missing_tool_results, retain_last_k, latest_wins, asof_recovery, interval_spawn,
         recovery_review, reference_integrity, sequence_faults, split_assign, holdout_gate, replay_consistency, answer_scores, session_debounce,
     )
 }
@@ -240,6 +248,12 @@ SQL = {
     "truncated_texts": "SELECT doc_id, CASE WHEN length(text) > 500 THEN 516 ELSE length(text) END AS n_chars, sha256(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || chr(10) || '... (truncated)' ELSE text END) AS digest, greatest(4, coalesce(octet_length(encode(text)), 0) + 4) AS tokens FROM documents",
     "history_suffix": f"""WITH {_MESSAGES}, n AS (SELECT *, row_number() OVER ({_NEWEST}) AS r FROM m), u AS (SELECT session_key, min(r) FILTER (WHERE role = 'user') AS first_user FROM n GROUP BY 1)
   SELECT session_key, message_id FROM n JOIN u USING (session_key) WHERE r <= greatest(3, coalesce(first_user, 0))""",
+    "history_window": f"""WITH {_MESSAGES}, n AS (SELECT session_key, message_id, role, sum(tokens) OVER ({_NEWEST}) AS upto, row_number() OVER ({_NEWEST}) AS r FROM m),
+  k AS (SELECT *, max(r) FILTER (WHERE role = 'user') OVER (PARTITION BY session_key) AS u FROM n WHERE (upto <= {3 * BUDGET} OR r = 1) AND r <= 5) SELECT session_key, message_id FROM k WHERE u IS NULL OR r <= u""",
+    "history_with_system": f"""WITH {_MESSAGES}, s AS (SELECT session_key, sum(tokens) AS used FROM m WHERE role = 'system' GROUP BY 1),
+  n AS (SELECT session_key, message_id, role, sum(tokens) OVER ({_NEWEST}) AS upto, row_number() OVER ({_NEWEST}) AS r FROM m WHERE role IS NULL OR role <> 'system'),
+  k AS (SELECT *, max(r) FILTER (WHERE role = 'user') OVER (PARTITION BY session_key) AS u FROM n LEFT JOIN s USING (session_key) WHERE (upto <= {3 * BUDGET} - coalesce(used, 0) OR r = 1) AND r <= 5)
+  SELECT session_key, message_id FROM k WHERE u IS NULL OR r <= u UNION ALL SELECT session_key, message_id FROM m WHERE role = 'system'""",
     "history_token_budget": f"""WITH {_MESSAGES}, n AS (SELECT session_key, message_id, CAST(sum(tokens) OVER ({_NEWEST}) AS BIGINT) AS tokens_upto, row_number() OVER ({_NEWEST}) AS r FROM m) SELECT session_key, message_id, tokens_upto FROM n WHERE tokens_upto <= {BUDGET} OR r = 1""",
     "consolidation_boundary": f"""WITH {_MESSAGES}, n AS (SELECT *, row_number() OVER ({_OLDEST}) AS r, coalesce(sum(tokens) OVER ({_OLDEST} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m),
   u AS (SELECT session_key, min(r) FILTER (WHERE before >= {BUDGET}) AS enough_at, max(r) AS last_at FROM n WHERE role = 'user' AND r > 1 GROUP BY 1)
