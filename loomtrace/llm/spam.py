@@ -465,7 +465,7 @@ def analyse(text: str | None) -> tuple[str, list[float], list[float]]:
     lines = Counter(line.strip() for line in plain.split("\n") if len(line) > 12) if "\n" in plain else {}
     repeated = {line for line, n in lines.items() if n >= LINE_COUNT and line.count(" ") >= LINE_WORDS - 1}
     if repeated:
-        fenced = "".join(p for p in pieces[1::2] if p[:3] == "```")
+        fenced = {line.strip() for p in pieces[1::2] if p[:3] == "```" for line in p.split("\n")}
         for line in repeated:
             if line not in fenced:
                 duplicate += (lines[line] - 1) * (len(line) - line.count(" "))
