@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.functions.text import redact
 from loomtrace.operators.search import freshness, match_any, matched_terms, terms_of
 
 # What a kind of source adds to the score, its authority, and the token budgets.
@@ -148,6 +149,20 @@ def retention_plan(rows: DataFrame, at: str, now: str, payload_days: int, trace_
     return rows.withColumn("action", F.when(age > trace_days, "drop_trace").when(age > payload_days, "drop_payload").otherwise("keep"))
 
 
+def read_payloads(payloads: DataFrame, events: DataFrame, content: str, digest: str, max_chars: int, max_bytes: int = 1 << 20) -> DataFrame:
+    """Payloads as a reader may see them: ``payload_id, verdict, text, truncated``.
+
+    verdict is ``unknown_event`` (no event names the payload and is its owner), ``too_large``, ``wrong_hash`` or ``intact``; only
+    an intact one shows its text, without credentials and up to ``max_chars``. events: ``event_id, payload_id``.
+    """
+    owner = events.select("payload_id", "event_id").distinct().withColumn("_owned", F.lit(True))
+    intact = F.concat(F.lit("sha256:"), F.sha2(content, 256)) == F.col(digest)
+    verdict = F.when(F.col("_owned").isNull(), "unknown_event").when(F.octet_length(content) > max_bytes, "too_large").when(~F.coalesce(intact, F.lit(False)), "wrong_hash").otherwise("intact")
+    shown = F.when(F.col("verdict") == "intact", redact(F.col(content)))
+    rows = payloads.join(owner, ["payload_id", "event_id"], "left").withColumn("verdict", verdict).withColumn("_text", shown)
+    return rows.select("payload_id", "verdict", F.substring("_text", 1, max_chars).alias("text"), F.coalesce(F.length("_text") > max_chars, F.lit(False)).alias("truncated"))
+
+
 def load_payload(payloads: DataFrame, payload_id: str, content: str, digest: str, max_chars: int) -> DataFrame:
     """One payload by id with ``intact`` (its digest fits) and its text up to ``max_chars``; an intact one only is shown."""
     row = payloads.filter(F.col("payload_id") == payload_id)
@@ -155,6 +170,14 @@ def load_payload(payloads: DataFrame, payload_id: str, content: str, digest: str
     return row.select("payload_id", intact.alias("intact"), F.when(intact, F.substring(content, 1, max_chars)).alias("text"), (F.length(content) > max_chars).alias("truncated"))
 
 
+def with_retention(summaries: DataFrame, at: str, payload_days: int, trace_days: int, key: str) -> DataFrame:
+    """Adds until when a trace and its payloads are kept, and a digest of the summary that tells whether it changed."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(summaries.columns) if c not in (key, at)]
+    digest = F.sha2(F.concat_ws("|", *fields), 256)
+    until = lambda days: F.timestamp_micros(F.unix_micros(at) + F.lit(days * 86_400_000_000))
+    return summaries.withColumn("digest", digest).withColumn("payload_expire_at", until(payload_days)).withColumn("trace_expire_at", until(trace_days))
+
+
 def sessions_by_project(sessions: DataFrame) -> DataFrame:
     """Sessions that are not archived, per project (trimmed, without a trailing slash): newest time, number, newest first."""
     project = F.regexp_replace(F.trim(F.coalesce("project", F.lit(""))), r"(?<=.)/+$", "")

@@ -362,6 +362,27 @@ def holdout_limits(spark, d):
     return V.holdout_gate(rows, "source")
 
 
+def payload_views(spark, d):
+    rows = load(spark, d, "turn_input_payloads").select("payload_id", "event_id", "content").distinct()
+    stored = F.when(F.length("content") % 7 == 0, F.lit("sha256:other")).otherwise(F.concat(F.lit("sha256:"), F.sha2("content", 256)))
+    shown = M.read_payloads(rows.withColumn("digest", stored), events(spark, d, "payload_id"), "content", "digest", 200, 600)
+    return shown.select("payload_id", "verdict", F.length("text").alias("n_chars"), "truncated")
+
+
+def retained_summaries(spark, d):
+    rows = L.trace_summaries(spark, d).select("trace_id", "last_seen", "turn_count", "run_count", "terminal_statuses")
+    return M.with_retention(rows, "last_seen", 7, 18, "trace_id").select("trace_id", "digest", "payload_expire_at", "trace_expire_at")
+
+
+def archived_messages(spark, d):
+    """Messages written by session with the newest ten of each; the others come from the archive."""
+    path, archive = scratch(spark, "sessions"), scratch(spark, "archive")
+    rows = events(spark, d, "session_key", "occurred_at", "segment_sequence").filter("session_key is not null").select("session_key", F.struct("occurred_at", "segment_sequence", "event_id").alias("seq"))
+    sinks.write_sessions(rows, path, newest=10, archive=archive)
+    count = lambda p, name: spark.read.parquet(p).groupBy("session_key").agg(F.count("*").alias("n")).withColumn("place", F.lit(name))
+    return count(path, "kept").unionByName(count(archive, "archived"))
+
+
 def step_failures(spark, d):
     rows = events(spark, d, "event_type", "status", "tool_name").filter("event_type = 'tool_finished'")
     return rows.groupBy(D.step_failure(F.col("status"), F.col("status"), F.col("event_type")).alias("family")).agg(F.count("*").alias("n"))
@@ -405,7 +426,7 @@ QUERIES = {
         trace_status_filter, trace_search, catalog_search, record_hits, event_page, reasons_by_tool, retention_plan, quota_by_session, pending_calls, illegal_transitions, segments_roundtrip, committed_prefix,
         segment_diagnostics, catalog_faults, hash_chains, inserted_events, upserted_tombstones, superseded_outbox, offloaded_texts, rebuilt_table, due_work, reconciled_index, duplicate_cases, ab_gate, issue_samples, project_sessions,
         pack_versions, legal_starts, legal_history, compacted_results, backfilled_results, well_formed_calls, message_previews, last_whole_turns, folded_transcript, held_back, tool_relations, text_functions, compared_texts, byte_truncated,
-        next_due, holdout_limits, step_failures, task_families, tool_failures, repeated_tasks, traces_by_process, deleted_events_by_reason, checked_parameters,
+        payload_views, retained_summaries, archived_messages, next_due, holdout_limits, step_failures, task_families, tool_failures, repeated_tasks, traces_by_process, deleted_events_by_reason, checked_parameters,
     )
 }
 
@@ -506,6 +527,13 @@ _words = lambda column, table: " ".join("WHEN " + " OR ".join(f"contains({column
 _has = lambda t: f"list_contains(coalesce(tools, []), '{t}')"
 _ABNORMAL = ", ".join(f"'{x}'" for x in G.ABNORMAL)
 SQL |= {
+    "payload_views": f"""WITH {EVENTS.replace("process_instance_id, segment_id", "payload_id, process_instance_id, segment_id")}, p AS (SELECT DISTINCT payload_id, event_id, content FROM turn_input_payloads),
+  v AS (SELECT p.*, CASE WHEN o.event_id IS NULL THEN 'unknown_event' WHEN octet_length(encode(content)) > 600 THEN 'too_large' WHEN content IS NULL OR length(content) % 7 = 0 THEN 'wrong_hash' ELSE 'intact' END AS verdict
+    FROM p LEFT JOIN (SELECT DISTINCT payload_id, event_id FROM e) o ON o.payload_id = p.payload_id AND o.event_id = p.event_id)
+  SELECT payload_id, verdict, CASE WHEN verdict = 'intact' THEN least(200, length(content)) END AS n_chars, verdict = 'intact' AND length(content) > 200 AS truncated FROM v""",
+    "retained_summaries": f"""SELECT trace_id, sha256(concat_ws('|', CAST(run_count AS VARCHAR), terminal_statuses, CAST(turn_count AS VARCHAR))) AS digest, last_seen + INTERVAL 7 DAY AS payload_expire_at, last_seen + INTERVAL 18 DAY AS trace_expire_at FROM ({L.SQL['trace_summaries']})""",
+    "archived_messages": f"""WITH {EVENTS}, r AS (SELECT session_key, row_number() OVER (PARTITION BY session_key ORDER BY occurred_at DESC, segment_sequence DESC, event_id DESC) AS nr FROM e WHERE session_key IS NOT NULL)
+  SELECT session_key, count(*) AS n, CASE WHEN nr <= 10 THEN 'kept' ELSE 'archived' END AS place FROM r GROUP BY session_key, place""",
     "next_due": f"""WITH {hand_sql('jobs')}, j AS (SELECT *, epoch_us(anchor) AS a, epoch_us(now) AS n, every_s * 1000000 AS p FROM jobs)
   SELECT id, CASE WHEN kind = 'at' AND a > n THEN anchor WHEN kind = 'every' AND every_s >= 1 THEN make_timestamp(CASE WHEN a > n THEN a ELSE a + ((n - a) // p + 1) * p END) END AS due_at FROM j""",
     "holdout_limits": """WITH c AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(n_chars, 0) AS n FROM documents),

@@ -39,22 +39,14 @@ def supersede(outbox: DataFrame, content_hash: Column, key: str, order: str) ->
     return rows.join(latest, key).withColumn("status", F.when(old, "superseded").otherwise(F.col("status"))).drop("_hash", "_last")
 
 
-def rebuild(df: DataFrame, path: str, least_rows: int = 1) -> int:
-    """Replace the table at ``path`` as a whole: written beside it, counted, then renamed; returns the rows.
+def _replace(spark, beside: str, path: str) -> None:
+    """Put the files at ``beside`` in the place of those at ``path``.
 
-    With fewer than ``least_rows`` the old table stays and ValueError is raised.
+    The old ones leave last: whenever this stops, whole files lie under one of the names.
     """
-    spark = df.sparkSession
-    beside = f"{path}_rebuild_{uuid.uuid4().hex}"
-    df.write.parquet(beside)
-    n = spark.read.schema(df.schema).parquet(beside).count()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     new, live, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path, f"{beside}_old"))
     fs = live.getFileSystem(conf)
-    if n < least_rows:
-        fs.delete(new, True)
-        raise ValueError(f"rebuild of {path} has {n} rows")
-    # The old table leaves last: whenever this stops, a whole table lies under one of the names.
     moved = fs.exists(live) and fs.rename(live, old)
     if not fs.rename(new, live):
         if moved:
@@ -62,6 +54,21 @@ def rebuild(df: DataFrame, path: str, least_rows: int = 1) -> int:
         raise OSError(f"{path} could not be replaced")
     if moved:
         fs.delete(old, True)
+
+
+def rebuild(df: DataFrame, path: str, least_rows: int = 1) -> int:
+    """Replace the table at ``path`` as a whole: written beside it, counted, then renamed; returns the rows.
+
+    With fewer than ``least_rows`` the old table stays and ValueError is raised.
+    """
+    spark = df.sparkSession
+    beside = f"{path}_rebuild_{uuid.uuid4().hex}"
+    df.write.parquet(beside)
+    n = spark.read.schema(df.schema).parquet(beside).count()
+    if n < least_rows:
+        remove(spark, beside)
+        raise ValueError(f"rebuild of {path} has {n} rows")
+    _replace(spark, beside, path)
     return n
 
 
@@ -90,10 +97,22 @@ def write_state(spark, state: dict, path: str, max_bytes: int = 1 << 20) -> None
     raw = json.dumps(state, sort_keys=True, ensure_ascii=False)
     if len(raw.encode()) > max_bytes:
         raise ValueError("state is too large")
-    spark.createDataFrame([(raw,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    beside = f"{path}_{uuid.uuid4().hex}"
+    spark.createDataFrame([(raw,)], "value string").coalesce(1).write.text(beside)
+    _replace(spark, beside, path)
+
 
+def write_sessions(messages: DataFrame, path: str, newest: int | None = None, archive: str | None = None) -> None:
+    """Messages by session bucket, replaced as a whole; with ``newest`` only each session's last ones stay.
 
-def write_sessions(messages: DataFrame, path: str, newest: int | None = None) -> None:
-    """Messages by session bucket; with ``newest`` only each session's last ones stay, older ones belong to an archive."""
-    kept = newest_by_key(messages, ["session_key"], ["seq"], newest) if newest else messages
-    kept.withColumn("bucket", F.pmod(F.xxhash64("session_key"), F.lit(256))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    The older ones are appended to ``archive``, by bucket too, before the table is replaced: a stop in between keeps a message
+    in both places rather than in none. ``messages`` must not be read from ``path`` itself when it is replaced in place.
+    """
+    bucketed = messages.withColumn("bucket", F.pmod(F.xxhash64("session_key"), F.lit(256)))
+    kept = newest_by_key(bucketed, ["session_key"], ["seq"], newest) if newest else bucketed
+    if newest and archive:
+        older = bucketed.join(kept.select("session_key", "seq"), ["session_key", "seq"], "left_anti")
+        older.write.mode("append").partitionBy("bucket").parquet(archive)
+    beside = f"{path}_{uuid.uuid4().hex}"
+    kept.write.partitionBy("bucket").parquet(beside)
+    _replace(messages.sparkSession, beside, path)
