@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.operators.classify import run_lanes
+from loomtrace.operators.hierarchy import solve_hierarchy
 from loomtrace.operators.neighbours import with_neighbours
 from loomtrace.operators.stats import zero
+from loomtrace.session import written
 
 # Event types by the kind of node they make.
 MODEL_CALL = ("model_request_started", "model_first_output", "model_response_received", "model_request_failed")
@@ -276,3 +278,27 @@ def build(events: DataFrame, level: str) -> tuple[DataFrame, DataFrame]:
     lanes = run_lanes(started.select("run_id", "parent_run_id", "resumed_from_run_id", "occurred_at").distinct())
     placed = runs.unionByName(inner).join(lanes.groupBy("run_id").agg(F.min("kind").alias("kind"), F.min("side").alias("side")), "run_id", "left")
     return placed, all_edges.unionByName(result_returns(events)).unionByName(retries_of(events))
+
+
+def lane_orders(started: DataFrame) -> DataFrame:
+    """``run_id, kind, lane``: in which column a run is drawn, 0 for the middle, negative to the left.
+
+    started: ``run_id, parent_run_id, resumed_from_run_id, occurred_at``, the earliest row of a run counts. Main runs are in the
+    middle; children of a run in the middle alternate left and right, outward by their start; deeper ones stand one column further
+    out than their parent; a continuation stays with the run it resumes, or in column 1 beside the middle. A lane needs no walk
+    level by level: it is the lane of the first run on the path that left the middle, and how many children follow it. Runs on
+    or below cycles, and children of unknown runs with all below them, are in column 1.
+    """
+    first = started.filter("run_id is not null").groupBy("run_id").agg(F.min(F.struct("occurred_at", "parent_run_id", "resumed_from_run_id")).alias("s")).select("run_id", "s.*")
+    kind = F.when(F.col("parent_run_id").isNotNull(), "child_agent").when(F.col("resumed_from_run_id").isNotNull(), "continuation").otherwise("main")
+    runs = written(first.withColumn("kind", kind))
+    nth = F.row_number().over(Window.partitionBy("parent_run_id").orderBy("occurred_at", "run_id")) - 1
+    side = F.when(nth % 2 == 0, -1).otherwise(1) * (F.floor(nth / 2) + 1)
+    own = runs.filter("kind = 'child_agent'").select("run_id", "kind", side.cast("int").alias("side")).unionByName(runs.filter("kind <> 'child_agent'").select("run_id", "kind", F.lit(1).alias("side")))
+    solved = solve_hierarchy(runs.select(F.col("run_id").alias("id"), F.coalesce("parent_run_id", "resumed_from_run_id").alias("parent")))
+    steps = solved.filter("status = 'tree'").select("id", F.posexplode("path").alias("pos", "run_id")).join(own, "run_id")
+    at = lambda k, c: F.max(F.when(F.col("pos") == k, F.col(c)))
+    below = lambda k: F.count(F.when((F.col("pos") >= k) & (F.col("kind") == "child_agent"), 1))
+    top = steps.groupBy(F.col("id").alias("run_id")).agg(at(0, "kind").alias("root"), at(1, "side").alias("base"), below(1).alias("c1"), below(2).alias("c2"))
+    lane = F.when(F.col("root") == "main", F.when(F.col("base").isNull(), 0).otherwise(F.signum("base") * (F.abs("base") + F.col("c2")))).when(F.col("root") == "continuation", 1 + F.col("c1")).otherwise(1)
+    return runs.select("run_id", "kind").join(top, "run_id", "left").select("run_id", "kind", F.coalesce(lane, F.lit(1)).cast("int").alias("lane"))

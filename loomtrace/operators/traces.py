@@ -62,6 +62,14 @@ def filter_listing(listing: DataFrame, status: str | None = None, anomalies_only
     return listing.filter("anomaly_count > 0") if anomalies_only else listing
 
 
+def with_suppressions(listing: DataFrame, unexpected: DataFrame) -> DataFrame:
+    """A listing (``trace_id, anomaly_count, display_status``) with deliveries held back for no known reason: one anomaly more, and a
+    trace that seemed to have succeeded is a warning. unexpected: ``trace_id`` (:func:`transcripts.unexpected_suppressions`)."""
+    marked = listing.join(unexpected.select("trace_id").distinct().withColumn("_held", F.lit(1)), "trace_id", "left")
+    status = F.when(F.col("_held").isNotNull() & (F.col("display_status") == "succeeded"), "warning").otherwise(F.col("display_status"))
+    return marked.withColumn("anomaly_count", F.col("anomaly_count") + F.coalesce("_held", F.lit(0))).withColumn("display_status", status).drop("_held")
+
+
 def search_summaries(summaries: DataFrame, outcomes: tuple[str, ...] = (), tool: str | None = None, limit: int = 50) -> DataFrame:
     """The traces of :func:`trace_summary` with one of the outcomes and a tool, those of most events first (a top-n)."""
     if outcomes:

@@ -77,6 +77,10 @@ def graph_levels(spark, d):
     return out
 
 
+def graph_lanes(spark, d):
+    return G.lane_orders(_events(spark, d).filter("event_type = 'run_started'"))
+
+
 #: Subagent tasks, scheduled retries and a spawning run, which the log's columns or rows cannot show.
 TASKS = [("subagent_created", "t1", "r1", None), ("subagent_recovered", "t1", None, None), ("subagent_created", "t2", None, "t1"), ("subagent_created", "t3", "r3", "gone"), ("subagent_terminal", None, "r4", None)]
 RETRIES = [
@@ -101,7 +105,7 @@ def graph_spawns(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_nodes, graph_trace_nodes, graph_edges, graph_membership, orphan_spans, graph_returns, graph_retries, graph_causes, graph_chains, graph_anomaly_starts, graph_levels, graph_tasks, graph_spawns)
+    for f in (graph_nodes, graph_trace_nodes, graph_edges, graph_membership, orphan_spans, graph_returns, graph_retries, graph_causes, graph_chains, graph_anomaly_starts, graph_levels, graph_lanes, graph_tasks, graph_spawns)
 }
 
 _MORE = EVENTS.replace("parent_run_id,", "parent_run_id, resumed_from_run_id, caused_by_event_id, checkpoint_id, goal_id, delivery_id,", 1)
@@ -179,6 +183,12 @@ SQL |= {
   UNION ALL SELECT 'run', kind, n FROM nc UNION ALL SELECT 'run', kind, n FROM ec WHERE kind NOT IN ('parent_run', 'resumed_from')
   UNION ALL SELECT 'trace_full', 'run', n FROM runs UNION ALL SELECT 'trace_full', kind, n FROM nc UNION ALL SELECT 'trace_full', kind, n FROM ec
   UNION ALL SELECT 'trace_full', edge_type, count(*) FROM returns GROUP BY 2 UNION ALL SELECT 'trace_full', edge_type, count(*) FROM retried GROUP BY 2""",
+    "graph_lanes": f"""WITH RECURSIVE {_MORE}, f AS (SELECT run_id, parent_run_id AS p, resumed_from_run_id AS r, occurred_at AS t FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY occurred_at, parent_run_id NULLS FIRST, resumed_from_run_id NULLS FIRST) AS nr FROM e WHERE event_type = 'run_started' AND run_id IS NOT NULL) WHERE nr = 1),
+  k AS (SELECT run_id, coalesce(p, r) AS up, CASE WHEN p IS NOT NULL THEN 'child_agent' WHEN r IS NOT NULL THEN 'continuation' ELSE 'main' END AS kind, row_number() OVER (PARTITION BY p ORDER BY t, run_id) - 1 AS nth FROM f),
+  w AS (SELECT run_id, kind, CASE WHEN kind = 'main' THEN 0 ELSE 1 END AS lane, kind = 'child_agent' AS stuck FROM k WHERE up IS NULL OR up NOT IN (SELECT run_id FROM k)
+    UNION ALL SELECT k.run_id, k.kind, CASE WHEN w.stuck THEN 1 WHEN k.kind = 'continuation' THEN CASE WHEN w.lane <> 0 THEN w.lane ELSE 1 END WHEN w.lane <> 0 THEN sign(w.lane) * (abs(w.lane) + 1)
+      WHEN k.nth % 2 = 0 THEN -(k.nth // 2 + 1) ELSE k.nth // 2 + 1 END, w.stuck FROM w JOIN k ON k.up = w.run_id)
+  SELECT k.run_id, k.kind, CAST(coalesce(w.lane, 1) AS INTEGER) AS lane FROM k LEFT JOIN w USING (run_id)""",
     "graph_tasks": f"""WITH t AS (SELECT task, max(child) AS child, max(replaces) AS replaces, bool_or(kind = 'subagent_recovered') AS recovered FROM (VALUES {_values(TASKS)}) v(kind, task, child, replaces) WHERE task IS NOT NULL GROUP BY 1)
   SELECT 'task_execution' AS edge_type, 'task:' || task AS source, 'run:' || child AS target FROM t WHERE child IS NOT NULL UNION ALL SELECT 'task_recovery', 'task:' || task, 'run:' || child FROM t WHERE child IS NOT NULL AND recovered
   UNION ALL SELECT 'task_replacement', 'task:' || replaces, 'task:' || task FROM t WHERE replaces IN (SELECT task FROM t)""",

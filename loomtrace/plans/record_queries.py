@@ -330,6 +330,13 @@ def held_back(spark, d):
     return P.unexpected_suppressions(hand(spark, "suppressed"))
 
 
+def suppressed_listing(spark, d):
+    rows = hand(spark, "suppressed")
+    failed = F.max(F.coalesce(F.col("status") == "failed", F.lit(False)))
+    listing = rows.groupBy("trace_id").agg(F.lit(0).alias("anomaly_count"), F.when(failed, "failed").otherwise("succeeded").alias("display_status"))
+    return T.with_suppressions(listing, P.unexpected_suppressions(rows))
+
+
 def tool_relations(spark, d):
     return G.tool_relations(hand(spark, "tool_events"))
 
@@ -425,7 +432,7 @@ QUERIES = {
     for f in (
         trace_status_filter, trace_search, catalog_search, record_hits, event_page, reasons_by_tool, retention_plan, quota_by_session, pending_calls, illegal_transitions, segments_roundtrip, committed_prefix,
         segment_diagnostics, catalog_faults, hash_chains, inserted_events, upserted_tombstones, superseded_outbox, offloaded_texts, rebuilt_table, due_work, reconciled_index, duplicate_cases, ab_gate, issue_samples, project_sessions,
-        pack_versions, legal_starts, legal_history, compacted_results, backfilled_results, well_formed_calls, message_previews, last_whole_turns, folded_transcript, held_back, tool_relations, text_functions, compared_texts, byte_truncated,
+        pack_versions, legal_starts, legal_history, compacted_results, backfilled_results, well_formed_calls, message_previews, last_whole_turns, folded_transcript, held_back, suppressed_listing, tool_relations, text_functions, compared_texts, byte_truncated,
         payload_views, retained_summaries, archived_messages, next_due, holdout_limits, step_failures, task_families, tool_failures, repeated_tasks, traces_by_process, deleted_events_by_reason, checked_parameters,
     )
 }
@@ -562,3 +569,5 @@ SQL |= {
     "checked_parameters": """WITH p AS (SELECT doc_id, TRY_CAST(n_chars AS INTEGER) AS "limit", CAST(updated_at AT TIME ZONE 'UTC' AS DATE) AS "on", title FROM documents)
   SELECT doc_id, "limit", "on", array_to_string(list_filter([CASE WHEN title IS NOT NULL AND TRY_CAST(trim(title) AS INTEGER) IS NULL THEN 'lang: no int' END, CASE WHEN "limit" IS NULL THEN 'limit: missing' END, CASE WHEN title IS NULL THEN 'lang: missing' END], lambda x: x IS NOT NULL), ';') AS errors FROM p""",
 }
+SQL["suppressed_listing"] = f"""WITH h AS ({SQL['held_back']}), {hand_sql('suppressed')}
+  SELECT trace_id, max(CASE WHEN h.n IS NULL THEN 0 ELSE 1 END) AS anomaly_count, CASE WHEN coalesce(bool_or(status = 'failed'), false) THEN 'failed' WHEN max(h.n) IS NOT NULL THEN 'warning' ELSE 'succeeded' END AS display_status FROM suppressed LEFT JOIN h USING (trace_id) GROUP BY 1"""
